@@ -40,7 +40,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
+def join_checked(left: DataFrame, right: DataFrame, on: Column | list[str], how: str, most: int) -> DataFrame:
     """Join with a broadcast of ``right`` if it has at most ``most`` rows, else with a shuffle on the keys.
 
     ``right`` is counted, so hand in a table that is cheap to read again (see ``cut``).
