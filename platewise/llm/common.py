@@ -47,3 +47,22 @@ def join_checked(left: DataFrame, right: DataFrame, on: Column | list[str], how:
     """
     small = right.limit(most + 1).count() <= most
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+#: A group is hot if it has over 1/HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot groups.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Join ``rows`` with the one row that ``groups`` has for each value of ``key``; ``size`` is the group's number of rows.
+
+    Hot groups are joined by a broadcast, which HOT_SHARE bounds, and never meet in one task; the rest by the key. Values
+    of the key must not be null. ``groups`` is read thrice: hand in a table that is cheap to read again.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot = groups.where(is_hot)
+    mark = hot.select(F.col(key).alias("_hot"))
+    in_hot = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(mark), F.col(key) == F.col("_hot"), "left_anti").join(groups.where(~is_hot), key)
+    return in_hot.unionByName(rest)

@@ -15,14 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import cut, lower_ascii, table
+from platewise.llm.common import cut, join_groups, lower_ascii, table
 
 #: Bytes of distinct text that a task combines before it hands them on.
 COMBINE_BYTES = 24 << 20
 
-#: A group is joined by broadcast if it has over 1/HOT_SHARE of all rows; there are fewer than HOT_SHARE such groups.
-HOT_SHARE = 1000
-
 
 class Node:
     """A trie node: the bytes on the edge to it, its children by first byte, and what its text's rows add up to."""
@@ -175,15 +172,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chosen = F.col("most" if keep == "largest" else "least")
     owners = owners.select("digest", F.nullif(chosen, F.lit(extreme)).alias("keep_id"), F.col("row_count").alias("group_size"))
 
-    total = owners.agg(F.sum("group_size")).first()[0] or 0
-    hot = owners.where(F.col("group_size") * HOT_SHARE > total)
-    cold = owners.where(F.col("group_size") * HOT_SHARE <= total)
     mine = rows.select("ident", F.unhex("hexed").alias("digest"))
-    # fewer than HOT_SHARE groups can each hold over 1/HOT_SHARE of the rows, so this broadcast is bounded
-    marked = mine.join(F.broadcast(hot.select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))), "digest", "left")
-    in_hot = marked.where(F.col("hot_size").isNotNull()).select("ident", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
-    rest = marked.where(F.col("hot_size").isNull()).select("ident", "digest").join(cold, "digest")
-    return in_hot.unionByName(rest.select("ident", "digest", "keep_id", "group_size")).select(
+    return join_groups(mine, owners, "digest", "group_size").select(
         F.col("ident").alias(id_col),
         "keep_id",
         "group_size",

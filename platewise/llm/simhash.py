@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import cut, table
+from platewise.llm.common import cut, join_groups, table
 
 #: Seed of XXH64, for shingles.
 SEED = 42
@@ -196,8 +196,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = cut(prints.join(inside, prints.fp == inside.node).select("fp", "least", "root"))
     ends = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(ends, "root").select("fp", "component_id")
-    alone = prints.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(alone, "fp").select(F.col("ident").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    alone = prints.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return join_groups(marked, cut(alone), "fp", "n").select(F.col("ident").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
