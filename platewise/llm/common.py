@@ -15,15 +15,17 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a checkpoint in the shared folder of the cluster.
-
-    The folder is the one of ``spark.checkpoint.dir``; only where it is unset (tests, a laptop) is a local one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between stages: spark.checkpoint.dir; only where it is unset a local one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a checkpoint in the shared folder of the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
