@@ -1,4 +1,588 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL: operators of this library over views of the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from platewise.functions import color as C
+from platewise.functions import geometry as G
+from platewise.functions import text as T
+from platewise.operators import families as R
+from platewise.operators import findings as A
+from platewise.operators import jobs as J
+from platewise.operators import series as S
+from platewise.operators import similarity as N
+from platewise.plans.views import oracle, table, view
+from platewise.streaming import monitors as X
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+NOW = "2024-02-01 00:00:00"
+
+# --- scalar expressions
+
+DPI = "CASE WHEN sqrt(a * a + c * c) >= 1e-10 AND sqrt(b * b + d * d) >= 1e-10 THEN least(pixel_width / (sqrt(a * a + c * c) / 72), pixel_height / (sqrt(b * b + d * d) / 72)) END"
+SHEAR = "abs(a * b + c * d) / abs(a * d - b * c)"
+
+
+@query(oracle("v_images", f"SELECT job_id, page_num, round({DPI}, 6) AS dpi, round({SHEAR}, 6) AS shear, a * d - b * c < 0 AS mirrored FROM v_images"))
+def f1_effective_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_images")
+    m = [F.col(k) for k in "abcd"]
+    dpi = G.effective_dpi(F.col("pixel_width"), F.col("pixel_height"), *m)
+    return rows.select("job_id", "page_num", F.round(dpi, 6).alias("dpi"), F.round(G.shear(*m), 6).alias("shear"), G.is_mirrored(*m).alias("mirrored"))
+
+
+@query(
+    oracle(
+        "v_paths v_pages",
+        """SELECT p.job_id, p.page_num, op_idx, round((x1 - x0) * (y1 - y0), 4) AS area,
+  round(greatest(tx0 - x0, ty0 - y0, x1 - tx1, y1 - ty1, 0), 6) AS overhang, round(greatest(least(x1, tx1) - greatest(x0, tx0), 0) * greatest(least(y1, ty1) - greatest(y0, ty0), 0), 4) AS common
+  FROM v_paths p JOIN v_pages g ON p.job_id = g.job_id AND p.page_num = g.page_num WHERE tx0 IS NOT NULL""",
+    )
+)
+def f5_box_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_paths").join(view(spark, sf_dir, "v_pages").where("tx0 IS NOT NULL"), ["job_id", "page_num"])
+    box, trim = G.Box.of(""), G.Box.of("t")
+    return rows.select("job_id", "page_num", "op_idx", F.round(box.area, 4).alias("area"), F.round(trim.overhang(box), 6).alias("overhang"), F.round(box.meet(trim).area, 4).alias("common"))
+
+
+@query(
+    oracle(
+        "v_paths",
+        """SELECT job_id, page_num, op_idx, round((c + m + y + k) * 100, 4) AS coverage, c >= 0.99 AND m >= 0.99 AND y >= 0.99 AND k >= 0.99 AS registration,
+  CAST((c > 0)::INT + (m > 0)::INT + (y > 0)::INT + (k > 0)::INT AS INT) AS inks FROM v_paths""",
+    )
+)
+def f7_ink_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inks = [F.col(x) for x in "cmyk"]
+    return view(spark, sf_dir, "v_paths").select("job_id", "page_num", "op_idx", F.round(C.coverage(*inks), 4).alias("coverage"), C.is_registration(*inks).alias("registration"), C.active_inks(*inks).alias("inks"))
+
+
+LIN = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92::DOUBLE ELSE pow(({0} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+RGB = "v_rgb AS (SELECT *, (1 - least(c, 1)) * (1 - k) AS r, (1 - least(m, 1)) * (1 - k) AS g, (1 - y) * (1 - k) AS bl FROM v_paths)"
+LUM = f"0.2126::DOUBLE * {LIN.format('r')} + 0.7152::DOUBLE * {LIN.format('g')} + 0.0722::DOUBLE * {LIN.format('bl')}"
+
+
+def _rgb(rows: DataFrame) -> DataFrame:
+    r, g, b = C.cmyk_to_rgb(F.least("c", F.lit(1.0)), F.least("m", F.lit(1.0)), F.col("y"), F.col("k"))
+    return rows.withColumns({"r": r, "g": g, "bl": b})
+
+
+@query(oracle("v_paths", f"SELECT job_id, page_num, op_idx, round(1.05::DOUBLE / ({LUM} + 0.05::DOUBLE), 6) AS contrast FROM v_rgb", RGB))
+def f11_contrast_on_white(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rgb(view(spark, sf_dir, "v_paths"))
+    return rows.select("job_id", "page_num", "op_idx", F.round(C.contrast(F.lit(1.0), C.luminance(F.col("r"), F.col("g"), F.col("bl"))), 6).alias("contrast"))
+
+
+@query(
+    oracle(
+        "v_paths",
+        f"""SELECT job_id, page_num, op_idx, round(sqrt(l * l + (500 * (fx - fy)) ** 2 + (200 * (fy - fz)) ** 2), 4) AS from_black
+  FROM (SELECT *, 116 * fy - 16 AS l FROM (SELECT *, {", ".join(f"CASE WHEN {t} > 216.0::DOUBLE / 24389 THEN cbrt({t}) ELSE (24389.0::DOUBLE / 27 * {t} + 16) / 116 END AS f{t}" for t in "xyz")} FROM v_xyz))""",
+        RGB,
+        f"v_lin AS (SELECT job_id, page_num, op_idx, {LIN.format('r')} AS lr, {LIN.format('g')} AS lg, {LIN.format('bl')} AS lb FROM v_rgb)",
+        """v_xyz AS (SELECT job_id, page_num, op_idx, (0.4124564::DOUBLE * lr + 0.3575761::DOUBLE * lg + 0.1804375::DOUBLE * lb) / 0.95047::DOUBLE AS x,
+  0.2126729::DOUBLE * lr + 0.7151522::DOUBLE * lg + 0.0721750::DOUBLE * lb AS y, (0.0193339::DOUBLE * lr + 0.1191920::DOUBLE * lg + 0.9503041::DOUBLE * lb) / 1.08883::DOUBLE AS z FROM v_lin)""",
+    )
+)
+def f9_lab_distance_from_black(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rgb(view(spark, sf_dir, "v_paths"))
+    lab = C.rgb_to_lab(F.col("r"), F.col("g"), F.col("bl"))
+    return rows.select("job_id", "page_num", "op_idx", F.round(C.delta_e76(lab, (F.lit(0.0),) * 3), 4).alias("from_black"))
+
+
+@query("SELECT p_partkey, CAST((10 - (3 * (d // 1 % 10) + (d // 10 % 10) + 3 * (d // 100 % 10) + (d // 1000 % 10) + 3 * (d // 10000 % 10) + (d // 100000 % 10) + 3 * (d // 1000000 % 10)) % 10) % 10 AS INT) AS digit FROM (SELECT p_partkey, p_partkey + 5000000 AS d FROM part)")
+def f16_check_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.check_digit((F.col("p_partkey") + 5000000).cast("string")).alias("digit"))
+
+
+# --- rule families
+
+IMAGE_SQL = f"""SELECT job_id, page_num, inspection_id, severity FROM (
+  SELECT job_id, page_num, 'IMG_001' AS inspection_id, 'warning' AS severity FROM i WHERE dpi < 150 UNION ALL SELECT job_id, page_num, 'IMG_002', 'advisory' FROM i WHERE dpi > 450
+  UNION ALL SELECT job_id, page_num, 'IMG_006', 'warning' FROM i WHERE dpi < 48 UNION ALL SELECT job_id, page_num, 'IMG_014', 'advisory' FROM i WHERE {SHEAR} > 0.01
+  UNION ALL SELECT job_id, page_num, 'IMG_016', 'advisory' FROM i WHERE a * d - b * c < 0
+  UNION ALL SELECT job_id, page_num, 'IMG_017', 'advisory' FROM i WHERE least(px, py) < 10 OR greatest(px, py) > 1000)"""
+
+
+@query(oracle("v_images", IMAGE_SQL, f"i AS (SELECT *, {DPI} AS dpi, sqrt(a * a + c * c) / pixel_width * 100 AS px, sqrt(b * b + d * d) / pixel_height * 100 AS py FROM v_images)"))
+def r1_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fused(view(spark, sf_dir, "v_images"), R.image_rules(), "job_id", "page_num")
+
+
+INK_SQL = """SELECT job_id, page_num, op_idx, inspection_id, severity FROM (
+  SELECT job_id, page_num, op_idx, 'COLOR_004' AS inspection_id, 'error' AS severity FROM v_paths WHERE (c + m + y + k) * 100 > 300
+  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_005', 'error' FROM v_paths WHERE c >= 0.99 AND m >= 0.99 AND y >= 0.99 AND k >= 0.99
+  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_016', 'advisory' FROM v_paths WHERE k > 0 AND k < 1 AND (c > 0 OR m > 0 OR y > 0) AND greatest(c, m, y) - least(c, m, y) < 0.05
+  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_017', 'advisory' FROM v_paths WHERE k >= 0.99 AND (c > 0 OR m > 0 OR y > 0)
+  UNION ALL SELECT job_id, page_num, op_idx, 'STROKE_001', 'warning' FROM v_paths WHERE NOT fill AND line_width > 0 AND line_width < 0.25
+  UNION ALL SELECT job_id, page_num, op_idx, 'STROKE_002', 'error' FROM v_paths WHERE NOT fill AND line_width = 0
+  UNION ALL SELECT job_id, page_num, op_idx, 'STROKE_004', 'warning' FROM v_paths WHERE NOT fill AND line_width > 0 AND line_width < 0.5 AND (c > 0)::INT + (m > 0)::INT + (y > 0)::INT + (k > 0)::INT > 1)"""
+
+
+@query(oracle("v_paths", INK_SQL))
+def r6_r12_ink_and_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fused(view(spark, sf_dir, "v_paths"), R.ink_rules(), "job_id", "page_num", "op_idx")
+
+
+@query(
+    oracle(
+        "v_pages",
+        """SELECT job_id, page_num, 'BOX_001' AS inspection_id, 'warning' AS severity FROM v_pages WHERE tx0 IS NULL
+  UNION ALL SELECT job_id, page_num, 'BOX_002', 'error' FROM v_pages WHERE tx1 > 560 OR ty1 > 420 OR tx0 < 0 OR ty0 < 0
+  UNION ALL SELECT job_id, page_num, 'BOX_003', 'warning' FROM v_pages WHERE tx0 IS NOT NULL AND least(tx0, ty0, 560 - tx1, 420 - ty1) < 8.5
+  UNION ALL SELECT job_id, page_num, 'BOX_007', 'advisory' FROM v_pages WHERE rotate % 180 <> 0""",
+    )
+)
+def r9_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.box_rules(view(spark, sf_dir, "v_pages"))
+
+
+@query(
+    oracle(
+        "v_paths v_pages",
+        """SELECT job_id, page_num, op_idx, 'BOX_005' AS inspection_id, 'warning' AS severity FROM b WHERE x0 < tx1 AND tx0 < x1 AND y0 < ty1 AND ty0 < y1 AND NOT (x0 >= tx0 + 10 AND y0 >= ty0 + 10 AND x1 <= tx1 - 10 AND y1 <= ty1 - 10)
+  UNION ALL SELECT job_id, page_num, op_idx, 'BOX_006', 'error' FROM b WHERE NOT (x0 >= tx0 - 8.5 AND y0 >= ty0 - 8.5 AND x1 <= tx1 + 8.5 AND y1 <= ty1 + 8.5)""",
+        "b AS (SELECT p.job_id, p.page_num, op_idx, x0, y0, x1, y1, tx0, ty0, tx1, ty1 FROM v_paths p JOIN v_pages g ON p.job_id = g.job_id AND p.page_num = g.page_num WHERE tx0 IS NOT NULL)",
+    )
+)
+def r10_content_against_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.content_against_boxes(view(spark, sf_dir, "v_paths"), view(spark, sf_dir, "v_pages"))
+
+
+@query(
+    oracle(
+        "v_inks",
+        """SELECT job_id, trim(regexp_replace(lower(colorant), '[\\s_-]+', ' ', 'g')) AS ink, string_agg(DISTINCT CAST(page_num AS VARCHAR), ',' ORDER BY CAST(page_num AS VARCHAR)) AS pages,
+  count(DISTINCT alternate) AS alternates, count(DISTINCT cs_type) AS families, count(DISTINCT alternate) > 1 AS conflict FROM v_inks GROUP BY 1, 2""",
+    )
+)
+def r30_ink_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ink_inventory(view(spark, sf_dir, "v_inks"))
+
+
+@query(
+    oracle(
+        "v_inks",
+        "SELECT a.job_id, a.name, b.name AS other, CAST(levenshtein(a.name, b.name) AS INT) AS distance FROM n a JOIN n b ON a.job_id = b.job_id AND a.name < b.name WHERE levenshtein(a.name, b.name) BETWEEN 1 AND 2",
+        "n AS (SELECT DISTINCT job_id, trim(regexp_replace(lower(colorant), '[\\s_-]+', ' ', 'g')) AS name FROM v_inks WHERE length(trim(regexp_replace(lower(colorant), '[\\s_-]+', ' ', 'g'))) >= 4)",
+    )
+)
+def r31_name_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.name_typos(view(spark, sf_dir, "v_inks"))
+
+
+@query(oracle("v_text", "SELECT DISTINCT job_id, page_num, phrase FROM v_text, (SELECT unnest([" + ", ".join(f"'{p}'" for p in R.PLACEHOLDERS) + "]) AS phrase) WHERE contains(lower(text), phrase)"))
+def r34_placeholder_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.placeholder_text(view(spark, sf_dir, "v_text"))
+
+
+@query(
+    oracle(
+        "v_state",
+        """SELECT job_id, op_idx, 'OVER_007' AS inspection_id, 'warning' AS severity FROM s WHERE op AND al < 0.9999 UNION ALL SELECT job_id, op_idx, 'TRANS_001', 'advisory' FROM s WHERE al < 0.1
+  UNION ALL SELECT job_id, op_idx, 'OVER_002', 'advisory' FROM s WHERE op AND kind = 'click'""",
+        """s AS (SELECT job_id, op_idx, kind, last_value(overprint IGNORE NULLS) OVER w AS op, last_value(alpha IGNORE NULLS) OVER w AS al FROM v_state
+  WINDOW w AS (PARTITION BY job_id ORDER BY op_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    )
+)
+def r48_overprint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.overprint_rules(view(spark, sf_dir, "v_state"))
+
+
+# --- evaluation of findings
+
+ENABLED, DISABLED, OVERRIDES, CAP = ("COLOR_*", "ICC_*", "SPOT_*", "OVER_*"), ("*_003",), {"ICC_001": "ignore", "COLOR_015": "error"}, "warning"
+RULES = {
+    "COLOR_004": [{"when": {"page": {"in": [-1]}}, "include": False}, {"when": {"source": "ai"}, "severity": "advisory"}],
+    "SPOT_001": [{"when": {"page": {"gte": 1}, "severity": {"ne": "error"}}, "severity": "error"}],
+}
+
+
+@query(
+    oracle(
+        "v_findings",
+        """SELECT job_id, ord, inspection_id FROM v_findings WHERE (source = 'ai' OR inspection_id LIKE 'COLOR\\_%' ESCAPE '\\' OR inspection_id LIKE 'ICC\\_%' ESCAPE '\\' OR inspection_id LIKE 'SPOT\\_%' ESCAPE '\\'
+  OR inspection_id LIKE 'OVER\\_%' ESCAPE '\\') AND NOT inspection_id LIKE '%\\_003' ESCAPE '\\' AND inspection_id <> 'ICC_001'""",
+    )
+)
+def e1_enabled_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_findings").where(A.is_enabled(F.col("inspection_id"), F.col("source"), ENABLED, DISABLED, OVERRIDES)).select("job_id", "ord", "inspection_id")
+
+
+@query(
+    oracle(
+        "v_findings",
+        """SELECT job_id, ord, inspection_id, CASE WHEN severity = 'error' THEN 'warning' ELSE severity END AS severity FROM (
+  SELECT job_id, ord, inspection_id, CASE WHEN inspection_id = 'COLOR_015' THEN 'error' WHEN inspection_id = 'COLOR_004' AND source = 'ai' THEN 'advisory'
+    WHEN inspection_id = 'SPOT_001' AND page_num >= 1 AND severity <> 'error' THEN 'error' ELSE severity END AS severity FROM v_findings WHERE NOT (inspection_id = 'COLOR_004' AND page_num = 2))""",
+    )
+)
+def e2_e3_conditions_and_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_findings").withColumn("pages", F.lit(2))
+    return A.evaluate(rows, RULES, OVERRIDES, CAP).select("job_id", "ord", "inspection_id", "severity")
+
+
+# --- aggregates
+
+SUMMARY = "SELECT job_id, count(*) AS total, count(*) FILTER (WHERE severity = 'error') AS error_count, count(*) FILTER (WHERE severity = 'warning') AS warning_count, count(*) FILTER (WHERE severity = 'advisory') AS advisory_count, count(*) FILTER (WHERE severity = 'error') = 0 AS passed FROM v_findings GROUP BY job_id"
+
+
+@query(oracle("v_findings", SUMMARY))
+def a1_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.counts(view(spark, sf_dir, "v_findings"), "job_id")
+
+
+@query(oracle("v_findings", "SELECT job_id, inspection_id, page_num, min(ord) AS ord, arg_min(severity, ord) AS severity, count(*) AS repeats FROM v_findings GROUP BY ALL"))
+def a2_merge_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.merge_repeats(view(spark, sf_dir, "v_findings"))
+
+
+@query(
+    oracle(
+        "v_findings",
+        "SELECT job_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM (SELECT job_id, CAST(greatest(0, least(100, round_even(100 - error_count * 10 - warning_count * 3 - advisory_count * 0.5, 0))) AS INT) AS score FROM s)",
+        f"s AS ({SUMMARY})",
+    )
+)
+def a3_health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.health_score(A.counts(view(spark, sf_dir, "v_findings"), "job_id"))
+
+
+def _values(values: dict) -> str:
+    return "CASE inspection_id " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in values.items()) + " END"
+
+
+CATEGORY = "CASE " + " ".join(f"WHEN starts_with(inspection_id, '{k}') THEN '{v}'" for k, v in A.CATEGORIES.items()) + " END"
+LOST = " + ".join(f"least(coalesce(sum(deduction) FILTER (WHERE category = '{k}'), 0), {v}::DOUBLE)" for k, v in A.WEIGHTS.items())
+
+
+@query(
+    oracle(
+        "v_findings",
+        "SELECT job_id, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 50 THEN 'Fair' WHEN score >= 25 THEN 'Poor' ELSE 'Critical' END AS grade, floor FROM p",
+        f"f AS (SELECT job_id, inspection_id, {CATEGORY} AS category, arg_min(severity, ord) AS severity, count(*) FILTER (WHERE severity = 'error') AS errors FROM v_findings WHERE {CATEGORY} IS NOT NULL GROUP BY ALL)",
+        f"d AS (SELECT *, coalesce(CASE WHEN severity <> 'advisory' THEN {_values(A.MAJOR)} END, CASE WHEN severity <> 'advisory' THEN {_values(A.MODERATE)} END, {_values(A.MINOR)}, 0) AS deduction, CASE WHEN errors > 0 THEN {_values(A.FLOORS)} END AS floor FROM f)",
+        f"p AS (SELECT job_id, round(least(100 - ({LOST}), coalesce(min(floor), 100)), 1) AS score, min(floor) AS floor FROM d GROUP BY job_id)",
+    )
+)
+def a4_color_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.color_score(view(spark, sf_dir, "v_findings"))
+
+
+def _in(codes) -> str:
+    return ", ".join(f"'{c}'" for c in codes)
+
+
+@query(
+    oracle(
+        "v_findings",
+        f"SELECT *, verdict = 'reject' AND len(list_intersect(string_split(drivers, ','), [{_in(A.UPSELL)}])) > 0 AS upsell FROM v",
+        f"t AS (SELECT job_id, inspection_id, CASE {' '.join(f'WHEN inspection_id IN ({_in(c)}) THEN ' + repr(k) for k, c in A.TIERS.items())} END AS tier, ord FROM v_findings)",
+        "c AS (SELECT job_id, tier, inspection_id, min(ord) AS ord FROM t WHERE tier IS NOT NULL GROUP BY ALL)",
+        """v AS (SELECT job_id, CASE WHEN count(*) FILTER (WHERE tier = 'A') > 0 OR count(*) FILTER (WHERE tier = 'B') >= 2 THEN 'reject' WHEN count(*) FILTER (WHERE tier = 'B') = 1 THEN 'marginal' ELSE 'pass_with_advisory' END AS verdict,
+  coalesce(string_agg(inspection_id, ',' ORDER BY tier, ord, inspection_id) FILTER (WHERE tier <> 'C'), '') AS drivers, coalesce(string_agg(inspection_id, ',' ORDER BY ord, inspection_id) FILTER (WHERE tier = 'C'), '') AS advisories FROM c GROUP BY job_id)""",
+    )
+)
+def a5_press_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.press_verdict(view(spark, sf_dir, "v_findings"))
+
+
+@query(
+    oracle(
+        "v_paths",
+        "SELECT job_id, ink, count(DISTINCT page_num) AS pages, max(amount) AS most, count(*) AS paints FROM s WHERE amount > 0 GROUP BY job_id, ink",
+        "s AS (" + " UNION ALL ".join(f"SELECT job_id, page_num, '{x}' AS ink, {x} AS amount FROM v_paths" for x in "cmyk") + ")",
+    )
+)
+def a6_separations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.separations(view(spark, sf_dir, "v_paths"))
+
+
+@query(oracle("v_paths", "SELECT job_id, page_num, max(t) AS coverage, min(op_idx) FILTER (WHERE t = best) AS op_idx FROM (SELECT *, max(t) OVER (PARTITION BY job_id, page_num) AS best FROM (SELECT *, round((c + m + y + k) * 100, 4) AS t FROM v_paths)) GROUP BY job_id, page_num"))
+def k3_worst_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.worst_coverage(view(spark, sf_dir, "v_paths"))
+
+
+@query(oracle("v_inks", "SELECT job_id, cs_type, count(*) AS n, string_agg(DISTINCT CAST(page_num AS VARCHAR), ',' ORDER BY CAST(page_num AS VARCHAR)) AS pages FROM v_inks GROUP BY job_id, cs_type"))
+def a7_color_space_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = F.array_join(F.sort_array(F.collect_set(F.col("page_num").cast("string"))), ",")
+    return view(spark, sf_dir, "v_inks").groupBy("job_id", "cs_type").agg(F.count("*").alias("n"), pages.alias("pages"))
+
+
+@query(
+    oracle(
+        "v_jobs",
+        """SELECT tenant_id, count(*) AS jobs, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'processing') AS processing,
+  CASE WHEN count(*) FILTER (WHERE status = 'processing') > 0 THEN 'processing' WHEN count(*) FILTER (WHERE status = 'failed') = 0 THEN 'complete' WHEN count(*) FILTER (WHERE status = 'complete') = 0 THEN 'failed' ELSE 'partial' END AS status
+  FROM v_jobs GROUP BY tenant_id""",
+    )
+)
+def a8_batch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.batch_rollup(view(spark, sf_dir, "v_jobs"), "tenant_id")
+
+
+@query(
+    oracle(
+        "v_jobs v_findings",
+        "SELECT tenant_id, j.job_id, place, coalesce(total, 0) AS total, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings FROM j LEFT JOIN f ON j.job_id = f.job_id WHERE place <= 10",
+        "j AS (SELECT tenant_id, job_id, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, job_id DESC) AS INT) AS place FROM v_jobs)",
+        "f AS (SELECT job_id, count(*) AS total, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM v_findings GROUP BY job_id)",
+    )
+)
+def a9_quality_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.quality_history(view(spark, sf_dir, "v_jobs"), view(spark, sf_dir, "v_findings"))
+
+
+USAGE = "u AS (SELECT user_id, ts, CAST(floor(value * 100) AS BIGINT) AS milli_cents FROM events)"
+
+
+@query(oracle("", "SELECT user_id, CAST(greatest(1, ceil(sum(milli_cents) / 1000)) AS BIGINT) AS cents FROM u GROUP BY user_id", USAGE))
+def a12_usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usage = table(spark, sf_dir, "events").select("user_id", "ts", F.floor(F.col("value") * 100).alias("milli_cents"))
+    return J.usage_cost(usage, "user_id")
+
+
+@query(oracle("", "SELECT user_id, date_trunc('month', ts) AS month, CAST(sum(milli_cents) AS BIGINT) AS spent, CAST(greatest(0, 100000 - sum(milli_cents)) AS BIGINT) AS remaining, sum(milli_cents) * 100 >= 8000000 AS alert, sum(milli_cents) >= 100000 AS over FROM u GROUP BY ALL", USAGE))
+def a13_month_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spend = table(spark, sf_dir, "events").select("user_id", "ts", F.floor(F.col("value") * 100).alias("cents"))
+    return J.month_to_date(spend, "user_id", 100_000)
+
+
+@query(oracle("v_decisions", "SELECT decision_type, count(*) AS n FROM v_decisions WHERE revoked_at IS NULL GROUP BY decision_type"))
+def a14_decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.decision_counts(view(spark, sf_dir, "v_decisions"))
+
+
+@query(oracle("v_jobs", "SELECT status, CAST((duration_ms >= 50000)::INT + (duration_ms >= 100000)::INT + (duration_ms >= 200000)::INT AS INT) AS bucket, count(*) AS n, round(sum(duration_ms), 2) AS total_ms FROM v_jobs GROUP BY ALL"))
+def a15_duration_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.duration_distribution(view(spark, sf_dir, "v_jobs"), [50000.0, 100000.0, 200000.0])
+
+
+@query(oracle("v_findings", "SELECT inspection_id, severity, source, CAST(grouping_id(inspection_id, severity, source) AS BIGINT) AS level, count(*) AS n FROM v_findings GROUP BY CUBE (inspection_id, severity, source)"))
+def a19_report_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_findings").cube("inspection_id", "severity", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+# --- windows
+
+LIMITS = "l AS (SELECT series, count(*) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sigma FROM v_series GROUP BY series)"
+
+
+@query(oracle("v_series", "SELECT series, n, round(mean, 6) AS mean, round(sigma, 6) AS sigma, round(mean + 3 * sigma, 6) AS up3, round(mean - 3 * sigma, 6) AS low3 FROM l", LIMITS))
+def w1_control_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.limits(view(spark, sf_dir, "v_series")).select("series", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sigma", "up3", "low3")])
+
+
+def _run_sql(rule: int, length: int, least: int, k: int) -> str:
+    parts = []
+    for side, sign, op in (("up", "+", ">"), ("low", "-", "<")):
+        parts.append(f"SELECT series, {rule} AS rule, '{side}' AS side, seq FROM (SELECT series, seq, count(*) OVER w AS n, sum((value {op} mean {sign} {k} * sigma)::INT) OVER w AS s FROM p WINDOW w AS (PARTITION BY series ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING)) WHERE n = {length} AND s >= {least}")
+    return " UNION ALL ".join(parts)
+
+
+@query(oracle("v_series", " UNION ALL ".join(_run_sql(*r) for r in ((1, 1, 1, 3), (2, 3, 2, 2), (3, 5, 4, 1), (4, 8, 8, 0))), LIMITS, "p AS (SELECT v.*, mean, sigma FROM v_series v JOIN l ON v.series = l.series)"))
+def w2_w5_control_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.control_alerts(view(spark, sf_dir, "v_series"))
+
+
+@query(
+    oracle(
+        "v_series",
+        "SELECT series, max(n) AS points, CAST(sum((value > mean + 3 * sigma OR value < mean - 3 * sigma)::INT) AS BIGINT) AS beyond, CAST(sum((hi = 8 OR lo = 8)::INT) AS BIGINT) AS runs, round(max(mean), 6) AS mean, round(greatest(max(mean - 3 * sigma), 0), 6) AS lower FROM p GROUP BY series",
+        LIMITS,
+        "p AS (SELECT v.series, value, n, mean, sigma, sum((value > mean)::INT) OVER w AS hi, sum((value < mean)::INT) OVER w AS lo FROM v_series v JOIN l ON v.series = l.series WHERE n >= 20 WINDOW w AS (PARTITION BY v.series ORDER BY ts, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))",
+    )
+)
+def w6_submission_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.trend(view(spark, sf_dir, "v_series"))
+
+
+@query(oracle("v_decisions", "SELECT finding_id, decision_id, decision_type FROM v_decisions WHERE revoked_at IS NULL QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY decided_at DESC, decision_id DESC) = 1"))
+def w7_latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.latest_decisions(view(spark, sf_dir, "v_decisions"))
+
+
+@query(oracle("v_state", "SELECT job_id, op_idx, last_value(overprint IGNORE NULLS) OVER w AS overprint, round(last_value(alpha IGNORE NULLS) OVER w, 8) AS alpha FROM v_state WINDOW w AS (PARTITION BY job_id ORDER BY op_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+def w8_carried_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.carried(view(spark, sf_dir, "v_state"), ["job_id"], ["op_idx"], ["overprint", "alpha"])
+    return rows.select("job_id", "op_idx", "overprint", F.round("alpha", 8).alias("alpha"))
+
+
+@query(oracle("v_images", "SELECT job_id, page_num, image_name FROM v_images QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY page_num, op_idx) = 1"))
+def w9_first_image_per_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_per(view(spark, sf_dir, "v_images"), ["job_id"], ["page_num", "op_idx"]).select("job_id", "page_num", "image_name")
+
+
+@query(oracle("v_jobs", "SELECT job_id, tenant_id, status FROM v_jobs ORDER BY created_at DESC, job_id DESC LIMIT 50 OFFSET 50"))
+def k1_job_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.page_of(view(spark, sf_dir, "v_jobs"), [F.col("created_at").desc(), F.col("job_id").desc()], 2, 50).select("job_id", "tenant_id", "status")
+
+
+# --- sets and settings
+
+
+@query(
+    oracle(
+        "v_findings",
+        "SELECT job_id, count(*) FILTER (WHERE side = 1) AS missing, count(*) FILTER (WHERE side = 2) AS new, count(*) FILTER (WHERE side = 3) AS same, count(*) FILTER (WHERE side < 3) = 0 AS passed FROM k GROUP BY job_id",
+        "k AS (SELECT job_id, inspection_id, severity, page_num, sum(side) AS side FROM (SELECT DISTINCT job_id, inspection_id, severity, page_num, 1 AS side FROM v_findings WHERE ord % 3 <> 0 UNION ALL SELECT DISTINCT job_id, inspection_id, severity, page_num, 2 FROM v_findings WHERE ord % 2 <> 0) GROUP BY ALL)",
+    )
+)
+def d1_regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_findings")
+    return A.identity_diff(rows.where("ord % 3 <> 0"), rows.where("ord % 2 <> 0"), "job_id")
+
+
+@query("SELECT lang, sha256(string_agg(hash, ',' ORDER BY hash)) AS fingerprint FROM (SELECT lang, sha256(CAST(doc_id AS VARCHAR)) AS hash FROM documents) GROUP BY lang")
+def d2_corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.fingerprint(table(spark, sf_dir, "documents").select("lang", F.sha2(F.col("doc_id").cast("string"), 256).alias("hash")), "lang")
+
+
+@query(
+    oracle(
+        "v_toggles",
+        """SELECT tenant_id, CASE WHEN workflow_value IS NOT NULL AND NOT (locked AND tenant_value IS NOT NULL) THEN workflow_value ELSE coalesce(tenant_value, default_value) END AS value,
+  CASE WHEN workflow_value IS NOT NULL AND NOT (locked AND tenant_value IS NOT NULL) THEN 'workflow' WHEN tenant_value IS NOT NULL THEN 'tenant' ELSE 'default' END AS provenance FROM v_toggles""",
+    )
+)
+def d4_settings_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.cascade(view(spark, sf_dir, "v_toggles"))
+
+
+@query(
+    "SELECT DISTINCT l_partkey AS partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'"
+)
+def d6_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    part = lambda flag: rows.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("partkey"))
+    return part("R").intersect(part("A"))
+
+
+# --- joins
+
+
+@query(
+    oracle(
+        "v_pages",
+        "SELECT coalesce(a.job_id, b.job_id) AS job_id, coalesce(a.page_num, b.page_num) AS page_num, CASE WHEN a.job_id IS NULL THEN 'added' WHEN b.job_id IS NULL THEN 'removed' WHEN a.rotate IS DISTINCT FROM b.rotate OR a.tx1 IS DISTINCT FROM b.tx1 THEN 'changed' ELSE 'same' END AS state, CASE WHEN a.job_id IS NOT NULL AND b.job_id IS NOT NULL THEN CAST((a.rotate IS DISTINCT FROM b.rotate)::INT + (a.tx1 IS DISTINCT FROM b.tx1)::INT AS INT) ELSE 0 END AS differences FROM a FULL JOIN b ON a.job_id = b.job_id AND a.page_num = b.page_num",
+        "a AS (SELECT job_id, page_num, max(rotate) AS rotate, max(tx1) AS tx1 FROM v_pages WHERE job_id % 5 <> 0 GROUP BY ALL)",
+        "b AS (SELECT job_id, page_num, min(rotate) AS rotate, min(tx1) AS tx1 FROM v_pages WHERE job_id % 7 <> 0 GROUP BY ALL)",
+    )
+)
+def j2_compare_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_pages")
+    one = rows.where("job_id % 5 <> 0").groupBy("job_id", "page_num").agg(F.max("rotate").alias("rotate"), F.max("tx1").alias("tx1"))
+    two = rows.where("job_id % 7 <> 0").groupBy("job_id", "page_num").agg(F.min("rotate").alias("rotate"), F.min("tx1").alias("tx1"))
+    return J.compare_versions(one, two, ["job_id", "page_num"], ["rotate", "tx1"])
+
+
+HASH = "CAST('0x' || substr(md5(coalesce(text, '')), 1, 5) AS BIGINT)"
+
+
+@query(
+    "SELECT a.ident AS one, b.ident AS two, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM n a JOIN n b ON a.ident < b.ident AND bit_count(xor(a.phash, b.phash)) <= 1".join(
+        [f"WITH n AS (SELECT {HASH} AS phash, min(doc_id) AS ident FROM documents GROUP BY 1) ", ""]
+    )
+)
+def j5_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phash = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 5), 16, 10).cast("long")
+    return N.near_hashes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ident"), phash.alias("phash")), 1)
+
+
+@query(
+    oracle(
+        "v_jobs v_findings",
+        "SELECT j.job_id, tenant_id, status, coalesce(findings, '') AS findings FROM v_jobs j LEFT JOIN f ON j.job_id = f.job_id",
+        "f AS (SELECT job_id, string_agg(inspection_id || ':' || severity, ',' ORDER BY ord, inspection_id, severity) AS findings FROM v_findings GROUP BY job_id)",
+    )
+)
+def j8_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.job_states(view(spark, sf_dir, "v_jobs"), view(spark, sf_dir, "v_findings"))
+
+
+@query(
+    oracle(
+        "",
+        "SELECT l.user_id, l.event_id, r.value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts",
+        "l AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click')",
+        "r AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase')",
+    )
+)
+def j9_as_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    left = rows.where("event_type = 'click'").select("user_id", "event_id", "ts")
+    right = rows.where("event_type = 'purchase'").select("user_id", "ts", "value")
+    return S.as_of(left, right, "user_id", "ts", "value").select("user_id", "event_id", "value")
+
+
+# --- streaming, on batch tables
+
+
+@query("SELECT user_id, date_trunc('minute', ts) AS start, count(*) AS n, count(*) > 2 AS over FROM events GROUP BY ALL")
+def x1_requests_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.requests_per_window(table(spark, sf_dir, "events"), "user_id", "ts", "1 minute", 2)
+
+
+@query("SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n, count(*) > 5 AS over FROM events GROUP BY ALL")
+def x2_requests_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.requests_per_window(table(spark, sf_dir, "events"), "user_id", "ts", "1 day", 5)
+
+
+@query(
+    oracle(
+        "",
+        "SELECT series, seq FROM (SELECT series, seq, count(*) OVER w AS n, sum((NOT success)::INT) OVER w AS bad FROM o WINDOW w AS (PARTITION BY series ORDER BY ts, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20 AND bad >= 11",
+        "o AS (SELECT user_id AS series, ts, event_id AS seq, value < 40 AS success FROM events)",
+    )
+)
+def x3_outage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), "ts", F.col("event_id").alias("seq"), (F.col("value") < 40).alias("success"))
+    return S.outage(rows)
+
+
+@query(oracle("v_jobs", "SELECT job_id FROM v_jobs WHERE status = 'processing' AND date_diff('second', created_at, TIMESTAMP '1998-01-01 00:00:00') > 720"))
+def x4_stuck_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.stuck(view(spark, sf_dir, "v_jobs"), F.lit("1998-01-01 00:00:00").cast("timestamp")).select("job_id")
+
+
+@query(oracle("v_deliveries", "SELECT endpoint_id, event, count(*) AS attempts, bool_or(success) AS delivered, NOT bool_or(success) AND count(*) >= 5 AS dead FROM v_deliveries GROUP BY ALL"))
+def x5_delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_deliveries").withColumn("key", F.struct("endpoint_id", "event"))
+    return J.delivery_outcomes(rows, "key").select("key.*", "attempts", "delivered", "dead")
+
+
+@query(oracle("v_deliveries", f"SELECT delivery_id FROM v_deliveries WHERE CASE WHEN event = 'job.error' THEN true WHEN starts_with(event, 'job.c') THEN date_diff('second', created_at, TIMESTAMP '{NOW}') <= 25 * 86400 WHEN starts_with(event, 'job.') THEN date_diff('second', created_at, TIMESTAMP '{NOW}') <= 10 * 86400 ELSE true END"))
+def x6_retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("job.*", 10), ("job.c*", 25), ("job.error", None)]
+    return J.retained(view(spark, sf_dir, "v_deliveries"), rules, F.lit(NOW).cast("timestamp")).select("delivery_id")
+
+
+@query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def x10_tumbling_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sliding(table(spark, sf_dir, "events"), "event_type", "ts", "30 minutes", "30 minutes")
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k
+  FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events))
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def x10_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
