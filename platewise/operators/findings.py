@@ -85,8 +85,8 @@ def counts(findings: DataFrame, *keys: str) -> DataFrame:
 
 
 def merge_repeats(findings: DataFrame) -> DataFrame:
-    """One row per (job, check, page): the first finding's severity and how many there are."""
-    return findings.groupBy("job_id", "inspection_id", "page_num").agg(F.min("ord").alias("ord"), F.min_by("severity", "ord").alias("severity"), F.count("*").alias("repeats"))
+    """One row per (job, check, page): the first finding's severity (the least word, if two are first) and how many there are."""
+    return findings.groupBy("job_id", "inspection_id", "page_num").agg(F.min("ord").alias("ord"), F.min_by("severity", F.struct("ord", "severity")).alias("severity"), F.count("*").alias("repeats"))
 
 
 def health_score(summary: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def color_score(findings: DataFrame) -> DataFrame:
     A category's deductions stop at its weight; the worst critical error caps the score.
     """
     rows = findings.withColumn("category", category_of(F.col("inspection_id"))).where("category IS NOT NULL")
-    first = rows.groupBy("job_id", "inspection_id", "category").agg(F.min_by("severity", "ord").alias("severity"), F.count_if(F.col("severity") == "error").alias("errors"))
+    first = rows.groupBy("job_id", "inspection_id", "category").agg(F.min_by("severity", F.struct("ord", "severity")).alias("severity"), F.count_if(F.col("severity") == "error").alias("errors"))
     serious = F.col("severity").isin("error", "warning")
     deduction = F.coalesce(F.when(serious, _lookup(MAJOR)), F.when(serious, _lookup(MODERATE)), _lookup(MINOR), F.lit(0.0))
     first = first.withColumn("deduction", deduction).withColumn("floor", F.when(F.col("errors") > 0, _lookup(FLOORS)))
@@ -182,7 +182,7 @@ def identity_diff(expected: DataFrame, actual: DataFrame, *run: str) -> DataFram
     keys = [*run, "inspection_id", "severity", "page_num"]
     both = expected.select(*keys).distinct().withColumn("side", F.lit(1)).unionByName(actual.select(*keys).distinct().withColumn("side", F.lit(2)))
     per = both.groupBy(*keys).agg(F.sum("side").alias("side"))
-    return per.groupBy(*run).agg(F.count_if("side = 1").alias("missing"), F.count_if("side = 2").alias("new"), F.count_if("side = 3").alias("same"), (F.count_if("side < 3") == 0).alias("passed"))
+    return per.groupBy(*run).agg(F.count_if(F.expr("side = 1")).alias("missing"), F.count_if(F.expr("side = 2")).alias("new"), F.count_if(F.expr("side = 3")).alias("same"), (F.count_if(F.expr("side < 3")) == 0).alias("passed"))
 
 
 def fingerprint(hashes: DataFrame, *keys: str) -> DataFrame:

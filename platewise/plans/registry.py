@@ -249,7 +249,7 @@ def a1_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.counts(view(spark, sf_dir, "v_findings"), "job_id")
 
 
-@query(oracle("v_findings", "SELECT job_id, inspection_id, page_num, min(ord) AS ord, arg_min(severity, ord) AS severity, count(*) AS repeats FROM v_findings GROUP BY ALL"))
+@query(oracle("v_findings", "SELECT job_id, inspection_id, page_num, min(ord) AS ord, min({'o': ord, 's': severity}).s AS severity, count(*) AS repeats FROM v_findings GROUP BY ALL"))
 def a2_merge_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.merge_repeats(view(spark, sf_dir, "v_findings"))
 
@@ -277,7 +277,7 @@ LOST = " + ".join(f"least(coalesce(sum(deduction) FILTER (WHERE category = '{k}'
     oracle(
         "v_findings",
         "SELECT job_id, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 50 THEN 'Fair' WHEN score >= 25 THEN 'Poor' ELSE 'Critical' END AS grade, floor FROM p",
-        f"f AS (SELECT job_id, inspection_id, {CATEGORY} AS category, arg_min(severity, ord) AS severity, count(*) FILTER (WHERE severity = 'error') AS errors FROM v_findings WHERE {CATEGORY} IS NOT NULL GROUP BY ALL)",
+        f"f AS (SELECT job_id, inspection_id, {CATEGORY} AS category, min({{'o': ord, 's': severity}}).s AS severity, count(*) FILTER (WHERE severity = 'error') AS errors FROM v_findings WHERE {CATEGORY} IS NOT NULL GROUP BY ALL)",
         f"d AS (SELECT *, coalesce(CASE WHEN severity <> 'advisory' THEN {_values(A.MAJOR)} END, CASE WHEN severity <> 'advisory' THEN {_values(A.MODERATE)} END, {_values(A.MINOR)}, 0) AS deduction, CASE WHEN errors > 0 THEN {_values(A.FLOORS)} END AS floor FROM f)",
         f"p AS (SELECT job_id, round(least(100 - ({LOST}), coalesce(min(floor), 100)), 1) AS score, min(floor) AS floor FROM d GROUP BY job_id)",
     )
