@@ -11,11 +11,13 @@ their rank from a count per (length, salt) and a row number within it, so no len
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 
 #: Chunks of text (between white space) whose ids a task keeps, and the longest chunk that it keeps.
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 400_000, 32
 
 #: Salts by which the ranks of a length are dealt.
 SALTS = 64
@@ -40,41 +42,81 @@ class ChunkEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's rules never join text across white space, so ids of the chunks between are those of the text; they
-    are kept for chunks that come again. Python splits at four control characters that are not white space to the
-    tokenizer; texts with one of them are encoded whole.
+    are kept for chunks that come again. ASCII capitals are lowered first, as the tokenizer does, so that more chunks come
+    again; and a chunk of letters and one final mark is looked up as the two, which the tokenizer separates as well.
+    Texts are encoded as they are, and whole, if they have a character for which this could differ: four controls at
+    which Python splits and the tokenizer doesn't, marks that may combine with a letter, or a special token's beginning.
     """
 
-    CONTROL = "\x1c\x1d\x1e\x1f"
+    ODD = re.compile("[\x1c-\x1f\u0300-\u036f]|<\\|")
+    MARKS = frozenset(".,;:!?")
+
+    GROUP = 128
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded in one go: each is one token run up to an end-of-word token."""
+        ids = np.frombuffer(self._ids([" ".join(words)])[0], "<u4")
+        edges = np.flatnonzero(self.ends[ids]) + 1
+        if len(edges) != len(words):
+            return self._ids(words)
+        data, edges = ids.tobytes(), (edges * 4).tolist()
+        return [data[i:j] for i, j in zip([0, *edges], edges, strict=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Keep the ids of new chunks."""
+        marked = {c: c[:-1] for c in chunks if c[-1] in self.MARKS and c[:-1].lower().isalpha()}
+        plain = {c for c in (chunks - marked.keys()) | set(marked.values()) | {c[-1] for c in marked} if c not in self.kept}
+        words = [c for c in plain if c.lower().isalpha()]
+        others = list(plain.difference(words))
+        self.kept.update(zip(words, self._words(words), strict=True))
+        self.kept.update(zip(others, self._ids(others), strict=True))
+        self.kept.update((c, self.kept[word] + self.kept[c[-1]]) for c, word in marked.items())
+
+    def _lowered(self, text: str) -> str | None:
+        """The text with ASCII capitals lowered, or None if it is to be encoded as it is."""
+        if text.isascii():
+            return None if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", "<|")) else text.lower()
+        return None if self.ODD.search(text) else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if any(c in text for c in self.CONTROL):
-                yield self._ids([text])[0]
-                continue
-            chunks, kept = text.split(), self.kept
-            try:
-                yield b"".join([kept[c] for c in chunks])
-                continue
-            except KeyError:
-                new = [c for c in set(chunks) if c not in kept]
-            if len(kept) + len(new) > CACHED:
-                kept.clear()
-                new = list(set(chunks))
-            found = dict(zip(new, self._ids(new), strict=True))
-            yield b"".join([kept[c] if c in kept else found[c] for c in chunks])
-            kept.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
+        for i in range(0, len(texts), self.GROUP):
+            part = texts[i : i + self.GROUP]
+            split = [None if t is None else t.split() for t in map(self._lowered, part)]
+            chunks = set()
+            for own in split:
+                chunks.update(own or ())
+            new = chunks - self.kept.keys()
+            if len(self.kept) + len(new) > CACHED:
+                self.kept, new = {}, chunks
+            if new:
+                self._learn(new)
+            get = self.kept.__getitem__
+            for text, own in zip(part, split, strict=True):
+                yield self._ids([text])[0] if own is None else b"".join(map(get, own))
+            for c in [c for c in new if len(c) > LONGEST]:
+                del self.kept[c]
+
+
+@cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder per worker process, so that what it keeps serves all of its tasks."""
+    return ChunkEncoder(path)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder, end = ChunkEncoder(path), int(end_id).to_bytes(4, "little")
+    encoder, end = encoder_of(path), int(end_id).to_bytes(4, "little")
     names = ["ident", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     for batch in batches:
         cols: list[list] = [[] for _ in names]
