@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from platewise.functions import color as C
 from platewise.functions import geometry as G
 from platewise.functions import text as T
+from platewise.operators import accuracy as Q
 from platewise.operators import families as R
 from platewise.operators import findings as A
 from platewise.operators import jobs as J
+from platewise.operators import layout as L
 from platewise.operators import series as S
+from platewise.operators import settings as P
 from platewise.operators import similarity as N
+from platewise.operators import typography as Y
 from platewise.plans.views import oracle, table, view
 from platewise.streaming import monitors as X
 
@@ -586,3 +590,350 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) A
 )
 def x10_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
+
+
+# --- fonts and text runs
+
+FONT_SQL = """SELECT job_id, page_num, font, unnest(list_filter([
+    CASE WHEN NOT embedded AND subtype <> 'Type3' THEN {'i': 'FONT_001', 's': 'error'} END, CASE WHEN embedded AND NOT subset THEN {'i': 'FONT_002', 's': 'advisory'} END,
+    CASE WHEN subtype = 'Type3' THEN {'i': 'FONT_004', 's': 'warning'} END, CASE WHEN NOT has_unicode THEN {'i': 'FONT_005', 's': CASE subtype WHEN 'Type0' THEN 'warning' ELSE 'advisory' END} END,
+    CASE WHEN embedded AND fs_type & 2 <> 0 THEN {'i': 'FONT_015', 's': 'advisory'} END, CASE WHEN embedded AND fs_type & 256 <> 0 AND subset THEN {'i': 'FONT_016', 's': 'warning'} END,
+    CASE WHEN embedded AND fs_type & 512 <> 0 THEN {'i': 'FONT_017', 's': 'warning'} END], lambda x: x IS NOT NULL)) AS h
+  FROM (SELECT *, coalesce(base_font, name) AS font FROM v_fonts QUALIFY row_number() OVER (PARTITION BY job_id, coalesce(base_font, name) ORDER BY page_num, name) = 1)"""
+
+
+@query(oracle("v_fonts", f"SELECT job_id, page_num, font, h.i AS inspection_id, h.s AS severity FROM ({FONT_SQL})"))
+def r3_r4_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.font_rules(view(spark, sf_dir, "v_fonts"))
+
+
+@query(
+    oracle(
+        "v_pages v_fonts v_paths",
+        """SELECT DISTINCT job_id, page_num FROM v_pages p WHERE NOT EXISTS (FROM v_fonts f WHERE f.subtype = 'Type3' AND f.job_id = p.job_id AND f.page_num = p.page_num)
+  AND EXISTS (FROM v_paths q WHERE q.fill AND q.job_id = p.job_id AND q.page_num = p.page_num)""",
+    )
+)
+def r5_pages_without_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.pages_without_fonts(view(spark, sf_dir, "v_pages"), view(spark, sf_dir, "v_fonts").where("subtype = 'Type3'"), view(spark, sf_dir, "v_paths").where("fill"))
+
+
+TEXT_TESTS = {
+    ("TEXT_001", "advisory"): "size_pt >= 4 AND size_pt < 6",
+    ("TEXT_002", "warning"): "size_pt > 0 AND size_pt < 4",
+    ("TEXT_003", "advisory"): "render_mode = 3",
+    ("TEXT_004", "advisory"): "greatest(c, m, y, k) = 0 AND render_mode <> 3",
+    ("TEXT_005", "warning"): "c >= 0.99 AND m >= 0.99 AND y >= 0.99 AND k >= 0.99",
+    ("TEXT_006", "warning"): "size_pt > 0 AND size_pt < 6 AND (c > 0)::INT + (m > 0)::INT + (y > 0)::INT + (k > 0)::INT > 1",
+}
+TEXT_SQL = " UNION ALL ".join(f"SELECT job_id, page_num, '{i}' AS inspection_id, '{s}' AS severity, count(*) AS runs, min(size_pt) AS least_pt, min(op_idx) AS first_op FROM v_runs WHERE {t} GROUP BY ALL" for (i, s), t in TEXT_TESTS.items())
+
+
+@query(oracle("v_runs", TEXT_SQL))
+def r7_text_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.text_size_rules(view(spark, sf_dir, "v_runs"))
+
+
+@query(
+    oracle(
+        "v_runs",
+        "SELECT w.job_id, w.page_num, upright, CAST(sum(n) AS BIGINT) AS inverted FROM w JOIN t ON w.job_id = t.job_id AND w.page_num = t.page_num WHERE runs >= 8 AND most >= 5 AND abs((way - upright + 360) % 360 - 180) <= 5 GROUP BY ALL HAVING sum(n) >= 3",
+        "w AS (SELECT job_id, page_num, round(angle / 5) * 5 % 360 AS way, count(*) AS n FROM v_runs WHERE NOT mirrored GROUP BY ALL)",
+        "t AS (SELECT job_id, page_num, sum(n) AS runs, max(n) AS most, arg_max(way, {'n': n, 'w': -way}) AS upright FROM w GROUP BY ALL)",
+    )
+)
+def r37_upside_down_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.upside_down(view(spark, sf_dir, "v_runs"))
+
+
+@query(oracle("v_runs", "SELECT job_id, page_num, count(*) AS mirrored FROM v_runs WHERE mirrored GROUP BY ALL HAVING count(*) >= 3"))
+def r37_mirrored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.mirrored_text(view(spark, sf_dir, "v_runs"))
+
+
+@query(
+    oracle(
+        "v_runs",
+        """SELECT job_id, page_num, font, tenth, op_idx FROM (SELECT job_id, page_num, font, CAST(floor(size_pt * 10) AS BIGINT) AS tenth, min(op_idx) AS op_idx FROM v_runs WHERE size_pt < 5 AND size_pt > 2 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY job_id, page_num ORDER BY tenth, op_idx) <= 5""",
+    )
+)
+def r36_legal_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.legal_copy(view(spark, sf_dir, "v_runs"))
+
+
+@query(
+    oracle(
+        "v_text",
+        "SELECT t.job_id, page_num, lang, majority FROM v_text t JOIN m ON t.job_id = m.job_id WHERE lang <> majority",
+        "m AS (SELECT job_id, arg_min(lang, {'n': -n, 'l': lang}) AS majority FROM (SELECT job_id, lang, count(*) AS n FROM v_text WHERE lang IS NOT NULL GROUP BY ALL) GROUP BY job_id)",
+    )
+)
+def r38_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.language_mix(view(spark, sf_dir, "v_text").drop("text"))
+
+
+@query(
+    oracle(
+        "v_marks",
+        """SELECT a.job_id, a.page_num, paths, chars, seen FROM (SELECT job_id, page_num, count(*) FILTER (WHERE kind = 'path') AS paths, CAST(coalesce(sum(chars) FILTER (WHERE kind = 'text'), 0) AS BIGINT) AS chars FROM v_marks GROUP BY ALL) a
+  JOIN (SELECT job_id, page_num, CAST(sum(chars) AS BIGINT) AS seen FROM v_marks WHERE confidence > 0.5 GROUP BY ALL) b ON a.job_id = b.job_id AND a.page_num = b.page_num WHERE paths >= 50 AND chars <= 10 AND seen > 20""",
+    )
+)
+def r59_outlined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = view(spark, sf_dir, "v_marks")
+    return Y.outlined_text(marks, marks)
+
+
+@query(oracle("v_page_counts", "SELECT job_id, page_num FROM v_page_counts WHERE image_area > 0.25 * area OR (paths >= 50 AND chars <= 10)"))
+def e5_pages_to_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.needs_detection(view(spark, sf_dir, "v_page_counts"))
+
+
+# --- layout and paint order
+
+
+@query(
+    oracle(
+        "v_runs",
+        """SELECT job_id, page_num, below, y0 AS above FROM (SELECT job_id, page_num, y0, max(y1) OVER (PARTITION BY job_id, page_num ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+  FROM (SELECT DISTINCT job_id, page_num, y0, y1 FROM v_runs)) WHERE y0 - below >= 30""",
+    )
+)
+def r11_empty_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.empty_bands(view(spark, sf_dir, "v_runs"))
+
+
+PAD = f"({5 * R.POINTS_PER_MM!r}::DOUBLE)"
+
+
+@query(
+    oracle(
+        "v_runs",
+        f"""SELECT r.job_id, r.page_num, r.op_idx, count(*) AS zones FROM v_runs r JOIN v_runs z ON r.job_id = z.job_id AND r.page_num = z.page_num AND z.font = 'signup' AND r.font <> 'signup'
+  WHERE r.x0 < z.x1 + {PAD} AND r.x1 > z.x0 - {PAD} AND r.y0 < z.y1 + {PAD} AND r.y1 > z.y0 - {PAD} GROUP BY ALL""",
+    )
+)
+def r53_seal_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.seal_zone_hits(view(spark, sf_dir, "v_runs"), F.col("font") == "signup")
+
+
+@query(
+    oracle(
+        "v_state",
+        """SELECT job_id, kind AS ink, min(op_idx) AS op_idx, count(*) AS events FROM (SELECT job_id, kind, op_idx, last_value(overprint IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY op_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS op FROM v_state)
+  WHERE kind IN ('click', 'view') AND NOT coalesce(op, false) GROUP BY ALL""",
+    )
+)
+def r50_cutting_not_overprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = view(spark, sf_dir, "v_state").select("job_id", "op_idx", F.col("kind").alias("ink"), F.col("kind").isin("click", "view").alias("cutting"), "overprint")
+    return L.cutting_not_overprinted(state)
+
+
+@query(oracle("v_runs", "SELECT job_id, page_num, max(op_idx) FILTER (WHERE font = 'click') AS last_cut, max(op_idx) FILTER (WHERE font <> 'click') AS last_art FROM v_runs GROUP BY ALL HAVING last_cut < last_art"))
+def r52_cut_below_art(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.cut_below_art(view(spark, sf_dir, "v_runs"), F.col("font") == "click")
+
+
+MM = f"({R.POINTS_PER_MM!r}::DOUBLE)"
+
+
+@query(oracle("v_runs", f"SELECT job_id, round((max(x1) - min(x0)) / {MM}, 3) AS width_mm, round((max(y1) - min(y0)) / {MM}, 3) AS height_mm FROM v_runs GROUP BY job_id"))
+def r54_art_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.art_size(view(spark, sf_dir, "v_runs"))
+
+
+@query(
+    oracle(
+        "v_runs",
+        """SELECT r.job_id, page_num, op_idx, CASE WHEN x0 >= hx0 AND y0 >= hy0 AND x1 <= hx1 AND y1 <= hy1 THEN 'inside' WHEN x1 <= hx0 OR x0 >= hx1 OR y1 <= hy0 OR y0 >= hy1 THEN 'outside' ELSE 'across' END AS place
+  FROM v_runs r JOIN (SELECT job_id, min(x0) AS hx0, min(y0) AS hy0, max(x1) AS hx1, max(y1) AS hy1 FROM v_runs WHERE font = 'click' GROUP BY job_id) h ON r.job_id = h.job_id WHERE font <> 'click'""",
+    )
+)
+def r54_art_against_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.against_hull(view(spark, sf_dir, "v_runs"), F.col("font") == "click")
+
+
+@query(oracle("v_runs", "SELECT job_id, page_num, min(alpha) AS least_alpha FROM v_runs GROUP BY ALL HAVING bool_or(alpha < 0.9999) AND bool_or(overprint)"))
+def r49_transparent_overprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.transparent_overprints(view(spark, sf_dir, "v_runs"))
+
+
+@query(
+    oracle(
+        "v_marks",
+        """SELECT job_id, page_num, count(*) AS modules, round(avg(side), 4) AS side, round(stddev_pop(side) / avg(side), 4) AS variation, round((max(x1) - min(x0)) / (max(y1) - min(y0)), 4) AS aspect
+  FROM (SELECT *, x1 - x0 AS w, y1 - y0 AS h, (x1 - x0 + (y1 - y0)) / 2 AS side FROM v_marks) WHERE w BETWEEN 0.5 AND 10 AND h BETWEEN 0.5 AND 10 AND w / h BETWEEN 0.5 AND 2 GROUP BY ALL HAVING count(*) >= 25""",
+    )
+)
+def r60_symbol_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.symbol_candidates(view(spark, sf_dir, "v_marks"))
+
+
+@query(
+    oracle(
+        "v_plates",
+        """SELECT job_id, plates, process, plates > 6 AS count_high, process > 0 AND plates > process AS mixed, blacks > 0 AS second_black, all_ink FROM (
+  SELECT job_id, count(DISTINCT n) FILTER (WHERE n NOT IN ('all', 'none')) AS plates, count(DISTINCT n) FILTER (WHERE n IN ('cyan', 'magenta', 'yellow', 'black')) AS process,
+    count(DISTINCT n) FILTER (WHERE n NOT IN ('cyan', 'magenta', 'yellow', 'black', 'all', 'none') AND contains(n, 'black')) AS blacks, bool_or(n = 'all') AS all_ink FROM (SELECT job_id, lower(trim(ink)) AS n FROM v_plates) GROUP BY job_id)""",
+    )
+)
+def r33_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.plate_rules(view(spark, sf_dir, "v_plates"))
+
+
+@query(
+    oracle(
+        "v_pages",
+        """SELECT job_id, count(DISTINCT {'w': w, 'h': h}) AS sizes, bool_or(w > h) AND bool_or(w < h) AS mixed_orientation FROM (
+  SELECT job_id, round(CASE WHEN rotate % 180 <> 0 THEN ty1 - ty0 ELSE tx1 - tx0 END) AS w, round(CASE WHEN rotate % 180 <> 0 THEN tx1 - tx0 ELSE ty1 - ty0 END) AS h FROM v_pages WHERE tx0 IS NOT NULL) GROUP BY job_id""",
+    )
+)
+def r23_page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.page_size_rules(view(spark, sf_dir, "v_pages"))
+
+
+@query("SELECT job_id, seq, previous, level FROM (SELECT user_id AS job_id, event_id AS seq, CAST(event_id * 7 % 6 + 1 AS INT) AS level, lag(CAST(event_id * 7 % 6 + 1 AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events) WHERE level > previous + 1")
+def r26_heading_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 6 + 1).cast("int").alias("level"))
+    return L.heading_skips(rows)
+
+
+@query(oracle("v_fonts", "SELECT job_id, page_num, name FROM v_fonts WHERE subtype = 'Type3' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY page_num, name) = 1"))
+def r2_r27_first_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.first_resource(view(spark, sf_dir, "v_fonts"), F.col("subtype") == "Type3")
+
+
+# --- agreement
+
+
+@query(
+    oracle(
+        "v_findings",
+        """SELECT file, count(e) AS expected, count(f) AS found, count(*) FILTER (WHERE e IS NOT NULL AND f IS NOT NULL) AS common,
+  round(count(*) FILTER (WHERE e IS NOT NULL AND f IS NOT NULL) / nullif(count(f), 0), 6) AS precision, round(count(*) FILTER (WHERE e IS NOT NULL AND f IS NOT NULL) / nullif(count(e), 0), 6) AS recall
+  FROM (SELECT DISTINCT job_id AS file, inspection_id, 1 AS e FROM v_findings WHERE ord <= 4) a FULL JOIN (SELECT DISTINCT job_id AS file, inspection_id, 1 AS f FROM v_findings WHERE source = 'engine') b USING (file, inspection_id) GROUP BY file""",
+    )
+)
+def a17_expected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_findings").withColumnRenamed("job_id", "file")
+    return Q.expected_ids(rows.where("ord <= 4"), rows.where("source = 'engine'"))
+
+
+BOXES = "SELECT job_id, font, op_idx AS id, x0 / 4 AS x0, y0 / 20 AS y0, x0 / 4 + 100 AS x1, y0 / 20 + 100 AS y1 FROM v_runs WHERE op_idx % 2 = "
+
+
+@query(
+    oracle(
+        "v_runs",
+        """SELECT old_id, new_id, round(iou, 6) AS iou FROM (SELECT * FROM p WHERE iou >= 0.5 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY iou DESC, new_id) = 1)
+  QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY iou DESC, old_id) = 1""",
+        f"o AS ({BOXES}0)",
+        f"n AS ({BOXES}1)",
+        "w AS (SELECT o.id AS old_id, n.id AS new_id, greatest(least(o.x1, n.x1) - greatest(o.x0, n.x0), 0) * greatest(least(o.y1, n.y1) - greatest(o.y0, n.y0), 0) AS common, (o.x1 - o.x0) * (o.y1 - o.y0) + (n.x1 - n.x0) * (n.y1 - n.y0) AS whole FROM o JOIN n ON o.job_id = n.job_id AND o.font = n.font)",
+        "p AS (SELECT old_id, new_id, round(common / (whole - common), 9) AS iou FROM w)",
+    )
+)
+def a16_replay_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_runs").selectExpr("job_id", "font", "op_idx AS id", "x0 / 4 AS x0", "y0 / 20 AS y0", "x0 / 4 + 100 AS x1", "y0 / 20 + 100 AS y1")
+    return Q.replay_matches(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["job_id", "font"])
+
+
+@query(
+    oracle(
+        "v_plates",
+        """SELECT ink, any_value(jobs) AS jobs, round(max(sqrt((l - ml) * (l - ml) + (a - ma) * (a - ma) + (b - mb) * (b - mb))), 4) AS spread FROM v_plates JOIN (
+  SELECT ink, count(DISTINCT job_id) AS jobs, avg(l) AS ml, avg(a) AS ma, avg(b) AS mb FROM v_plates GROUP BY ink) USING (ink) WHERE jobs >= 2 GROUP BY ink""",
+    )
+)
+def a18_ink_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.ink_spread(view(spark, sf_dir, "v_plates"))
+
+
+@query(
+    oracle(
+        "v_fonts v_images",
+        """SELECT job_id, fonts, embedded, spaces FROM (SELECT job_id, coalesce(string_agg(DISTINCT base_font, ',' ORDER BY base_font), '') AS fonts, count(DISTINCT base_font) FILTER (WHERE embedded) AS embedded FROM v_fonts GROUP BY job_id) f
+  FULL JOIN (SELECT job_id, string_agg(DISTINCT color_space, ',' ORDER BY color_space) AS spaces FROM v_images GROUP BY job_id) s USING (job_id)""",
+    )
+)
+def a10_a11_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.evidence_digest(view(spark, sf_dir, "v_fonts"), view(spark, sf_dir, "v_images"))
+
+
+@query(
+    oracle(
+        "v_findings",
+        """SELECT job_id, CASE WHEN page_num = 0 AND ord = 1 THEN 'operational' WHEN regexp_matches(inspection_id, '^(META|STRUCT|DOC|ICC)_') THEN 'structural' ELSE 'verifiable' END AS kind, count(*) AS n FROM v_findings GROUP BY ALL""",
+    )
+)
+def e8_verifiability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.when((F.col("page_num") == 0) & (F.col("ord") == 1), "timeout")
+    return view(spark, sf_dir, "v_findings").groupBy("job_id", Q.verifiability(F.col("inspection_id"), reason).alias("kind")).agg(F.count("*").alias("n"))
+
+
+TRIGGERS = {"alcohol": "wine|wein|beer|bier|vin ", "cosmetics": "cream|creme|soap|seife"}
+ELEMENTS = {"alcohol": {"warning": "government warning", "strength": "[0-9] ?% ?(vol|abv)", "volume": "[0-9] ?(ml|cl)"}, "cosmetics": {"ingredients": "ingredients|ingr", "period": "[0-9]+ ?m"}}
+LABEL_SQL = " UNION ALL ".join(f"SELECT job_id, page_num, '{c}' AS category, '{n}' AS element FROM v_text WHERE regexp_matches(text, '(?i){TRIGGERS[c]}') AND NOT regexp_matches(text, '(?i){p}')" for c, found in ELEMENTS.items() for n, p in found.items())
+
+
+@query(oracle("v_text", LABEL_SQL))
+def r40_label_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.label_requirements(view(spark, sf_dir, "v_text"), TRIGGERS, ELEMENTS)
+
+
+# --- settings of tenants and jobs
+
+RANK = "CASE {} WHEN 'free' THEN 1 WHEN 'starter' THEN 2 WHEN 'pro' THEN 3 WHEN 'enterprise' THEN 4 END"
+SEEN = f"""seen AS (SELECT tenant_id, ruleset_id FROM v_tenants JOIN v_rulesets ON mode = 'all' OR (mode IN ('plan', 'both') AND {RANK.format("plan")} >= {RANK.format("min_plan")} AND (mode = 'plan' OR tenant_id BETWEEN n_nationkey AND n_nationkey * 9))
+  OR (mode = 'list' AND tenant_id BETWEEN n_nationkey AND n_nationkey * 9))"""
+
+
+def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rulesets = view(spark, sf_dir, "v_rulesets").withColumn("allowed", F.expr("sequence(CAST(n_nationkey AS BIGINT), CAST(n_nationkey * 9 AS BIGINT))"))
+    return P.visible_rulesets(view(spark, sf_dir, "v_tenants"), rulesets)
+
+
+@query(oracle("v_tenants v_rulesets", "SELECT tenant_id, ruleset_id FROM seen", SEEN))
+def e7_visible_rulesets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _visible(spark, sf_dir)
+
+
+@query(
+    oracle(
+        "v_tenants v_rulesets v_requests",
+        """SELECT job_id, CASE WHEN EXISTS (FROM seen s WHERE s.tenant_id = r.tenant_id AND s.ruleset_id = requested) THEN requested WHEN EXISTS (FROM seen s WHERE s.tenant_id = r.tenant_id AND s.ruleset_id = preferred) THEN preferred ELSE 'default' END AS ruleset_id
+  FROM v_requests r""",
+        SEEN,
+    )
+)
+def d8_chosen_ruleset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.chosen_ruleset(view(spark, sf_dir, "v_requests"), _visible(spark, sf_dir), "default")
+
+
+@query(
+    oracle(
+        "v_requests",
+        """SELECT job_id, coalesce(a.p_partkey, b.p_partkey, c.p_partkey) AS spec_id FROM v_requests LEFT JOIN k a ON job_spec = a.p_partkey LEFT JOIN k b ON endpoint_spec = b.p_partkey LEFT JOIN k c ON tenant_spec = c.p_partkey""",
+        "k AS (SELECT p_partkey FROM part WHERE p_size <= 25)",
+    )
+)
+def d7_chosen_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id"), (F.col("p_size") > 25).alias("archived"))
+    return P.chosen_spec(view(spark, sf_dir, "v_requests"), specs, ("job_spec", "endpoint_spec", "tenant_spec"))
+
+
+@query(
+    oracle(
+        "v_tenants v_plans",
+        """SELECT tenant_id, coalesce(tenant_override, CASE WHEN tenant_limit IS DISTINCT FROM plan_limit THEN tenant_limit END, plan_override, plan_limit) AS "limit",
+  array_to_string(list_sort(list_distinct(coalesce(plan_features, []) || coalesce(tenant_features, []))), ',') AS features FROM v_tenants t LEFT JOIN v_plans p ON t.plan = p.plan""",
+    )
+)
+def d5_entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.entitlements(view(spark, sf_dir, "v_tenants"), view(spark, sf_dir, "v_plans"))
+
+
+@query(oracle("v_requests", "SELECT job_id, extra FROM (SELECT job_id, list_sort(list_filter(formats, lambda f: NOT list_contains(allowed, f))) AS x, array_to_string(x, ',') AS extra FROM v_requests) WHERE len(x) > 0"))
+def e9_formats_outside_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.formats_outside_plan(view(spark, sf_dir, "v_requests"), "formats", "allowed").select("job_id", "extra")

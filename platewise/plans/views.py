@@ -36,6 +36,29 @@ VIEWS = {
     "v_audit": """SELECT dd.doc_id, dd.source AS file_label, dd.lang AS rule, ll.quality, CASE WHEN ll.toxic = 1 THEN 'disputed' WHEN ll.quality = 1 THEN 'confirmed' ELSE 'skipped' END AS verdict
       FROM {documents} AS dd LEFT JOIN {labels} AS ll ON dd.doc_id = ll.doc_id""",
     "v_text": """SELECT doc_id AS job_id, 1 AS page_num, lang, text FROM {documents} UNION ALL SELECT conv_id + 1000000000 AS job_id, CAST(turn AS INT) + 1 AS page_num, role AS lang, text FROM {conversations}""",
+    "v_fonts": """SELECT l_orderkey AS job_id, l_linenumber AS page_num, concat(p_name, ' ', CAST(p_partkey AS VARCHAR(9))) AS name, CASE WHEN p_size % 7 > 0 THEN p_brand END AS base_font,
+      CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'Type1' WHEN 1 THEN 'TrueType' WHEN 2 THEN 'Type0' ELSE 'Type3' END AS subtype, p_size % 3 <> 0 AS embedded, p_partkey % 2 = 0 AS subset,
+      p_size % 5 <> 0 AS has_unicode, CAST(p_partkey * 37 % 1024 AS INT) AS fs_type FROM {lineitem} AS li JOIN {part} AS pa ON l_partkey = p_partkey""",
+    "v_runs": """SELECT user_id AS job_id, CAST(event_id % 3 AS INT) + 1 AS page_num, event_id AS op_idx, event_type AS font, value / 8 AS size_pt, CAST(event_id % 5 AS INT) AS render_mode,
+      CAST(event_id % 2 AS DOUBLE) AS c, CAST(event_id % 4 AS DOUBLE) / 3 AS m, CAST(event_id % 6 AS DOUBLE) / 5 AS y, CAST(event_id % 8 AS DOUBLE) / 7 AS k,
+      CAST(CASE event_type WHEN 'error' THEN 181 WHEN 'purchase' THEN 90 ELSE 1 END AS DOUBLE) AS angle, event_id % 7 = 0 AS mirrored, CASE WHEN event_id % 4 = 0 THEN value > 50 END AS overprint,
+      CASE WHEN value > 30 THEN value / 200 ELSE CAST(1 AS DOUBLE) END AS alpha, value * 4 AS x0, CAST(event_id % 97 AS DOUBLE) * 8 AS y0, value * 4 + 40 AS x1, CAST(event_id % 97 AS DOUBLE) * 8 + 10 AS y1 FROM {events}""",
+    "v_marks": """SELECT user_id AS job_id, 1 AS page_num, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'text' ELSE 'path' END AS kind, CAST(floor(value / 20) AS INT) AS chars,
+      CAST(event_id % 10 AS DOUBLE) / 10 AS confidence, value / 4 AS x0, CAST(event_id % 50 AS DOUBLE) AS y0, value / 4 + 1 + CAST(event_id % 5 AS DOUBLE) / 2 AS x1, CAST(event_id % 50 AS DOUBLE) + 2 AS y1 FROM {events}""",
+    "v_page_counts": """SELECT user_id AS job_id, CAST(event_id % 3 AS INT) + 1 AS page_num, max(value) AS image_area, CAST(700 AS DOUBLE) AS area, count(*) AS paths, CAST(min(floor(value)) AS INT) AS chars
+      FROM {events} GROUP BY 1, 2""",
+    "v_plates": """SELECT l_orderkey AS job_id, CASE CAST(l_partkey % 9 AS INT) WHEN 0 THEN 'Cyan' WHEN 1 THEN 'magenta' WHEN 2 THEN ' Yellow' WHEN 3 THEN 'Black' WHEN 4 THEN 'Rich Black' WHEN 5 THEN 'All' ELSE p_brand END AS ink,
+      l_quantity AS l, l_discount * 100 AS a, l_tax * 100 AS b FROM {lineitem} AS li JOIN {part} AS pa ON l_partkey = p_partkey""",
+    "v_tenants": """SELECT c_custkey AS tenant_id, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'pro' WHEN 3 THEN 'enterprise' ELSE 'trial' END AS plan,
+      CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 40 AS INT) END AS tenant_limit, CASE WHEN c_custkey % 10 = 0 THEN 999 END AS tenant_override,
+      split(CASE WHEN c_acctbal > 0 THEN 'api,seats' ELSE 'audit' END, ',') AS tenant_features FROM {customer}""",
+    "v_plans": """SELECT CASE r_regionkey WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'pro' WHEN 3 THEN 'enterprise' ELSE 'other' END AS plan, CAST(r_regionkey * 10 AS INT) AS plan_limit,
+      CASE WHEN r_regionkey = 2 THEN 25 END AS plan_override, split(CASE WHEN r_regionkey > 1 THEN 'api,viewer,pdf' ELSE 'viewer' END, ',') AS plan_features FROM {region}""",
+    "v_rulesets": """SELECT concat('rs', CAST(n_nationkey AS VARCHAR(9))) AS ruleset_id, n_nationkey, CASE CAST(n_nationkey % 5 AS INT) WHEN 0 THEN 'all' WHEN 1 THEN 'plan' WHEN 2 THEN 'list' WHEN 3 THEN 'both' ELSE 'odd' END AS mode,
+      CASE CAST(n_regionkey AS INT) WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'pro' WHEN 3 THEN 'enterprise' ELSE 'none' END AS min_plan FROM {nation}""",
+    "v_requests": """SELECT o_orderkey AS job_id, o_custkey AS tenant_id, concat('rs', CAST(o_orderkey % 30 AS VARCHAR(9))) AS requested, concat('rs', CAST(o_custkey % 25 AS VARCHAR(9))) AS preferred,
+      CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 150 END AS job_spec, CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 170 END AS endpoint_spec, o_orderkey % 190 AS tenant_spec,
+      split(CASE o_orderstatus WHEN 'F' THEN 'pdf,json,xml' WHEN 'O' THEN 'json' ELSE 'html,pdf' END, ',') AS formats, split(CASE WHEN o_totalprice > 150000 THEN 'pdf,html' ELSE 'json' END, ',') AS allowed FROM {orders}""",
 }
 
 
