@@ -77,7 +77,7 @@ def symbol_candidates(fills: DataFrame, least: int = 25, sides: tuple[float, flo
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     small = fills.where(w.between(*sides) & h.between(*sides) & (w / h).between(0.5, 2.0)).withColumn("side", (w + h) / 2)
     per = small.groupBy(*PAGE).agg(F.count("*").alias("modules"), F.avg("side").alias("mean_side"), F.stddev_pop("side").alias("spread"), (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"))
-    return per.where(F.col("modules") >= least).select(*PAGE, "modules", F.round("mean_side", 4).alias("side"), F.round(F.col("spread") / F.col("mean_side"), 4).alias("variation"), F.round(F.col("width") / F.col("height"), 4).alias("aspect"))
+    return per.where(F.col("modules") >= least).select(*PAGE, "modules", F.round("mean_side", 4).alias("side"), F.round(F.col("spread") / F.col("mean_side"), 4).alias("variation"), (F.col("width") / F.col("height")).alias("aspect"))
 
 
 # Names of process inks (fixed values).

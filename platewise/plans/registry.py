@@ -9,6 +9,7 @@ from platewise.functions import color as C
 from platewise.functions import geometry as G
 from platewise.functions import text as T
 from platewise.operators import accuracy as Q
+from platewise.operators import content as K
 from platewise.operators import families as R
 from platewise.operators import findings as A
 from platewise.operators import jobs as J
@@ -762,7 +763,7 @@ def r49_transparent_overprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     oracle(
         "v_marks",
-        """SELECT job_id, page_num, count(*) AS modules, round(avg(side), 4) AS side, round(stddev_pop(side) / avg(side), 4) AS variation, round((max(x1) - min(x0)) / (max(y1) - min(y0)), 4) AS aspect
+        """SELECT job_id, page_num, count(*) AS modules, round(avg(side), 4) AS side, round(stddev_pop(side) / avg(side), 4) AS variation, (max(x1) - min(x0)) / (max(y1) - min(y0)) AS aspect
   FROM (SELECT *, x1 - x0 AS w, y1 - y0 AS h, (x1 - x0 + (y1 - y0)) / 2 AS side FROM v_marks) WHERE w BETWEEN 0.5 AND 10 AND h BETWEEN 0.5 AND 10 AND w / h BETWEEN 0.5 AND 2 GROUP BY ALL HAVING count(*) >= 25""",
     )
 )
@@ -937,3 +938,128 @@ def d5_entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("v_requests", "SELECT job_id, extra FROM (SELECT job_id, list_sort(list_filter(formats, lambda f: NOT list_contains(allowed, f))) AS x, array_to_string(x, ',') AS extra FROM v_requests) WHERE len(x) > 0"))
 def e9_formats_outside_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.formats_outside_plan(view(spark, sf_dir, "v_requests"), "formats", "allowed").select("job_id", "extra")
+
+
+# --- colours, bar codes and words
+
+
+@query(
+    oracle(
+        "v_plates",
+        """SELECT job_id, CASE WHEN n IN ('all', 'none') THEN 'reserved' WHEN n IN ('cyan', 'magenta', 'yellow', 'black') THEN 'process' WHEN starts_with(n, 'pantone') THEN 'library'
+  WHEN regexp_matches(n, 'cut|crease|varnish|foil|emboss|white') THEN 'finishing' WHEN n IS NOT NULL THEN 'spot' END AS class, count(*) AS inks FROM (SELECT job_id, lower(trim(ink)) AS n FROM v_plates) GROUP BY ALL""",
+    )
+)
+def f12_ink_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_plates").groupBy("job_id", K.ink_class(F.col("ink")).alias("class")).agg(F.count("*").alias("inks"))
+
+
+PAYLOAD = "concat('01', lpad(CAST(p_partkey * 7919 AS VARCHAR(9)), 13, '0'), CAST(p_partkey % 10 AS VARCHAR(9)), '17', '2', CAST(p_size % 10 AS VARCHAR(9)), lpad(CAST(p_size % 15 AS VARCHAR(9)), 2, '0'), lpad(CAST(p_size AS VARCHAR(9)), 2, '0'), '10', p_brand, chr(29), '21', p_name)"
+GS1_DIGIT = "CAST((10 - list_sum(list_transform(range(1, 14), lambda i: CAST(substr(v, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10) % 10 AS INT)"
+
+
+@query(
+    f"""SELECT p_partkey, ai, v AS value, CASE WHEN ai = '01' THEN CAST(CASE WHEN ai = '01' THEN {GS1_DIGIT} END AS VARCHAR) = substr(v, 14, 1) WHEN ai = '17' THEN substr(v, 3, 2) BETWEEN '01' AND '12' AND substr(v, 5, 2) BETWEEN '00' AND '31' ELSE true END AS valid
+FROM (SELECT p_partkey, e[1:2] AS ai, CASE WHEN e[1:2] IN ('10', '21') THEN replace(substr(e, 3), chr(29), '') ELSE substr(e, 3) END AS v
+  FROM (SELECT p_partkey, unnest(regexp_extract_all({PAYLOAD}, '(01[0-9]{{14}}|1[1357][0-9]{{6}}|(?:10|21)[^\x1d]{{1,20}}(?:\x1d|$))', 1)) AS e FROM part))"""
+)
+def f17_gs1_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").withColumn("payload", F.expr(PAYLOAD.replace("VARCHAR(9)", "STRING")))
+    return rows.select("p_partkey", F.explode(K.gs1_elements(F.col("payload"))).alias("e")).select("p_partkey", "e.*")
+
+
+@query(
+    oracle(
+        "v_marks",
+        """SELECT *, CASE WHEN score >= 3.5 THEN 'A' WHEN score >= 2.5 THEN 'B' WHEN score >= 1.5 THEN 'C' WHEN score >= 0.5 THEN 'D' ELSE 'F' END AS grade FROM (
+  SELECT job_id, page_num, count(*) AS bars, min(x0) AS x0, max(x1) AS x1, round(greatest(4 * (1 - stddev_pop(x1 - x0) / avg(x1 - x0)), 0), 4) AS score FROM v_marks GROUP BY ALL HAVING count(*) >= 20)""",
+    )
+)
+def r44_f21_bar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.bar_candidates(view(spark, sf_dir, "v_marks"))
+
+
+@query(
+    oracle(
+        "v_images",
+        """SELECT job_id, min(page_num) FILTER (WHERE color_space = 'DeviceRGB') AS page_num, count(DISTINCT page_num) FILTER (WHERE color_space = 'DeviceRGB') AS pages FROM v_images GROUP BY job_id
+  HAVING bool_or(color_space = 'DeviceCMYK') AND bool_or(color_space = 'DeviceRGB')""",
+    )
+)
+def r14_rgb_in_cmyk_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.rgb_in_cmyk_jobs(view(spark, sf_dir, "v_images"))
+
+
+@query(
+    oracle(
+        "v_paths",
+        """SELECT job_id, coverage, page_num, max_coverage FROM (SELECT job_id, page_num, round((c + m + y + k) * 100, 4) AS coverage FROM v_paths QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY round((c + m + y + k) * 100, 4) DESC, page_num) = 1)
+  JOIN (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 240.0::DOUBLE WHEN 'O' THEN 300.0::DOUBLE END AS max_coverage FROM orders) USING (job_id) WHERE coverage > max_coverage""",
+    )
+)
+def r16_coverage_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = F.when(F.col("o_orderstatus") == "F", 240.0).when(F.col("o_orderstatus") == "O", 300.0)
+    return K.coverage_over_limit(view(spark, sf_dir, "v_paths"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), limit.alias("max_coverage")))
+
+
+@query(
+    oracle(
+        "v_paths",
+        """SELECT job_id, count(*) FILTER (WHERE k > 0) AS with_black, count(*) FILTER (WHERE k > 0 AND greatest(c, m, y) = 0) AS pure_black, count(*) FILTER (WHERE least(c, m, y) >= 0.5 AND least(c, m, y) < 0.85) AS weak_black,
+  count(*) > 5000 AS many_objects FROM v_paths GROUP BY job_id""",
+    )
+)
+def r21_three_color_press(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.three_color_press(view(spark, sf_dir, "v_paths"))
+
+
+@query(
+    oracle(
+        "v_paths",
+        f"SELECT DISTINCT job_id, size_pt, contrast, contrast >= CASE WHEN size_pt >= 18 THEN 3 ELSE 4.5 END AS aa, contrast >= CASE WHEN size_pt >= 18 THEN 4.5 ELSE 7 END AS aaa FROM (SELECT job_id, line_width * 30 AS size_pt, round(1.05::DOUBLE / ({LUM} + 0.05::DOUBLE), 6) AS contrast FROM v_rgb)",
+        RGB,
+    )
+)
+def r46_text_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.text_contrast(_rgb(view(spark, sf_dir, "v_paths")).withColumn("size_pt", F.col("line_width") * 30))
+
+
+PALETTE = {"ash": (60.0, 0.0, 0.0), "moss": (40.0, 4.0, 6.0), "rose": (20.0, 8.0, 2.0)}
+NEAR = ", ".join(f"{{'distance': round(sqrt((l - {p}) * (l - {p}) + (a - {q}) * (a - {q}) + (b - {r}) * (b - {r})), 4), 'name': '{k}'}}" for k, (p, q, r) in PALETTE.items())
+
+
+@query(oracle("v_plates", f"SELECT ink, l, a, b, near.distance AS distance, near.name AS name FROM (SELECT *, list_min([{NEAR}]) AS near FROM (SELECT DISTINCT ink, l, a, b FROM v_plates)) WHERE near.distance > 3"))
+def r45_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colors = view(spark, sf_dir, "v_plates").select("ink", "l", "a", "b").distinct()
+    return K.nearest_in_palette(colors, PALETTE, C.delta_e76)
+
+
+@query(oracle("v_text", "SELECT job_id, page_num, array_to_string(f, '|') AS dimensions FROM (SELECT job_id, page_num, list_sort(list_distinct(regexp_extract_all(text, '([0-9]+(?:[.][0-9]+)? ?(?:mm|cm|pt))', 1))) AS f FROM v_text) WHERE len(f) >= 2"))
+def r35_dimension_callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.dimension_callouts(view(spark, sf_dir, "v_text"))
+
+
+ODD_WORD, KNOWN_WORDS = "[a-zA-Z]*[bcdfghjklmnpqrstvwxz]{5,}[a-zA-Z]*", ("rhythms", "strengths")
+
+
+@query(
+    oracle(
+        "v_text",
+        f"""SELECT job_id, page_num, word, count(*) AS n FROM (SELECT job_id, page_num, unnest(regexp_extract_all(text, '({ODD_WORD})', 1)) AS word FROM v_text) WHERE lower(word) NOT IN {KNOWN_WORDS} GROUP BY job_id, page_num, word
+  QUALIFY row_number() OVER (PARTITION BY job_id, page_num ORDER BY count(*) DESC, word) <= 10""",
+    )
+)
+def r39_suspicious_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.suspicious_words(view(spark, sf_dir, "v_text"), ODD_WORD, KNOWN_WORDS)
+
+
+@query(
+    oracle(
+        "v_runs",
+        """SELECT a.job_id, a.page_num, a.op_idx, count(*) AS boxes, max((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS area FROM v_runs a JOIN v_runs b ON a.job_id = b.job_id AND a.page_num = b.page_num
+  WHERE a.font = 'view' AND b.font = 'error' AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY ALL""",
+    )
+)
+def r51_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = view(spark, sf_dir, "v_runs")
+    return K.overlaps(runs.where("font = 'view'"), runs.where("font = 'error'"))
