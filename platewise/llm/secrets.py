@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import cut, table
+from platewise.llm.common import cut, join_groups, table
 
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -33,8 +33,8 @@ LEAST_VALUE = 6
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LEAST_ENTROPY = 3.0
 
-#: A candidate that more owners carry is a copied example.
-MOST_OWNERS = 2
+#: A candidate is a copied example if more repositories carry it, or more owners and more than a few repositories.
+MOST_REPOSITORIES, MOST_OWNERS, FEW_REPOSITORIES = 20, 2, 3
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -93,37 +93,39 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         base, owned = batch.column(1).to_pylist(), batch.column(5).to_pylist()
         cols = [batch.column(0), *batch.columns[2:5], pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()), pa.array(list(map(_merge, base, owned)), pa.string())]
-        cols += [pa.array([len(x or []) for x in owned], pa.int64()), batch.column(6)]
-        yield pa.RecordBatch.from_arrays(cols, ["ident", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_copied"])
+        cols += [pa.array([len(x or []) for x in owned], pa.int64()), *batch.columns[6:8]]
+        yield pa.RecordBatch.from_arrays(cols, ["ident", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_copied", "carriers"])
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """(hash, repositories, owners) of every candidate: distinct documents and sources that carry it."""
     carried = scanned.select("ident", "owner", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash"))
-    per = carried.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return per.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    return carried.groupBy("hash").agg(F.count_distinct(F.struct("ident")).alias("repositories"), F.count_distinct(F.struct("owner")).alias("owners"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row per row of ``docs``: (id_col, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied).
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES, few: int = FEW_REPOSITORIES) -> DataFrame:
+    """One row per row of ``docs``: (id_col, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, carriers).
 
-    ``spans`` lists kind:start:end in code points by start; base spans always stay. A candidate that ``most_owners`` or
-    fewer sources carry is added as ``owned``, unless it lies within a base span; n_copied counts those of more owners.
-    Null text counts as empty, a null source is one owner, rows that repeat an identifier count as two documents and share
-    what is owned if their texts are equal. Other columns are not read. An empty table gives an empty result.
+    ``spans`` lists kind:start:end in code points by start; base spans always stay. A candidate that more than
+    ``most_repositories`` documents carry, or more than ``most_owners`` sources and more than ``few`` documents, is copied
+    and counted in n_copied; others are added as ``owned``, unless they lie within a base span. ``carriers`` lists
+    start:end:repositories:owners of every candidate by start. Null text counts as empty, a null source is one owner, rows
+    that repeat an identifier count as one document and share what is owned if their texts are equal. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("ident"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
     scanned = cut(rows.mapInArrow(_scan, SCANNED).withColumn("row", F.xxhash64("ident", "owner", "base", F.to_json("found"))))
     some = scanned.where(F.size("found") > 0).select("row", "base", F.explode("found").alias("s")).select("row", "base", "s.*").distinct()
-    known = some.join(ownership(scanned), "hash")
+    known = some.transform(lambda x: join_groups(x, cut(ownership(scanned)), "hash", "repositories"))
     within = F.exists(
         F.filter(F.split("base", ","), lambda x: x != ""),
         lambda x: (F.element_at(F.split(x, ":"), 2).cast("int") <= F.col("start")) & (F.element_at(F.split(x, ":"), 3).cast("int") >= F.col("stop")),
     )
-    own = (F.col("owners") <= most_owners) & ~within
-    per = known.groupBy("row").agg(F.collect_list(F.when(own, F.struct("start", "stop"))).alias("owned"), F.count_if(F.col("owners") > most_owners).alias("n_copied"))
-    joined = scanned.join(per, "row", "left").select("ident", "base", "n_assign", "n_access", "n_hex", "owned", F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
-    schema = "ident long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_owned long, n_copied long"
+    copied = (F.col("repositories") > most_repositories) | ((F.col("owners") > most_owners) & (F.col("repositories") > few))
+    own = ~copied & ~within
+    per = known.groupBy("row").agg(F.collect_list(F.when(own, F.struct("start", "stop"))).alias("owned"), F.count_if(copied).alias("n_copied"), F.sort_array(F.collect_list(F.struct("start", "stop", "repositories", "owners"))).alias("carriers"))
+    listed = F.array_join(F.transform(F.coalesce("carriers", F.array()), lambda s: F.concat_ws(":", s["start"], s["stop"], s["repositories"], s["owners"])), ",")
+    joined = scanned.join(per, "row", "left").select("ident", "base", "n_assign", "n_access", "n_hex", "owned", F.coalesce("n_copied", F.lit(0)).alias("n_copied"), listed.alias("carriers"))
+    schema = "ident long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_owned long, n_copied long, carriers string"
     return joined.mapInArrow(_write, schema).withColumnRenamed("ident", id_col)
 
 
