@@ -1,22 +1,24 @@
 """Best-fit packing by exact-complement hashing.
 
 Pieces of up to ``window`` tokens are packed by their lengths alone, so the plan is made from the histogram of lengths: at
-most ``window`` counts, whatever the corpus. The planner looks for combinations of two, three and four pieces that fill a
-sequence exactly: the lengths still available and their pair and triple sums are looked up by complement, and a
-combination is consumed as often as the counts of its lengths allow. What is left goes best-fit, longest first, into the
-open sequence with the least sufficient gap, a whole class of like pieces and like sequences at a time. The plan lists
-patterns (lengths) with multiplicities; each length's ranks are dealt to the places that patterns have for it. Pieces get
-their rank from a count per (length, salt) and a row number within it, so no length is ranked in one task.
+most ``window`` counts, whatever the corpus. The planner keeps hash indexes of what is still available: single lengths, and
+the sums of pairs with the number of pairs that give them; triple sums are looked up as a single and a pair. Longest first,
+the gap beside a length is filled exactly by a single, a pair or a triple, as often as the counts allow. What has no exact
+complement goes best-fit into the open sequence with the least sufficient gap, a whole class of like pieces and like
+sequences at a time; every gap that this leaves is tried for an exact complement again. The plan lists patterns (lengths)
+with multiplicities; each length's ranks are dealt to the places that patterns have for it. Full windows need no rank; other
+pieces get theirs from a count per (length, salt) and a row number within it, with as many salts as the length has use for.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -25,166 +27,320 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from platewise.llm.common import cut, table
+from platewise.llm.common import cut, join_checked, table
 
 WINDOW = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 
-#: Chunks of text (between white space) whose ids a task keeps, and the longest chunk that it keeps.
-CACHED, LONGEST = 400_000, 32
+#: Rows of one length that are ranked in one task, and the most (length, salt) counts that are broadcast.
+SALT_ROWS, BROADCAST_SALTS = 500_000, 100_000
 
-#: Salts by which the ranks of a length are dealt.
-SALTS = 64
 
+class WordEncoder:
+    """Token ids of whole texts by a vocabulary of lower-case words with word ends.
 
-class ChunkEncoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
-
-    The vocabulary's rules never join text across white space, so ids of the chunks between are those of the text; they
-    are kept for chunks that come again. ASCII capitals are lowered first, as the tokenizer does, so that more chunks come
-    again; and a chunk of letters and one final mark is looked up as the two, which the tokenizer separates as well.
-    Texts are encoded as they are, and whole, if they have a character for which this could differ: four controls at
-    which Python splits and the tokenizer doesn't, marks that may combine with a letter, or a special token's beginning.
+    The vocabulary splits text into runs of letters, single digits and runs of marks, and never joins text across white
+    space. The runs of a group of texts are found with NumPy, written as symbols (a byte, or a byte that ends its run), made
+    distinct by an Arrow dictionary, and only distinct runs are encoded, by a byte-pair merger with the vocabulary's ranks.
+    What a character is (small form, white space, letter, digit, mark) is asked of the tokenizer itself, once. Where the
+    characters alone do not decide, the tokenizer encodes the whole chunk between white space: contractions, special
+    tokens, characters that combine or lie outside the basic plane.
     """
 
-    ODD = re.compile("[\x1c-\x1f\u0300-\u036f]|<\\|")
-    MARKS = frozenset(".,;:!?")
-
-    GROUP = 128
+    SPACE, LETTER, DIGIT, MARK, STOP, ODD, UNSEEN = range(7)
+    #: Stands between texts; a non-character.
+    STOP_CHAR = "￿"
+    ODD_PAIRS = r"'[stvmrld]|<\|"
+    #: Characters that are encoded at once, and chunks for the tokenizer whose ids are kept.
+    GROUP, CACHED = 1 << 21, 100_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
-        tokens = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(tokens.values()) + 1, bool)
-        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, encoded in one go: each is one token run up to an end-of-word token."""
-        ids = np.frombuffer(self._ids([" ".join(words)])[0], "<u4")
-        edges = np.flatnonzero(self.ends[ids]) + 1
-        if len(edges) != len(words):
-            return self._ids(words)
-        data, edges = ids.tobytes(), (edges * 4).tolist()
-        return [data[i:j] for i, j in zip([0, *edges], edges, strict=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Keep the ids of new chunks."""
-        marked = {c: c[:-1] for c in chunks if c[-1] in self.MARKS and c[:-1].lower().isalpha()}
-        plain = {c for c in (chunks - marked.keys()) | set(marked.values()) | {c[-1] for c in marked} if c not in self.kept}
-        words = [c for c in plain if c.lower().isalpha()]
-        others = list(plain.difference(words))
-        self.kept.update(zip(words, self._words(words), strict=True))
-        self.kept.update(zip(others, self._ids(others), strict=True))
-        self.kept.update((c, self.kept[word] + self.kept[c[-1]]) for c, word in marked.items())
-
-    def _lowered(self, text: str) -> str | None:
-        """The text with ASCII capitals lowered, or None if it is to be encoded as it is."""
-        if text.isascii():
-            return None if any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", "<|")) else text.lower()
-        return None if self.ODD.search(text) else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), self.GROUP):
-            part = texts[i : i + self.GROUP]
-            split = [None if t is None else t.split() for t in map(self._lowered, part)]
-            chunks = set()
-            for own in split:
-                chunks.update(own or ())
-            new = chunks - self.kept.keys()
-            if len(self.kept) + len(new) > CACHED:
-                self.kept, new = {}, chunks
-            if new:
-                self._learn(new)
-            get = self.kept.__getitem__
-            for text, own in zip(part, split, strict=True):
-                yield self._ids([text])[0] if own is None else b"".join(map(get, own))
-            for c in [c for c in new if len(c) > LONGEST]:
-                del self.kept[c]
+        self.tokenizer = Tokenizer.from_file(path)
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        symbols = self._symbols()
+        ranks, self.id_of, self.ends = {bytes([b]): b for b in range(256)}, np.zeros(0, np.uint32), np.zeros(0, bool)
+        vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if i not in special}
+        self.size = 1 + max(self.tokenizer.get_vocab().values())
+        self.id_of, self.ends = np.zeros(256 + self.size, np.uint32), np.zeros(256 + self.size, bool)
+        for token, number in vocabulary.items():
+            body = token.removesuffix("</w>")
+            last = symbols[body[-1]] + (256 if body != token else 0)
+            key = ("".join(chr(symbols[c]) for c in body[:-1]) + chr(last)).encode()
+            rank = key[0] if len(key) == 1 else ranks.setdefault(key, 256 + number)
+            self.id_of[rank], self.ends[rank] = number, body != token
+        self.merger = tiktoken.Encoding("words", pat_str="[^Ā-ǿ]*[Ā-ǿ]", mergeable_ranks=ranks, special_tokens={})
+        self.small, self.kind = np.arange(1 << 16, dtype=np.uint16), np.full(1 << 16, self.UNSEEN, np.uint8)
+        self.kind[0xD800:0xE000], self.kind[0xFFFF] = self.ODD, self.STOP
+        self.kept: dict[str, np.ndarray] = {}
+
+    @staticmethod
+    def _symbols() -> dict[str, int]:
+        """The byte that each character of a byte-level token stands for."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shifted = [b for b in range(256) if b not in set(plain)]
+        return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
+
+    def _see(self, codes: np.ndarray) -> None:
+        """Ask the tokenizer what characters are that were not seen before."""
+        for c in np.unique(codes).tolist():
+            char = chr(c)
+            small = self.tokenizer.normalizer.normalize_str(char)
+            jamo = 0x1100 <= c < 0x1200 or 0xA960 <= c < 0xA980 or 0xD7B0 <= c < 0xD800
+            if len(small) != 1 or ord(small) > 0xFFFE or jamo or char == "Σ" or any(unicodedata.category(x).startswith("M") for x in char + small):
+                self.kind[c] = self.ODD
+                continue
+            pieces = lambda text: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+            self.small[c] = ord(small)
+            self.kind[c] = self.SPACE if not pieces(small) else self.LETTER if pieces(f"a{small}a") == 1 else self.MARK if pieces(f"!{small}!") == 1 else self.DIGIT
+
+    def _runs(self, codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain characters, and the number of ids of each text (ended by a stop)."""
+        ends = np.empty(len(kind), bool)
+        ends[:-1], ends[-1] = kind[1:] != kind[:-1], True
+        ends |= kind == self.DIGIT
+        at = np.flatnonzero(kind & 3)  # neither white space nor a stop
+        c, ends = self.small[codes[at]], ends[at]
+        # symbols: the bytes of UTF-8, the last of a run raised by 256
+        two, three = np.flatnonzero(c >= 0x80), np.flatnonzero(c >= 0x800)
+        size = np.ones(len(c), np.int32)
+        size[two] += 1
+        size[three] += 1
+        to = np.cumsum(size, dtype=np.int32) - 1
+        last = c.copy()
+        last[two] = (c[two] & 0x3F) | 0x80
+        last[ends] += 256
+        out = np.empty(int(to[-1]) + 1 if len(to) else 0, np.uint16)
+        out[to] = last
+        out[to[two] - 1] = (c[two] >> 6) | 0xC0
+        out[to[three] - 1] = (c[three] >> 6 & 0x3F) | 0x80
+        out[to[three] - 2] = (c[three] >> 12) | 0xE0
+        data = out.tobytes()
+        stops = np.flatnonzero(ends)
+        edges = np.concatenate([np.zeros(1, np.int32), ((to[stops] + 1) * 2).astype(np.int32)])
+        runs = pa.BinaryArray.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        which = runs.indices.to_numpy()
+        distinct = b"".join(runs.dictionary.to_pylist()).decode("utf-16-le")
+        found = self.merger.encode_to_numpy(distinct)
+        until = np.flatnonzero(self.ends[found]) + 1
+        until = until.astype(np.int32)
+        start = np.concatenate([np.zeros(1, np.int32), until[:-1]]) if len(until) else until
+        count = (until - start)[which]
+        upto = np.cumsum(count, dtype=np.int32)
+        ids = self.id_of[found][np.repeat(start[which] - upto + count, count) + np.arange(int(upto[-1]) if len(upto) else 0, dtype=np.int32)]
+        # text of each run: the number of stops before it
+        text_ends = np.flatnonzero(kind == self.STOP)
+        runs_before = np.searchsorted(at[stops], text_ends)
+        ids_before = np.concatenate([np.zeros(1, np.int64), upto])[runs_before]
+        return ids, np.diff(ids_before, prepend=0)
+
+    def _chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of chunks by the tokenizer."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.kept]
+        if len(self.kept) + len(new) > self.CACHED:
+            self.kept, new = {}, list(dict.fromkeys(chunks))
+        for chunk, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.kept[chunk] = np.array(x.ids, np.uint32)
+        return [self.kept[c] for c in chunks]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text, or None if it has an odd character."""
+        codes = np.frombuffer((self.STOP_CHAR.join(texts) + self.STOP_CHAR).encode("utf-16-le", "surrogatepass"), np.uint16)
+        kind = self.kind[codes]
+        if (kind == self.UNSEEN).any():
+            self._see(codes[kind == self.UNSEEN])
+            kind = self.kind[codes]
+        odd = kind == self.ODD
+        for mark, following in (("'", "stvmrld"), ("<", "|")):
+            at = np.flatnonzero(codes[:-1] == ord(mark))
+            odd[at[np.isin(self.small[codes[at + 1]], [ord(x) for x in following])]] = True
+        stops = np.flatnonzero(kind == self.STOP)
+        if len(stops) != len(texts):
+            return [None] * len(texts)
+        hit = set(np.searchsorted(stops, np.flatnonzero(odd)).tolist())
+        if hit:
+            fine = [t for i, t in enumerate(texts) if i not in hit]
+            found = iter(self._plain(fine) if fine else [])
+            return [None if i in hit else next(found) for i in range(len(texts))]
+        ids, counts = self._runs(codes, kind)
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+    def _odd_chunk(self) -> re.Pattern:
+        """Chunks between white space with what the characters alone do not decide; unseen characters count as odd."""
+        odd = "".join(re.escape(chr(c)) for c in np.flatnonzero(self.kind[:0x3000] >= self.ODD).tolist())
+        space = r"[^ \t\n\r\x0b\x0c]*"
+        return re.compile(f"({space}(?:[{odd}　-\U0010ffff]|(?i:{self.ODD_PAIRS})){space})")
+
+    def _mixed(self, text: str) -> np.ndarray:
+        parts = self._odd_chunk().split(text)
+        plain, odd = parts[::2], parts[1::2]
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
+        found[::2] = [x if x is not None else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for x, p in zip(self._plain(plain), plain, strict=True)]
+        found[1::2] = self._chunks(odd)
+        return np.concatenate(found)
+
+    def _segments(self, text: str) -> list[str]:
+        """Long texts in parts of about GROUP characters, cut at white space."""
+        parts, at = [], 0
+        while len(text) - at > self.GROUP:
+            edge = re.compile(r"[ \t\n\r\x0b\x0c]").search(text, at + self.GROUP)
+            if edge is None:
+                break
+            parts.append(text[at : edge.start()])
+            at = edge.start()
+        return [*parts, text[at:]]
+
+    def _group(self, group: list[str]) -> list[np.ndarray]:
+        return [x if x is not None else self._mixed(t) for x, t in zip(self._plain(group), group, strict=True)]
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
+        group, size = [], 0
+        for text in texts:
+            if len(text) > self.GROUP:
+                yield from self._group(group) if group else ()
+                group, size = [], 0
+                yield np.concatenate([self._group([part])[0] for part in self._segments(text)])
+                continue
+            group.append(text)
+            size += len(text)
+            if size >= self.GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        if group:
+            yield from self._group(group)
 
 
 @cache
-def encoder_of(path: str) -> ChunkEncoder:
-    """One encoder per worker process, so that what it keeps serves all of its tasks."""
-    return ChunkEncoder(path)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker process."""
+    return WordEncoder(path)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder, end = encoder_of(path), int(end_id).to_bytes(4, "little")
+    encoder, end = encoder_of(path), np.array([end_id], np.uint32)
+    narrow = np.dtype("<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4")
     names = ["ident", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
         cols: list[list] = [[] for _ in names]
-        for ident, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-            ids += end
-            for k, at in enumerate(range(0, len(ids), 4 * window)):
-                part = ids[at : at + 4 * window]
-                row = [ident, k, at // 4, len(part) // 4, zlib.crc32(part)] + [np.frombuffer(part, "<u4")] * with_ids
+        for ident, ids in zip(batch.column(0).to_pylist(), encoder.encode(t or "" for t in batch.column(1).to_pylist()), strict=True):
+            ids = np.concatenate([ids, end]).astype("<u4", copy=False)
+            for k, at in enumerate(range(0, len(ids), window)):
+                part = ids[at : at + window]
+                row = [ident, k, at, len(part), zlib.crc32(part)] + [part.astype(narrow).tobytes()] * with_ids
                 for col, x in zip(cols, row, strict=True):
                     col.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names)
 
 
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Token pieces (ident, piece, start, length, ids_crc32[, ids]) of whole texts, cut at ``window`` tokens."""
+    """Token pieces (ident, piece, start, length, ids_crc32[, ids]) of whole texts, cut at ``window`` tokens.
+
+    ``ids`` are little-endian bytes, two or four for each id as the vocabulary needs.
+    """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    schema = "ident long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "ident long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(partial(_pieces, path=path, window=window, end_id=end_id, with_ids=with_ids), schema)
 
 
+class Sums:
+    """Lengths still available, with hash indexes of single, pair and triple sums.
+
+    ``pairs[s]`` is the number of different pairs of available lengths that sum to s; it is kept up as lengths run out, so a
+    look-up by complement never meets a pair that is gone.
+    """
+
+    def __init__(self, counts: dict[int, int], window: int):
+        self.left = np.zeros(window + 1, np.int64)
+        for length, n in counts.items():
+            self.left[int(length)] = int(n)
+        self.there, self.pairs = np.zeros(window + 1, bool), np.zeros(window + 1, np.int64)
+        for length in np.flatnonzero(self.left).tolist():
+            self.there[length] = True
+            self._count(length, 1)
+            if self.left[length] > 1 and 2 * length <= window:
+                self.pairs[2 * length] += 1
+
+    def _count(self, length: int, by: int) -> None:
+        """Count the pairs of a length with the others in or out."""
+        others = np.flatnonzero(self.there[: max(0, len(self.there) - length)])
+        self.pairs[others[others != length] + length] += by
+
+    def take(self, lengths: tuple[int, ...], times: int) -> None:
+        for x, n in Counter(lengths).items():
+            before, self.left[x] = self.left[x], self.left[x] - n * times
+            if before > 1 >= self.left[x] and 2 * x < len(self.pairs):
+                self.pairs[2 * x] -= 1
+            if self.left[x] == 0:
+                self.there[x] = False
+                self._count(x, -1)
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        """How often a combination is there."""
+        return min(int(self.left[x]) // n for x, n in Counter(lengths).items())
+
+    def _pair(self, total: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        if total < 2 or not self.pairs[total]:
+            return None
+        low = -(-total // 2)
+        for x in (low + np.flatnonzero(self.there[low:total] & self.there[total - low : 0 : -1]))[::-1].tolist():
+            if self.times((*held, x, total - x)):
+                return x, total - x
+        return None
+
+    def exact(self, gap: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """A single, pair or triple that sums to ``gap`` while ``held`` is in use; the longest first length, if several."""
+        if gap < 1:
+            return None
+        if self.there[gap] and self.times((*held, gap)):
+            return (gap,)
+        if found := self._pair(gap, held):
+            return found
+        if gap > 2:
+            first = np.flatnonzero(self.there[1 : gap - 1] & (self.pairs[gap - 1 : 1 : -1] > 0)) + 1
+            for x in first[::-1].tolist():
+                if self.times((*held, x)) and (rest := self._pair(gap - x, (*held, x))):
+                    return (x, *rest)
+        return None
+
+
 def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with the number of sequences of each; every piece is in one, none is over ``window``."""
-    left = Counter({int(k): int(v) for k, v in counts.items() if v})
+    """Patterns of lengths with the number of sequences of each; every piece is in one, none is over ``window``.
+
+    Full windows are not planned: hand in lengths below ``window``, or they are patterns of their own.
+    """
+    sums = Sums(counts, window)
     done: list[tuple[tuple[int, ...], int]] = []
+    if n := int(sums.left[window]):
+        sums.take((window,), n)
+        done.append(((window,), n))
+    for a in np.flatnonzero(sums.there)[::-1].tolist():
+        while sums.left[a] and (found := sums.exact(window - a, (a,))):
+            pattern = (a, *found)
+            n = sums.times(pattern)
+            sums.take(pattern, n)
+            done.append((pattern, n))
 
-    def consume(lengths: tuple[int, ...]) -> int:
-        need = Counter(lengths)
-        times = min(left[x] // n for x, n in need.items())
-        if times:
-            done.append((lengths, times))
-            for x, n in need.items():
-                left[x] -= n * times
-        return times
-
-    at_pair: dict[int, int] = {}
-
-    def pair(total: int) -> tuple[int, int] | None:
-        """The first two lengths still there that sum to ``total``; what ran out never comes back, so it is not tried again."""
-        c = at_pair.get(total, -(-total // 2))
-        while c < total and not (left[c] and left[total - c] and (2 * c != total or left[c] > 1)):
-            c += 1
-        at_pair[total] = c
-        return (c, total - c) if c < total else None
-
-    consume((window,))
-    # singles, pairs and triples whose sum is the complement of a length, longest first
-    for a in sorted(left, reverse=True):
-        if left[a] and left[window - a]:
-            consume((a, window - a))
-    for a in sorted(left, reverse=True):
-        while left[a] and (found := pair(window - a)) and consume((a, *found)):
-            pass
-    alive = sorted((x for x in left if left[x]), reverse=True)
-    for i, a in enumerate(alive):
-        for b in alive[i:]:
-            if not left[a]:
-                break
-            while left[a] and left[b] and window - a - b > 1 and (found := pair(window - a - b)) and consume((a, b, *found)):
-                pass
     # best fit for the rest: open sequences are kept by gap as (pattern, number)
     gaps: list[int] = []
     open_at: dict[int, list[tuple[tuple[int, ...], int]]] = {}
 
     def put(gap: int, pattern: tuple[int, ...], n: int) -> None:
+        while n and gap and (found := sums.exact(gap)):
+            times = min(n, sums.times(found))
+            sums.take(found, times)
+            done.append((pattern + found, times))
+            n -= times
+        if not n:
+            return
         if gap == 0:
             done.append((pattern, n))
             return
@@ -193,8 +349,11 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int,
             open_at[gap] = []
         open_at[gap].append((pattern, n))
 
-    for length in sorted((x for x in left if left[x]), reverse=True):
-        n = left[length]
+    for length in np.flatnonzero(sums.there)[::-1].tolist():
+        n = int(sums.left[length])
+        if not n:
+            continue
+        sums.take((length,), n)
         while n:
             at = bisect_left(gaps, length)
             if at == len(gaps):
@@ -211,20 +370,21 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int,
                 del open_at[gap], gaps[at]
             # all that fit of this length into each sequence of the class
             each = min(gap // length, -(-n // have))
+            used = have
             if each * have > n:
                 used = n // each
                 if used == 0:
                     each, used = n, 1
-                put(gap, pattern, have - used) if have > used else None
-                have = used
-            put(gap - each * length, pattern + (length,) * each, have)
-            n -= each * have
+            n -= each * used
+            if have > used:
+                put(gap, pattern, have - used)
+            put(gap - each * length, pattern + (length,) * each, used)
     done.extend(x for group in open_at.values() for x in group)
     return done
 
 
-def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, from_rank, until_rank, first_sequence, each, offset) for each run of like pieces in a pattern.
+def places(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """Rows (length, from_rank, first_sequence, each, offset) for each run of like pieces in a pattern, by length and rank.
 
     The piece of rank r is in sequence first_sequence + (r - from_rank) // each, at offset + length * (rank within).
     """
@@ -233,40 +393,81 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     for pattern, n in patterns:
         offset = 0
         for length, each in Counter(pattern).items():
-            found.append((length, given[length], given[length] + n * each, sequence, each, offset))
+            found.append((length, given[length], sequence, each, offset))
             given[length] += n * each
             offset += length * each
         sequence += n
-    return found
-
+    return np.array(sorted(found), np.int64).reshape(-1, 5)
 
-def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Give each row of ``parts`` (ident, piece, length, ...) its sequence_id and offset.
 
-    ``parts`` is read twice (histogram, then ranks): hand in a checkpointed or written table. Only the histogram of
-    lengths (at most ``window`` rows) reaches the driver, and the plan that goes back follows from it alone.
+def _placed(batches: Iterator[pa.RecordBatch], shared, id_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Gives each row (its last columns length and rank) its place by binary search among the runs of its length."""
+    runs = shared.value
+    # ranks are below 2^50, lengths below 2^13
+    keys = (runs[:, 0] << 50) + runs[:, 1]
+    for batch in batches:
+        length, rank = (batch.column(n).to_numpy() for n in ("length", "rank"))
+        mine = runs[np.searchsorted(keys, (length << 50) + rank, side="right") - 1] if len(batch) else np.zeros((0, 5), np.int64)
+        within = rank - mine[:, 1]
+        kept = batch.drop_columns(["rank"])
+        cols = dict(zip(kept.schema.names, kept.columns, strict=True))
+        if id_bytes:
+            cols["ids"] = _listed(cols["ids"], id_bytes)
+        cols |= {"sequence_id": pa.array(mine[:, 2] + within // mine[:, 3]), "offset": pa.array(mine[:, 4] + length * (within % mine[:, 3]))}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+def _listed(ids: pa.Array, id_bytes: int) -> pa.Array:
+    """Bytes of ids as lists of ints."""
+    rows = [np.frombuffer(x, f"<u{id_bytes}") for x in ids.to_pylist()]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
+
+
+def pack(parts: DataFrame, window: int = WINDOW, id_bytes: int = 0) -> DataFrame:
+    """Give each row of ``parts`` (ident, piece, start, length, ids_crc32[, ids]) its sequence_id and offset.
+
+    ``parts`` is read several times: hand in a checkpointed or written table. Only the histogram of lengths (at most
+    ``window`` rows) reaches the driver. The plan that goes back follows from it alone: each pattern uses up a length or
+    closes a class of like sequences, so it has a small multiple of ``window`` rows. ``id_bytes``: bytes of an id in
+    ``ids``, which come back as an array of ints; 0 if there are none.
     """
     spark = parts.sparkSession
-    if parts.where(~F.col("length").between(1, window)).limit(1).count():
+    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).limit(window + 2).collect()}
+    if any(x is None or not 1 <= x <= window for x in counts):
         raise ValueError(f"lengths must be in 1..{window}")
-    salt = F.pmod(F.xxhash64("ident", "piece"), F.lit(SALTS)).cast("int")
-    salted = parts.withColumn("salt", salt)
-    per_salt = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    counts = {r.length: r.n for r in per_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    found = places(plan(counts, window))
-    schema = "length long, from_rank long, until_rank long, first_sequence long, each long, offset long"
-    # per length the places by rank, so that a piece finds its own by binary search in an array
-    runs = spark.createDataFrame(pa.table({n.split()[0]: pa.array([x[i] for x in found], pa.int64()) for i, n in enumerate(schema.split(", "))}))
+    whole = counts.pop(window, 0)
+    runs = places(plan(counts, window))
+    names = [c for c in parts.columns]
+    given = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
+    if id_bytes:
+        given["ids"] = "array<int>"
+    schema = ", ".join(f"{n} {given[n]}" for n in names) + ", sequence_id long, offset long"
+
+    # as many salts as each length has use for; one row per length
+    salts = spark.createDataFrame([(int(k), 1 + int(v) // SALT_ROWS) for k, v in counts.items()], "length long, salts long")
+    salted = parts.where(F.col("length") < window).join(F.broadcast(salts), "length")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("ident", "piece"), F.col("salts"))).drop("salts")
+    per_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
-    starts = per_salt.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    starts = cut(per_salt.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before")))
     ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("ident", "piece")) - 1)
-    # both broadcasts are bounded by the window: SALTS counts per length, and the plan of at most `window` lengths
-    ranked = ranked.join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    of = runs.select(F.col("length").alias("_length"), "from_rank", "until_rank", "first_sequence", "each", F.col("offset").alias("_offset"))
-    within = F.col("rank") - F.col("from_rank")
-    joined = ranked.join(F.broadcast(of), (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("until_rank")))
-    place = {"sequence_id": F.col("first_sequence") + F.floor(within / F.col("each")), "offset": F.col("_offset") + F.col("length") * F.pmod(within, F.col("each"))}
-    return joined.withColumns(place).drop("salt", "rank", "before", "_length", "from_rank", "until_rank", "first_sequence", "each", "_offset")
+    ranked = join_checked(ranked, starts, ["length", "salt"], "inner", BROADCAST_SALTS).select(*names, (F.col("rank") + F.col("before")).alias("rank"))
+    out = ranked.mapInArrow(partial(_placed, shared=spark.sparkContext.broadcast(runs), id_bytes=id_bytes), schema)
+    if whole:
+        # a full window is a sequence of its own; rows of a checkpoint keep their order, so the numbers are stable
+        full = parts.where(F.col("length") == window).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+        if id_bytes:
+            full = full.mapInArrow(partial(_full, id_bytes=id_bytes), schema)
+        out = out.unionByName(full)
+    return out
+
+
+def _full(batches: Iterator[pa.RecordBatch], id_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = [_listed(c, id_bytes) if n == "ids" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+        yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -274,10 +475,16 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
     A document is its token ids and ``end_id``; only longer ones are cut. Null and empty texts are the end id alone.
     Repeated rows are packed once each; among rows alike in identifier and length any may take either place. A null
-    identifier stays null. Other columns are not read. An empty table gives an empty result.
+    identifier stays null. Other columns are not read. An empty table gives an empty result. ``ids``: the token ids, so
+    that a sequence is its pieces' ids in order of offset.
     """
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
     parts = cut(pieces(docs, path, id_col, text_col, window, end_id, with_ids))
-    return pack(parts, window).withColumnRenamed("ident", id_col)
+    id_bytes = (2 if max(encoder_of(path).size, end_id + 1) <= 1 << 16 else 4) if with_ids else 0
+    return pack(parts, window, id_bytes).withColumnRenamed("ident", id_col)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,14 +228,41 @@ def test_plan_uses_every_piece_once():
         assert used == counts
 
 
-def test_chunked_encoding_is_the_tokenizers_own():
+def test_encoding_of_runs_is_the_tokenizers_own(monkeypatch):
     import public_tokenizers
 
-    encoder = packing.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(1)
-    odd = ["".join(rng.choices("aBcé İßſKΣς'., !?1²½ \x85\x0b\x1c\u00ad\u2003\u0300sStT|<>日", k=rng.randint(0, 30))) for _ in range(500)] + ["x<|endoftext|>y"]
-    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch(odd, add_special_tokens=False)]
-    assert list(encoder.encode(odd)) == want and list(encoder.encode(odd)) == want
+    odd = ["".join(rng.choices("aBcé İßſKΣς'., !?1²½ \x85\x0b\x1c\u00ad\u2003\u0300sStT|<>日\u2014\U0001f600\ud55c\uac00\u1100\u1161\u0416\u0663\uffff", k=rng.randint(0, 40))) for _ in range(1500)]
+    odd += ["x<|endoftext|>y", "don't we'Ll <|startoftext|>", ""]
+    want = [x.ids for x in encoder.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(odd)] == want
+    monkeypatch.setattr(packing.WordEncoder, "GROUP", 50)
+    assert [x.tolist() for x in encoder.encode(odd)] == want
+    long = " ".join(odd[:300])
+    assert next(encoder.encode([long])).tolist() == encoder.tokenizer.encode(long, add_special_tokens=False).ids
+
+
+def test_exact_complements_step_past_blocked_pairs():
+    # 6 + 6 + 4 + 4 needs both pairs; (6, 4, 6) is blocked where 6 is short
+    assert sum(n for _, n in packing.plan({6: 2, 4: 2}, 20)) == 1
+    assert sorted(packing.plan({7: 1, 5: 1, 3: 1, 1: 1}, 16)) == [((7, 5, 3, 1), 1)]
+    # the pair of 9 that needs a second 7 is passed over for the next
+    assert sum(n for _, n in packing.plan({9: 1, 7: 1, 5: 1, 4: 1, 2: 1, 1: 1}, 14)) == 2
+
+
+def test_pieces_carry_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(1, "a b c " * 40), (1, "a b c " * 40), (2, None), (None, "x y"), (3, "")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), window=64, with_ids=True).collect()
+    assert collections.Counter((r.doc_id, r.start) for r in got) == collections.Counter([(1, 0), (1, 0), (1, 64), (1, 64), (2, 0), (None, 0), (3, 0)])
+    for r in got:
+        text = {1: rows[0][1], 2: "", None: "x y", 3: ""}[r.doc_id]
+        assert r.ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 1][r.start : r.start + r.length]
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
 
 
 def test_rules_and_odd_urls(spark):
