@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +14,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and tables between stages: spark.checkpoint.dir; only where it is unset a local one."""
+    """The folder for checkpoints and tables between stages, which the session names in spark.checkpoint.dir.
+
+    It must be one that the driver and all executors see, so there is no fallback to a local folder.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -68,3 +72,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     in_hot = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(mark), F.col(key) == F.col("_hot"), "left_anti").join(groups.where(~is_hot), key)
     return in_hot.unionByName(rest)
+
+
+#: Most row keys (16 bytes each) that are broadcast to drop rows.
+BROADCAST_KEYS = 500_000
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart when some go: 128 bits of identifier and text. Rows alike in both share it."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def keep_rows(docs: DataFrame, key: Column, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    ``marks`` has one row per row of ``docs``: key (see ``row_key``), chosen (the row is one that its group may keep) and
+    group. One chosen row of each group stays: where several are chosen, they repeat identifier and group, and any one of
+    them does. ``marks`` is read several times: hand in a table that is cheap to read again.
+    """
+    per = marks.where("chosen").groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    tied = cut(marks.where("chosen").join(per, "group").select(F.col("key").alias("_platewise_key"), F.col("group").alias("_platewise_group")).distinct())
+    gone = marks.where("NOT chosen").select(F.col("key").alias("_platewise_key"))
+    keyed = docs.withColumn("_platewise_key", key)
+    left = join_checked(keyed, gone, ["_platewise_key"], "left_anti", BROADCAST_KEYS)
+    if not tied.limit(1).count():
+        return left.select(*docs.columns)
+    alone = join_checked(left, tied.select("_platewise_key").distinct(), ["_platewise_key"], "left_anti", BROADCAST_KEYS).select(*docs.columns)
+    # groups of alike rows are combined before the shuffle
+    one = join_checked(left, tied, ["_platewise_key"], "inner", BROADCAST_KEYS).groupBy("_platewise_group").agg(F.first(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+    return alone.unionByName(one)

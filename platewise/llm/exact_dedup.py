@@ -9,13 +9,14 @@ enter is complete: it is spilled to the output and freed, so a trie never holds
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import cut, join_groups, lower_ascii, table
+from platewise.llm.common import cut, join_groups, keep_rows, row_key, table
 
 #: Bytes of distinct text that a task combines before it hands them on.
 COMBINE_BYTES = 24 << 20
@@ -110,8 +111,20 @@ COMBINED = "digest binary, n long, body binary, row_count long, least long, most
 OWNERS = "digest binary, row_count long, least long, most long"
 
 
+def _normal(batch: pa.RecordBatch, at: int) -> list[bytes]:
+    """Texts as bytes with A-Z lower-cased; null is empty."""
+    return [(x or b"").lower() for x in batch.column(at).to_pylist()]
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ident, key, digest) of each row (ident, key, body)."""
+    for batch in batches:
+        digests = [hashlib.sha256(b).digest() for b in _normal(batch, 2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["ident", "key", "digest"])
+
+
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold the copies within blocks of a task's rows: (digest, body, ident) to one row per distinct text of a block."""
+    """Fold the copies within blocks of a task's rows (ident, body) to one row per distinct text of a block."""
 
     def flush(trie):
         found = list(trie.drain())
@@ -121,8 +134,8 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     trie, held = PatriciaTrie(), 0
     for batch in batches:
-        for digest, body, ident in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if trie.insert(body, 1, ident, ident, digest):
+        for body, ident in zip(_normal(batch, 1), batch.column(0).to_pylist(), strict=True):
+            if trie.insert(body, 1, ident, ident, hashlib.sha256(body).digest()):
                 held += len(body)
             if held >= COMBINE_BYTES:
                 yield from flush(trie)
@@ -152,6 +165,21 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(out)
 
 
+def marked_duplicates(docs: DataFrame, id_col: str, text_col: str, keep: str, key: bool = False) -> DataFrame:
+    """(ident, key, digest, keep_id, group_size, kept) per row; ``key`` tells rows apart that share an identifier."""
+    if keep not in ("smallest", "largest"):
+        raise ValueError("keep must be smallest or largest")
+    ident, body = F.col(id_col).cast("long").alias("ident"), F.encode(text_col, "utf-8").alias("body")
+    marks = cut(docs.select(ident, (row_key(id_col, text_col) if key else F.lit(None).cast("binary")).alias("key"), body).mapInArrow(_digests, "ident long, key binary, digest binary"))
+    extreme = -(2**63) if keep == "largest" else 2**63 - 1
+    combined = docs.select(F.coalesce(ident, F.lit(extreme)).alias("ident"), body).mapInArrow(_combine, COMBINED)
+    dealt = combined.repartition("n", "digest").sortWithinPartitions("body")
+    owners = cut(dealt.select("digest", "body", "row_count", "least", "most").mapInArrow(_own, OWNERS))
+    chosen = F.col("most" if keep == "largest" else "least")
+    owners = owners.select("digest", F.nullif(chosen, F.lit(extreme)).alias("keep_id"), F.col("row_count").alias("group_size"))
+    return join_groups(marks, owners, "digest", "group_size").withColumn("kept", F.col("ident").eqNullSafe(F.col("keep_id")))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per row of ``docs``: (id_col, keep_id, group_size, kept, text_sha256).
 
@@ -161,32 +189,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null identifier never are a group's owner unless all of the group's are null; then keep_id is null and they are kept.
     Other columns of ``docs`` are not read. An empty table gives an empty result.
     """
-    if keep not in ("smallest", "largest"):
-        raise ValueError("keep must be smallest or largest")
-    body = F.encode(lower_ascii(F.col(text_col)), "utf-8")
-    rows = docs.select(F.sha2(body, 256).alias("hexed"), body.alias("body"), F.col(id_col).cast("long").alias("ident"))
-    extreme = -(2**63) if keep == "largest" else 2**63 - 1
-    combined = rows.select(F.unhex("hexed").alias("digest"), "body", F.coalesce("ident", F.lit(extreme)).alias("ident")).mapInArrow(_combine, COMBINED)
-    dealt = combined.repartition("n", "digest").sortWithinPartitions("body")
-    owners = cut(dealt.select("digest", "body", "row_count", "least", "most").mapInArrow(_own, OWNERS))
-    chosen = F.col("most" if keep == "largest" else "least")
-    owners = owners.select("digest", F.nullif(chosen, F.lit(extreme)).alias("keep_id"), F.col("row_count").alias("group_size"))
-
-    mine = rows.select("ident", F.unhex("hexed").alias("digest"))
-    return join_groups(mine, owners, "digest", "group_size").select(
-        F.col("ident").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("ident").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    marks = marked_duplicates(docs, id_col, text_col, keep)
+    return marks.select(F.col("ident").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; identifiers are taken as unique."""
-    marks = exact_duplicates(docs, id_col, text_col, keep)
-    gone = marks.where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each group of equal texts, with all its columns: that with the smallest or largest identifier.
+
+    Rows are told apart by identifier and text, so a row goes only if its own text has another owner. Of rows that repeat
+    the owner's identifier one stays, whichever; so it is where all identifiers of a group are null.
+    """
+    marks = cut(marked_duplicates(docs, id_col, text_col, keep, key=True).select("key", F.col("kept").alias("chosen"), F.col("digest").alias("group")))
+    return keep_rows(docs, row_key(id_col, text_col), marks)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 N-grams of 1 to 3 lower-cased characters are hashed to 2^15 features, weighted (1 + log tf) * idf and scaled to length one.
 Document frequencies count every training document. The weights are learned by follow-the-regularised-leader with
 elastic-net penalties on a bounded sample (TRAIN_DOCS); a temperature fitted on a further slice of the sample calibrates
-the probabilities. Whole texts are read, in blocks.
+the probabilities. Held-out rows may be told apart without an error, when log loss alone would drive the temperature to
+zero; so it is fitted to smoothed targets, (n + 1) / (n + 2) for a language with n rows, as Platt does. Whole texts are read,
+in blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from platewise.llm.common import cut, table
 
@@ -27,6 +30,12 @@ TRAIN_DOCS = 4000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 
+#: Most languages that a model has weights for; more are refused, as features times languages must fit a task.
+MOST_LABELS = 256
+
+#: Calibrated probability below which a pipeline rejects a document's language.
+LEAST_SCORE = 0.5
+
 UNKNOWN = "und"
 BLOCK = 1 << 20
 
@@ -86,13 +95,31 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def smoothed_loss(logits: np.ndarray, y: np.ndarray, heat: float) -> float:
+    """Log loss at a temperature against targets of (n + 1) / (n + 2) for a language with n rows, the rest shared."""
+    classes = logits.shape[1]
+    n = np.bincount(y, minlength=classes)[y]
+    right = (n + 1) / (n + 2)
+    z = logits / heat
+    z = z - z.max(axis=1, keepdims=True)
+    log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    own = log_p[np.arange(len(y)), y]
+    others = (log_p.sum(axis=1) - own) / max(1, classes - 1)
+    return float(-(right * own + (1 - right) * others).mean())
+
+
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least log loss, on a geometric grid."""
-    if not len(y):
+    """The temperature with the least smoothed loss, by golden section over its logarithm; 1 without rows or choice."""
+    if not len(y) or logits.shape[1] < 2:
         return 1.0
-    grid = np.geomspace(0.05, 20, 241)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    low, high, step = -12.0, 12.0, (np.sqrt(5) - 1) / 2
+    while high - low > 1e-4:
+        one, two = high - step * (high - low), low + step * (high - low)
+        if smoothed_loss(logits, y, np.exp(one)) <= smoothed_loss(logits, y, np.exp(two)):
+            high = two
+        else:
+            low = one
+    return float(np.exp((low + high) / 2))
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +169,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from text and non-null language of the documents that aren't held out; None if there are none with a letter.
 
     ``most`` bounds the sample, drawn evenly from the languages by a hash of the identifier. Rows without an identifier
-    are not learned from.
+    are not learned from. Over ``MOST_LABELS`` languages raise a ValueError.
     """
     known = F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}")
     rows = docs.where(known).select(F.col(id_col).cast("string").alias("ident"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
     if not per:
         return None
+    if len(per) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages to learn")
     labels, share = sorted(per), max(1, most // len(per))
     found = rows.select("text").mapInArrow(_document_frequencies, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect()
     df = np.zeros(FEATURES)
@@ -165,35 +194,52 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Adds lang_pred and score to rows whose last columns are text and ok (it has a letter), which are left out."""
     model = shared.value
     for batch in batches:
-        found = [model.predict(t) if t is not None and ok else (UNKNOWN, 0.0) for t, ok in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["ident", "held_out", "lang_pred", "score"])
+        kept, text, ok = batch.columns[:-2], batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        found = [model.predict(t) if t is not None and fine else (UNKNOWN, 0.0) for t, fine in zip(text.to_pylist(), ok.to_pylist(), strict=True)]
+        cols = [*kept, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "_lang_pred", "_score"])
+
+
+def predicted(rows: DataFrame, model: Model | None, text_col: str) -> DataFrame:
+    """``rows`` with _lang_pred and _score; all are ``und`` with score 0 if there is no model."""
+    if model is None:
+        return rows.withColumns({"_lang_pred": F.lit(UNKNOWN), "_score": F.lit(0.0)})
+    # features times languages numbers, however large the corpus
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    given = rows.select("*", F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_ok"))
+    schema = StructType([*rows.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    return given.mapInArrow(partial(_predict, shared=shared), schema)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id_col, held_out, lang_pred, score).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text if no model was learned. Only the text
-    decides. Repeated rows come back as often as they came in. Other columns are not read.
+    decides; the first language in order of name, if two are as likely. Repeated rows come back as often as they came in.
+    Other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("ident"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("ok"))
-    if model is None:
-        return rows.select(F.col("ident").alias(id_col), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    # features times languages numbers, however large the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(partial(_predict, shared=shared), "ident long, held_out boolean, lang_pred string, score double").withColumnRenamed("ident", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("ident"), held_out(id_col).alias("held_out"), F.col(text_col).alias("body"))
+    return predicted(rows, model, "body").select(F.col("ident").alias(id_col), "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is identified (not ``und``), with all their columns.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is identified, with all their columns; a null language is filled by the prediction.
 
-    The decision joins on the identifier; rows that share one go only if all of them are rejected.
+    Rejected are texts that are null or have no letter, and texts whose calibrated probability is below ``least`` unless the
+    prediction agrees with the language that they state. Each row is decided by itself. Without labelled rows there is no
+    model: then only the former are rejected.
     """
-    marks = cut(identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col))
-    good = marks.where(F.col("lang_pred") != UNKNOWN).select(F.col(id_col).alias("_id")).distinct()
-    gone = marks.where(F.col("lang_pred") == UNKNOWN).select(F.col(id_col).alias("_id")).distinct().join(good, "_id", "left_anti")
-    return docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    model = fit(docs, id_col, text_col, lang_col)
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    if model is None:
+        return docs.where(letters)
+    rows = predicted(docs, model, text_col)
+    sure = (F.col("_score") >= least) | (F.col("_lang_pred") == F.coalesce(F.col(lang_col), F.lit("")))
+    kept = rows.where((F.col("_lang_pred") != UNKNOWN) & sure)
+    return kept.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("_lang_pred"))).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from platewise.llm.common import cut, join_checked, table, word_count
+from platewise.llm.common import cut, join_groups, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
 SEED = "mix-1"
 
-#: Sources up to this many are joined by broadcast, more by a shuffle.
+#: Sources up to this many are joined by broadcast; of more only those with very many documents.
 BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
-    """(source, source_size, target, rate) per source of ``sizes`` (source, size).
+    """(source, source_size, documents, target, rate) per source of ``sizes`` (source, size).
 
     Sources in code-point order, null last, weigh ``weights`` in turn. They share ``share`` of all sizes by weight; no
     target exceeds ``most`` times its source's size, and the excess is shared anew by weight among the others until none
     is above. That is the level L with sum(least(L * weight, most * size)) = share * total: sources are capped in order of
     size / weight, and L follows from the capped sizes before and the weights after. Empty sources have target and rate 0.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))).cast("int") + 1)
     per = per.withColumn("weight", weight)
@@ -39,7 +39,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     per = per.withColumn("level", F.min(F.when(F.col("free"), F.struct("heavy", "level"))).over(every)["level"])
     cap = F.col("source_size") * F.lit(float(most))
     target = F.least(F.coalesce(F.col("level") * F.col("weight"), cap), cap)
-    return per.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
+    return per.select("source", "source_size", "documents", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
+
+
+def source_key(source: Column) -> Column:
+    """A source's key for joins; null is a source of its own."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def with_plan(rows: DataFrame, plan: DataFrame, source: Column, documents: str = "documents") -> DataFrame:
+    """Each row with what ``plan`` has for its source; no source, however large, is gathered in a task."""
+    keyed, keys = rows.withColumn("_source_key", source_key(source)), plan.withColumn("_source_key", source_key(F.col("source"))).drop("source")
+    if keys.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return keyed.join(F.broadcast(keys), "_source_key")
+    return join_groups(keyed, keys, "_source_key", documents)
+
+
+def copies_of(ident: Column, rate: Column, seed: str) -> Column:
+    """floor(rate) and one more if a hash of seed and identifier falls below the fraction."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
@@ -50,22 +69,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     draws as the empty string. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("ident"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    plan = cut(targets(rows)).withColumnRenamed("source", "of_source")
-    key = F.col("source").eqNullSafe(F.col("of_source"))
-    joined = join_checked(rows, plan, key, "left", BROADCAST_SOURCES)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("ident").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    whole = F.floor("rate")
-    copies = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
-    return joined.withColumn("copies", copies).select(F.col("ident").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    joined = with_plan(rows, cut(targets(rows)), F.col("source")).withColumn("copies", copies_of(F.col("ident"), F.col("rate"), seed))
+    return joined.select(F.col("ident").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each repeated as often as it is taken."""
-    plan = cut(targets(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    joined = join_checked(docs, plan, F.col(source_col).eqNullSafe(F.col("_source")), "left", BROADCAST_SOURCES)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    copies = (F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    plan = cut(targets(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))).select("source", F.col("documents").alias("_documents"), F.col("rate").alias("_rate"))
+    joined = with_plan(docs, plan, F.col(source_col), "_documents")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies_of(F.col(id_col), F.col("_rate"), seed)))).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

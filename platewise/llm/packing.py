@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from platewise.llm.common import cut, join_checked, table
+from platewise.llm.common import HOT_SHARE, cut, join_checked, table
 
 WINDOW = 4096
 END_ID = 1
@@ -446,7 +446,8 @@ def pack(parts: DataFrame, window: int = WINDOW, id_bytes: int = 0) -> DataFrame
     schema = ", ".join(f"{n} {given[n]}" for n in names) + ", sequence_id long, offset long"
 
     # as many salts as each length has use for; one row per length
-    salts = spark.createDataFrame([(int(k), 1 + int(v) // SALT_ROWS) for k, v in counts.items()], "length long, salts long")
+    total = sum(counts.values())
+    salts = spark.createDataFrame([(int(k), 1 + int(v) // SALT_ROWS + HOT_SHARE * int(v) // total) for k, v in counts.items()], "length long, salts long")
     salted = parts.where(F.col("length") < window).join(F.broadcast(salts), "length")
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("ident", "piece"), F.col("salts"))).drop("salts")
     per_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

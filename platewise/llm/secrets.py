@@ -2,8 +2,9 @@
 
 Patterns find assignments, access keys and long hex strings. Beyond these, every long token that looks like a credential
 (mixed classes, high entropy) is a candidate; candidate hashes are counted by distinct documents (the repositories) and
-distinct sources (their owners). Strings that many owners carry are widely copied examples; a candidate of few owners is
-owner-specific and reported as well, as kind ``owned``.
+distinct sources (their owners). What the base patterns match is counted alike, by the secret value itself. Strings that many
+owners or repositories carry are widely copied examples; others are owner-specific and look live. A candidate of its own
+that is owner-specific is reported as well, as kind ``owned``; base spans stay and are told to be one or the other.
 """
 
 from __future__ import annotations
@@ -57,31 +58,44 @@ def looks_live(value: str) -> bool:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values()) >= LEAST_ENTROPY
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
+def hashed(value: str) -> bytes:
+    """128 bits that stand for a secret value, so that no value leaves its task in clear."""
+    return xxhash.xxh3_128_digest(value.encode())
+
+
+def candidates(text: str) -> list[tuple[int, int, bytes]]:
     """(start, end, hash) of the strings that look like credentials."""
     if max(map(len, text.split()), default=0) < 20:
         return []
-    return [(m.start(), m.end(), xxhash.xxh3_64_intdigest(m[0].encode()) - (1 << 63)) for m in CANDIDATE.finditer(text) if looks_live(m[0])]
+    return [(m.start(), m.end(), hashed(m[0])) for m in CANDIDATE.finditer(text) if looks_live(m[0])]
+
+
+def secret_values(text: str, spots: list[tuple[int, int, str]]) -> list[tuple[int, int, str, bytes]]:
+    """(start, end, kind, hash) of base spans and of the candidates outside them; an assignment's value is what it assigns."""
+    found = [(a, b, k, hashed(ASSIGN.match(text, a)[2] if k == "assign" else text[a:b])) for a, b, k in spots]
+    return found + [(a, b, "own", h) for a, b, h in candidates(text) if not any(x <= a and b <= y for x, y, _ in spots)]
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-SCANNED = "ident long, owner string, base string, n_assign long, n_access long, n_hex long, found array<struct<start:int,stop:int,hash:bigint>>"
+SPAN = "struct<start:int,stop:int,kind:string,hash:binary>"
+SCANNED = f"ident long, owner string, row binary, base string, n_assign long, n_access long, n_hex long, found array<{SPAN}>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("hash", pa.int64())]))
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("hash", pa.binary())]))
     for batch in batches:
-        base, counted, found = [], [], []
-        for text in batch.column(2).to_pylist():
+        base, counted, found, rows = [], [], [], []
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             spots = base_spans(text or "")
             base.append(written(spots))
             counted.append(Counter(k for *_, k in spots))
-            found.append([dict(zip(("start", "stop", "hash"), c, strict=True)) for c in candidates(text or "")])
+            found.append([dict(zip(("start", "stop", "kind", "hash"), c, strict=True)) for c in secret_values(text or "", spots)])
+            rows.append(hashlib.md5(f"{ident}|{found[-1]}".encode()).digest())
         counts = [pa.array([c[k] for c in counted], pa.int64()) for k in KINDS[:3]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.string()), *counts, pa.array(found, spans)], ["ident", "owner", "base", "n_assign", "n_access", "n_hex", "found"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary()), pa.array(base, pa.string()), *counts, pa.array(found, spans)], ["ident", "owner", "row", "base", "n_assign", "n_access", "n_hex", "found"])
 
 
 def _merge(base: str, owned: list | None) -> str:
@@ -93,39 +107,37 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         base, owned = batch.column(1).to_pylist(), batch.column(5).to_pylist()
         cols = [batch.column(0), *batch.columns[2:5], pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string()), pa.array(list(map(_merge, base, owned)), pa.string())]
-        cols += [pa.array([len(x or []) for x in owned], pa.int64()), *batch.columns[6:8]]
-        yield pa.RecordBatch.from_arrays(cols, ["ident", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_copied", "carriers"])
+        cols += [pa.array([len(x or []) for x in owned], pa.int64()), *batch.columns[6:]]
+        yield pa.RecordBatch.from_arrays(cols, ["ident", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_owned", "n_live", "n_copied", "carriers"])
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """(hash, repositories, owners) of every candidate: distinct documents and sources that carry it."""
+    """(hash, repositories, owners) of every value: distinct documents and sources that carry it."""
     carried = scanned.select("ident", "owner", F.explode(F.array_distinct(F.transform("found", lambda s: s["hash"]))).alias("hash"))
     return carried.groupBy("hash").agg(F.count_distinct(F.struct("ident")).alias("repositories"), F.count_distinct(F.struct("owner")).alias("owners"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES, few: int = FEW_REPOSITORIES) -> DataFrame:
-    """One row per row of ``docs``: (id_col, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, carriers).
-
-    ``spans`` lists kind:start:end in code points by start; base spans always stay. A candidate that more than
-    ``most_repositories`` documents carry, or more than ``most_owners`` sources and more than ``few`` documents, is copied
-    and counted in n_copied; others are added as ``owned``, unless they lie within a base span. ``carriers`` lists
-    start:end:repositories:owners of every candidate by start. Null text counts as empty, a null source is one owner, rows
-    that repeat an identifier count as one document and share what is owned if their texts are equal. Other columns are not read. An empty table gives an empty result.
+    """One row per row of ``docs``: (id_col, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied, carriers).
+
+    ``spans`` lists kind:start:end in code points by start; base spans always stay, and candidates outside them that are
+    owner-specific are added as ``owned``. A value that more than ``most_repositories`` documents carry, or more than
+    ``most_owners`` sources and more than ``few`` documents, is copied, else live; n_live and n_copied count both among base
+    spans and candidates. ``carriers`` lists kind:start:end:repositories:owners:class of every value by start (kind ``own``
+    for a candidate). Null text counts as empty, a null source is one owner, rows that repeat an identifier count as one
+    document and share what is owned if their texts are equal. Texts are scanned whole. Other columns are not read. An empty
+    table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("ident"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
-    scanned = cut(rows.mapInArrow(_scan, SCANNED).withColumn("row", F.xxhash64("ident", "owner", "base", F.to_json("found"))))
-    some = scanned.where(F.size("found") > 0).select("row", "base", F.explode("found").alias("s")).select("row", "base", "s.*").distinct()
-    known = some.transform(lambda x: join_groups(x, cut(ownership(scanned)), "hash", "repositories"))
-    within = F.exists(
-        F.filter(F.split("base", ","), lambda x: x != ""),
-        lambda x: (F.element_at(F.split(x, ":"), 2).cast("int") <= F.col("start")) & (F.element_at(F.split(x, ":"), 3).cast("int") >= F.col("stop")),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("ident"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
+    scanned = cut(rows.mapInArrow(_scan, SCANNED))
+    some = scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("s")).select("row", "s.*").distinct()
+    known = join_groups(some, cut(ownership(scanned)), "hash", "repositories")
     copied = (F.col("repositories") > most_repositories) | ((F.col("owners") > most_owners) & (F.col("repositories") > few))
-    own = ~copied & ~within
-    per = known.groupBy("row").agg(F.collect_list(F.when(own, F.struct("start", "stop"))).alias("owned"), F.count_if(copied).alias("n_copied"), F.sort_array(F.collect_list(F.struct("start", "stop", "repositories", "owners"))).alias("carriers"))
-    listed = F.array_join(F.transform(F.coalesce("carriers", F.array()), lambda s: F.concat_ws(":", s["start"], s["stop"], s["repositories"], s["owners"])), ",")
-    joined = scanned.join(per, "row", "left").select("ident", "base", "n_assign", "n_access", "n_hex", "owned", F.coalesce("n_copied", F.lit(0)).alias("n_copied"), listed.alias("carriers"))
-    schema = "ident long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_owned long, n_copied long, carriers string"
+    said = F.struct("start", "stop", "kind", "repositories", "owners", F.when(copied, "copied").otherwise("live").alias("class"))
+    per = known.groupBy("row").agg(F.collect_list(F.when((F.col("kind") == "own") & ~copied, F.struct("start", "stop"))).alias("owned"), F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_copied"), F.sort_array(F.collect_list(said)).alias("carriers"))
+    listed = F.array_join(F.transform(F.coalesce("carriers", F.array()), lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"], s["repositories"], s["owners"], s["class"])), ",")
+    joined = scanned.join(per, "row", "left").select("ident", "base", "n_assign", "n_access", "n_hex", "owned", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied")], listed.alias("carriers"))
+    schema = "ident long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_owned long, n_live long, n_copied long, carriers string"
     return joined.mapInArrow(_write, schema).withColumnRenamed("ident", id_col)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import cut, join_groups, table
+from platewise.llm.common import HOT_SHARE, cut, join_groups, keep_rows, row_key, table
 
 #: Seed of XXH64, for shingles.
 SEED = 42
@@ -31,9 +31,6 @@ BLOCK, REST = 23, 18
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 
-#: Most rounds of the component search; each at least halves the depth of what is left.
-ROUNDS = 60
-
 
 def fingerprint(text: bytes | None, width: int = 3, block: int = 1 << 16) -> int:
     """64-bit SimHash of a text: bit set if it is set in over half the shingles' hashes; no word: zero."""
@@ -54,14 +51,15 @@ def fingerprint(text: bytes | None, width: int = 3, block: int = 1 << 16) -> int
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, width) for t in batch.column(1)), np.uint64, len(batch))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["ident", "fp"])
+        prints = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, width) for t in batch.column("body")), np.uint64, len(batch))
+        kept = batch.drop_columns(["body"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(prints.view(np.int64))], [*kept.schema.names, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(ident, fp) per row; fp is the unsigned fingerprint in a long's bits."""
-    rows = docs.select(F.col(id_col).cast("long").alias("ident"), F.encode(text_col, "utf-8").alias("body"))
-    return rows.mapInArrow(partial(_fingerprints, width=width), "ident long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, key: bool = False) -> DataFrame:
+    """(ident, [key,] fp) per row; fp is the unsigned fingerprint in a long's bits, key tells rows apart."""
+    rows = docs.select(F.col(id_col).cast("long").alias("ident"), *[row_key(id_col, text_col).alias("key")] * key, F.encode(text_col, "utf-8").alias("body"))
+    return rows.mapInArrow(partial(_fingerprints, width=width), f"ident long, {'key binary, ' * key}fp long")
 
 
 @cache
@@ -150,14 +148,18 @@ def near_links(prints: DataFrame, most: int = 2) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b) as (node, root), root the least node of the component, for nodes with links.
 
-    Large-star and small-star steps take turns; a round only aggregates and joins on node, so no component is gathered
-    in one place, and each round is checkpointed.
+    Large-star and small-star steps take turns until nothing changes, each round checkpointed. A round aggregates by node
+    (combined before the shuffle) and joins on node; a node that has over a HOT_SHARE-th of all links, as the root of a large
+    component has, is joined by a broadcast, so that its neighbours never meet in one task.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, total: int) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"))
-        hung = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n"))
+        is_hot = F.col("n") * HOT_SHARE > 2 * total
+        hot = least.where(is_hot).drop("n")
+        cold = both.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(~is_hot).drop("n"), "a")
+        hung = both.join(F.broadcast(hot), "a").unionByName(cold)
         if large:
             out = hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
         else:
@@ -169,19 +171,27 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = state(edges)
-    for _ in range(ROUNDS):
-        if not before[0]:
-            break
-        edges = cut(star(star(edges, True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False))
+    while before[0]:
+        edges = cut(star(star(edges, True, before[0]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False, before[0]))
         now = state(edges)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, width: int, most: int, key: bool) -> DataFrame:
+    """(ident, [key,] fp, root, component_id) per row; root is the component's least fingerprint."""
+    marked = cut(fingerprints(docs, id_col, text_col, width, key))
+    prints = cut(marked.groupBy("fp").agg(F.min("ident").alias("least"), F.count("*").alias("n")))
+    inside = components(near_links(prints, most))
+    linked = cut(prints.join(inside, prints.fp == inside.node).select("fp", "least", "root"))
+    ends = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")))
+    named = join_groups(linked, ends, "root", "prints").select("fp", "root", "component_id")
+    alone = prints.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return join_groups(marked, cut(alone), "fp", "n").drop("n")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """One row per row of ``docs``: (id_col, fingerprint, component_id), component_id the least identifier reachable.
 
@@ -190,20 +200,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null identifier is never a component's least unless the component has no other; then component_id is null.
     Other columns are not read. An empty table gives an empty result.
     """
-    marked = cut(fingerprints(docs, id_col, text_col, width))
-    prints = cut(marked.groupBy("fp").agg(F.min("ident").alias("least"), F.count("*").alias("n")))
-    inside = components(near_links(prints, most))
-    linked = cut(prints.join(inside, prints.fp == inside.node).select("fp", "least", "root"))
-    ends = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(ends, "root").select("fp", "component_id")
-    alone = prints.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return join_groups(marked, cut(alone), "fp", "n").select(F.col("ident").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _marked(docs, id_col, text_col, width, most, False)
+    return rows.select(F.col("ident").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose identifier is their component's least, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, width, most).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each component, with all its columns: that with the least identifier.
+
+    Rows are told apart by identifier and text. Of rows of a component that share its least identifier one stays, whichever;
+    so it is where all identifiers of a component are null.
+    """
+    rows = _marked(docs, id_col, text_col, width, most, True)
+    marks = cut(rows.select("key", F.col("ident").eqNullSafe(F.col("component_id")).alias("chosen"), F.col("root").alias("group")))
+    return keep_rows(docs, row_key(id_col, text_col), marks)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,9 @@ PERIOD, COVER = 7, (0, 1, 3)
 #: Words that a task takes up before it sorts and sends their hashes, and bytes of text per hash bucket.
 CHUNK_WORDS, BUCKET_BYTES, LEAST_BITS = 1_000_000, 32 << 20, 6
 
+#: Bytes of text in a partition of the joins with what documents are told.
+PART_BYTES = 32 << 20
+
 Q1, Q2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -239,15 +242,18 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         raise ValueError(f"window must be at least {PERIOD}")
     rows = docs.select(F.col(id_col).cast("long").alias("ident"), F.encode(text_col, "utf-8").alias("body"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     bits = min(40, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
 
     def told(sent: DataFrame, width: int, smaller: bool) -> DataFrame:
         dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(partial(_buckets, width=width, smaller=smaller), TOLD).groupBy("ident").agg(F.collect_set("hash").alias("hashes"))
+        return dealt.mapInArrow(partial(_buckets, width=width, smaller=smaller), TOLD).repartition(parts, "ident").groupBy("ident").agg(F.collect_set("hash").alias("hashes"))
+
+    # the same exchange and order of the texts serve both joins, which sort and so can spill
+    dealt_rows = rows.repartition(parts, "ident")
 
     def beside(found: DataFrame) -> DataFrame:
-        # the same exchange of the texts serves both joins; hashing what was told spares sorting them
-        return rows.join(found.hint("shuffle_hash"), "ident", "left").select("ident", "body", "hashes")
+        return dealt_rows.join(found.hint("merge"), "ident", "left").select("ident", "body", "hashes")
 
     shared = told(rows.mapInArrow(partial(_anchors, window=window, bits=bits), SENT), 48, False)
     doubled = told(beside(shared).mapInArrow(partial(_windows, window=window, bits=bits), SENT), 64, True)

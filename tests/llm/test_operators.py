@@ -180,17 +180,36 @@ def test_secrets(spark):
     assert got[12].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def test_search_with_ties_and_odd_vectors(spark):
+@pytest.mark.parametrize("sizes", [None, (64, 16)])
+def test_search_with_ties_and_odd_vectors(spark, monkeypatch, sizes):
+    if sizes:
+        monkeypatch.setattr(vector_search, "SHARD_ROWS", sizes[0])
+        monkeypatch.setattr(vector_search, "LEAF", sizes[1])
     rng = random.Random(1)
-    rows = [(i, [rng.randint(-2, 2) / 8 for _ in range(4)]) for i in range(300)] + [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan")] * 4), (420, [float("inf")] * 4)]
+    rows = [(i, [rng.randint(-2, 2) / 8 for _ in range(4)]) for i in range(300)] + [(i, [0.25] * 4) for i in range(300, 400)]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan")] * 4), (420, [float("inf")] * 4), (440, [])]
+    rows += [(500, [1.0, 2.0]), (501, [0.5, 1.0])]
+    docs = spark.createDataFrame([(*r, 1, 2.0, "x") for r in rows], "vec_id long, embedding array<float>, leaf int, floor double, shard string")
     got = collections.defaultdict(list)
-    for r in vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("ident") % 20 == 0, 7).orderBy("query_id", "rank").collect():
+    for r in vector_search.search(docs, F.col("ident") % 20 == 0, 7).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows[:300]}
-    for q in range(0, 300, 20):
+    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows[:400]}
+    for q in range(0, 400, 20):
         every = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
         assert got[q] == [(i, -s) for s, i in every[:7]]
-    assert len(got) == 15
+    assert got[500] == [(501, 64 * 32 + 128 * 64)] and len(got) == 21
+    assert vector_search.search(docs.limit(0), F.col("ident") % 20 == 0).count() == 0
+
+
+def test_search_is_exact_for_large_components(spark):
+    rows = [(i, [2.0**23 + i, -(2.0**22), 1.0 + i]) for i in range(60)]
+    ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("ident") % 20 == 0, 3).collect()
+    for q in (0, 20, 40):
+        every = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k, i, -s) for k, (s, i) in enumerate(every[:3], 1)]
+    with pytest.raises(ValueError):
+        vector_search.search(spark.createDataFrame([(1, [1e17, 1.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.col("ident") % 20 == 0)
 
 
 def test_packing_round_trip(docs):

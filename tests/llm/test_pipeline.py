@@ -1,11 +1,21 @@
-"""The pipeline's stages, each against what its operator says of the stage's own input."""
+"""The pipeline's stages, each against brute force on the stage's own input."""
+
+import collections
 
 import __spark_entry__
 import corpus_pipeline
-from platewise.llm import exact_dedup, simhash
+from platewise.llm import language_id, mixing
+from tests.llm.test_jaccard import least_of_components, slow_shingles
+
+
+def normal(text):
+    return "".join(c.lower() if c.isascii() else c for c in text or "")
 
 
-def test_stages_keep_clean_documents_and_columns(spark, sf):
+def test_stages_against_brute_force(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
@@ -13,12 +23,52 @@ def test_stages_keep_clean_documents_and_columns(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = spark.createDataFrame(stage(spark, before, sf).collect(), docs.schema)
         assert after.columns == docs.columns
-        kept = {r.doc_id for r in after.collect()}
+        rows, kept = before.collect(), after.collect()
+        if name == "language_id":
+            model = language_id.fit(before)
+            want = set()
+            for r in rows:
+                lang, score = model.predict(r.text) if any(c.isalpha() for c in r.text or "") else ("und", 0.0)
+                if lang != "und" and (score >= 0.5 or lang == r.lang):
+                    want.add((r.doc_id, r.lang or lang))
+            assert {(r.doc_id, r.lang) for r in kept} == want and len(kept) == len(want)
         if name == "exact_dedup":
-            assert kept == {r.doc_id for r in exact_dedup.exact_duplicates(before, keep="largest").where("kept").collect()}
+            best = collections.defaultdict(int)
+            for r in rows:
+                best[normal(r.text)] = max(best[normal(r.text)], r.doc_id)
+            assert sorted(r.doc_id for r in kept) == sorted(best.values())
         if name == "near_dedup":
-            assert kept == {r.component_id for r in simhash.near_duplicates(before).collect()}
+            assert sorted(r.doc_id for r in kept) == sorted(least_of_components({r.doc_id: slow_shingles(r.text) for r in rows}))
+        if name == "mixing":
+            copies = collections.Counter({r.doc_id: r.copies for r in mixing.mixed(before).collect()})
+            assert collections.Counter(r.doc_id for r in kept) == +copies
+            size = collections.Counter()
+            for r in rows:
+                size[r.source] += len((r.text or "").split())
+            assert all(2 * sum(len((r.text or "").split()) for r in kept if r.source == s) <= 4 * n + 1 for s, n in size.items())
         before = after
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = collections.Counter()
+    for r in before.collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want.update((r.doc_id, k, tuple(ids[k : k + 4096])) for k in range(0, len(ids), 4096))
+    got = corpus_pipeline.STAGES[-1][1](spark, before, sf).collect()
+    assert collections.Counter((r.doc_id, r.start, tuple(r.ids)) for r in got) == want
+    used = collections.defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    for spots in used.values():
+        end = 0
+        for offset, length in sorted(spots):
+            assert offset == end
+            end += length
+        assert end <= 4096
+
+
+def test_whole_run_and_empty_table(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, sf).count() > 0
 
 
 def test_registered_queries():
