@@ -293,6 +293,22 @@ def test_rules_and_odd_urls(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.example.co.uk:80": ("example.co.uk", "co.uk"), "u@x.example.com": ("example.com", "com"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "local": ("local", "local"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = rows.select("host", url_filter.domain_of(F.col("host")).alias("d"), url_filter.suffix_of(F.col("host")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == hosts
+
+
+def test_judging_ties_repeats_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/", 3, "x"), (1, "http://a.com/", 3, "x"), (2, None, 1, "y"), (None, "http://b.com", 0, "z")], "page_id long, url string, n long, host string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages, labels)
+    assert sorted((str(r.page_id), r.host) for r in got.collect()) == [("1", "a.com"), ("1", "a.com"), ("2", ""), ("None", "b.com")]
+    bound = {r.host: r.bound for r in got.collect()}["a.com"]
+    assert {r.verdict for r in url_filter.judge(pages, labels, limit=bound).where("host = 'a.com'").collect()} == {"allow"}
+
+
 def test_bad_hosts_are_blocked_by_their_labels(spark):
     pages = spark.createDataFrame([(i, f"https://{'bad' if i % 2 else 'good'}.com/{i}") for i in range(200)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
