@@ -154,12 +154,13 @@ def test_pii_is_replaced_alike_and_apart(spark):
     for lost in ("John", "Jane", "a@b", "555-7713", "1.2.3.4", "5.6.7.8", "4845168114407329"):
         assert not any(lost in (t or "") for r in by.values() for t in r)
     mail = [re.search(r"\S+@[\w.]+", by[i][0])[0] for i in (1, 2)]
-    assert mail[0].rstrip(",") == mail[1].rstrip(",")
+    assert mail[0].rstrip(",").lower() == mail[1].rstrip(",").lower()
     assert re.search(r"\+\d \(\d{3}\) \d{3}-\d{4}", by[1][0]) and "Mr. " in by[1][0] and "Mrs. " in by[1][0]
 
 
 def test_pii_collisions_are_drawn_again(spark):
     def few(e, kind, attempt, key):
+        kind = F.lit(kind) if isinstance(kind, str) else kind
         return F.concat(F.substring(F.sha2(F.concat(pii.canonical(e, kind), attempt.cast("string")), 256), 1, 1), F.lit("@x.yz"))
 
     docs = spark.createDataFrame([(i, f"mail w{i}@m.com and w{i % 5}@m.com and 3@x.yz") for i in range(10)], "doc_id long, text string")
