@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +32,62 @@ def overlap(one: str, two: str) -> Column:
     return F.when((area[0] > 0) & (area[1] > 0), width * height / (area[0] + area[1] - width * height)).otherwise(0.0)
 
 
+REPLAYED = "rule string, old_id long, new_id long, verdict string"
+
+
+def _greedy(old: pd.DataFrame, new: pd.DataFrame, least: float) -> pd.DataFrame:
+    """New findings, in order, each take the free old one of their key that they overlap most; a side may stay alone."""
+    old, new = old.sort_values("id"), new.sort_values("id")
+    free, out = dict(zip(old["id"], old[["x0", "y0", "x1", "y1"]].itertuples(index=False), strict=True)), []
+    verdicts = dict(zip(old["id"], old["verdict"], strict=True))
+    rule = (old if len(old) else new)["rule"].iloc[0]
+    for ident, *box in new[["id", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+        best, at = 0.0, None
+        for other, b in free.items():
+            boxless = any(pd.isna(x) for x in (*box, *b))
+            width, height = max(0.0, min(box[2], b[2]) - max(box[0], b[0])), max(0.0, min(box[3], b[3]) - max(box[1], b[1]))
+            whole = (box[2] - box[0]) * (box[3] - box[1]) + (b[2] - b[0]) * (b[3] - b[1]) - width * height
+            iou = 1.0 if boxless else width * height / whole if whole > 0 else 0.0
+            if iou > best:
+                best, at = iou, other
+        if at is not None and best >= least:
+            free.pop(at)
+            out.append((rule, at, ident, verdicts[at]))
+        else:
+            out.append((rule, None, ident, None))
+    out += [(rule, ident, None, verdicts[ident]) for ident in free]
+    return pd.DataFrame(out, columns=["rule", "old_id", "new_id", "verdict"]).astype({"old_id": "Int64", "new_id": "Int64"})
+
+
 def replay_matches(old: DataFrame, new: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """Per old finding its best counterpart among the new ones of the same key: (old_id, new_id, iou), where each new finding
-    goes to one old one only: pairs that are each other's best match.
+    """(rule, old_id, new_id, verdict): greedy one-to-one matches of new findings with old ones of the same key.
 
-    Both tables have an id and a box. Ties go to the smaller identifiers. Pairs meet only within their key.
+    Both tables have rule, id and a box, which may be null and then overlaps anything of its key whole; ``old`` has a
+    verdict. The keys (file, rule, page) keep a group to the findings of one rule on one page; groups are spread by key.
     """
     boxes = ["x0", "y0", "x1", "y1"]
-    a = old.select(*keys, F.col("id").alias("old_id"), *[F.col(c).alias(f"o{c}") for c in boxes])
-    b = new.select(*keys, F.col("id").alias("new_id"), *[F.col(c).alias(f"n{c}") for c in boxes])
-    pairs = a.join(b, keys).withColumn("iou", F.round(overlap("o", "n"), 9)).where(F.col("iou") >= least).withColumn("worse", -F.col("iou"))
-    best = first_per(pairs, ["old_id"], ["worse", "new_id"])
-    return first_per(best, ["new_id"], ["worse", "old_id"]).select("old_id", "new_id", F.round("iou", 6).alias("iou"))
+    own = [c for c in ("rule", "id", *boxes) if c not in keys]
+    a, b = old.select(*keys, *own, "verdict"), new.select(*keys, *own)
+
+    def match(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        return _greedy(one, two, least)
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, REPLAYED)
+
+
+def replay_score(matches: DataFrame) -> DataFrame:
+    """Per rule and in total (rule null): findings, disputed ones kept and removed, confirmed ones lost, regressions.
+
+    A new finding without a counterpart is a regression if its rule has a disputed one among the old.
+    """
+    disputed, confirmed = F.col("verdict") == "disputed", F.col("verdict") == "confirmed"
+    old, new = F.col("old_id").isNotNull(), F.col("new_id").isNotNull()
+    per = matches.groupBy("rule").agg(
+        F.count_if(old).alias("baseline"), F.count_if(new).alias("fresh"), F.count_if(old & disputed).alias("baseline_disputed"), F.count_if(old & new & disputed).alias("fresh_disputed"),
+        F.count_if(old & ~new & disputed).alias("removed_disputed"), F.count_if(old & ~new & confirmed).alias("removed_confirmed"), F.count_if(new & ~old).alias("unmatched"),
+    )
+    per = per.withColumn("regressions", F.when(F.col("baseline_disputed") > 0, F.col("unmatched")).otherwise(0)).drop("unmatched")
+    return per.unionByName(per.agg(*[F.sum(c).alias(c) for c in per.columns[1:]]).withColumn("rule", F.lit(None).cast("string")))
 
 
 def ink_spread(inks: DataFrame, least: int = 2) -> DataFrame:

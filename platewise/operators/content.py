@@ -12,7 +12,7 @@ from platewise.functions.text import check_digit
 from platewise.operators.families import first_per
 from platewise.operators.layout import PAGE, PROCESS
 
-# Names of inks that stand for a step of finishing instead of a colour (fixed values).
+#: Words in names of inks that stand for a step of finishing instead of a colour.
 FINISHING = ("cut", "crease", "varnish", "foil", "emboss", "white")
 
 
@@ -25,21 +25,38 @@ def ink_class(name: Column) -> Column:
     return F.when(n.isin("all", "none"), "reserved").when(n.isin(*PROCESS), "process").when(n.startswith("pantone"), "library").when(finishing, "finishing").when(n.isNotNull(), "spot")
 
 
+# Application identifiers: length of a fixed value (0 if it ends at a separator) and its syntax (fixed values of the standard).
+GS1 = {
+    "00": (18, r"\d{18}"), "01": (14, r"\d{14}"), "02": (14, r"\d{14}"), "10": (0, r"[\x21-\x7e]{1,20}"), "11": (6, r"\d{6}"), "12": (6, r"\d{6}"), "13": (6, r"\d{6}"),
+    "15": (6, r"\d{6}"), "16": (6, r"\d{6}"), "17": (6, r"\d{6}"), "20": (2, r"\d{2}"), "21": (0, r"[\x21-\x7e]{1,20}"), "22": (0, r"[\x21-\x7e]{1,20}"), "30": (0, r"\d{1,8}"), "37": (0, r"\d{1,8}"),
+    "240": (0, r"[\x21-\x7e]{1,30}"), "241": (0, r"[\x21-\x7e]{1,30}"), "250": (0, r"[\x21-\x7e]{1,30}"), "251": (0, r"[\x21-\x7e]{1,30}"), "310": (7, r"[0-5]\d{6}"), "320": (7, r"[0-5]\d{6}"),
+    "8200": (0, r"[\x21-\x7e]{1,70}"), "8201": (0, r"[\x21-\x7e]{1,70}"), "8202": (0, r"[\x21-\x7e]{1,70}"),
+}
+_LONGEST = sorted(GS1, key=len, reverse=True)
+ELEMENT = "|".join(f"{ai}(?s:.{{0,{GS1[ai][0]}}})" if GS1[ai][0] else f"{ai}[^\\x1d]*+(?:\\x1d|$)" for ai in _LONGEST)
+
+
 def gs1_elements(payload: Column) -> Column:
-    """Array of (ai, value, valid) of a GS1 element string: identifiers 01, 11, 13, 15, 17 of fixed and 10, 21 of variable length.
+    """Array of (ai, value, valid) of a GS1 element string, element by element from its start.
 
-    Variable values end at a group separator or the end. A number of 14 digits is valid by its check digit, a date by its
-    month and day (day 00 stands for the whole month).
+    The longest identifier that fits is taken; a fixed value has its length, or less at the end, others end at a separator.
+    What follows the first unknown identifier is one element ``?`` that is not valid. Leading symbology marks are skipped.
     """
-    found = F.regexp_extract_all(payload, F.lit(r"(01[0-9]{14}|1[1357][0-9]{6}|(?:10|21)[^\x1d]{1,20}(?:\x1d|$))"), F.lit(1))
+    body = F.regexp_replace(payload, r"^(?:\]C1|\]Q3|\]e0|\x1d)", "")
+    known = F.regexp_extract(body, f"^((?:{ELEMENT})*+)", 1)
+    rest = F.substring(body, F.length(known) + 1, F.length(body))
 
     def element(e: Column) -> Column:
-        ai, value = F.substring(e, 1, 2), F.regexp_replace(F.substring(e, 3, 40), r"\x1d", "")
-        number = check_digit(F.substring(value, 1, 13)).cast("string") == F.substring(value, 14, 1)
-        date = F.substring(value, 3, 2).between("01", "12") & F.substring(value, 5, 2).between("00", "31")
-        return F.struct(ai.alias("ai"), value.alias("value"), F.when(ai == "01", number).when(ai.isin("11", "13", "15", "17"), date).otherwise(True).alias("valid"))
-
-    return F.transform(found, element)
+        ai = F.regexp_extract(e, f"^({'|'.join(_LONGEST)})", 1)
+        value = F.regexp_replace(F.substring(e, F.length(ai) + 1, F.length(e)), r"\x1d$", "")
+        valid = F.lit(False)
+        for name, (_, syntax) in GS1.items():
+            valid = F.when(ai == name, value.rlike(f"^{syntax}$")).otherwise(valid)
+        return F.struct(ai.alias("ai"), value.alias("value"), valid.alias("valid"))
+
+    found = F.transform(F.regexp_extract_all(known, F.lit(f"({ELEMENT})"), F.lit(1)), element)
+    unknown = F.struct(F.lit("?").alias("ai"), rest.alias("value"), F.lit(False).alias("valid"))
+    return F.when(F.length(rest) > 0, F.concat(found, F.array(unknown))).otherwise(found)
 
 
 def grade(score: Column) -> Column:

@@ -14,8 +14,11 @@ POINTS_PER_MM = 72.0 / 25.4
 
 
 def fused(rows: DataFrame, rules: dict[str, tuple[str, Column]], *keep: str) -> DataFrame:
-    """One row per rule that holds: (*keep, inspection_id, severity), all rules in one pass."""
-    hits = [F.when(test, F.struct(F.lit(name).alias("inspection_id"), F.lit(severity).alias("severity"))) for name, (severity, test) in rules.items()]
+    """One row per rule that holds: (*keep, inspection_id, severity), all rules in one pass.
+
+    What follows a ``#`` in a name tells rules apart that report under one identifier. A null test does not hold.
+    """
+    hits = [F.when(test, F.struct(F.lit(name.split("#")[0]).alias("inspection_id"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))) for name, (severity, test) in rules.items()]
     return rows.select(*keep, F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("hit")).select(*keep, "hit.*")
 
 
@@ -36,42 +39,61 @@ def image_rules(low: float = 150.0, high: float = 450.0) -> dict[str, tuple[str,
 
 
 def ink_rules(limit: float = 300.0, hairline: float = 0.25) -> dict[str, tuple[str, Column]]:
-    """Coverage, registration colour, impure grey and black, hairlines of painted paths (c, m, y, k, line_width, fill)."""
+    """Coverage, registration colour, impure grey and black, hairlines of painted paths (c, m, y, k, line_width, fill).
+
+    Grey is impure if three nearly equal inks make it without black, black if other inks stand below it; both on fills only.
+    """
     inks = [F.col(x) for x in "cmyk"]
     c, m, y, k = inks
-    colored = (c > 0) | (m > 0) | (y > 0)
+    fill, width = F.col("fill"), F.col("line_width")
     return {
-        "COLOR_004": ("error", C.coverage(*inks) > limit),
-        "COLOR_005": ("error", C.is_registration(*inks)),
-        "COLOR_016": ("advisory", (k > 0) & (k < 1) & colored & (F.greatest(c, m, y) - F.least(c, m, y) < 0.05)),
-        "COLOR_017": ("advisory", (k >= 0.99) & colored),
-        "STROKE_001": ("warning", ~F.col("fill") & (F.col("line_width") > 0) & (F.col("line_width") < hairline)),
-        "STROKE_002": ("error", ~F.col("fill") & (F.col("line_width") == 0)),
-        "STROKE_004": ("warning", ~F.col("fill") & (F.col("line_width") > 0) & (F.col("line_width") < 0.5) & (C.active_inks(*inks) > 1)),
+        "COLOR_004": ("warning", C.coverage(*inks) > limit),
+        "COLOR_005": ("warning", C.is_registration(*inks)),
+        "COLOR_016": ("warning", fill & (F.least(c, m, y) > 0.05) & (k < 0.10) & (F.greatest(c, m, y) - F.least(c, m, y) < 0.05)),
+        "COLOR_017": ("warning", fill & (k > 0.90) & (F.greatest(c, m, y) > 0.05)),
+        "STROKE_001": ("warning", ~fill & (width > 0) & (width < hairline)),
+        "STROKE_002": ("error", ~fill & (width == 0)),
+        "STROKE_004": ("warning", ~fill & (width > 0) & (width < 0.5) & (C.active_inks(*inks) > 1)),
     }
 
 
-def box_rules(pages: DataFrame, bleed: float = 8.5, media: tuple[float, float] = (560.0, 420.0)) -> DataFrame:
-    """Missing or too large trim boxes, bleed below ``bleed`` on any side, and rotations off 90 degrees."""
-    t = G.Box.of("t")
-    short = F.least(t.x0, t.y0, media[0] - t.x1, media[1] - t.y1) < bleed
+def black_text_rules(small: float = 12.0, least: float = 0.01) -> dict[str, tuple[str, Column]]:
+    """Text of positive size in several inks: an advisory at any size, a warning as well below ``small`` points."""
+    several = (F.col("size_pt") > 0) & (C.active_inks(*[F.col(x) for x in "cmyk"], over=least) > 1)
+    return {"COLOR_008": ("warning", several & (F.col("size_pt") < small)), "COLOR_021": ("advisory", several)}
+
+
+def box_rules(pages: DataFrame, bleed: float = 8.5) -> DataFrame:
+    """Missing boxes, boxes outside the next larger one, bleed below ``bleed`` on any side, empty pages, user units, rotation.
+
+    Boxes: media m, crop c, bleed b, trim t (a missing crop box is the media box).
+    """
+    m, c, b, t = (G.Box.of(x) for x in "mcbt")
+    crop = G.Box(*[F.coalesce(x, y) for x, y in ((c.x0, m.x0), (c.y0, m.y0), (c.x1, m.x1), (c.y1, m.y1))])
+    short = F.least(t.x0 - b.x0, t.y0 - b.y0, b.x1 - t.x1, b.y1 - t.y1) < bleed
     rules = {
-        "BOX_001": ("warning", t.x0.isNull()),
-        "BOX_002": ("error", (t.x1 > media[0]) | (t.y1 > media[1]) | (t.x0 < 0) | (t.y0 < 0)),
-        "BOX_003": ("warning", short),
-        "BOX_007": ("advisory", F.col("rotate") % 180 != 0),
+        "BOX_001#trim": ("warning", t.x0.isNull()),
+        "BOX_001#bleed": ("warning", b.x0.isNull()),
+        "BOX_002#crop": ("warning", ~m.contains(c)),
+        "BOX_002#bleed": ("warning", ~crop.contains(b)),
+        "BOX_002#trim": ("warning", ~b.contains(t)),
+        "BOX_003": ("warning", t.x0.isNotNull() & b.x0.isNotNull() & short),
+        "BOX_004": ("advisory", F.col("objects") == 0),
+        "BOX_007": ("warning", F.col("user_unit") != 1),
+        "BOX_008": ("advisory", ~F.col("rotate").isin(0, 90, 180, 270)),
     }
     return fused(pages, rules, "job_id", "page_num")
 
 
-def content_against_boxes(paths: DataFrame, pages: DataFrame, margin: float = 10.0, bleed: float = 8.5) -> DataFrame:
-    """Paths in the safety band of their page's trim box or beyond its bleed; joined on (job, page), boxes as a residue."""
-    rows = paths.select("job_id", "page_num", "op_idx", "x0", "y0", "x1", "y1").join(pages.where("tx0 IS NOT NULL").select("job_id", "page_num", "tx0", "ty0", "tx1", "ty1"), ["job_id", "page_num"])
-    content, trim = G.Box.of(""), G.Box.of("t")
-    rules = {
-        "BOX_005": ("warning", G.in_safety_band(content, trim, margin)),
-        "BOX_006": ("error", ~trim.grown(bleed).contains(content)),
-    }
+def content_against_boxes(content: DataFrame, pages: DataFrame, margin: float = 10.0) -> DataFrame:
+    """Paths, text and detected text in the safety band of their page's trim box, or beyond its bleed box.
+
+    Joined on (job, page); boxes as a residue. A page without a box has no findings of that box.
+    """
+    boxes = [f"{k}{c}" for k in "tb" for c in ("x0", "y0", "x1", "y1")]
+    rows = content.select("job_id", "page_num", "op_idx", "x0", "y0", "x1", "y1").join(pages.select("job_id", "page_num", *boxes), ["job_id", "page_num"])
+    own, trim, bleed = G.Box.of(""), G.Box.of("t"), G.Box.of("b")
+    rules = {"BOX_005": ("advisory", trim.x0.isNotNull() & G.in_safety_band(own, trim, margin)), "BOX_006": ("warning", bleed.x0.isNotNull() & ~bleed.contains(own))}
     return fused(rows, rules, "job_id", "page_num", "op_idx")
 
 
@@ -112,18 +134,77 @@ def name_typos(inks: DataFrame, least: int = 4) -> DataFrame:
 
 
 def overprint_rules(state: DataFrame) -> DataFrame:
-    """Overprint and alpha are carried forward in drawing order within a job; then rules on the state at each event."""
-    frame = W.partitionBy("job_id").orderBy("op_idx").rowsBetween(W.unboundedPreceding, 0)
-    rows = state.withColumns({c: F.last(c, ignorenulls=True).over(frame) for c in ("overprint", "alpha")})
-    return fused(rows, {"OVER_007": ("warning", F.col("overprint") & (F.col("alpha") < 0.9999)), "TRANS_001": ("advisory", F.col("alpha") < 0.1), "OVER_002": ("advisory", F.col("overprint") & (F.col("kind") == "click"))}, "job_id", "op_idx")
-
-
-# Phrases that are left in artwork by mistake (fixed values).
-PLACEHOLDERS = ("lorem ipsum", "dolor sit amet", "placeholder", "insert text", "your text here", "sample text", "tbd", "xxx", "loser", "scum", "worthless")
-
+    """Overprint, its mode and the colour are carried forward in drawing order within a job; then rules at each event.
 
-def placeholder_text(text: DataFrame, phrases: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
-    """(job_id, page_num, phrase) once per page for each phrase in its text, in any case."""
-    low = F.lower("text")
-    hits = F.array(*[F.when(low.contains(p), F.lit(p)) for p in phrases])
+    Kinds of events: overprint, opacity, colour, path and text. Transparency, once used, counts for all that follows.
+    """
+    frame = W.partitionBy("job_id").orderBy("op_idx").rowsBetween(W.unboundedPreceding, 0)
+    rows = state.withColumns({c: F.last(c, ignorenulls=True).over(frame) for c in ("overprint", "opm")})
+    rows = rows.withColumn("clear", F.max(F.coalesce(F.col("alpha") < 1.0, F.lit(False))).over(frame))
+    kind, space, inks = F.col("kind"), F.col("color_space"), [F.col(x) for x in "cmyk"]
+    on, cmyk = F.coalesce("overprint", F.lit(False)), space == "DeviceCMYK"
+    c, m, y, k = inks
+    rules = {
+        "OVER_001": ("warning", on & (kind == "path") & ~space.isin("DeviceCMYK", "DeviceGray")),
+        "OVER_002": ("warning", on & (kind == "overprint") & (F.col("opm") == 0) & cmyk),
+        "OVER_003": ("warning", on & (kind == "overprint") & F.col("clear")),
+        "OVER_004": ("warning", on & (kind == "colour") & cmyk & (F.greatest(*inks) == 0)),
+        "OVER_006": ("error", on & (kind == "colour") & (space == "DeviceRGB")),
+        "OVER_007": ("warning", ~on & (kind == "text") & cmyk & (F.greatest(c, m, y) == 0) & (k > 0)),
+        "OVER_008": ("error", on & (kind == "colour") & cmyk & C.is_registration(*inks)),
+    }
+    return fused(rows, rules, "job_id", "op_idx")
+
+
+# Phrases that are left in artwork by mistake, and forms that are right (fixed values).
+PLACEHOLDERS = (
+    (r"(?i)\bLOT\s+NUMBER\b", "LOT NUMBER"),
+    (r"(?i)\bDATE\s+CODE\b", "DATE CODE"),
+    (r"(?i)\bEXP(?:IRY)?\s+DATE\b", "EXPIRY DATE"),
+    (r"(?i)\bMANUFACTURED\s+ON\b", "MANUFACTURED ON"),
+    (r"(?i)\bUSE\s+BY\b", "USE BY"),
+    (r"(?i)\bBEST\s+BEFORE\b", "BEST BEFORE"),
+    (r"(?i)\bFRONT\s+PANEL\b", "FRONT PANEL"),
+    (r"(?i)\bBACK\s+PANEL\b", "BACK PANEL"),
+    (r"(?i)\bTOP\s+PANEL\b", "TOP PANEL"),
+    (r"(?i)\bBOTTOM\s+PANEL\b", "BOTTOM PANEL"),
+    (r"(?i)\bSIDE\s+PANEL\b", "SIDE PANEL"),
+    (r"(?i)\bOVERLAP\s+IN\s+SEAL\b", "OVERLAP IN SEAL"),
+    (r"(?i)\bOVERLAP\s+FIN\s+SEAL\b", "OVERLAP FIN SEAL"),
+    (r"(?i)\bEND\s+SEAL\b", "END SEAL"),
+    (r"(?i)\bSEAL\s+AREA\b", "SEAL AREA"),
+    (r"(?i)\bDIE\s+CUT\s+AREA\b", "DIE CUT AREA"),
+    (r"(?i)\bTemplate\s*#\s*\d+\b", "Template #..."),
+    (r"(?i)\bINSERT\s+IN\s+(?:END\s+SEAL|HERE)\b", "INSERT IN ..."),
+    (r"(?i)\bTEAR\s+(?:ACROSS|HERE|OPEN)\b", "TEAR HERE"),
+    (r"(?i)\bD[ÉE]CHIRER\s+ICI\b", "DÉCHIRER ICI"),
+    (r"(?i)\bUNDER\s+PANEL\b", "UNDER PANEL"),
+    (r"(?i)\bGUSSET\s+PANEL\b", "GUSSET PANEL"),
+    (r"(?i)\bCOPY\s+NOT\s+RECOMMENDED\b", "COPY NOT RECOMMENDED"),
+    (r"(?i)\bCOLOR\s+AND\s+IMAGES?\s+OK\b", "COLOR AND IMAGES OK"),
+    (r"(?i)\bATTACH\s+(?:BACK|FRONT)\s+PANEL\b", "ATTACH PANEL"),
+    (r"(?i)\bFOR\s+POSITION\s+ONLY\b", "FOR POSITION ONLY"),
+    (r"\bFPO\b", "FPO"),
+    (r"(?i)\bPRINT\s+AREA\b", "PRINT AREA"),
+    (r"(?i)\bFOLD\s+(?:LINE|HERE|AREA)\b", "FOLD LINE"),
+    (r"(?i)\bCUT\s+(?:LINE|HERE|AREA)\b", "CUT LINE"),
+    (r"(?i)\bPERF(?:ORATION)?\s+(?:LINE|HERE)\b", "PERF LINE"),
+    (r"(?i)\bSCORE\s+(?:LINE|HERE)\b", "SCORE LINE"),
+    (r"(?i)\bENHANCED\s+TO\s+SHOW\s+DETAIL\b", "ENHANCED TO SHOW DETAIL"),
+    (r"(?i)\bACTUAL\s+SIZE\s+MAY\s+VARY\b", "ACTUAL SIZE MAY VARY"),
+    (r"\[[A-Z][A-Z\s_\-/]{2,30}\]", "[BRACKETED PLACEHOLDER]"),
+)
+LEGITIMATE = r"(?i)\bBest\s+Before\s*:\s*\d|\bUse\s+by\s*:\s*\d|\bLot\s+#\s*[A-Z0-9]"
+
+
+def placeholder_text(text: DataFrame, phrases: tuple[tuple[str, str], ...] = PLACEHOLDERS, around: int = 30) -> DataFrame:
+    """(job_id, page_num, phrase) once per page for each phrase whose first occurrence has no legitimate form around it."""
+
+    def hit(pattern: str, label: str) -> Column:
+        at = F.regexp_instr("text", F.lit(pattern))
+        start = F.greatest(at - around, F.lit(1))
+        window = F.substring(F.col("text"), start, at + F.length(F.regexp_extract("text", pattern, 0)) + around - start)
+        return F.when((at > 0) & ~window.rlike(LEGITIMATE), F.lit(label))
+
+    hits = F.array(*[hit(p, label) for p, label in phrases])
     return text.select("job_id", "page_num", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("phrase")).distinct()

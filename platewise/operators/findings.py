@@ -125,50 +125,55 @@ def category_of(check: Column) -> Column:
 
 
 def color_score(findings: DataFrame) -> DataFrame:
-    """Colour quality per job with a colour finding: each check deducts once, at its first finding's severity.
+    """Colour quality per job: each check deducts once, at its first finding's severity; a job without colour findings has 100.
 
-    A category's deductions stop at its weight; the worst critical error caps the score.
+    A category's deductions stop at its weight; the worst critical error caps the score. What is left of each category is
+    returned as well. A job without any finding is in the result if it has a row whose inspection_id is null.
     """
-    rows = findings.withColumn("category", category_of(F.col("inspection_id"))).where("category IS NOT NULL")
+    rows = findings.withColumn("category", category_of(F.col("inspection_id")))
+    rows = rows.withColumn("inspection_id", F.when(F.col("category").isNotNull(), F.col("inspection_id")))
     first = rows.groupBy("job_id", "inspection_id", "category").agg(F.min_by("severity", F.struct("ord", "severity")).alias("severity"), F.count_if(F.col("severity") == "error").alias("errors"))
     serious = F.col("severity").isin("error", "warning")
-    deduction = F.coalesce(F.when(serious, _lookup(MAJOR)), F.when(serious, _lookup(MODERATE)), _lookup(MINOR), F.lit(0.0))
-    first = first.withColumn("deduction", deduction).withColumn("floor", F.when(F.col("errors") > 0, _lookup(FLOORS)))
+    deduction = F.when(F.col("category").isNull(), 0.0).otherwise(F.coalesce(F.when(serious, _lookup(MAJOR)), F.when(serious, _lookup(MODERATE)), _lookup(MINOR), F.lit(0.0)))
+    first = first.withColumn("deduction", deduction).withColumn("floor", F.when((F.col("errors") > 0) & F.col("category").isNotNull(), _lookup(FLOORS)))
     lost = [F.least(F.sum(F.when(F.col("category") == c, F.col("deduction")).otherwise(0.0)), F.lit(w)).alias(c) for c, w in WEIGHTS.items()]
     per = first.groupBy("job_id").agg(*lost, F.min("floor").alias("floor"))
     score = F.least(F.lit(sum(WEIGHTS.values())) - sum((F.col(c) for c in WEIGHTS), F.lit(0.0)), F.coalesce("floor", F.lit(100.0)))
     grade = F.lit("Critical")
     for least, name in reversed(GRADES):
         grade = F.when(F.col("score") >= least, name).otherwise(grade)
-    return per.withColumn("score", F.round(score, 1)).select("job_id", "score", grade.alias("grade"), "floor")
+    return per.withColumn("score", F.round(score, 1)).select("job_id", "score", grade.alias("grade"), "floor", *[F.round(F.lit(w) - F.col(c), 1).alias(c) for c, w in WEIGHTS.items()])
 
 
 # Fixed tiers of the press-candidate codes.
 TIERS = {
     "A": ("EPM_GAMUT_OUT_REJECT", "EPM_K_COVERAGE_REJECT", "EPM_RICH_BLACK_REJECT", "EPM_SUBSTRATE_REJECT", "EPM_TEXT_SIZE_REJECT", "EPM_001", "EPM_002", "EPM_006", "EPM_007"),
     "B": ("EPM_PROCESS_COUNT_REJECT", "EPM_BLEED_REJECT", "EPM_PAGE_COUNT_REJECT", "EPM_IMAGE_RES_REJECT", "EPM_TRIM_REJECT", "EPM_003", "EPM_004", "EPM_005", "EPM_008", "EPM_009", "EPM_018"),
-    "C": ("EPM_SPOT_COUNT_REJECT", "EPM_FEATURE_SIZE_REJECT", "EPM_MIXED_SPACES_REJECT", "EPM_010", "EPM_011", "EPM_012", "EPM_013", "EPM_014", "EPM_015", "EPM_016", "EPM_017"),
+    "C": ("EPM_SPOT_COUNT_REJECT", "EPM_FEATURE_SIZE_REJECT", "EPM_MIXED_SPACES_REJECT", "EPM_TRAPPING_REJECT", "EPM_TRIM_BLEED_REJECT", "EPM_PAGE_GEOM_REJECT", "EPM_010", "EPM_011", "EPM_012", "EPM_013", "EPM_014", "EPM_015", "EPM_016", "EPM_017"),
 }
 UPSELL = ("EPM_GAMUT_OUT_REJECT", "EPM_SPOT_COUNT_REJECT", "EPM_005", "EPM_011")
 
 
 def press_verdict(findings: DataFrame) -> DataFrame:
-    """Per job with a press code: reject (any A, or two B), marginal (one B), advisory (only C); drivers in first-seen order."""
+    """Per job: reject (any A, or two B), marginal (one B), advisory (only C), pass (no press code); drivers in first-seen order.
+
+    The upsell is offered if a driver of the verdict is one that more inks would cure.
+    """
     tier = F.lit(None).cast("string")
     for name, codes in TIERS.items():
         tier = F.when(F.col("inspection_id").isin(*codes), name).otherwise(tier)
-    codes = findings.withColumn("tier", tier).where("tier IS NOT NULL").groupBy("job_id", "tier", "inspection_id").agg(F.min("ord").alias("ord"))
+    codes = findings.withColumn("tier", tier).groupBy("job_id", "tier", F.when(F.col("tier").isNotNull(), F.col("inspection_id")).alias("inspection_id")).agg(F.min("ord").alias("ord"))
     n = {t: F.count_if(F.col("tier") == t) for t in TIERS}
 
     def listed(t: str) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.struct("ord", "inspection_id")))), lambda s: s["inspection_id"])
 
-    verdict = F.when((n["A"] > 0) | (n["B"] >= 2), "reject").when(n["B"] == 1, "marginal").otherwise("pass_with_advisory")
+    verdict = F.when((n["A"] > 0) | (n["B"] >= 2), "reject").when(n["B"] == 1, "marginal").when(n["C"] > 0, "pass_with_advisory").otherwise("pass")
     per = codes.groupBy("job_id").agg(verdict.alias("verdict"), F.array_join(F.concat(listed("A"), listed("B")), ",").alias("drivers"), F.array_join(listed("C"), ",").alias("advisories"))
     upsell = F.lit(False)
     for code in UPSELL:
         upsell = upsell | F.array_contains(F.split("drivers", ","), code)
-    return per.withColumn("upsell", upsell & (F.col("verdict") == "reject"))
+    return per.withColumn("upsell", upsell)
 
 
 def catalogue_name(check: Column, names: dict[str, str]) -> Column:
@@ -185,9 +190,14 @@ def identity_diff(expected: DataFrame, actual: DataFrame, *run: str) -> DataFram
     return per.groupBy(*run).agg(F.count_if(F.expr("side = 1")).alias("missing"), F.count_if(F.expr("side = 2")).alias("new"), F.count_if(F.expr("side = 3")).alias("same"), (F.count_if(F.expr("side < 3")) == 0).alias("passed"))
 
 
-def fingerprint(hashes: DataFrame, *keys: str) -> DataFrame:
-    """SHA-256 of the sorted, comma-joined hashes of each corpus."""
-    return hashes.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), ","), 256).alias("fingerprint"))
+def fingerprint(hashes: DataFrame, *keys: str, prefix: int = 4) -> DataFrame:
+    """Digest of a corpus in two levels: SHA-256 of the sorted, comma-joined hashes of each prefix, then of these in order.
+
+    A prefix of four hexadecimal digits gives at most 65536 groups a corpus, each of which is sorted by itself.
+    """
+    per = hashes.groupBy(*keys, F.substring("hash", 1, prefix).alias("_prefix")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), ","), 256).alias("_digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_prefix", "_digest"))), lambda s: s["_digest"])
+    return per.groupBy(*keys).agg(F.sha2(F.array_join(ordered, ","), 256).alias("fingerprint"))
 
 
 def fill_boxes(findings: DataFrame, events: DataFrame) -> DataFrame:

@@ -1,16 +1,36 @@
-"""Near-duplicate pages by hash bands, and similar vectors by hyperplane buckets."""
+"""Near-duplicate pages by hash bands, similarity hashes of texts, and similar vectors by hyperplane buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+
+def text_hashes(text: DataFrame, ident: str, column: str) -> DataFrame:
+    """(ident, phash): 64-bit similarity hash of a text's words, a bit set if it is in over half of their hashes.
+
+    Words are exploded and their bits summed by 64 aggregates, combined before the shuffle. Texts without words have hash 0.
+    """
+    words = text.select(F.col(ident).alias("ident"), F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"(\S+)"), F.lit(1))).alias("w"))
+    digest = F.md5("w")
+    halves = [F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9)]
+    rows = words.select("ident", *[h.alias(n) for h, n in zip(halves, ("hi", "lo"), strict=True)])
+    bits = [F.coalesce(F.sum(F.shiftright(n, b).bitwiseAND(1)), F.lit(0)).alias(f"{n}{b}") for n in ("hi", "lo") for b in range(32)]
+    per = rows.groupBy("ident").agg(F.count("hi").alias("n"), *bits)
+    value = F.lit(0).cast("long")
+    for n, base in (("hi", 32), ("lo", 0)):
+        for b in range(32):
+            value = value.bitwiseOR(F.when(F.col(f"{n}{b}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b + base)).otherwise(F.lit(0).cast("long")))
+    return per.select("ident", value.alias("phash"))
 
 
 def near_hashes(pages: DataFrame, most: int = 4) -> DataFrame:
-    """Pairs (one, two, distance) of pages (ident, phash) whose 64-bit hashes differ in at most ``most`` bits.
+    """Pairs (one, two, distance, similarity) of pages (ident, phash) whose 64-bit hashes differ in at most ``most`` bits.
 
     The hash is cut into most + 1 bands, of which one must be equal: an equi-join on (band, value), then a check. Pages of
-    equal hash are one node, so that copies are not expanded into pairs: pairs are between the least ids of two hashes.
+    equal hash are one node, its least id: between nodes stand pairs of least ids, and each further page has a pair of
+    distance 0 with its node. Similarity is (1 - distance / 64) * 100.
     """
     bands = most + 1
     edges = [64 * i // bands for i in range(bands + 1)]
@@ -19,4 +39,32 @@ def near_hashes(pages: DataFrame, most: int = 4) -> DataFrame:
     banded = nodes.select("ident", "phash", F.explode(F.array(*keys)).alias("k")).select("ident", "phash", "k.*")
     left, right = (banded.select(F.col("ident").alias(i), F.col("phash").alias(h), "band", "part") for i, h in (("one", "h1"), ("two", "h2")))
     distance = F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))
-    return left.join(right, ["band", "part"]).where((F.col("one") < F.col("two")) & (distance <= most)).select("one", "two", distance.alias("distance")).distinct()
+    near = left.join(right, ["band", "part"]).where((F.col("one") < F.col("two")) & (distance <= most)).select("one", "two", distance.cast("int").alias("distance")).distinct()
+    same = pages.select(F.col("ident").alias("two"), "phash").join(nodes.withColumnRenamed("ident", "one"), "phash").where("one < two").select("one", "two", F.lit(0).alias("distance")).distinct()
+    return near.unionByName(same).withColumn("similarity", (1 - F.col("distance") / 64) * 100)
+
+
+def similar_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, planes: int = 8, tables: int = 4, seed: int = 1) -> DataFrame:
+    """(query_id, rank, ident, cosine): approximate nearest vectors by random-hyperplane buckets, verified by the cosine.
+
+    ``vectors`` and ``queries`` have (ident, v), an array of numbers. Two vectors meet if they fall on the same sides of all
+    planes of one of the tables; planes are pseudo-random signs of a hash, so nothing is fitted. Ties go to the smaller id.
+    """
+
+    def buckets(rows: DataFrame) -> DataFrame:
+        def side(t: int, p: int) -> Column:
+            sign = lambda i: F.when(F.xxhash64(F.lit(seed), F.lit(t), F.lit(p), i) % 2 == 0, 1.0).otherwise(-1.0)
+            return F.when(F.aggregate(F.transform("v", lambda x, i: x.cast("double") * sign(i)), F.lit(0.0), lambda s, x: s + x) > 0, 1 << p).otherwise(0)
+
+        keys = F.array(*[F.struct(F.lit(t).alias("t"), sum((side(t, p) for p in range(planes)), F.lit(0)).alias("bucket")) for t in range(tables)])
+        return rows.select("ident", "v", F.explode(keys).alias("key")).select("ident", "v", "key.*")
+
+    def dot(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+    asked = buckets(queries).select(F.col("ident").alias("query_id"), F.col("v").alias("q"), "t", "bucket")
+    pairs = asked.join(buckets(vectors), ["t", "bucket"]).where("ident <> query_id").groupBy("query_id", "ident").agg(F.first("q").alias("q"), F.first("v").alias("v"))
+    cosine = F.round(dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v")), 9)
+    scored = pairs.select("query_id", "ident", cosine.alias("cosine"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "ident"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "ident", "cosine")

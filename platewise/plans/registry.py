@@ -132,10 +132,10 @@ def r1_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INK_SQL = """SELECT job_id, page_num, op_idx, inspection_id, severity FROM (
-  SELECT job_id, page_num, op_idx, 'COLOR_004' AS inspection_id, 'error' AS severity FROM v_paths WHERE (c + m + y + k) * 100 > 300
-  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_005', 'error' FROM v_paths WHERE c >= 0.99 AND m >= 0.99 AND y >= 0.99 AND k >= 0.99
-  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_016', 'advisory' FROM v_paths WHERE k > 0 AND k < 1 AND (c > 0 OR m > 0 OR y > 0) AND greatest(c, m, y) - least(c, m, y) < 0.05
-  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_017', 'advisory' FROM v_paths WHERE k >= 0.99 AND (c > 0 OR m > 0 OR y > 0)
+  SELECT job_id, page_num, op_idx, 'COLOR_004' AS inspection_id, 'warning' AS severity FROM v_paths WHERE (c + m + y + k) * 100 > 300
+  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_005', 'warning' FROM v_paths WHERE c >= 0.99 AND m >= 0.99 AND y >= 0.99 AND k >= 0.99
+  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_016', 'warning' FROM v_paths WHERE fill AND c > 0.05 AND m > 0.05 AND y > 0.05 AND k < 0.10 AND greatest(c, m, y) - least(c, m, y) < 0.05
+  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_017', 'warning' FROM v_paths WHERE fill AND k > 0.90 AND (c > 0.05 OR m > 0.05 OR y > 0.05)
   UNION ALL SELECT job_id, page_num, op_idx, 'STROKE_001', 'warning' FROM v_paths WHERE NOT fill AND line_width > 0 AND line_width < 0.25
   UNION ALL SELECT job_id, page_num, op_idx, 'STROKE_002', 'error' FROM v_paths WHERE NOT fill AND line_width = 0
   UNION ALL SELECT job_id, page_num, op_idx, 'STROKE_004', 'warning' FROM v_paths WHERE NOT fill AND line_width > 0 AND line_width < 0.5 AND (c > 0)::INT + (m > 0)::INT + (y > 0)::INT + (k > 0)::INT > 1)"""
@@ -149,10 +149,13 @@ def r6_r12_ink_and_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     oracle(
         "v_pages",
-        """SELECT job_id, page_num, 'BOX_001' AS inspection_id, 'warning' AS severity FROM v_pages WHERE tx0 IS NULL
-  UNION ALL SELECT job_id, page_num, 'BOX_002', 'error' FROM v_pages WHERE tx1 > 560 OR ty1 > 420 OR tx0 < 0 OR ty0 < 0
-  UNION ALL SELECT job_id, page_num, 'BOX_003', 'warning' FROM v_pages WHERE tx0 IS NOT NULL AND least(tx0, ty0, 560 - tx1, 420 - ty1) < 8.5
-  UNION ALL SELECT job_id, page_num, 'BOX_007', 'advisory' FROM v_pages WHERE rotate % 180 <> 0""",
+        """SELECT job_id, page_num, 'BOX_001' AS inspection_id, 'warning' AS severity FROM v_pages WHERE tx0 IS NULL UNION ALL SELECT job_id, page_num, 'BOX_001', 'warning' FROM v_pages WHERE bx0 IS NULL
+  UNION ALL SELECT job_id, page_num, 'BOX_002', 'warning' FROM v_pages WHERE cx0 < mx0 OR cy0 < my0 OR cx1 > mx1 OR cy1 > my1
+  UNION ALL SELECT job_id, page_num, 'BOX_002', 'warning' FROM v_pages WHERE bx0 < coalesce(cx0, mx0) OR by0 < coalesce(cy0, my0) OR bx1 > coalesce(cx1, mx1) OR by1 > coalesce(cy1, my1)
+  UNION ALL SELECT job_id, page_num, 'BOX_002', 'warning' FROM v_pages WHERE tx0 < bx0 OR ty0 < by0 OR tx1 > bx1 OR ty1 > by1
+  UNION ALL SELECT job_id, page_num, 'BOX_003', 'warning' FROM v_pages WHERE tx0 - bx0 < 8.5 OR ty0 - by0 < 8.5 OR bx1 - tx1 < 8.5 OR by1 - ty1 < 8.5
+  UNION ALL SELECT job_id, page_num, 'BOX_004', 'advisory' FROM v_pages WHERE objects = 0 UNION ALL SELECT job_id, page_num, 'BOX_007', 'warning' FROM v_pages WHERE user_unit <> 1
+  UNION ALL SELECT job_id, page_num, 'BOX_008', 'advisory' FROM v_pages WHERE rotate NOT IN (0, 90, 180, 270)""",
     )
 )
 def r9_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +165,9 @@ def r9_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     oracle(
         "v_paths v_pages",
-        """SELECT job_id, page_num, op_idx, 'BOX_005' AS inspection_id, 'warning' AS severity FROM b WHERE x0 < tx1 AND tx0 < x1 AND y0 < ty1 AND ty0 < y1 AND NOT (x0 >= tx0 + 10 AND y0 >= ty0 + 10 AND x1 <= tx1 - 10 AND y1 <= ty1 - 10)
-  UNION ALL SELECT job_id, page_num, op_idx, 'BOX_006', 'error' FROM b WHERE NOT (x0 >= tx0 - 8.5 AND y0 >= ty0 - 8.5 AND x1 <= tx1 + 8.5 AND y1 <= ty1 + 8.5)""",
-        "b AS (SELECT p.job_id, p.page_num, op_idx, x0, y0, x1, y1, tx0, ty0, tx1, ty1 FROM v_paths p JOIN v_pages g ON p.job_id = g.job_id AND p.page_num = g.page_num WHERE tx0 IS NOT NULL)",
+        """SELECT job_id, page_num, op_idx, 'BOX_005' AS inspection_id, 'advisory' AS severity FROM b WHERE x0 < tx1 AND tx0 < x1 AND y0 < ty1 AND ty0 < y1 AND NOT (x0 >= tx0 + 10 AND y0 >= ty0 + 10 AND x1 <= tx1 - 10 AND y1 <= ty1 - 10)
+  UNION ALL SELECT job_id, page_num, op_idx, 'BOX_006', 'warning' FROM b WHERE x0 < bx0 OR y0 < by0 OR x1 > bx1 OR y1 > by1""",
+        "b AS (SELECT p.job_id, p.page_num, op_idx, x0, y0, x1, y1, tx0, ty0, tx1, ty1, bx0, by0, bx1, by1 FROM v_paths p JOIN v_pages g ON p.job_id = g.job_id AND p.page_num = g.page_num)",
     )
 )
 def r10_content_against_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,22 +196,37 @@ def r31_name_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.name_typos(view(spark, sf_dir, "v_inks"))
 
 
-@query(oracle("v_text", "SELECT DISTINCT job_id, page_num, phrase FROM v_text, (SELECT unnest([" + ", ".join(f"'{p}'" for p in R.PLACEHOLDERS) + "]) AS phrase) WHERE contains(lower(text), phrase)"))
+def _phrase_sql(pattern: str, label: str) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT job_id, page_num, '{label}' AS phrase FROM (SELECT job_id, page_num, text, length(regexp_extract(text, '(?s)^(.*?)(?:{p})', 1)) + 1 AS pos, regexp_extract(text, '{p}') AS hit FROM v_text WHERE regexp_matches(text, '{p}'))
+  WHERE NOT regexp_matches(substr(text, greatest(pos - 30, 1), pos + length(hit) + 30 - greatest(pos - 30, 1)), '(?i)\\bBest\\s+Before\\s*:\\s*\\d|\\bUse\\s+by\\s*:\\s*\\d|\\bLot\\s+#\\s*[A-Z0-9]')"""
+
+
+@query(oracle("v_text", "SELECT DISTINCT * FROM (" + " UNION ALL ".join(_phrase_sql(p, label) for p, label in R.PLACEHOLDERS) + ")"))
 def r34_placeholder_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.placeholder_text(view(spark, sf_dir, "v_text"))
 
 
 @query(
     oracle(
-        "v_state",
-        """SELECT job_id, op_idx, 'OVER_007' AS inspection_id, 'warning' AS severity FROM s WHERE op AND al < 0.9999 UNION ALL SELECT job_id, op_idx, 'TRANS_001', 'advisory' FROM s WHERE al < 0.1
-  UNION ALL SELECT job_id, op_idx, 'OVER_002', 'advisory' FROM s WHERE op AND kind = 'click'""",
-        """s AS (SELECT job_id, op_idx, kind, last_value(overprint IGNORE NULLS) OVER w AS op, last_value(alpha IGNORE NULLS) OVER w AS al FROM v_state
+        "v_drawing",
+        """SELECT job_id, op_idx, 'OVER_001' AS inspection_id, 'warning' AS severity FROM s WHERE op AND kind = 'path' AND color_space NOT IN ('DeviceCMYK', 'DeviceGray')
+  UNION ALL SELECT job_id, op_idx, 'OVER_002', 'warning' FROM s WHERE op AND kind = 'overprint' AND mode = 0 AND color_space = 'DeviceCMYK' UNION ALL SELECT job_id, op_idx, 'OVER_003', 'warning' FROM s WHERE op AND kind = 'overprint' AND least_alpha < 1
+  UNION ALL SELECT job_id, op_idx, 'OVER_004', 'warning' FROM s WHERE op AND kind = 'colour' AND color_space = 'DeviceCMYK' AND c + m + y + k = 0 UNION ALL SELECT job_id, op_idx, 'OVER_006', 'error' FROM s WHERE op AND kind = 'colour' AND color_space = 'DeviceRGB'
+  UNION ALL SELECT job_id, op_idx, 'OVER_007', 'warning' FROM s WHERE NOT coalesce(op, false) AND kind = 'text' AND color_space = 'DeviceCMYK' AND c + m + y = 0 AND k > 0
+  UNION ALL SELECT job_id, op_idx, 'OVER_008', 'error' FROM s WHERE op AND kind = 'colour' AND color_space = 'DeviceCMYK' AND least(c, m, y, k) >= 0.99""",
+        """s AS (SELECT *, last_value(overprint IGNORE NULLS) OVER w AS op, last_value(opm IGNORE NULLS) OVER w AS mode, min(alpha) OVER w AS least_alpha FROM v_drawing
   WINDOW w AS (PARTITION BY job_id ORDER BY op_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
     )
 )
 def r48_overprint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.overprint_rules(view(spark, sf_dir, "v_state"))
+    return R.overprint_rules(view(spark, sf_dir, "v_drawing"))
+
+
+@query(oracle("v_runs", """SELECT job_id, page_num, op_idx, 'COLOR_008' AS inspection_id, 'warning' AS severity FROM v_runs WHERE size_pt > 0 AND size_pt < 12 AND (c > 0.01)::INT + (m > 0.01)::INT + (y > 0.01)::INT + (k > 0.01)::INT > 1
+  UNION ALL SELECT job_id, page_num, op_idx, 'COLOR_021', 'advisory' FROM v_runs WHERE size_pt > 0 AND (c > 0.01)::INT + (m > 0.01)::INT + (y > 0.01)::INT + (k > 0.01)::INT > 1"""))
+def r13_black_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fused(view(spark, sf_dir, "v_runs"), R.black_text_rules(), "job_id", "page_num", "op_idx")
 
 
 # --- evaluation of findings
@@ -275,34 +293,34 @@ def _values(values: dict) -> str:
 
 
 CATEGORY = "CASE " + " ".join(f"WHEN starts_with(inspection_id, '{k}') THEN '{v}'" for k, v in A.CATEGORIES.items()) + " END"
-LOST = " + ".join(f"least(coalesce(sum(deduction) FILTER (WHERE category = '{k}'), 0), {v}::DOUBLE)" for k, v in A.WEIGHTS.items())
+LOST = {k: f"least(coalesce(sum(deduction) FILTER (WHERE category = '{k}'), 0), {v}::DOUBLE)" for k, v in A.WEIGHTS.items()}
 
 
 @query(
     oracle(
         "v_findings",
-        "SELECT job_id, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 50 THEN 'Fair' WHEN score >= 25 THEN 'Poor' ELSE 'Critical' END AS grade, floor FROM p",
-        f"f AS (SELECT job_id, inspection_id, {CATEGORY} AS category, min({{'o': ord, 's': severity}}).s AS severity, count(*) FILTER (WHERE severity = 'error') AS errors FROM v_findings WHERE {CATEGORY} IS NOT NULL GROUP BY ALL)",
-        f"d AS (SELECT *, coalesce(CASE WHEN severity <> 'advisory' THEN {_values(A.MAJOR)} END, CASE WHEN severity <> 'advisory' THEN {_values(A.MODERATE)} END, {_values(A.MINOR)}, 0) AS deduction, CASE WHEN errors > 0 THEN {_values(A.FLOORS)} END AS floor FROM f)",
-        f"p AS (SELECT job_id, round(least(100 - ({LOST}), coalesce(min(floor), 100)), 1) AS score, min(floor) AS floor FROM d GROUP BY job_id)",
+        "SELECT job_id, score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 50 THEN 'Fair' WHEN score >= 25 THEN 'Poor' ELSE 'Critical' END AS grade, floor, " + ", ".join(A.WEIGHTS) + " FROM p",
+        f"f AS (SELECT job_id, inspection_id, {CATEGORY} AS category, min({{'o': ord, 's': severity}}).s AS severity, count(*) FILTER (WHERE severity = 'error') AS errors FROM v_findings GROUP BY ALL)",
+        f"d AS (SELECT *, CASE WHEN category IS NULL THEN 0 ELSE 1 END * coalesce(CASE WHEN severity <> 'advisory' THEN {_values(A.MAJOR)} END, CASE WHEN severity <> 'advisory' THEN {_values(A.MODERATE)} END, {_values(A.MINOR)}, 0) AS deduction, CASE WHEN errors > 0 THEN {_values(A.FLOORS)} END AS floor FROM f)",
+        f"p AS (SELECT job_id, round(least(100 - ({' + '.join(LOST.values())}), coalesce(min(floor), 100)), 1) AS score, min(floor) AS floor, {', '.join(f'round({A.WEIGHTS[k]}::DOUBLE - {v}, 1) AS {k}' for k, v in LOST.items())} FROM d GROUP BY job_id)",
     )
 )
 def a4_color_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.color_score(view(spark, sf_dir, "v_findings"))
 
 
-def _in(codes) -> str:
-    return ", ".join(f"'{c}'" for c in codes)
+TIER_SQL = """CASE WHEN inspection_id IN ('EPM_GAMUT_OUT_REJECT', 'EPM_K_COVERAGE_REJECT', 'EPM_RICH_BLACK_REJECT', 'EPM_SUBSTRATE_REJECT', 'EPM_TEXT_SIZE_REJECT', 'EPM_001', 'EPM_002', 'EPM_006', 'EPM_007') THEN 'A'
+  WHEN inspection_id IN ('EPM_PROCESS_COUNT_REJECT', 'EPM_BLEED_REJECT', 'EPM_PAGE_COUNT_REJECT', 'EPM_IMAGE_RES_REJECT', 'EPM_TRIM_REJECT', 'EPM_003', 'EPM_004', 'EPM_005', 'EPM_008', 'EPM_009', 'EPM_018') THEN 'B'
+  WHEN inspection_id IN ('EPM_SPOT_COUNT_REJECT', 'EPM_FEATURE_SIZE_REJECT', 'EPM_MIXED_SPACES_REJECT', 'EPM_TRAPPING_REJECT', 'EPM_TRIM_BLEED_REJECT', 'EPM_PAGE_GEOM_REJECT', 'EPM_010', 'EPM_011', 'EPM_012', 'EPM_013', 'EPM_014', 'EPM_015', 'EPM_016', 'EPM_017') THEN 'C' END"""
 
 
 @query(
     oracle(
         "v_findings",
-        f"SELECT *, verdict = 'reject' AND len(list_intersect(string_split(drivers, ','), [{_in(A.UPSELL)}])) > 0 AS upsell FROM v",
-        f"t AS (SELECT job_id, inspection_id, CASE {' '.join(f'WHEN inspection_id IN ({_in(c)}) THEN ' + repr(k) for k, c in A.TIERS.items())} END AS tier, ord FROM v_findings)",
-        "c AS (SELECT job_id, tier, inspection_id, min(ord) AS ord FROM t WHERE tier IS NOT NULL GROUP BY ALL)",
-        """v AS (SELECT job_id, CASE WHEN count(*) FILTER (WHERE tier = 'A') > 0 OR count(*) FILTER (WHERE tier = 'B') >= 2 THEN 'reject' WHEN count(*) FILTER (WHERE tier = 'B') = 1 THEN 'marginal' ELSE 'pass_with_advisory' END AS verdict,
-  coalesce(string_agg(inspection_id, ',' ORDER BY tier, ord, inspection_id) FILTER (WHERE tier <> 'C'), '') AS drivers, coalesce(string_agg(inspection_id, ',' ORDER BY ord, inspection_id) FILTER (WHERE tier = 'C'), '') AS advisories FROM c GROUP BY job_id)""",
+        "SELECT *, len(list_intersect(string_split(drivers, ','), ['EPM_GAMUT_OUT_REJECT', 'EPM_SPOT_COUNT_REJECT', 'EPM_005', 'EPM_011'])) > 0 AS upsell FROM v",
+        f"c AS (SELECT job_id, {TIER_SQL} AS tier, inspection_id, min(ord) AS ord FROM v_findings GROUP BY ALL)",
+        """v AS (SELECT job_id, CASE WHEN count(*) FILTER (WHERE tier = 'A') > 0 OR count(*) FILTER (WHERE tier = 'B') >= 2 THEN 'reject' WHEN count(*) FILTER (WHERE tier = 'B') = 1 THEN 'marginal' WHEN count(*) FILTER (WHERE tier = 'C') > 0 THEN 'pass_with_advisory' ELSE 'pass' END AS verdict,
+  coalesce(string_agg(inspection_id, ',' ORDER BY tier, ord, inspection_id) FILTER (WHERE tier IN ('A', 'B')), '') AS drivers, coalesce(string_agg(inspection_id, ',' ORDER BY ord, inspection_id) FILTER (WHERE tier = 'C'), '') AS advisories FROM c GROUP BY job_id)""",
     )
 )
 def a5_press_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,7 +473,8 @@ def d1_regression_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.identity_diff(rows.where("ord % 3 <> 0"), rows.where("ord % 2 <> 0"), "job_id")
 
 
-@query("SELECT lang, sha256(string_agg(hash, ',' ORDER BY hash)) AS fingerprint FROM (SELECT lang, sha256(CAST(doc_id AS VARCHAR)) AS hash FROM documents) GROUP BY lang")
+@query("""SELECT lang, sha256(string_agg(digest, ',' ORDER BY prefix)) AS fingerprint FROM (
+  SELECT lang, substr(hash, 1, 4) AS prefix, sha256(string_agg(hash, ',' ORDER BY hash)) AS digest FROM (SELECT lang, sha256(CAST(doc_id AS VARCHAR)) AS hash FROM documents) GROUP BY ALL) GROUP BY lang""")
 def d2_corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.fingerprint(table(spark, sf_dir, "documents").select("lang", F.sha2(F.col("doc_id").cast("string"), 256).alias("hash")), "lang")
 
@@ -498,17 +517,22 @@ def j2_compare_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.compare_versions(one, two, ["job_id", "page_num"], ["rotate", "tx1"])
 
 
-HASH = "CAST('0x' || substr(md5(coalesce(text, '')), 1, 5) AS BIGINT)"
+_BITS = ", ".join(f"sum({n} >> {b} & 1) AS {n}{b}" for n in ("hi", "lo") for b in range(32))
+_VALUE = " + ".join(f"CASE WHEN {n}{b} * 2 > n THEN {1 << (b + base)}::HUGEINT ELSE 0::HUGEINT END" for n, base in (("hi", 32), ("lo", 0)) for b in range(32))
 
 
 @query(
-    "SELECT a.ident AS one, b.ident AS two, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM n a JOIN n b ON a.ident < b.ident AND bit_count(xor(a.phash, b.phash)) <= 1".join(
-        [f"WITH n AS (SELECT {HASH} AS phash, min(doc_id) AS ident FROM documents GROUP BY 1) ", ""]
-    )
+    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([^\\s]+)', 1)) AS w FROM documents),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) AS lo FROM w),
+b AS (SELECT doc_id, count(*) AS n, {_BITS} FROM h GROUP BY doc_id),
+p AS (SELECT d.doc_id, coalesce({_VALUE}, 0::HUGEINT) AS phash FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id),
+n AS (SELECT phash, min(doc_id) AS ident FROM p GROUP BY phash),
+x AS (SELECT a.ident AS one, b.ident AS two, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM n a JOIN n b ON a.ident < b.ident AND bit_count(xor(a.phash, b.phash)) < 5
+  UNION ALL SELECT n.ident, p.doc_id, 0 FROM p JOIN n ON p.phash = n.phash AND n.ident < p.doc_id)
+SELECT *, (1 - distance / 64) * 100 AS similarity FROM x"""
 )
 def j5_near_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phash = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 5), 16, 10).cast("long")
-    return N.near_hashes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ident"), phash.alias("phash")), 1)
+    return N.near_hashes(N.text_hashes(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @query(
@@ -821,23 +845,15 @@ def a17_expected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.expected_ids(rows.where("ord <= 4"), rows.where("source = 'engine'"))
 
 
-BOXES = "SELECT job_id, font, op_idx AS id, x0 / 4 AS x0, y0 / 20 AS y0, x0 / 4 + 100 AS x1, y0 / 20 + 100 AS y1 FROM v_runs WHERE op_idx % 2 = "
+def _replayed(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    box = [f"CASE WHEN op_idx % 11 > 0 THEN {e} END AS {n}" for e, n in (("x0 / 4", "x0"), ("y0 / 20", "y0"), ("x0 / 4 + 100", "x1"), ("y0 / 20 + 100", "y1"))]
+    rows = view(spark, sf_dir, "v_runs").where(f"op_idx % 2 = {side}")
+    return rows.selectExpr("job_id AS file", "page_num", "font AS rule", "op_idx AS id", *box, "CASE op_idx % 3 WHEN 0 THEN 'disputed' WHEN 1 THEN 'confirmed' ELSE 'skipped' END AS verdict")
 
 
-@query(
-    oracle(
-        "v_runs",
-        """SELECT old_id, new_id, round(iou, 6) AS iou FROM (SELECT * FROM p WHERE iou >= 0.5 QUALIFY row_number() OVER (PARTITION BY old_id ORDER BY iou DESC, new_id) = 1)
-  QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY iou DESC, old_id) = 1""",
-        f"o AS ({BOXES}0)",
-        f"n AS ({BOXES}1)",
-        "w AS (SELECT o.id AS old_id, n.id AS new_id, greatest(least(o.x1, n.x1) - greatest(o.x0, n.x0), 0) * greatest(least(o.y1, n.y1) - greatest(o.y0, n.y0), 0) AS common, (o.x1 - o.x0) * (o.y1 - o.y0) + (n.x1 - n.x0) * (n.y1 - n.y0) AS whole FROM o JOIN n ON o.job_id = n.job_id AND o.font = n.font)",
-        "p AS (SELECT old_id, new_id, round(common / (whole - common), 9) AS iou FROM w)",
-    )
-)
-def a16_replay_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_runs").selectExpr("job_id", "font", "op_idx AS id", "x0 / 4 AS x0", "y0 / 20 AS y0", "x0 / 4 + 100 AS x1", "y0 / 20 + 100 AS y1")
-    return Q.replay_matches(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["job_id", "font"])
+@query()
+def a16_u2_replay_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.replay_score(Q.replay_matches(_replayed(spark, sf_dir, 0), _replayed(spark, sf_dir, 1), ["file", "page_num", "rule"]))
 
 
 @query(
@@ -954,14 +970,20 @@ def f12_ink_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_plates").groupBy("job_id", K.ink_class(F.col("ink")).alias("class")).agg(F.count("*").alias("inks"))
 
 
-PAYLOAD = "concat('01', lpad(CAST(p_partkey * 7919 AS VARCHAR(9)), 13, '0'), CAST(p_partkey % 10 AS VARCHAR(9)), '17', '2', CAST(p_size % 10 AS VARCHAR(9)), lpad(CAST(p_size % 15 AS VARCHAR(9)), 2, '0'), lpad(CAST(p_size AS VARCHAR(9)), 2, '0'), '10', p_brand, chr(29), '21', p_name)"
-GS1_DIGIT = "CAST((10 - list_sum(list_transform(range(1, 14), lambda i: CAST(substr(v, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10) % 10 AS INT)"
+PAYLOAD = "concat(CASE WHEN p_partkey % 3 = 0 THEN ']C1' ELSE '' END, '01', lpad(CAST(p_partkey * 7919 AS VARCHAR(9)), 13, '0'), CAST(p_partkey % 10 AS VARCHAR(9)), '17', '2', CAST(p_size % 10 AS VARCHAR(9)), lpad(CAST(p_size AS VARCHAR(9)), 2, '0'), CASE WHEN p_size % 7 = 0 THEN 'x1' ELSE '01' END, CASE WHEN p_size % 5 = 0 THEN '99' ELSE '310' END, lpad(CAST(p_partkey AS VARCHAR(9)), 7, '7'), '10', p_brand, chr(29), '21', p_name)"
+_VARIABLE, _THREE, _FOUR = "'10', '21', '22', '30', '37', '240', '241', '250', '251', '8200', '8201', '8202'", "'240', '241', '250', '251', '310', '320'", "'8200', '8201', '8202'"
 
 
 @query(
-    f"""SELECT p_partkey, ai, v AS value, CASE WHEN ai = '01' THEN CAST(CASE WHEN ai = '01' THEN {GS1_DIGIT} END AS VARCHAR) = substr(v, 14, 1) WHEN ai = '17' THEN substr(v, 3, 2) BETWEEN '01' AND '12' AND substr(v, 5, 2) BETWEEN '00' AND '31' ELSE true END AS valid
-FROM (SELECT p_partkey, e[1:2] AS ai, CASE WHEN e[1:2] IN ('10', '21') THEN replace(substr(e, 3), chr(29), '') ELSE substr(e, 3) END AS v
-  FROM (SELECT p_partkey, unnest(regexp_extract_all({PAYLOAD}, '(01[0-9]{{14}}|1[1357][0-9]{{6}}|(?:10|21)[^\x1d]{{1,20}}(?:\x1d|$))', 1)) AS e FROM part))"""
+    f"""WITH RECURSIVE s AS (SELECT p_partkey, regexp_replace({PAYLOAD}, '^(\\]C1|\\]Q3|\\]e0|\x1d)', '') AS rest FROM part),
+w AS (SELECT p_partkey, 0 AS n, NULL::VARCHAR AS ai, NULL::VARCHAR AS value, rest FROM s UNION ALL
+  SELECT p_partkey, n + 1, kind, CASE WHEN kind = '?' THEN rest WHEN len > 0 THEN substr(body, 1, len) ELSE split_part(body, chr(29), 1) END,
+    CASE WHEN kind = '?' THEN '' WHEN len > 0 THEN substr(body, len + 1) WHEN contains(body, chr(29)) THEN substr(body, strpos(body, chr(29)) + 1) ELSE '' END
+  FROM (SELECT p_partkey, n, rest, kind, substr(rest, length(kind) + 1) AS body, CASE kind WHEN '00' THEN 18 WHEN '01' THEN 14 WHEN '02' THEN 14 WHEN '20' THEN 2 WHEN '310' THEN 7 WHEN '320' THEN 7 ELSE CASE WHEN kind IN ({_VARIABLE}) THEN 0 ELSE 6 END END AS len
+    FROM (SELECT *, CASE WHEN rest[1:4] IN ({_FOUR}) THEN rest[1:4] WHEN rest[1:3] IN ({_THREE}) THEN rest[1:3] WHEN rest[1:2] IN ('00', '01', '02', '10', '11', '12', '13', '15', '16', '17', '20', '21', '22', '30', '37') THEN rest[1:2] ELSE '?' END AS kind FROM w WHERE rest <> '')))
+SELECT p_partkey, ai, value, CASE WHEN ai = '?' THEN false WHEN ai IN ('10', '21', '22') THEN regexp_full_match(value, '[!-~]{{1,20}}') WHEN ai IN ('30', '37') THEN regexp_full_match(value, '\\d{{1,8}}') WHEN ai IN ('310', '320') THEN regexp_full_match(value, '[0-5]\\d{{6}}')
+  WHEN ai IN ({_FOUR}) THEN regexp_full_match(value, '[!-~]{{1,70}}') WHEN ai IN ({_THREE}) THEN regexp_full_match(value, '[!-~]{{1,30}}') WHEN ai = '00' THEN regexp_full_match(value, '\\d{{18}}') WHEN ai IN ('01', '02') THEN regexp_full_match(value, '\\d{{14}}')
+  WHEN ai = '20' THEN regexp_full_match(value, '\\d{{2}}') ELSE regexp_full_match(value, '\\d{{6}}') END AS valid FROM w WHERE n > 0"""
 )
 def f17_gs1_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").withColumn("payload", F.expr(PAYLOAD.replace("VARCHAR(9)", "STRING")))

@@ -19,8 +19,16 @@ VIEWS = {
       round((l_quantity % 10) / 10, 2) AS y, CASE WHEN l_returnflag = 'A' THEN l_tax * 0 + 1 ELSE round((l_quantity % 7) / 10, 2) END AS k, round(l_discount * 8, 2) AS line_width,
       l_quantity * 10 AS x0, l_tax * 5000 AS y0, l_quantity * 10 + 40 AS x1, l_tax * 5000 + 25 AS y1, l_linestatus = 'F' AS fill FROM {lineitem}""",
     "v_state": """SELECT user_id AS job_id, event_id AS op_idx, CASE WHEN event_type = 'error' THEN value > 50 END AS overprint, CASE WHEN value > 30 THEN value / 500 END AS alpha, event_type AS kind FROM {events}""",
-    "v_pages": """SELECT l_orderkey AS job_id, l_linenumber AS page_num, CASE WHEN l_discount < 0.08 THEN l_tax * 0 + 20 END AS tx0, CASE WHEN l_discount < 0.08 THEN l_tax * 0 + 20 END AS ty0,
-      CASE WHEN l_discount < 0.08 THEN 540 - l_tax * 100 END AS tx1, CASE WHEN l_discount < 0.08 THEN l_tax * 0 + 400 END AS ty1, CAST(l_linenumber % 4 AS INT) * 90 AS rotate FROM {lineitem}""",
+    "v_drawing": """SELECT user_id AS job_id, event_id AS op_idx, CASE event_type WHEN 'error' THEN 'overprint' WHEN 'signup' THEN 'opacity' WHEN 'click' THEN 'colour' WHEN 'view' THEN 'path' ELSE 'text' END AS kind,
+      CASE WHEN event_type = 'error' THEN value > 50 END AS overprint, CASE WHEN event_type = 'error' THEN CAST(event_id % 2 AS INT) END AS opm, CASE WHEN event_type = 'signup' THEN value / 100 END AS alpha,
+      CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'DeviceRGB' WHEN 1 THEN 'DeviceGray' ELSE 'DeviceCMYK' END AS color_space, CAST(event_id * 3 % 2 AS DOUBLE) AS c, CAST(event_id % 2 AS DOUBLE) AS m,
+      CAST(event_id % 4 % 2 AS DOUBLE) AS y, CAST(event_id % 3 AS DOUBLE) / 2 AS k FROM {events}""",
+    "v_pages": """SELECT job_id, page_num, mx0, my0, mx1, my1, CASE WHEN l_suppkey % 4 = 0 THEN mx0 + 2 END AS cx0, CASE WHEN l_suppkey % 4 = 0 THEN my0 - 1 + l_suppkey % 3 END AS cy0, CASE WHEN l_suppkey % 4 = 0 THEN mx1 - 2 END AS cx1,
+      CASE WHEN l_suppkey % 4 = 0 THEN my1 - 2 END AS cy1, CASE WHEN l_suppkey % 5 > 0 THEN coalesce(tx0, mx0 + 9) - l_tax * 200 END AS bx0, CASE WHEN l_suppkey % 5 > 0 THEN coalesce(ty0, my0 + 9) - 9 END AS by0,
+      CASE WHEN l_suppkey % 5 > 0 THEN coalesce(tx1, mx1 - 9) + l_discount * 100 + 5 END AS bx1, CASE WHEN l_suppkey % 5 > 0 THEN coalesce(ty1, my1 - 9) + 9 END AS by1, tx0, ty0, tx1, ty1,
+      CASE WHEN l_suppkey % 9 = 0 THEN 45 ELSE CAST(page_num % 4 AS INT) * 90 END AS rotate, CASE WHEN l_suppkey % 7 = 0 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS user_unit, CAST(l_quantity AS INT) % 10 AS objects
+      FROM (SELECT l_orderkey AS job_id, l_linenumber AS page_num, l_suppkey, l_tax, l_discount, l_quantity, l_tax * 0 AS mx0, l_tax * 0 AS my0, l_tax * 0 + 560 AS mx1, l_tax * 0 + 420 AS my1, CASE WHEN l_discount < 0.08 THEN l_tax * 0 + 20 END AS tx0,
+      CASE WHEN l_discount < 0.08 THEN l_tax * 0 + 20 END AS ty0, CASE WHEN l_discount < 0.08 THEN 540 - l_tax * 100 END AS tx1, CASE WHEN l_discount < 0.08 THEN l_tax * 0 + 400 END AS ty1 FROM {lineitem}) AS pg""",
     "v_inks": """SELECT l_orderkey AS job_id, l_linenumber AS page_num, p_name AS colorant, p_brand AS alternate, CASE WHEN p_size > 25 THEN 'Separation' ELSE 'DeviceN' END AS cs_type
       FROM {lineitem} AS li JOIN {part} AS pa ON l_partkey = p_partkey""",
     "v_findings": f"""SELECT l_orderkey AS job_id, split_part('{CHECKS}', ',', CAST(l_partkey % 18 + 1 AS INT)) AS inspection_id,
