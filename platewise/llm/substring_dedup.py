@@ -242,15 +242,18 @@ def substring_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         raise ValueError(f"window must be at least {PERIOD}")
     rows = docs.select(F.col(id_col).cast("long").alias("ident"), F.encode(text_col, "utf-8").alias("body"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+    # the session's partitions, or more where texts would not fit them
+    parts = math.ceil(size / PART_BYTES)
+    more = parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(40, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
 
     def told(sent: DataFrame, width: int, smaller: bool) -> DataFrame:
         dealt = sent.repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(partial(_buckets, width=width, smaller=smaller), TOLD).repartition(parts, "ident").groupBy("ident").agg(F.collect_set("hash").alias("hashes"))
+        hashes = dealt.mapInArrow(partial(_buckets, width=width, smaller=smaller), TOLD)
+        return (hashes.repartition(parts, "ident") if more else hashes).groupBy("ident").agg(F.collect_set("hash").alias("hashes"))
 
     # the same exchange and order of the texts serve both joins, which sort and so can spill
-    dealt_rows = rows.repartition(parts, "ident")
+    dealt_rows = rows.repartition(parts, "ident") if more else rows
 
     def beside(found: DataFrame) -> DataFrame:
         return dealt_rows.join(found.hint("merge"), "ident", "left").select("ident", "body", "hashes")
