@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and tables between stages, which the session names in spark.checkpoint.dir.
 
-    It must be one that the driver and all executors see, so there is no fallback to a local folder.
+    It must be one that the driver and all executors see. Only in local mode, where all are one process, an unset one is made.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-")
         if not folder:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder)
