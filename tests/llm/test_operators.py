@@ -49,6 +49,16 @@ def test_exact_duplicates(docs):
     assert {r.doc_id for r in exact_dedup.drop_exact_duplicates(docs, keep="smallest").collect()} == {min(g) for g in groups.values()}
 
 
+def test_dropping_tells_rows_apart(spark):
+    rows = [(5, "alpha"), (5, "beta"), (9, "beta"), (7, "gamma"), (9, "BETA"), (None, "alpha"), (None, "z"), (None, "z"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(*r, i, "g") for i, r in enumerate(rows)], "doc_id long, text string, key int, group string")
+    found = sorted((str(r.doc_id), (r.text or "").lower()) for r in exact_dedup.drop_exact_duplicates(docs).collect())
+    assert found == [("3", ""), ("5", "alpha"), ("7", "gamma"), ("9", "beta"), ("None", "z")]
+    found = sorted((str(r.doc_id), (r.text or "").lower()) for r in simhash.drop_near_duplicates(docs).collect())
+    assert found == [("3", ""), ("5", "alpha"), ("5", "beta"), ("7", "gamma"), ("None", "z")]
+    assert exact_dedup.drop_exact_duplicates(docs.limit(0)).count() == 0 and simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_trie_spills_closed_subtrees_and_loses_nothing():
     rng = random.Random(3)
     words = sorted({bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(300)})
@@ -136,6 +146,40 @@ def test_language_is_learned_and_held_out(spark, sf):
     assert sum(held) >= 0.9 * len(held)
 
 
+def test_language_scores_are_calibrated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    assert 0.1 < model.heat < 10
+    rows = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred <> 'und' AND lang IS NOT NULL").collect()
+    right = [r.lang == r.lang_pred for r in rows]
+    loss = -sum(np.log(r.score if ok else max(1e-9, 1 - r.score)) for r, ok in zip(rows, right, strict=True)) / len(rows)
+    assert sum(right) >= 0.95 * len(rows) and loss < 0.2
+    assert abs(sum(r.score for r in rows) / len(rows) - sum(right) / len(rows)) < 0.1
+    assert max(r.score for r in rows) < 1 - 1e-6
+
+
+def test_temperature_against_a_fine_grid():
+    rng = np.random.default_rng(2)
+    for scale in (0.3, 5.0, 60.0):
+        y = rng.integers(0, 3, 80)
+        logits = rng.normal(0, 1, (80, 3)) * scale + scale * 2 * np.eye(3)[y]
+        grid = np.geomspace(1e-4, 1e4, 4001)
+        best = min(language_id.smoothed_loss(logits, y, t) for t in grid)
+        assert language_id.smoothed_loss(logits, y, language_id.temperature(logits, y)) <= best + 1e-6
+
+
+def test_unlabelled_documents_pass_the_language_stage(spark):
+    rows = [(1, "some words", None), (2, "12 !!", None), (3, None, None), (4, "", None), (4, "other words", None), (4, "other words", None)]
+    got = language_id.keep_identified(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, _score string"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "some words"), (4, "other words"), (4, "other words")]
+
+
+def test_predictions_fill_missing_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    got = language_id.keep_identified(docs).collect()
+    assert got and all(r.lang for r in got) and {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()}
+
+
 def test_language_of_odd_documents(spark):
     docs = odd_documents(spark)
     found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, language_id.fit(docs)).collect()}
