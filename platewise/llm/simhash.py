@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import HOT_SHARE, cut, join_groups, keep_rows, row_key, table
+from platewise.llm.common import cut, join_groups, keep_rows, row_key, stored, table
 
 #: Seed of XXH64, for shingles.
 SEED = 42
@@ -148,31 +148,29 @@ def near_links(prints: DataFrame, most: int = 2) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b) as (node, root), root the least node of the component, for nodes with links.
 
-    Large-star and small-star steps take turns until nothing changes, each round checkpointed. A round aggregates by node
+    Large-star and small-star steps take turns until nothing changes, each step stored. A step aggregates by node
     (combined before the shuffle) and joins on node; a node that has over a HOT_SHARE-th of all links, as the root of a large
-    component has, is joined by a broadcast, so that its neighbours never meet in one task.
+    component has, is joined by a broadcast, so that its neighbours never meet in one task. The nodes' least neighbours are
+    stored before they are joined, which keeps the plan of a step at a few operators.
     """
 
-    def star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n"))
-        is_hot = F.col("n") * HOT_SHARE > 2 * total
-        hot = least.where(is_hot).drop("n")
-        cold = both.join(F.broadcast(hot.select("a")), "a", "left_anti").join(least.where(~is_hot).drop("n"), "a")
-        hung = both.join(F.broadcast(hot), "a").unionByName(cold)
+        hung = join_groups(both, stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n"))), "a", "n")
         if large:
             out = hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
         else:
-            out = hung.where(F.col("b") != F.col("root")).select(F.col("b").alias("a"), F.col("root").alias("b")).union(hung.select("a", F.col("root").alias("b")))
-        return out.where("a != b").distinct()
+            # the node itself hangs on its root, and so does each neighbour
+            out = hung.select(F.explode(F.array("a", "b")).alias("a"), F.col("root").alias("b"))
+        return stored(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(edges: DataFrame):
         return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = state(edges)
     while before[0]:
-        edges = cut(star(star(edges, True, before[0]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False, before[0]))
+        edges = star(star(edges, True), False)
         now = state(edges)
         if now == before:
             break
