@@ -1,10 +1,7 @@
-"""Rate, outage, stuck-job and session monitors as Structured Streaming plans; each works on a batch table alike."""
+"""Rate and session monitors, newest events and continuous checking as Structured Streaming plans; rates work on a batch table alike."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,27 +28,6 @@ def stuck(jobs: DataFrame, now, minutes: int = 12) -> DataFrame:
     return jobs.where((F.col("status") == "processing") & (F.timestamp_diff("SECOND", F.col("created_at"), now) > minutes * 60))
 
 
-def _outage(key: tuple, batches: Iterator[pd.DataFrame], state, last: int, failures: int) -> Iterator[pd.DataFrame]:
-    recent = list(state.get[0]) if state.exists else []
-    out = []
-    for batch in batches:
-        for row in batch.sort_values(["ts", "seq"]).itertuples():
-            recent = (recent + [bool(row.success)])[-last:]
-            if len(recent) == last and recent.count(False) >= failures:
-                out.append((key[0], row.seq))
-    state.update((recent,))
-    yield pd.DataFrame(out, columns=["series", "seq"])
-
-
-def outage_stream(outcomes: DataFrame, last: int = 20, failures: int = 11) -> DataFrame:
-    """Streaming twin of the outage window: the last outcomes of each series are kept as state."""
-
-    def step(key, batches, state):
-        return _outage(key, batches, state, last, failures)
-
-    return outcomes.groupBy("series").applyInPandasWithState(step, "series long, seq long", "recent array<boolean>", "append", "NoTimeout")
-
-
 def check_continuously(findings: DataFrame, summarise, path: str, checkpoint: str):
     """Summarise each micro-batch of findings; a redelivered (job, ord) within the watermark is skipped."""
     fresh = findings.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["job_id", "ord"])

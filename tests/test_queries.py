@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from platewise.plans import extended, registry  # noqa: F401
+from platewise.plans import extended, registry, streams  # noqa: F401
 
 
 #: Queries without SQL; tests/test_rules.py holds them against brute force.
