@@ -133,12 +133,12 @@ def name_typos(inks: DataFrame, least: int = 4) -> DataFrame:
     return pairs.withColumn("distance", close_names(F.col("name"), F.col("other"))).where("distance > 0").select("job_id", "name", "other", "distance")
 
 
-def overprint_rules(state: DataFrame) -> DataFrame:
+def overprint_rules(state: DataFrame, order: tuple[str, ...] = ("op_idx",)) -> DataFrame:
     """Overprint, its mode and the colour are carried forward in drawing order within a job; then rules at each event.
 
-    Kinds of events: overprint, opacity, colour, path and text. Transparency, once used, counts for all that follows.
+    ``order`` is drawing order; kinds of events: overprint, opacity, colour, path and text. Transparency, once used, counts for all that follows.
     """
-    frame = W.partitionBy("job_id").orderBy("op_idx").rowsBetween(W.unboundedPreceding, 0)
+    frame = W.partitionBy("job_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = state.withColumns({c: F.last(c, ignorenulls=True).over(frame) for c in ("overprint", "opm")})
     rows = rows.withColumn("clear", F.max(F.coalesce(F.col("alpha") < 1.0, F.lit(False))).over(frame))
     kind, space, inks = F.col("kind"), F.col("color_space"), [F.col(x) for x in "cmyk"]
@@ -153,7 +153,7 @@ def overprint_rules(state: DataFrame) -> DataFrame:
         "OVER_007": ("warning", ~on & (kind == "text") & cmyk & (F.greatest(c, m, y) == 0) & (k > 0)),
         "OVER_008": ("error", on & (kind == "colour") & cmyk & C.is_registration(*inks)),
     }
-    return fused(rows, rules, "job_id", "op_idx")
+    return fused(rows, rules, "job_id", *order)
 
 
 # Phrases that are left in artwork by mistake, and forms that are right (fixed values).

@@ -35,6 +35,31 @@ def seal_zone_hits(runs: DataFrame, labels: Column, margin_mm: float = 5.0) -> D
     return live.join(marks, PAGE).where(meets).groupBy(*PAGE, "op_idx").agg(F.count("*").alias("zones"))
 
 
+def cutting_paints(events: DataFrame, cutting: dict[str, str]) -> DataFrame:
+    """(job_id, ink, page_num, op_idx, overprinted) of the paths of an event log with state that are painted in a cutting ink.
+
+    ``cutting`` names the ink of a colour space's resource name, with or without its slash; it is part of the plan. A path that
+    is filled and stroked counts for both.
+    """
+    ink_of = F.create_map(*[F.lit(x) for item in cutting.items() for x in item])
+    paint = lambda on, space, over: F.when(F.col(on), F.struct(ink_of[F.ltrim(F.col(space), F.lit("/"))].alias("ink"), F.coalesce(over, F.lit(False)).alias("overprinted")))
+    both = F.array(paint("stroke", "stroke_space", "overprint_stroke"), paint("fill", "fill_space", "overprint_fill"))
+    rows = events.where(F.col("kind") == "path").select("job_id", "page_num", "op_idx", F.explode(F.filter(both, lambda p: p["ink"].isNotNull())).alias("p"))
+    return rows.select("job_id", "p.ink", "page_num", "op_idx", "p.overprinted")
+
+
+def cutting_offences(paints: DataFrame) -> DataFrame:
+    """(job_id, ink, page_num, op_idx, paints, never) of cutting inks painted without overprint: the first such path in drawing
+    order, how many there are, and whether the ink is never overprinted.
+
+    Page and number are one long (numbers are below 2^40), so the aggregate is a hash aggregate and needs no sort."""
+    off = ~F.col("overprinted")
+    first = F.min(F.when(off, F.shiftleft(F.col("page_num").cast("long"), 40) + F.col("op_idx")))
+    per = paints.groupBy("job_id", "ink").agg(first.alias("first"), F.count_if(off).alias("paints"), (F.count_if(~off) == 0).alias("never"))
+    page = F.shiftright("first", 40)
+    return per.where("paints > 0").select("job_id", "ink", page.cast("int").alias("page_num"), (F.col("first") - F.shiftleft(page, 40)).alias("op_idx"), "paints", "never")
+
+
 def cutting_not_overprinted(state: DataFrame) -> DataFrame:
     """First event of each job and cutting ink at which overprint, carried forward in drawing order, is off.
 
