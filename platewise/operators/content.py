@@ -11,6 +11,7 @@ from platewise.functions import color as C
 from platewise.functions.text import check_digit
 from platewise.operators.families import first_per
 from platewise.operators.layout import PAGE, PROCESS
+from platewise.operators.spatial import box_pairs
 
 #: Words in names of inks that stand for a step of finishing instead of a colour.
 FINISHING = ("cut", "crease", "varnish", "foil", "emboss", "white")
@@ -136,10 +137,10 @@ def suspicious_words(text: DataFrame, pattern: str, known: tuple[str, ...] = (),
 def overlaps(one: DataFrame, two: DataFrame) -> DataFrame:
     """Boxes of ``one`` that boxes of ``two`` on their page cover in part: number of those and the greatest common area.
 
-    Joined on (job, page); that boxes meet is a residue.
+    Boxes meet in cells of a grid (``spatial.box_pairs``), so a page's boxes are not all compared.
     """
     box = ["x0", "y0", "x1", "y1"]
-    pairs = one.select(*PAGE, "op_idx", *box).join(two.select(*PAGE, *[F.col(b).alias(f"o{b}") for b in box]), PAGE)
+    pairs = box_pairs(one.select(*PAGE, "op_idx", *box), two.select(*PAGE, *box), PAGE)
     width = F.least("x1", "ox1") - F.greatest("x0", "ox0")
     height = F.least("y1", "oy1") - F.greatest("y0", "oy0")
     return pairs.where((width > 0) & (height > 0)).groupBy(*PAGE, "op_idx").agg(F.count("*").alias("boxes"), F.max(width * height).alias("area"))

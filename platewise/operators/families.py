@@ -125,12 +125,59 @@ def ink_inventory(inks: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a name from which letters are left out for the index; what follows is only compared.
+INDEXED = 14
+
+
+def _less_letters(word: Column, most: int, indexed: int) -> Column:
+    """A word's start with at most ``most`` (1 or 2) of its letters left out."""
+    start = F.substring(word, 1, indexed)
+    shorter = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    once = F.array_distinct(shorter(start))
+    every = F.concat(F.array(start), once)
+    return F.array_distinct(F.concat(every, F.flatten(F.transform(once, shorter))) if most == 2 else every)
+
+
+def close_pairs(names: DataFrame, keys: list[str], most: int = 2, indexed: int = INDEXED) -> DataFrame:
+    """(*keys, name, other, distance), name < other: distinct names with equal keys at an edit distance of 1 to ``most`` (1 or 2).
+
+    A deletion-neighbourhood index: each name stands under its start with up to ``most`` letters left out; two names this close
+    share such an entry, and only those that do are compared. Entries of a name are bounded by ``indexed``, so the index grows
+    with the number of names.
+    """
+    rows = names.select(*keys, "name").where(F.col("name").isNotNull()).distinct().withColumn("entry", F.explode(_less_letters(F.col("name"), most, indexed)))
+    other = rows.withColumnRenamed("name", "other")
+    pairs = rows.join(other, [*keys, "entry"]).where((F.col("name") < F.col("other")) & (F.abs(F.length("name") - F.length("other")) <= most))
+    found = pairs.select(*keys, "name", "other").distinct().withColumn("distance", close_names(F.col("name"), F.col("other"), most))
+    return found.where("distance > 0")
+
+
 def name_typos(inks: DataFrame, least: int = 4) -> DataFrame:
-    """Pairs of ink names of a job that differ by an edit distance of one or two; distinct names, joined within the job."""
-    names = inks.select("job_id", normal_name(F.col("colorant")).alias("name")).where(F.length("name") >= least).distinct()
-    other = names.select(F.col("job_id").alias("_job"), F.col("name").alias("other"))
-    pairs = names.join(other, (F.col("job_id") == F.col("_job")) & (F.col("name") < F.col("other")) & (F.abs(F.length("name") - F.length("other")) <= 2))
-    return pairs.withColumn("distance", close_names(F.col("name"), F.col("other"))).where("distance > 0").select("job_id", "name", "other", "distance")
+    """Pairs of ink names of a job that differ by an edit distance of one or two."""
+    names = inks.select("job_id", normal_name(F.col("colorant")).alias("name")).where(F.length("name") >= least)
+    return close_pairs(names, ["job_id"])
+
+
+def corpus_typos(inks: DataFrame, excluded: Column, least: int = 4) -> DataFrame:
+    """(name, other, distance, jobs, other_jobs): close names over all jobs, with how many jobs have each; ``excluded`` names take no part."""
+    rows = inks.where(~excluded).select("job_id", normal_name(F.col("colorant")).alias("name")).where(F.length("name") >= least)
+    per = rows.groupBy("name").agg(F.count_distinct("job_id").alias("jobs"))
+    pairs = close_pairs(per, [])
+    return pairs.join(per, "name").join(per.withColumnsRenamed({"name": "other", "jobs": "other_jobs"}), "other").select("name", "other", "distance", "jobs", "other_jobs")
+
+
+def token_typos(inks: DataFrame, least: int = 4) -> DataFrame:
+    """(job_id, name, other, token, other_token): ink names of a job that hold words one or two letters apart, the first such words in order.
+
+    Words of a job are indexed, so names are joined only through close words.
+    """
+    words = inks.select("job_id", normal_name(F.col("colorant")).alias("whole")).distinct().withColumn("name", F.explode(F.array_distinct(F.split("whole", " ")))).where(F.length("name") >= least)
+    close = close_pairs(words, ["job_id"])
+    has = lambda word, whole: words.select("job_id", F.col("name").alias(word), F.col("whole").alias(whole))
+    pairs = close.select("job_id", F.col("name").alias("t"), F.col("other").alias("u")).join(has("t", "a"), ["job_id", "t"]).join(has("u", "b"), ["job_id", "u"]).where("a <> b")
+    swap = F.col("a") > F.col("b")
+    ordered = pairs.select("job_id", F.least("a", "b").alias("name"), F.greatest("a", "b").alias("other"), F.when(swap, F.col("u")).otherwise(F.col("t")).alias("token"), F.when(swap, F.col("t")).otherwise(F.col("u")).alias("other_token"))
+    return ordered.groupBy("job_id", "name", "other").agg(F.min(F.struct("token", "other_token")).alias("w")).select("job_id", "name", "other", "w.*")
 
 
 def overprint_rules(state: DataFrame, order: tuple[str, ...] = ("op_idx",)) -> DataFrame:

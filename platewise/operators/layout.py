@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from platewise.operators.families import POINTS_PER_MM, first_per
 from platewise.operators.series import carried
+from platewise.operators.spatial import box_pairs
 
 PAGE = ["job_id", "page_num"]
 
@@ -25,14 +26,13 @@ def empty_bands(boxes: DataFrame, least: float = 30.0) -> DataFrame:
 def seal_zone_hits(runs: DataFrame, labels: Column, margin_mm: float = 5.0) -> DataFrame:
     """Text runs that reach into the zone around a run that marks a seal area (``labels``); one row per run.
 
-    Runs are joined with the page's marks on (job, page); the padded boxes are a residue.
+    Runs and padded marks meet in cells of a grid (``spatial.box_pairs``).
     """
     pad = margin_mm * POINTS_PER_MM
     box = ["x0", "y0", "x1", "y1"]
-    marks = runs.where(labels).select(*PAGE, *[F.col(b).alias(f"z{b}") for b in box])
-    live = runs.where(~labels).select(*PAGE, "op_idx", *box)
-    meets = (F.col("x0") < F.col("zx1") + pad) & (F.col("x1") > F.col("zx0") - pad) & (F.col("y0") < F.col("zy1") + pad) & (F.col("y1") > F.col("zy0") - pad)
-    return live.join(marks, PAGE).where(meets).groupBy(*PAGE, "op_idx").agg(F.count("*").alias("zones"))
+    pairs = box_pairs(runs.where(~labels).select(*PAGE, "op_idx", *box), runs.where(labels).select(*PAGE, *box), PAGE, pad)
+    meets = (F.col("x0") < F.col("ox1") + pad) & (F.col("x1") > F.col("ox0") - pad) & (F.col("y0") < F.col("oy1") + pad) & (F.col("y1") > F.col("oy0") - pad)
+    return pairs.where(meets).groupBy(*PAGE, "op_idx").agg(F.count("*").alias("zones"))
 
 
 def cutting_paints(events: DataFrame, cutting: dict[str, str]) -> DataFrame:

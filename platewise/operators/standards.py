@@ -47,13 +47,25 @@ STRUCTURE: tuple[Rule, ...] = (
 )
 
 ACCESS: tuple[Rule, ...] = (
-    ("ACCESS_001", "warning", "NOT tagged"),
-    ("ACCESS_002", "warning", "trim(coalesce(lang, '')) = ''"),
-    ("ACCESS_003", "warning", "NOT marked"),
+    ("ACCESS_001", "advisory", "NOT tagged"),
+    ("ACCESS_002", "advisory", "lang IS NULL"),
+    ("ACCESS_003", "advisory", "tagged AND marked"),
+    ("ACCESS_004", "warning", "trim(coalesce(lang, '')) = ''"),
+    ("ACCESS_012", "advisory", "intents = 0"),
     ("ACCESS_013", "advisory", "tagged AND NOT tab_order"),
     ("SCREEN_READER", "warning", "encrypted AND NOT reader_allowed"),
 )
 
+#: Rules on the set ``types`` of a tagged document's structure elements.
+TAGS: tuple[Rule, ...] = (
+    ("ACCESS_006", "advisory", "NOT exists(types, t -> t RLIKE '^H[1-6]?$')"),
+    ("ACCESS_007", "warning", "array_contains(types, 'Table') AND NOT array_contains(types, 'TH')"),
+    ("ACCESS_008", "advisory", "array_contains(types, 'LI') AND NOT array_contains(types, 'L')"),
+    ("ACCESS_009", "advisory", "NOT array_contains(types, 'Artifact')"),
+    ("ACCESS_010", "warning", "size(types) = 0"),
+    ("ACCESS_011", "advisory", "NOT arrays_overlap(types, array('Em', 'Strong'))"),
+)
+
 ANNOTATION: tuple[Rule, ...] = (
     ("ANNOT_006", "advisory", "subtype = 'TrapNet'"),
     ("ANNOT_002", "error", "subtype IN ('Sound', 'Movie', 'Screen', '3D', 'RichMedia')"),
@@ -65,24 +77,28 @@ ANNOTATION: tuple[Rule, ...] = (
 
 LAYER: tuple[Rule, ...] = (("STRUCT_010", "advisory", "print_state <> view_state"), ("PROC_001", "advisory", "finishing"), ("PROC_002", "advisory", "white"))
 
+# Subtypes of an output intent that are known (fixed values of the format).
+INTENT_SUBTYPES = ("GTS_PDFX", "GTS_PDFA1", "ISO_PDFE1")
+
 PROFILE: tuple[Rule, ...] = (
     ("ICC_001", "error", "components <> CASE space WHEN 'GRAY' THEN 1 WHEN 'RGB' THEN 3 WHEN 'Lab' THEN 3 WHEN 'CMYK' THEN 4 END"),
     ("ICC_003", "error", "size = 0"),
-    ("ICC_004", "warning", "is_intent AND class <> 'prtr'"),
-    ("ICC_005", "advisory", "is_intent AND condition NOT IN ('FOGRA39', 'FOGRA51', 'GRACoL2013_CRPC6')"),
+    ("ICC_004", "warning", f"is_intent AND coalesce(subtype, '') NOT IN {INTENT_SUBTYPES}"),
+    ("ICC_004", "warning", "is_intent AND coalesce(condition, '') = ''"),
+    ("ICC_005", "advisory", "is_intent AND condition <> ''"),
     ("ICC_007", "warning", "NOT has_tags"),
     ("ICC_009", "warning", "abs(white_x - 0.9642) > 0.01 OR abs(white_z - 0.8249) > 0.01"),
 )
 
 SPACE: tuple[Rule, ...] = (
-    ("COLOR_001", "warning", "cs_type IN ('CalGray', 'CalRGB')"),
-    ("COLOR_002", "warning", "cs_type = 'DeviceRGB' AND NOT has_default"),
-    ("COLOR_003", "warning", "cs_type = 'Separation' AND alternate IS NULL"),
-    ("COLOR_006", "advisory", "cs_type IN ('Separation', 'DeviceN')"),
-    ("COLOR_007", "advisory", "cs_type = 'Lab'"),
-    ("COLOR_018", "advisory", "cs_type = 'Indexed'"),
-    ("COLOR_019", "advisory", "cs_type IN ('DeviceRGB', 'DeviceCMYK', 'DeviceGray') AND has_intent"),
-    ("COLOR_015", "advisory", "has_default"),
+    ("COLOR_001", "error", "cs_type IN ('CalGray', 'CalRGB')"),
+    ("COLOR_002", "warning", "cs_type = 'DeviceRGB' AND NOT has_profile"),
+    ("COLOR_003", "warning", "cs_type IN ('Separation', 'DeviceN') AND alternate IS NULL"),
+    ("COLOR_007", "advisory", "cs_type IN ('Separation', 'DeviceN') AND colorant <> '' AND colorant NOT IN ('All', 'None')"),
+    ("COLOR_018", "advisory", "cs_type = 'Lab'"),
+    ("COLOR_019", "advisory", "cs_type = 'Indexed'"),
+    ("COLOR_015", "advisory", "cs_type IN ('DeviceRGB', 'DeviceCMYK', 'DeviceGray') AND has_intent"),
+    ("COLOR_020", "warning", "has_default"),
 )
 
 #: Colour-space families by type (fixed values of the page description format).
@@ -138,11 +154,16 @@ PACKS: tuple[tuple[str, str, str, str, str], ...] = (
     (X1A, "PDFX1A-040", "error", "docs", "transfer_functions"),
     (X1A, "PDFX1A-041", "error", "docs", "halftones"),
     (X1A, "PDFX1A-045", "error", "docs", "layers > 0"),
-    (A1, "PDFA-002", "error", "docs", "NOT has_xmp"), (A2, "PDFA-002", "error", "docs", "NOT has_xmp"),
-    (A1, "PDFA-006", "warning", "docs", "NOT has_create_date"), (A2, "PDFA-006", "warning", "docs", "NOT has_create_date"),
-    (A1, "PDFA-007", "warning", "docs", "NOT has_mod_date"), (A2, "PDFA-007", "warning", "docs", "NOT has_mod_date"),
-    (A1, "PDFA-008", "error", "docs", "intents = 0"), (A2, "PDFA-008", "error", "docs", "intents = 0"),
-    (A1, "PDFA-010", "error", "docs", "try_cast(version AS DOUBLE) > 1.4"), (A2, "PDFA-010", "error", "docs", "try_cast(version AS DOUBLE) > 1.7"),
+    (A1, "PDFA-010", "error", "docs", "NOT has_metadata"), (A2, "PDFA-010", "error", "docs", "NOT has_metadata"),
+    (A1, "PDFA-001", "error", "docs", "NOT has_xmp"), (A2, "PDFA-001", "error", "docs", "NOT has_xmp"),
+    (A1, "PDFA-002", "error", "docs", "has_xmp AND coalesce(pdfa_part, '') = ''"), (A2, "PDFA-002", "error", "docs", "has_xmp AND coalesce(pdfa_part, '') = ''"),
+    (A1, "PDFA-003", "error", "docs", "has_xmp AND coalesce(pdfa_conformance, '') = ''"), (A2, "PDFA-003", "error", "docs", "has_xmp AND coalesce(pdfa_conformance, '') = ''"),
+    (A1, "PDFA-004", "warning", "docs", "has_xmp AND title <> '' AND xmp_title <> '' AND title <> xmp_title"), (A2, "PDFA-004", "warning", "docs", "has_xmp AND title <> '' AND xmp_title <> '' AND title <> xmp_title"),
+    (A1, "PDFA-005", "warning", "docs", "NOT has_create_date"), (A2, "PDFA-005", "warning", "docs", "NOT has_create_date"),
+    (A1, "PDFA-006", "warning", "docs", "NOT has_mod_date"), (A2, "PDFA-006", "warning", "docs", "NOT has_mod_date"),
+    (A1, "PDFA-007", "error", "docs", "intents = 0"), (A2, "PDFA-007", "error", "docs", "intents = 0"),
+    (A1, "PDFA-008", "error", "docs", "intents > 0 AND NOT intent_profile AND coalesce(condition, '') = ''"), (A2, "PDFA-008", "error", "docs", "intents > 0 AND NOT intent_profile AND coalesce(condition, '') = ''"),
+    (A1, "PDFA-009", "error", "docs", "try_cast(version AS DOUBLE) > 1.4"), (A2, "PDFA-009", "error", "docs", "try_cast(version AS DOUBLE) > 1.7"),
     (A1, "PDFA-026", "error", "docs", "names_js OR open_js"), (A2, "PDFA-026", "error", "docs", "names_js OR open_js"),
     (A1, "PDFA-027", "error", "docs", "encrypted"), (A2, "PDFA-027", "error", "docs", "encrypted"),
     (A1, "PDFA-028", "error", "docs", "embedded_files"), (A2, "PDFA-028", "warning", "docs", "embedded_files"),
@@ -211,18 +232,40 @@ def conformance(broken: DataFrame) -> DataFrame:
 
 
 def profile_conflicts(profiles: DataFrame) -> DataFrame:
-    """Per document: profiles of versions 2 and 4 together (ICC_002), several rendering intents (ICC_008), intents that differ (ICC_006)."""
+    """Per document: profiles of versions 2 and 4 together (ICC_002), several rendering intents (ICC_008), output intents of different colour spaces (ICC_006)."""
     per = profiles.groupBy("job_id").agg(
-        F.count_distinct(F.substring("version", 1, 1)).alias("versions"), F.count_distinct("rendering").alias("renderings"), F.count_distinct(F.when(F.col("is_intent"), F.col("condition"))).alias("conditions"),
+        F.count_distinct(F.substring("version", 1, 1)).alias("versions"), F.count_distinct("rendering").alias("renderings"), F.count_distinct(F.when(F.col("is_intent"), F.col("space"))).alias("spaces"),
     )
-    return apply_rules(per, (("ICC_002", "advisory", "versions > 1"), ("ICC_008", "advisory", "renderings > 1"), ("ICC_006", "warning", "conditions > 1")), "job_id")
+    return apply_rules(per, (("ICC_002", "advisory", "versions > 1"), ("ICC_008", "advisory", "renderings > 1"), ("ICC_006", "warning", "spaces > 1")), "job_id")
+
+
+def color_space_rules(spaces: DataFrame, docs: DataFrame) -> DataFrame:
+    """(job_id, page_num, inspection_id, severity) of colour spaces, each kind once a page, and of documents without an output intent
+    (COLOR_006, page 0). What any of a page's spaces of one kind and name has counts for it.
+    """
+    once = spaces.groupBy("job_id", "page_num", "cs_type", "colorant").agg(F.max("alternate").alias("alternate"), *[F.bool_or(c).alias(c) for c in ("has_profile", "has_default", "has_intent")])
+    found = apply_rules(once, SPACE, "job_id", "page_num")
+    none = apply_rules(docs.select("job_id", F.lit(0).alias("page_num"), "intents"), (("COLOR_006", "warning", "intents = 0"),), "job_id", "page_num")
+    return found.unionByName(none)
+
+
+def structure_tag_rules(nodes: DataFrame, docs: DataFrame, images: DataFrame) -> DataFrame:
+    """(job_id, page_num, inspection_id, severity): rules on a tagged document's structure elements (job_id, type), page 0, and its pages
+    with images, which need alternate text (ACCESS_005). Elements are reduced to a set of types before the join.
+    """
+    tagged = docs.where("tagged").select("job_id")
+    sets = nodes.groupBy("job_id").agg(F.collect_set("type").alias("types"))
+    rows = tagged.join(sets, "job_id", "left").select("job_id", F.lit(0).alias("page_num"), F.coalesce("types", F.array().cast("array<string>")).alias("types"))
+    alt = images.select("job_id", "page_num").distinct().join(tagged, "job_id", "left_semi")
+    return apply_rules(rows, TAGS, "job_id", "page_num").unionByName(apply_rules(alt, (("ACCESS_005", "warning", "true"),), "job_id", "page_num"))
 
 
 def packaging(layers: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Dieline layers per packaging job: there is one (PKG_001), none (PKG_002), or one that prints (PKG_003)."""
-    per = layers.groupBy("job_id").agg(F.bool_or("dieline").alias("dieline"), F.bool_or(F.col("dieline") & (F.col("print_state") == "ON")).alias("printing"))
-    rows = jobs.join(per, "job_id", "left").fillna(False, ["dieline", "printing"])
-    return apply_rules(rows, (("PKG_001", "advisory", "dieline"), ("PKG_002", "warning", "NOT dieline"), ("PKG_003", "warning", "printing")), "job_id")
+    """Dieline layers per packaging job: there is one (PKG_001), none (PKG_002), and each that does not print (PKG_003)."""
+    per = layers.groupBy("job_id").agg(F.bool_or("dieline").alias("dieline"), F.collect_set(F.when(F.col("dieline") & (F.col("print_state") == "OFF"), F.trim("name"))).alias("silent"))
+    rows = jobs.join(per, "job_id", "left").fillna(False, ["dieline"])
+    each = rows.select("job_id", F.explode("silent").alias("layer")).select("job_id", F.lit("PKG_003").alias("inspection_id"), F.lit("advisory").alias("severity"))
+    return apply_rules(rows, (("PKG_001", "advisory", "dieline"), ("PKG_002", "warning", "NOT dieline")), "job_id").unionByName(each)
 
 
 def named_resources(layers: DataFrame, inks: DataFrame, pattern: str) -> DataFrame:

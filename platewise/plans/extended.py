@@ -36,23 +36,76 @@ def _rules(name: str, source: str, rules: tuple[D.Rule, ...], *keep: str):
 r24_metadata = _rules("r24_metadata", "v_docs", D.METADATA, "job_id")
 r23_documents = _rules("r23_documents", "v_docs", D.DOCUMENT, "job_id")
 r25_structure = _rules("r25_structure", "v_docs", D.STRUCTURE, "job_id")
-r26_accessibility = _rules("r26_accessibility", "v_docs", D.ACCESS, "job_id")
 r8_annotations = _rules("r8_annotations", "v_annotations", D.ANNOTATION, "job_id", "page_num", "seq")
 r28_layers = _rules("r28_layers", "v_layers", D.LAYER, "job_id", "name")
-r17_profiles = _rules("r17_profiles", "v_profiles", D.PROFILE, "job_id", "seq")
-r14_color_spaces = _rules("r14_color_spaces", "v_spaces", D.SPACE, "job_id", "page_num")
+
+
+# The SQL of the next queries is written out from what the rules mean, not from the tables of predicates.
+
+
+@query(
+    oracle(
+        "v_docs",
+        """SELECT job_id, 'ACCESS_001' AS inspection_id, 'advisory' AS severity FROM v_docs WHERE NOT tagged UNION ALL SELECT job_id, 'ACCESS_002', 'advisory' FROM v_docs WHERE lang IS NULL
+  UNION ALL SELECT job_id, 'ACCESS_003', 'advisory' FROM v_docs WHERE tagged AND marked UNION ALL SELECT job_id, 'ACCESS_004', 'warning' FROM v_docs WHERE lang IS NULL OR trim(lang) = ''
+  UNION ALL SELECT job_id, 'ACCESS_012', 'advisory' FROM v_docs WHERE intents = 0 UNION ALL SELECT job_id, 'ACCESS_013', 'advisory' FROM v_docs WHERE NOT tab_order AND tagged UNION ALL SELECT job_id, 'SCREEN_READER', 'warning' FROM v_docs WHERE encrypted AND NOT reader_allowed""",
+    )
+)
+def r26_accessibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.apply_rules(view(spark, sf_dir, "v_docs"), D.ACCESS, "job_id")
+
+
+@query(
+    oracle(
+        "v_nodes v_docs v_images",
+        """SELECT job_id, 0 AS page_num, 'ACCESS_006' AS inspection_id, 'advisory' AS severity FROM t WHERE h = 0 UNION ALL SELECT job_id, 0, 'ACCESS_007', 'warning' FROM t WHERE tables > 0 AND th = 0
+  UNION ALL SELECT job_id, 0, 'ACCESS_008', 'advisory' FROM t WHERE li > 0 AND l = 0 UNION ALL SELECT job_id, 0, 'ACCESS_009', 'advisory' FROM t WHERE artifacts = 0 UNION ALL SELECT job_id, 0, 'ACCESS_010', 'warning' FROM t WHERE n = 0
+  UNION ALL SELECT job_id, 0, 'ACCESS_011', 'advisory' FROM t WHERE em = 0 UNION ALL SELECT DISTINCT i.job_id, page_num, 'ACCESS_005', 'warning' FROM v_images i JOIN v_docs d ON i.job_id = d.job_id WHERE tagged""",
+        """t AS (SELECT d.job_id, count(type) AS n, count(*) FILTER (WHERE type IN ('H', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6')) AS h, count(*) FILTER (WHERE type = 'Table') AS tables, count(*) FILTER (WHERE type = 'TH') AS th, count(*) FILTER (WHERE type = 'LI') AS li,
+  count(*) FILTER (WHERE type = 'L') AS l, count(*) FILTER (WHERE type = 'Artifact') AS artifacts, count(*) FILTER (WHERE type IN ('Em', 'Strong')) AS em FROM v_docs d LEFT JOIN v_nodes n ON d.job_id = n.job_id WHERE tagged GROUP BY d.job_id)""",
+    )
+)
+def r26_structure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.structure_tag_rules(view(spark, sf_dir, "v_nodes"), view(spark, sf_dir, "v_docs"), view(spark, sf_dir, "v_images"))
+
+
+@query(
+    oracle(
+        "v_profiles",
+        """SELECT job_id, seq, 'ICC_001' AS inspection_id, 'error' AS severity FROM v_profiles WHERE (space = 'GRAY' AND components <> 1) OR (space IN ('RGB', 'Lab') AND components <> 3) OR (space = 'CMYK' AND components <> 4)
+  UNION ALL SELECT job_id, seq, 'ICC_003', 'error' FROM v_profiles WHERE size = 0 UNION ALL SELECT job_id, seq, 'ICC_004', 'warning' FROM v_profiles WHERE is_intent AND (subtype IS NULL OR subtype NOT IN ('GTS_PDFX', 'GTS_PDFA1', 'ISO_PDFE1'))
+  UNION ALL SELECT job_id, seq, 'ICC_004', 'warning' FROM v_profiles WHERE is_intent AND condition = '' UNION ALL SELECT job_id, seq, 'ICC_005', 'advisory' FROM v_profiles WHERE is_intent AND condition IN ('FOGRA39', 'custom')
+  UNION ALL SELECT job_id, seq, 'ICC_007', 'warning' FROM v_profiles WHERE NOT has_tags UNION ALL SELECT job_id, seq, 'ICC_009', 'warning' FROM v_profiles WHERE abs(white_x - 0.9642::DOUBLE) > 0.01::DOUBLE OR abs(white_z - 0.8249::DOUBLE) > 0.01::DOUBLE""",
+    )
+)
+def r17_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.apply_rules(view(spark, sf_dir, "v_profiles"), D.PROFILE, "job_id", "seq")
 
 
 @query(
     oracle(
         "v_profiles",
-        "SELECT job_id, 'ICC_002' AS inspection_id, 'advisory' AS severity FROM v_profiles GROUP BY job_id HAVING count(DISTINCT version[1]) > 1 UNION ALL SELECT job_id, 'ICC_008', 'advisory' FROM v_profiles GROUP BY job_id HAVING count(DISTINCT rendering) > 1 UNION ALL SELECT job_id, 'ICC_006', 'warning' FROM v_profiles WHERE is_intent GROUP BY job_id HAVING count(DISTINCT condition) > 1",
+        "SELECT job_id, 'ICC_002' AS inspection_id, 'advisory' AS severity FROM v_profiles GROUP BY job_id HAVING count(DISTINCT version[1]) > 1 UNION ALL SELECT job_id, 'ICC_008', 'advisory' FROM v_profiles GROUP BY job_id HAVING count(DISTINCT rendering) > 1 UNION ALL SELECT job_id, 'ICC_006', 'warning' FROM v_profiles WHERE is_intent GROUP BY job_id HAVING count(DISTINCT space) > 1",
     )
 )
 def r17_profile_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.profile_conflicts(view(spark, sf_dir, "v_profiles"))
 
 
+@query(
+    oracle(
+        "v_spaces v_docs",
+        """SELECT job_id, page_num, 'COLOR_001' AS inspection_id, 'error' AS severity FROM o WHERE cs_type = 'CalGray' OR cs_type = 'CalRGB' UNION ALL SELECT job_id, page_num, 'COLOR_002', 'warning' FROM o WHERE cs_type = 'DeviceRGB' AND NOT has_profile
+  UNION ALL SELECT job_id, page_num, 'COLOR_003', 'warning' FROM o WHERE cs_type IN ('Separation', 'DeviceN') AND alternate IS NULL UNION ALL SELECT job_id, page_num, 'COLOR_007', 'advisory' FROM o WHERE cs_type IN ('Separation', 'DeviceN') AND colorant IN ('Gold', 'Silver')
+  UNION ALL SELECT job_id, page_num, 'COLOR_018', 'advisory' FROM o WHERE cs_type = 'Lab' UNION ALL SELECT job_id, page_num, 'COLOR_019', 'advisory' FROM o WHERE cs_type = 'Indexed' UNION ALL SELECT job_id, page_num, 'COLOR_015', 'advisory' FROM o WHERE starts_with(cs_type, 'Device') AND cs_type <> 'DeviceN' AND has_intent
+  UNION ALL SELECT job_id, page_num, 'COLOR_020', 'warning' FROM o WHERE has_default UNION ALL SELECT job_id, 0, 'COLOR_006', 'warning' FROM v_docs WHERE intents = 0""",
+        "o AS (SELECT job_id, page_num, cs_type, colorant, max(alternate) AS alternate, bool_or(has_profile) AS has_profile, bool_or(has_default) AS has_default, bool_or(has_intent) AS has_intent FROM v_spaces GROUP BY ALL)",
+    )
+)
+def r14_color_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.color_space_rules(view(spark, sf_dir, "v_spaces"), view(spark, sf_dir, "v_docs"))
+
+
 SOURCES = {"docs": "v_docs", "pages": "v_pages", "fonts": "v_fonts", "spaces": "v_spaces", "annotations": "v_annotations"}
 PACK_SQL = "SELECT job_id, pack, inspection_id, severity, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT job_id, '{pack}' AS pack, '{rule}' AS inspection_id, '{severity}' AS severity FROM {SOURCES[name]} WHERE {test}" for pack, rule, severity, name, test in D.PACKS) + ") GROUP BY ALL"
 
@@ -71,6 +124,20 @@ def r56_standard_x1a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _standards(spark, sf_dir, D.X1A)
 
 
+_A_META = " UNION ALL ".join(
+    f"SELECT job_id, '{pack}' AS pack, inspection_id, severity, 1 AS n FROM (SELECT job_id, 'PDFA-010' AS inspection_id, 'error' AS severity FROM v_docs WHERE NOT has_metadata UNION ALL SELECT job_id, 'PDFA-001', 'error' FROM v_docs WHERE NOT has_xmp UNION ALL SELECT job_id, 'PDFA-002', 'error' FROM v_docs WHERE has_xmp AND pdfa_part = '' "
+    f"UNION ALL SELECT job_id, 'PDFA-003', 'error' FROM v_docs WHERE has_xmp AND pdfa_conformance IS NULL UNION ALL SELECT job_id, 'PDFA-004', 'warning' FROM v_docs WHERE has_xmp AND title <> '' AND title <> xmp_title UNION ALL SELECT job_id, 'PDFA-005', 'warning' FROM v_docs WHERE NOT has_create_date UNION ALL SELECT job_id, 'PDFA-006', 'warning' FROM v_docs WHERE NOT has_mod_date "
+    f"UNION ALL SELECT job_id, 'PDFA-007', 'error' FROM v_docs WHERE intents = 0 UNION ALL SELECT job_id, 'PDFA-008', 'error' FROM v_docs WHERE intents > 0 AND NOT intent_profile AND condition IS NULL UNION ALL SELECT job_id, 'PDFA-009', 'error' FROM v_docs WHERE version IN {too_new})"
+    for pack, too_new in (("A-1", "('1.6', '1.7', '2.0')"), ("A-2", "('2.0', '2.1')"))
+)
+
+
+@query(oracle("v_docs", _A_META))
+def r57_metadata_of_standard_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = D.standards({"docs": view(spark, sf_dir, "v_docs")}, (D.A1, D.A2))
+    return found.where("inspection_id <= 'PDFA-010'").withColumn("n", F.col("n").cast("int"))
+
+
 @query(oracle(" ".join(SOURCES.values()), f"SELECT job_id, pack, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'error') = 0 AS conforms FROM ({PACK_SQL}) WHERE pack IN ('A-1', 'A-2') GROUP BY ALL"))
 def r57_standard_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.conformance(_standards(spark, sf_dir, D.A1, D.A2))
@@ -79,8 +146,9 @@ def r57_standard_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     oracle(
         "v_layers v_docs",
-        """SELECT job_id, CASE d WHEN true THEN 'PKG_001' ELSE 'PKG_002' END AS inspection_id, CASE d WHEN true THEN 'advisory' ELSE 'warning' END AS severity FROM j UNION ALL SELECT job_id, 'PKG_003', 'warning' FROM j WHERE p""",
-        "j AS (SELECT v.job_id, coalesce(bool_or(dieline), false) AS d, coalesce(bool_or(dieline AND print_state = 'ON'), false) AS p FROM v_docs v LEFT JOIN v_layers l ON v.job_id = l.job_id GROUP BY v.job_id)",
+        """SELECT job_id, CASE d WHEN true THEN 'PKG_001' ELSE 'PKG_002' END AS inspection_id, CASE d WHEN true THEN 'advisory' ELSE 'warning' END AS severity FROM j UNION ALL
+  SELECT job_id, 'PKG_003', 'advisory' FROM (SELECT DISTINCT l.job_id, trim(name) FROM v_layers l JOIN v_docs d ON l.job_id = d.job_id WHERE starts_with(name, 'Dieline ') AND print_state = 'OFF')""",
+        "j AS (SELECT v.job_id, coalesce(bool_or(dieline), false) AS d FROM v_docs v LEFT JOIN v_layers l ON v.job_id = l.job_id GROUP BY v.job_id)",
     )
 )
 def r29_packaging(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +246,10 @@ def f3_matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- vectors
 
 
-@query()
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS ident, list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]) AS cosine FROM q JOIN embeddings ON query_id <> vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, ident) AS INT) AS rank, ident, round(cosine, 6) AS cosine FROM s QUALIFY rank <= 5"""
+)
 def j6_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ident"), F.col("embedding").alias("v"))
     return N.similar_vectors(rows, rows.where("ident % 20 = 0"))
@@ -191,7 +262,7 @@ FAMILIES.register("images", "image", "v_images")(lambda rows: R.fused(rows, R.im
 FAMILIES.register("inks", "colour", "v_paths")(lambda rows: R.fused(rows, R.ink_rules(), "job_id", "page_num"))
 FAMILIES.register("black_text", "colour", "v_runs")(lambda rows: R.fused(rows, R.black_text_rules(), "job_id", "page_num"))
 FAMILIES.register("overprint", "colour", "v_drawing")(R.overprint_rules)
-FAMILIES.register("spaces", "colour", "v_spaces")(lambda rows: D.apply_rules(rows, D.SPACE, "job_id", "page_num"))
+FAMILIES.register("spaces", "colour", "v_spaces", "v_docs")(D.color_space_rules)
 FAMILIES.register("boxes", "page", "v_pages")(R.box_rules)
 FAMILIES.register("content", "page", "v_paths", "v_pages")(R.content_against_boxes)
 FAMILIES.register("fonts", "text", "v_fonts")(Y.font_rules)

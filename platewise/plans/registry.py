@@ -196,6 +196,33 @@ def r31_name_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.name_typos(view(spark, sf_dir, "v_inks"))
 
 
+_NORMAL = "trim(regexp_replace(lower(colorant), '[\\s_-]+', ' ', 'g'))"
+
+
+@query(
+    oracle(
+        "v_plates",
+        "SELECT a.name, b.name AS other, CAST(levenshtein(a.name, b.name) AS INT) AS distance, a.jobs, b.jobs AS other_jobs FROM n a JOIN n b ON a.name < b.name WHERE levenshtein(a.name, b.name) BETWEEN 1 AND 2",
+        f"n AS (SELECT {_NORMAL} AS name, count(DISTINCT job_id) AS jobs FROM (SELECT job_id, ink || '-' || right(CAST(job_id AS VARCHAR), 2) AS colorant FROM v_plates WHERE ink <> 'All') GROUP BY 1 HAVING length(name) >= 4)",
+    )
+)
+def r31_corpus_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_plates").withColumn("colorant", F.concat("ink", F.lit("-"), F.expr("right(CAST(job_id AS STRING), 2)")))
+    return R.corpus_typos(rows, F.col("ink") == "All")
+
+
+@query(
+    oracle(
+        "v_inks",
+        """SELECT job_id, least(a, b) AS name, greatest(a, b) AS other, min({'t': CASE WHEN a < b THEN t ELSE u END, 'u': CASE WHEN a < b THEN u ELSE t END}).t AS token, min({'t': CASE WHEN a < b THEN t ELSE u END, 'u': CASE WHEN a < b THEN u ELSE t END}).u AS other_token
+  FROM (SELECT x.job_id, x.whole AS a, x.word AS t, y.whole AS b, y.word AS u FROM w x JOIN w y ON x.job_id = y.job_id AND x.word < y.word AND x.whole <> y.whole WHERE levenshtein(x.word, y.word) <= 2) GROUP BY ALL""",
+        f"w AS (SELECT DISTINCT job_id, whole, word FROM (SELECT job_id, {_NORMAL} AS whole, unnest(string_split({_NORMAL}, ' ')) AS word FROM v_inks) WHERE length(word) >= 4)",
+    )
+)
+def r31_token_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.token_typos(view(spark, sf_dir, "v_inks"))
+
+
 def _phrase_sql(pattern: str, label: str) -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT job_id, page_num, '{label}' AS phrase FROM (SELECT job_id, page_num, text, length(regexp_extract(text, '(?s)^(.*?)(?:{p})', 1)) + 1 AS pos, regexp_extract(text, '{p}') AS hit FROM v_text WHERE regexp_matches(text, '{p}'))

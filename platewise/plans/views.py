@@ -57,7 +57,7 @@ VIEWS = {
       FROM {events} GROUP BY 1, 2""",
     "v_plates": """SELECT l_orderkey AS job_id, CASE CAST(l_partkey % 9 AS INT) WHEN 0 THEN 'Cyan' WHEN 1 THEN 'magenta' WHEN 2 THEN ' Yellow' WHEN 3 THEN 'Black' WHEN 4 THEN 'Rich Black' WHEN 5 THEN 'All' ELSE p_brand END AS ink,
       l_quantity AS l, l_discount * 100 AS a, l_tax * 100 AS b FROM {lineitem} AS li JOIN {part} AS pa ON l_partkey = p_partkey""",
-    "v_docs": """SELECT o_orderkey AS job_id, o_custkey AS tenant_id, CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN '1.3' WHEN 1 THEN '1.4' WHEN 2 THEN '1.6' WHEN 3 THEN '1.7' WHEN 4 THEN '2.0' WHEN 5 THEN '' END AS version, o_orderkey * 7919 % 11 < 1 AS encrypted, o_orderkey * 7919 % 7 < 2 AS linearized, o_orderkey * 7919 % 9 < 2 AS has_prev, o_orderkey * 7919 % 13 < 9 AS has_id, o_orderkey * 7919 % 8 < 6 AS has_xmp, o_orderkey * 7919 % 5 < 2 AS display_title, o_orderkey * 7919 % 6 < 5 AS has_text, o_orderkey * 7919 % 23 < 1 AS names_js, o_orderkey * 7919 % 29 < 1 AS open_js, o_orderkey * 7919 % 31 < 1 AS page_js, o_orderkey * 7919 % 19 < 1 AS embedded_files, o_orderkey * 7919 % 37 < 1 AS xfa, o_orderkey * 7919 % 4 < 1 AS tagged, o_orderkey * 7919 % 3 < 1 AS marked, o_orderkey * 7919 % 12 < 1 AS thumbnails, o_orderkey * 7919 % 41 < 1 AS launch_action, o_orderkey * 7919 % 5 < 3 AS tab_order, o_orderkey * 7919 % 10 < 8 AS reader_allowed, o_orderkey * 7919 % 9 < 7 AS has_create_date, o_orderkey * 7919 % 7 < 5 AS has_mod_date, o_orderkey * 7919 % 6 < 4 AS intent_profile, o_orderkey * 7919 % 17 < 1 AS transfer_functions, o_orderkey * 7919 % 18 < 1 AS halftones, o_orderkey * 7919 % 5 < 2 AS transparency, o_orderkey * 7919 % 16 < 3 AS has_layer_config,
+    "v_docs": """SELECT o_orderkey AS job_id, o_custkey AS tenant_id, CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN '1.3' WHEN 1 THEN '1.4' WHEN 2 THEN '1.6' WHEN 3 THEN '1.7' WHEN 4 THEN '2.0' WHEN 5 THEN '' END AS version, o_orderkey * 7919 % 11 < 1 AS encrypted, o_orderkey * 7919 % 7 < 2 AS linearized, o_orderkey * 7919 % 9 < 2 AS has_prev, o_orderkey * 7919 % 13 < 9 AS has_id, o_orderkey * 7919 % 8 < 6 AS has_xmp, o_orderkey * 7919 % 5 < 2 AS display_title, o_orderkey * 7919 % 6 < 5 AS has_text, o_orderkey * 7919 % 23 < 1 AS names_js, o_orderkey * 7919 % 29 < 1 AS open_js, o_orderkey * 7919 % 31 < 1 AS page_js, o_orderkey * 7919 % 19 < 1 AS embedded_files, o_orderkey * 7919 % 37 < 1 AS xfa, o_orderkey * 7919 % 4 < 1 AS tagged, o_orderkey * 7919 % 3 < 1 AS marked, o_orderkey * 7919 % 12 < 1 AS thumbnails, o_orderkey * 7919 % 41 < 1 AS launch_action, o_orderkey * 7919 % 5 < 3 AS tab_order, o_orderkey * 7919 % 10 < 8 AS reader_allowed, o_orderkey * 7919 % 9 < 7 AS has_create_date, o_orderkey * 7919 % 7 < 5 AS has_mod_date, o_orderkey * 7919 % 6 < 4 AS intent_profile, o_orderkey * 7919 % 17 < 1 AS transfer_functions, o_orderkey * 7919 % 18 < 1 AS halftones, o_orderkey * 7919 % 5 < 2 AS transparency, o_orderkey * 7919 % 16 < 3 AS has_layer_config, o_orderkey * 7919 % 14 < 12 AS has_metadata, CASE WHEN o_orderkey % 3 > 0 THEN '1' ELSE '' END AS pdfa_part, CASE WHEN o_orderkey % 4 > 0 THEN 'B' END AS pdfa_conformance,
       CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'True' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'odd' WHEN 3 THEN '' END AS trapped, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE '' END AS title, CASE WHEN o_orderkey % 6 > 0 THEN o_orderpriority ELSE 'other' END AS xmp_title,
       CASE WHEN o_orderkey % 3 = 0 THEN '1.6' ELSE '' END AS xmp_version, CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'PDF/X-4' WHEN 1 THEN 'PDF/X-1a' END AS xmp_pdfx, CASE WHEN o_orderkey % 3 = 1 THEN 'PDF/X-1:2001' END AS info_pdfx, CASE WHEN o_orderkey % 5 > 1 THEN 'en' ELSE ' ' END AS lang,
       CAST(o_orderkey % 3 AS INT) AS intents, CASE WHEN o_orderkey % 8 > 0 THEN 'GTS_PDFX' ELSE 'GTS_PDFA1' END AS intent_subtype, CASE WHEN o_orderkey % 10 > 0 THEN 'FOGRA39' END AS condition, CAST(o_orderkey % 9 - 5 AS INT) AS form_fields, CAST(o_orderkey % 6 - 3 AS INT) AS layers,
@@ -67,10 +67,11 @@ VIEWS = {
     "v_layers": """SELECT l_orderkey AS job_id, concat(CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN 'Dieline ' WHEN 1 THEN 'White Ink ' WHEN 2 THEN 'Varnish ' WHEN 3 THEN 'Cut ' ELSE 'Art ' END, CAST(l_linenumber AS VARCHAR(9))) AS name, l_partkey % 6 IN (0, 2, 3) AS finishing, l_partkey % 6 = 1 AS white,
       l_partkey % 6 = 0 AS dieline, CASE WHEN l_suppkey % 3 = 0 THEN 'OFF' ELSE 'ON' END AS print_state, CASE WHEN l_suppkey % 5 = 0 THEN 'OFF' ELSE 'ON' END AS view_state FROM {lineitem}""",
     "v_profiles": """SELECT l_orderkey AS job_id, l_linenumber AS seq, CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 'GRAY' WHEN 1 THEN 'RGB' WHEN 2 THEN 'CMYK' ELSE 'Lab' END AS space, CAST(l_suppkey % 4 + 1 AS INT) AS components, CASE WHEN l_partkey % 3 = 0 THEN '4.3' ELSE '2.1' END AS version,
-      CASE WHEN l_partkey % 5 = 0 THEN 'mntr' ELSE 'prtr' END AS class, CAST(l_partkey % 50 AS INT) AS size, l_linenumber % 3 = 0 AS is_intent, CASE WHEN l_partkey % 2 = 0 THEN 'FOGRA39' ELSE 'custom' END AS condition, l_partkey % 7 > 0 AS has_tags, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'Perceptual' ELSE 'RelativeColorimetric' END AS rendering,
+      CASE WHEN l_partkey % 5 = 0 THEN 'mntr' ELSE 'prtr' END AS class, CAST(l_partkey % 50 AS INT) AS size, l_linenumber % 3 = 0 AS is_intent, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'FOGRA39' WHEN 1 THEN 'custom' ELSE '' END AS condition, CASE CAST(l_suppkey % 4 AS INT) WHEN 0 THEN 'GTS_PDFX' WHEN 1 THEN 'GTS_PDFA1' WHEN 2 THEN 'odd' END AS subtype, l_partkey % 7 > 0 AS has_tags, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'Perceptual' ELSE 'RelativeColorimetric' END AS rendering,
       0.9642 + l_discount / 5 AS white_x, 0.8249 + l_tax / 5 AS white_z FROM {lineitem}""",
     "v_spaces": """SELECT l_orderkey AS job_id, l_linenumber AS page_num, CASE CAST(l_partkey % 10 AS INT) WHEN 0 THEN 'DeviceRGB' WHEN 1 THEN 'DeviceCMYK' WHEN 2 THEN 'DeviceGray' WHEN 3 THEN 'CalRGB' WHEN 4 THEN 'CalGray' WHEN 5 THEN 'Lab' WHEN 6 THEN 'ICCBased' WHEN 7 THEN 'Separation'
-      WHEN 8 THEN 'DeviceN' ELSE 'Indexed' END AS cs_type, CASE WHEN l_suppkey % 3 > 0 THEN 'DeviceCMYK' END AS alternate, l_suppkey % 4 = 0 AS has_default, l_orderkey % 2 = 0 AS has_intent FROM {lineitem}""",
+      WHEN 8 THEN 'DeviceN' ELSE 'Indexed' END AS cs_type, CASE WHEN l_suppkey % 3 > 0 THEN 'DeviceCMYK' END AS alternate, l_suppkey % 4 = 0 AS has_default, l_orderkey % 2 = 0 AS has_intent, l_suppkey % 5 > 1 AS has_profile, CASE CAST(l_suppkey % 6 AS INT) WHEN 0 THEN 'All' WHEN 1 THEN 'None' WHEN 2 THEN '' WHEN 3 THEN 'Gold' WHEN 4 THEN 'Silver' END AS colorant FROM {lineitem}""",
+    "v_nodes": """SELECT user_id AS job_id, event_id AS seq, CASE CAST(event_id * user_id % 13 AS INT) WHEN 0 THEN 'Document' WHEN 1 THEN 'H1' WHEN 2 THEN 'Table' WHEN 3 THEN 'TH' WHEN 4 THEN 'LI' WHEN 5 THEN 'L' WHEN 6 THEN 'Artifact' WHEN 7 THEN 'Em' ELSE 'P' END AS type FROM {events}""",
     "v_codes": """SELECT p_size AS job_id, p_partkey AS code, CASE WHEN p_partkey % 4 = 0 THEN concat('http', CASE WHEN p_partkey % 8 = 0 THEN 's' ELSE ':' END, '://shop.example.com/', CAST(p_partkey AS VARCHAR(9))) ELSE lpad(CAST(p_partkey * 7919 AS VARCHAR(9)), 13, '4') END AS payload,
       CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN lpad(CAST(p_partkey * 7919 AS VARCHAR(9)), 13, '4') WHEN 1 THEN p_name ELSE '' END AS nearby FROM {part}""",
     "v_tenants": """SELECT c_custkey AS tenant_id, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'pro' WHEN 3 THEN 'enterprise' ELSE 'trial' END AS plan,

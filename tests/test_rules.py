@@ -121,25 +121,6 @@ def test_greedy_replay_against_brute_force(spark):
     assert score[None].removed_disputed == sum(free[i][7] == "disputed" for i in free) and score[None].removed_confirmed == sum(free[i][7] == "confirmed" for i in free)
 
 
-def test_similar_vectors_rank_by_cosine(spark):
-    rng = random.Random(3)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
-    vectors = spark.createDataFrame(rows, "ident long, v array<double>")
-    got = similarity.similar_vectors(vectors, vectors.where("ident < 20"), k=3, planes=2, tables=12).collect()
-    by = dict(rows)
-
-    def cosine(a, b):
-        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
-
-    right = 0
-    for q in range(20):
-        best = sorted(((-cosine(by[q], v), i) for i, v in rows if i != q))[:3]
-        mine = sorted((r.rank, r.ident) for r in got if r.query_id == q)
-        assert all(abs(r.cosine - cosine(by[q], by[r.ident])) < 1e-6 for r in got if r.query_id == q)
-        right += len({i for _, i in best} & {i for _, i in mine})
-    assert right >= 0.9 * 60
-
-
 def test_text_hashes_bring_near_texts_together(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words)), (4, " ".join(f"z{i}" for i in range(400))), (5, None), (6, "")]
@@ -167,13 +148,13 @@ def test_families_are_selected_before_the_plan(spark):
 
 
 def test_packs_differ_by_level(spark):
-    flags = "encrypted linearized has_prev has_id has_xmp names_js open_js embedded_files xfa launch_action reader_allowed has_create_date has_mod_date intent_profile transfer_functions halftones transparency has_layer_config".split()
-    good = {f: f in ("has_id", "has_xmp", "reader_allowed", "has_create_date", "has_mod_date", "intent_profile") for f in flags}
-    base = {"version": "1.4", "xmp_pdfx": "PDF/X-4", "xmp_version": "", "xmp_title": "t", "title": "t", "trapped": "True", "intents": 1, "condition": "F", "intent_subtype": "GTS_PDFX", "info_pdfx": "v", "form_fields": 0, "layers": 0, "ps_xobjects": 0}
+    flags = "encrypted linearized has_prev has_id has_xmp names_js open_js embedded_files xfa launch_action reader_allowed has_create_date has_mod_date intent_profile transfer_functions halftones transparency has_layer_config has_metadata".split()
+    good = {f: f in ("has_id", "has_xmp", "reader_allowed", "has_create_date", "has_mod_date", "intent_profile", "has_metadata") for f in flags}
+    base = {"version": "1.4", "xmp_pdfx": "PDF/X-4", "xmp_version": "", "xmp_title": "t", "title": "t", "trapped": "True", "intents": 1, "condition": "F", "intent_subtype": "GTS_PDFX", "info_pdfx": "v", "form_fields": 0, "layers": 0, "ps_xobjects": 0, "pdfa_part": "1", "pdfa_conformance": "B"}
     rows = [{"job_id": 1, **base, **good}, {"job_id": 2, **base, **good, "embedded_files": True, "version": "1.6"}]
     found = standards.standards({"docs": spark.createDataFrame(rows)})
     assert {(r.job_id, r.pack, r.inspection_id, r.severity) for r in found.collect()} == {
-        (1, "X-4", "PDFX4-001", "error"), (2, "X-4", "PDFX4-073", "error"), (2, "X-1a", "PDFX1A-035", "error"), (2, "A-1", "PDFA-028", "error"), (2, "A-2", "PDFA-028", "warning"), (2, "A-1", "PDFA-010", "error")
+        (1, "X-4", "PDFX4-001", "error"), (2, "X-4", "PDFX4-073", "error"), (2, "X-1a", "PDFX1A-035", "error"), (2, "A-1", "PDFA-028", "error"), (2, "A-2", "PDFA-028", "warning"), (2, "A-1", "PDFA-009", "error")
     }
     assert {(r.job_id, r.pack): r.conforms for r in standards.conformance(found).collect()}[2, "A-2"]
 
@@ -195,3 +176,58 @@ def test_rulesets_and_thresholds_are_read(spark, tmp_path):
     jobs = spark.createDataFrame([(1, "r", {"min_dpi": 200.0, "other": 1.0}), (2, "r", {})], "job_id long, ruleset_id string, override map<string,double>")
     got = {r.job_id: r.thresholds for r in readers.resolved_thresholds(rulesets, jobs).collect()}
     assert got == {1: {"min_dpi": 200.0, "max_ink": 300.0}, 2: {"min_dpi": 150.0, "max_ink": 300.0}}
+
+
+def test_metadata_of_standard_a_by_rule(spark):
+    good = {"has_metadata": True, "has_xmp": True, "pdfa_part": "1", "pdfa_conformance": "B", "title": "t", "xmp_title": "t", "has_create_date": True, "has_mod_date": True, "intents": 1, "intent_profile": True, "condition": None, "version": "1.4"}
+    faults = {
+        "PDFA-010": {"has_metadata": False}, "PDFA-001": {"has_xmp": False, "pdfa_part": None}, "PDFA-002": {"pdfa_part": ""}, "PDFA-003": {"pdfa_conformance": None}, "PDFA-004": {"title": "other"}, "PDFA-005": {"has_create_date": False},
+        "PDFA-006": {"has_mod_date": False}, "PDFA-007": {"intents": 0, "intent_profile": False}, "PDFA-008": {"intent_profile": False}, "PDFA-009": {"version": "1.5"},
+    }
+    rows = [{"job_id": 0, **good}, {"job_id": 99, **good, "intent_profile": False, "condition": "FOGRA39"}, *({"job_id": n, **good, **f} for n, f in enumerate(faults.values(), 1))]
+    df = spark.createDataFrame(rows, "job_id long, has_metadata boolean, has_xmp boolean, pdfa_part string, pdfa_conformance string, title string, xmp_title string, has_create_date boolean, has_mod_date boolean, intents int, intent_profile boolean, condition string, version string")
+    tests = tuple((name, severity, test) for pack, name, severity, table, test in standards.PACKS if pack == standards.A1 and table == "docs" and name <= "PDFA-010")
+    weak = {"PDFA-004", "PDFA-005", "PDFA-006"}
+    assert hits(standards.apply_rules(df, tests, "job_id"), "job_id") == [(n, k, "warning" if k in weak else "error") for n, k in enumerate(faults, 1)]
+
+
+def test_colour_spaces_by_rule(spark):
+    rows = [
+        (1, 1, "CalRGB", None, None, False, False, False), (2, 1, "DeviceRGB", None, None, False, False, True), (3, 1, "DeviceRGB", None, None, True, False, False), (4, 1, "DeviceN", None, "Gold", True, False, True), (5, 1, "Separation", "DeviceCMYK", "All", True, False, True),
+        (6, 1, "Lab", None, None, False, False, True), (7, 1, "Indexed", None, None, False, False, True), (8, 1, "DeviceCMYK", None, None, False, True, True), (9, 1, "ICCBased", None, None, True, False, True), (9, 1, "Lab", None, None, True, False, True), (9, 1, "Lab", None, None, True, False, True),
+    ]
+    spaces = spark.createDataFrame(rows, "job_id long, page_num int, cs_type string, alternate string, colorant string, has_profile boolean, has_default boolean, has_intent boolean")
+    found = hits(standards.color_space_rules(spaces, spark.createDataFrame([(1, 0), (2, 1)], "job_id long, intents int")), "job_id", "page_num")
+    assert found == sorted([
+        (1, 0, "COLOR_006", "warning"), (1, 1, "COLOR_001", "error"), (2, 1, "COLOR_002", "warning"), (2, 1, "COLOR_015", "advisory"), (4, 1, "COLOR_003", "warning"), (4, 1, "COLOR_007", "advisory"), (6, 1, "COLOR_018", "advisory"), (7, 1, "COLOR_019", "advisory"),
+        (8, 1, "COLOR_015", "advisory"), (8, 1, "COLOR_020", "warning"), (9, 1, "COLOR_018", "advisory"),
+    ])
+
+
+def test_profiles_by_rule(spark):
+    base = {"space": "CMYK", "components": 4, "size": 9, "is_intent": True, "subtype": "GTS_PDFX", "condition": "FOGRA39", "has_tags": True, "white_x": 0.9642, "white_z": 0.8249}
+    faults = [{}, {"components": 3}, {"size": 0}, {"subtype": None}, {"subtype": "odd"}, {"condition": ""}, {"has_tags": False}, {"white_x": 0.98}, {"is_intent": False, "subtype": None, "condition": None}, {"condition": "unheard of"}]
+    df = spark.createDataFrame([{"job_id": n, **base, **f} for n, f in enumerate(faults)], "job_id long, space string, components int, size int, is_intent boolean, subtype string, condition string, has_tags boolean, white_x double, white_z double")
+    got = [h for h in hits(standards.apply_rules(df, standards.PROFILE, "job_id"), "job_id") if h[1] != "ICC_005"]
+    assert got == [(1, "ICC_001", "error"), (2, "ICC_003", "error"), (3, "ICC_004", "warning"), (4, "ICC_004", "warning"), (5, "ICC_004", "warning"), (6, "ICC_007", "warning"), (7, "ICC_009", "warning")]
+    known = {h[0] for h in hits(standards.apply_rules(df, standards.PROFILE, "job_id"), "job_id") if h[1:] == ("ICC_005", "advisory")}
+    assert known == set(range(10)) - {5, 8}
+
+
+def test_accessibility_by_rule(spark):
+    good = {"tagged": True, "marked": False, "lang": "en", "intents": 1, "tab_order": True, "encrypted": False, "reader_allowed": False}
+    faults = [{}, {"tagged": False}, {"lang": None}, {"lang": " "}, {"marked": True}, {"intents": 0}, {"tab_order": False}, {"encrypted": True}, {"tagged": False, "marked": True}]
+    df = spark.createDataFrame([{"job_id": n, **good, **f} for n, f in enumerate(faults)], "job_id long, tagged boolean, marked boolean, lang string, intents int, tab_order boolean, encrypted boolean, reader_allowed boolean")
+    assert hits(standards.apply_rules(df, standards.ACCESS, "job_id"), "job_id") == [
+        (1, "ACCESS_001", "advisory"), (2, "ACCESS_002", "advisory"), (2, "ACCESS_004", "warning"), (3, "ACCESS_004", "warning"), (4, "ACCESS_003", "advisory"), (5, "ACCESS_012", "advisory"), (6, "ACCESS_013", "advisory"), (7, "SCREEN_READER", "warning"), (8, "ACCESS_001", "advisory"),
+    ]
+    nodes = spark.createDataFrame([(0, t) for t in ("H2", "Table", "LI", "Artifact", "Em")] + [(2, t) for t in ("H", "TH", "L", "Artifact", "Strong", "Table", "LI")], "job_id long, type string")
+    images = spark.createDataFrame([(0, 3), (0, 3), (1, 1)], "job_id long, page_num int")
+    docs = df.where("job_id < 4 AND job_id <> 3")
+    assert hits(standards.structure_tag_rules(nodes, docs, images), "job_id", "page_num") == [(0, 0, "ACCESS_007", "warning"), (0, 0, "ACCESS_008", "advisory"), (0, 3, "ACCESS_005", "warning")]
+
+
+def test_packaging_layers_by_rule(spark):
+    layers = spark.createDataFrame([(1, "Dieline", True, "OFF"), (1, "Cut", True, "ON"), (2, "Die", True, "ON"), (3, "Art", False, "OFF")], "job_id long, name string, dieline boolean, print_state string")
+    got = hits(standards.packaging(layers, spark.createDataFrame([(n,) for n in (1, 2, 3, 4)], "job_id long")), "job_id")
+    assert got == [(1, "PKG_001", "advisory"), (1, "PKG_003", "advisory"), (2, "PKG_001", "advisory"), (3, "PKG_002", "warning"), (4, "PKG_002", "warning")]
