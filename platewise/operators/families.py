@@ -38,6 +38,46 @@ def image_rules(low: float = 150.0, high: float = 450.0) -> dict[str, tuple[str,
     }
 
 
+# Filters that do not compress (fixed values of the format).
+PLAIN_FILTERS = ("ASCIIHexDecode", "ASCII85Decode")
+
+
+def image_data_rules() -> dict[str, tuple[str, Column]]:
+    """How images are stored (filters, inline_image, bits, opi, alternates): no compression, inline, LZW, JPEG 2000, depth, references."""
+    filters = F.col("filters")
+    return {
+        "IMG_004": ("advisory", (F.size(filters) > 0) & F.forall(filters, lambda f: f.isin(*PLAIN_FILTERS))),
+        "IMG_005": ("advisory", F.col("inline_image")),
+        "IMG_007": ("warning", F.array_contains(filters, "LZWDecode")),
+        "IMG_008": ("advisory", F.array_contains(filters, "JPXDecode")),
+        "IMG_009": ("advisory", F.col("bits") > 8),
+        "IMG_010": ("error", F.col("opi")),
+        "IMG_011": ("warning", F.col("alternates")),
+    }
+
+
+def line_rules(thin: float = 0.5, wide: float = 1.0, points: int = 10_000) -> dict[str, tuple[str, Column]]:
+    """Caps, inks, opacity and flatness of strokes and the points of paths (stroke, line_width, line_cap, c, m, y, k, stroke_alpha,
+    stroke_grey, flatness, point_count). A grey stroke of full white without a stated opacity is invisible as well.
+    """
+    width, alpha = F.col("line_width"), F.col("stroke_alpha")
+    stroke = F.col("stroke")
+    unseen = F.when(alpha.isNotNull(), F.abs(alpha) < 1e-6).otherwise((width > 0) & (F.abs(F.col("stroke_grey") - 1) < 0.01))
+    return {
+        "STROKE_003": ("advisory", stroke & (width > 0) & (width < thin) & (F.col("line_cap") == 0)),
+        "STROKE_007": ("advisory", stroke & (width >= thin) & (width <= wide) & (C.active_inks(*[F.col(x) for x in "cmyk"]) > 1)),
+        "STROKE_005": ("warning", stroke & unseen),
+        "STROKE_006": ("advisory", stroke & (F.col("flatness") != 0) & (F.col("flatness") != 1)),
+        "PATH_001": ("warning", F.col("point_count") > points),
+    }
+
+
+def white_fills(paths: DataFrame) -> DataFrame:
+    """(job_id, page_num, op_idx, inspection_id, severity): PATH_002, the first white fill of each page."""
+    white = paths.where(F.col("fill") & (F.greatest(*[F.col(x) for x in "cmyk"]) < 0.01)).groupBy("job_id", "page_num").agg(F.min("op_idx").alias("op_idx"))
+    return white.select("job_id", "page_num", "op_idx", F.lit("PATH_002").alias("inspection_id"), F.lit("advisory").alias("severity"))
+
+
 def ink_rules(limit: float = 300.0, hairline: float = 0.25) -> dict[str, tuple[str, Column]]:
     """Coverage, registration colour, impure grey and black, hairlines of painted paths (c, m, y, k, line_width, fill).
 

@@ -190,6 +190,26 @@ def identity_diff(expected: DataFrame, actual: DataFrame, *run: str) -> DataFram
     return per.groupBy(*run).agg(F.count_if(F.expr("side = 1")).alias("missing"), F.count_if(F.expr("side = 2")).alias("new"), F.count_if(F.expr("side = 3")).alias("same"), (F.count_if(F.expr("side < 3")) == 0).alias("passed"))
 
 
+def regression_run(expected: DataFrame, actual: DataFrame, assays: DataFrame, run: str = "job_id") -> DataFrame:
+    """(run, missing, new, same, bootstrapped, passed) of every assay of a run against its baseline.
+
+    An assay without a baseline passes: what was found becomes one, see ``adopted``. Its findings count as the same.
+    """
+    known = expected.select(run).distinct().withColumn("has_baseline", F.lit(True))
+    diff = identity_diff(expected, actual, run).drop("passed")
+    rows = assays.select(run).distinct().join(known, run, "left").join(diff, run, "left").fillna(0, ["missing", "new", "same"])
+    fresh = F.col("has_baseline").isNull()
+    counted = rows.select(run, F.when(fresh, 0).otherwise(F.col("missing")).cast("long").alias("missing"), F.when(fresh, 0).otherwise(F.col("new")).cast("long").alias("new"), F.when(fresh, F.col("new")).otherwise(F.col("same")).cast("long").alias("same"), fresh.alias("bootstrapped"))
+    return counted.withColumn("passed", (F.col("missing") == 0) & (F.col("new") == 0))
+
+
+def adopted(expected: DataFrame, actual: DataFrame, run: str = "job_id") -> DataFrame:
+    """The baseline after a run: that of before, and what was found for assays that had none."""
+    keys = [run, "inspection_id", "severity", "page_num"]
+    fresh = actual.join(expected.select(run).distinct(), run, "left_anti")
+    return expected.select(*keys).unionByName(fresh.select(*keys)).distinct()
+
+
 def fingerprint(hashes: DataFrame, *keys: str, prefix: int = 4) -> DataFrame:
     """Digest of a corpus in two levels: SHA-256 of the sorted, comma-joined hashes of each prefix, then of these in order.
 

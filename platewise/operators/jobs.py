@@ -59,6 +59,26 @@ def duration_distribution(jobs: DataFrame, edges: list[float]) -> DataFrame:
     return jobs.groupBy("status", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 2).alias("total_ms"))
 
 
+#: Size of a quantile sketch; its rank error is about 1.65 % at this size, with 99 % confidence.
+SKETCH_SIZE, RANK_ERROR = 200, 0.0165
+
+
+def stage_sketches(jobs: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """(stage, day, n, sketch): the durations of each stage and day as a mergeable quantile sketch.
+
+    ``jobs`` has a timestamp ts and stages, a map of stage to milliseconds. The table of sketches is what is kept: days are
+    rolled up from it, and jobs are not read again.
+    """
+    rows = jobs.select(F.to_date("ts").alias("day"), F.explode("stages").alias("stage", "ms")).where(F.col("ms").isNotNull())
+    return rows.groupBy("stage", "day").agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("ms").cast("double"), F.lit(size)).alias("sketch"))
+
+
+def stage_percentiles(sketches: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """(*keys, n, p50, p90, p99): quantiles of rolled-up sketches, for any keys that the sketches have."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(p * 100)}") for p in shares])
+
+
 def cascade(toggles: DataFrame) -> DataFrame:
     """Setting per tenant: default, then tenant, then workflow; a locked tenant value ends the chain. With provenance."""
     workflow = F.col("workflow_value").isNotNull() & ~(F.col("locked") & F.col("tenant_value").isNotNull())
@@ -103,3 +123,14 @@ def job_states(jobs: DataFrame, findings: DataFrame) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "inspection_id", "severity"))), lambda s: F.concat(s["inspection_id"], F.lit(":"), s["severity"]))
     per = findings.groupBy("job_id").agg(F.array_join(listed, ",").alias("findings"))
     return jobs.select("job_id", "tenant_id", "status").join(per, "job_id", "left").withColumn("findings", F.coalesce("findings", F.lit("")))
+
+
+def compare_names(one: DataFrame, two: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(*keys, added, removed): names (fonts, colour spaces, info keys) that one version of a document's part has and the other has not.
+
+    Distinct names are compared by a full outer join, so no set is gathered but what differs; both are sorted, joined by commas.
+    """
+    left, right = (rows.select(*keys, name).where(F.col(name).isNotNull()).distinct().withColumn(side, F.lit(True)) for rows, side in ((one, "one"), (two, "two")))
+    both = left.join(right, [*keys, name], "full").where(F.col("one").isNull() | F.col("two").isNull())
+    listed = lambda missing: F.array_join(F.sort_array(F.collect_list(F.when(F.col(missing).isNull(), F.col(name)))), ",")
+    return both.groupBy(*keys).agg(listed("one").alias("added"), listed("two").alias("removed"))

@@ -23,6 +23,28 @@ def empty_bands(boxes: DataFrame, least: float = 30.0) -> DataFrame:
     return rows.where(F.col("y0") - F.col("below") >= least).select(*PAGE, "below", F.col("y0").alias("above"))
 
 
+def step_and_repeat(boxes: DataFrame, least: int = 3, agree: float = 0.8, whole: float = 1.0) -> DataFrame:
+    """(job_id, page_num, width, height, boxes, columns, rows, step_x, step_y): lattices of equal boxes, as a sheet of labels has.
+
+    Boxes of one size, to ``whole`` points, vote with the vector to the next one in their row and in their column; a lattice is
+    there if ``agree`` of all votes, two at least, are for one step each way. Neighbours vote, not all pairs, so votes grow with the boxes.
+    """
+    snap = lambda c: F.round(F.col(c) / whole) * whole
+    size = ["width", "height"]
+    rows = boxes.where("x1 > x0 AND y1 > y0").select(*PAGE, snap("x0").alias("x"), snap("y0").alias("y"), (F.round((F.col("x1") - F.col("x0")) / whole) * whole).alias("width"), (F.round((F.col("y1") - F.col("y0")) / whole) * whole).alias("height")).distinct()
+    step = lambda along, across: F.col(along) - F.lag(along).over(W.partitionBy(*PAGE, *size, across).orderBy(along))
+    votes = rows.withColumns({"dx": step("x", "y"), "dy": step("y", "x")})
+    group = [*PAGE, *size]
+    # the most frequent step each way, the least of several
+    best = lambda c: votes.where(F.col(c).isNotNull()).groupBy(*group, c).agg(F.count("*").alias("n")).groupBy(*group).agg(F.max(F.struct("n", (-F.col(c)).alias("step"))).alias("m"), F.sum("n").alias("all")).select(*group, F.col("m.n").alias(f"{c}_votes"), (-F.col("m.step")).alias(f"step_{c[1]}"), F.col("all").alias(f"{c}_all"))
+    per = rows.groupBy(*group).agg(F.count("*").alias("boxes"), F.count_distinct("x").alias("columns"), F.count_distinct("y").alias("rows")).where(F.col("boxes") >= least)
+    told = per.join(best("dx"), group, "left").join(best("dy"), group, "left").fillna(0, ["dx_votes", "dx_all", "dy_votes", "dy_all"])
+    won, every = F.col("dx_votes") + F.col("dy_votes"), F.col("dx_all") + F.col("dy_all")
+    # most boxes must have a neighbour at all
+    hit = (won >= 2) & (won >= agree * every) & (every >= agree * (F.col("boxes") - F.greatest("columns", "rows")))
+    return told.where(hit & (F.col("columns") * F.col("rows") >= F.col("boxes"))).where(F.col("boxes") >= agree * F.col("columns") * F.col("rows")).select(*group, "boxes", "columns", "rows", "step_x", "step_y")
+
+
 def seal_zone_hits(runs: DataFrame, labels: Column, margin_mm: float = 5.0) -> DataFrame:
     """Text runs that reach into the zone around a run that marks a seal area (``labels``); one row per run.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -40,13 +40,24 @@ def control_alerts(points: DataFrame) -> DataFrame:
 
 
 def trend(points: DataFrame, least: int = 20) -> DataFrame:
-    """Per series of ``least`` points or more: points beyond three sigma, runs of eight by their end, lower limit from 0."""
+    """Per series of ``least`` points or more: points that break each control rule by the end of its window, and the lower limit from 0.
+
+    beyond: outside three sigma; pairs: two of three beyond two sigma on one side; fours: four of five beyond one; runs: eight on one
+    side of the mean. Windows at the start are as long as there are points. Points may have ``passed``: pass_rate is its share, else null.
+    """
     rows = points.join(limits(points).where(F.col("n") >= least), "series")
-    order = W.partitionBy("series").orderBy("ts", "seq").rowsBetween(-7, 0)
-    run = [F.sum((F.col("value") > F.col("mean")).cast("int")).over(order), F.sum((F.col("value") < F.col("mean")).cast("int")).over(order)]
-    marked = rows.withColumn("run", ((run[0] == 8) | (run[1] == 8)).cast("long")).withColumn("beyond", ((F.col("value") > F.col("up3")) | (F.col("value") < F.col("low3"))).cast("long"))
-    per = marked.groupBy("series").agg(F.max("n").alias("points"), F.sum("beyond").alias("beyond"), F.sum("run").alias("runs"), F.max("mean").alias("mean"), F.max("low3").alias("low3"))
-    return per.select("series", "points", "beyond", "runs", F.round("mean", 6).alias("mean"), F.round(F.greatest("low3", F.lit(0.0)), 6).alias("lower"))
+    if "passed" not in points.columns:
+        rows = rows.withColumn("passed", F.lit(None).cast("boolean"))
+
+    def broken(length: int, enough: int, k: float) -> Column:
+        window = W.partitionBy("series").orderBy("ts", "seq").rowsBetween(1 - length, 0)
+        sides = (F.col("value") > F.col("mean") + k * F.col("sigma"), F.col("value") < F.col("mean") - k * F.col("sigma"))
+        return F.greatest(*[F.sum(s.cast("int")).over(window) for s in sides]) >= enough
+
+    rules = {"beyond": (1, 1, 3.0), "pairs": (3, 2, 2.0), "fours": (5, 4, 1.0), "runs": (8, 8, 0.0)}
+    marked = rows.withColumns({name: broken(*rule).cast("long") for name, rule in rules.items()})
+    per = marked.groupBy("series").agg(F.max("n").alias("points"), *[F.sum(name).alias(name) for name in rules], F.round(F.avg(F.col("passed").cast("int")), 6).alias("pass_rate"), F.max("mean").alias("mean"), F.max("low3").alias("low3"))
+    return per.select("series", "points", *rules, "pass_rate", F.round("mean", 6).alias("mean"), F.round(F.greatest("low3", F.lit(0.0)), 6).alias("lower"))
 
 
 def outage(outcomes: DataFrame, last: int = 20, failures: int = 11) -> DataFrame:

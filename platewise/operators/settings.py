@@ -65,3 +65,40 @@ def formats_outside_plan(requests: DataFrame, requested: str, allowed: str) -> D
     """Requests for report formats that the plan hasn't, with those formats, sorted and joined by commas."""
     extra = F.array_sort(F.array_except(requested, allowed))
     return requests.withColumn("extra", F.array_join(extra, ",")).where(F.size(extra) > 0)
+
+
+#: How a layer changes what the layers before it gave: as a whole, by adding items in order, or key by key.
+STRATEGIES = ("replace", "union", "merge")
+LAYER = "struct<name:string,items:array<string>,entries:map<string,string>,locked:boolean>"
+
+
+def folded_settings(settings: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, items, entries, source): layers of a setting, from the default on, folded by its strategy; a lock ends the fold.
+
+    ``settings`` has the keys, strategy and ``layers``, an array of LAYER in order: a layer that is not set has null items and entries.
+    ``items`` are the value of strategies replace and union, ``entries`` that of merge. A locked layer's own value stands, as it is,
+    and later layers are not read. ``source`` names the layer of each item or key: of several that give it, the first that did for
+    union, the last for merge. An unknown strategy counts as replace.
+    """
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    union, merge = F.col("strategy") == "union", F.col("strategy") == "merge"
+    start = F.struct(none.alias("items"), empty.alias("entries"), empty.alias("source"), F.lit(False).alias("ended"))
+
+    def named(names: Column, layer: Column) -> Column:
+        return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), layer.alias("value"))))
+
+    def over(old: Column, new: Column) -> Column:
+        return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+    def step(acc: Column, layer: Column) -> Column:
+        given = layer["items"].isNotNull() | layer["entries"].isNotNull()
+        items, entries = F.array_distinct(F.coalesce(layer["items"], none)), F.coalesce(layer["entries"], empty)
+        own = named(F.when(merge, F.map_keys(entries)).otherwise(items), layer["name"])
+        alone = F.struct(items.alias("items"), F.when(merge, entries).otherwise(empty).alias("entries"), own.alias("source"), F.coalesce(layer["locked"], F.lit(False)).alias("ended"))
+        joined = F.struct(
+            F.when(union, F.array_distinct(F.concat(acc["items"], items))).otherwise(acc["items"]).alias("items"), F.when(merge, over(acc["entries"], entries)).otherwise(acc["entries"]).alias("entries"),
+            F.when(union, over(own, acc["source"])).otherwise(over(acc["source"], own)).alias("source"), F.lit(False).alias("ended"),
+        )
+        return F.when(acc["ended"] | ~given, acc).when(F.coalesce(layer["locked"], F.lit(False)) | ~(union | merge), alone).otherwise(joined)
+
+    return settings.select(*keys, F.aggregate("layers", start, step).alias("f")).select(*keys, "f.items", "f.entries", "f.source")

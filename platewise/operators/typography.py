@@ -36,6 +36,31 @@ def font_rules(fonts: DataFrame) -> DataFrame:
     return fused(rows, rules, "job_id", "page_num", "font")
 
 
+def font_program_rules(fonts: DataFrame) -> DataFrame:
+    """Rules on a font's program and descriptor, once per job and base font, at the first page that uses it.
+
+    Columns: job_id, page_num, base_font, name, subtype, embedded, standard_14, encoding, cid_info, descriptor, files (the font
+    files of the descriptor), weight, stem_v, italic_angle.
+    """
+    rows = first_per(fonts.withColumn("font", F.coalesce("base_font", "name")), ["job_id", "font"], ["page_num", "name"])
+    kind, low, files = F.col("subtype"), F.lower(F.coalesce("base_font", F.lit(""))), F.coalesce("files", F.array().cast("array<string>"))
+    heavy = F.coalesce(F.col("weight") >= 700, F.lit(False)) | F.coalesce(F.col("stem_v") > 165, F.lit(False))
+    wrong = ((kind == "Type1") & ~F.array_contains(files, "FontFile")) | ((kind == "TrueType") & ~F.array_contains(files, "FontFile2"))
+    rules = {
+        "FONT_003": ("advisory", F.col("standard_14")),
+        "FONT_006": ("warning", (kind == "Type0") & F.col("cid_info").isNull()),
+        "FONT_007": ("advisory", F.col("encoding").isNull() & ~kind.isin("Type3", "Type0")),
+        "FONT_008": ("error", (kind == "TrueType") & ~F.col("embedded")),
+        "FONT_009": ("error", (kind == "Type0") & ~F.col("embedded")),
+        "FONT_010": ("warning", F.col("descriptor") & (F.size(files) == 0)),
+        "FONT_011": ("warning", (kind == "MMType1") | F.coalesce(F.col("base_font").endswith("MM"), F.lit(False))),
+        "FONT_012": ("advisory", F.col("descriptor") & heavy & ~low.contains("bold")),
+        "FONT_013": ("advisory", F.col("descriptor") & (F.col("italic_angle") != 0) & ~low.contains("italic") & ~low.contains("oblique")),
+        "FONT_014": ("warning", (F.size(files) > 0) & wrong),
+    }
+    return fused(rows, rules, "job_id", "page_num", "font")
+
+
 def pages_without_fonts(pages: DataFrame, fonts: DataFrame, paths: DataFrame) -> DataFrame:
     """(job_id, page_num) of pages that paint paths but declare no font."""
     page = ["job_id", "page_num"]

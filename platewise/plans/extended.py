@@ -268,10 +268,19 @@ FAMILIES.register("content", "page", "v_paths", "v_pages")(R.content_against_box
 FAMILIES.register("fonts", "text", "v_fonts")(Y.font_rules)
 FAMILIES.register("documents", "document", "v_docs")(lambda rows: D.apply_rules(rows, D.DOCUMENT + D.METADATA + D.STRUCTURE, "job_id"))
 FAMILIES.register("annotations", "document", "v_annotations")(lambda rows: D.apply_rules(rows, D.ANNOTATION, "job_id", "page_num"))
+FAMILIES.register("text", "text", "v_runs")(Y.text_size_rules)
+FAMILIES.register("profiles", "profile", "v_profiles")(lambda rows: D.apply_rules(rows, D.PROFILE, "job_id", "seq"))
+FAMILIES.register("profile_conflicts", "profile", "v_profiles")(D.profile_conflicts)
+FAMILIES.register("layers", "document", "v_layers")(lambda rows: D.apply_rules(rows, D.LAYER, "job_id", "name"))
+FAMILIES.register("accessibility", "document", "v_docs")(lambda rows: D.apply_rules(rows, D.ACCESS, "job_id"))
+FAMILIES.register("structure_tags", "document", "v_nodes", "v_docs", "v_images")(D.structure_tag_rules)
+FAMILIES.register("packaging", "packaging", "v_layers", "v_docs")(lambda layers, docs: D.packaging(layers, docs.select("job_id")))
+FAMILIES.register("names", "text", "v_plates")(lambda rows: D.name_taxonomy(rows, SYNONYMS))
 
 OF_FAMILY = {
     "images": ["r1_images"], "inks": ["r6_r12_ink_and_strokes"], "black_text": ["r13_black_text"], "overprint": ["r48_overprint_state"], "spaces": ["r14_color_spaces"], "boxes": ["r9_page_boxes"],
     "content": ["r10_content_against_boxes"], "fonts": ["r3_r4_fonts"], "documents": ["r23_documents", "r24_metadata", "r25_structure"], "annotations": ["r8_annotations"],
+    "text": ["r7_text_size"], "profiles": ["r17_profiles"], "profile_conflicts": ["r17_profile_conflicts"], "layers": ["r28_layers"], "accessibility": ["r26_accessibility"], "structure_tags": ["r26_structure_tags"], "packaging": ["r29_packaging"], "names": ["r32_name_taxonomy"],
 }
 ALL_SQL = " UNION ALL ".join(f"SELECT '{k}' AS family, job_id, inspection_id, severity FROM ({ORACLES[q]})" for k, names in OF_FAMILY.items() for q in names)
 

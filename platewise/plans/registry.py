@@ -455,13 +455,13 @@ def w2_w5_control_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     oracle(
         "v_series",
-        "SELECT series, max(n) AS points, CAST(sum((value > mean + 3 * sigma OR value < mean - 3 * sigma)::INT) AS BIGINT) AS beyond, CAST(sum((hi = 8 OR lo = 8)::INT) AS BIGINT) AS runs, round(max(mean), 6) AS mean, round(greatest(max(mean - 3 * sigma), 0), 6) AS lower FROM p GROUP BY series",
+        "SELECT series, max(n) AS points, CAST(sum((greatest(hi1, lo1) >= 1)::INT) AS BIGINT) AS beyond, CAST(sum((greatest(hi3, lo3) >= 2)::INT) AS BIGINT) AS pairs, CAST(sum((greatest(hi5, lo5) >= 4)::INT) AS BIGINT) AS fours, CAST(sum((greatest(hi8, lo8) >= 8)::INT) AS BIGINT) AS runs, round(avg(passed::INT), 6) AS pass_rate, round(max(mean), 6) AS mean, round(greatest(max(mean - 3 * sigma), 0), 6) AS lower FROM p GROUP BY series",
         LIMITS,
-        "p AS (SELECT v.series, value, n, mean, sigma, sum((value > mean)::INT) OVER w AS hi, sum((value < mean)::INT) OVER w AS lo FROM v_series v JOIN l ON v.series = l.series WHERE n >= 20 WINDOW w AS (PARTITION BY v.series ORDER BY ts, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))",
+        "p AS (SELECT v.series, value, n, mean, sigma, seq % 3 > 0 AS passed, sum((value > mean + 3 * sigma)::INT) OVER w1 AS hi1, sum((value < mean - 3 * sigma)::INT) OVER w1 AS lo1, sum((value > mean + 2 * sigma)::INT) OVER w3 AS hi3, sum((value < mean - 2 * sigma)::INT) OVER w3 AS lo3, sum((value > mean + 1 * sigma)::INT) OVER w5 AS hi5, sum((value < mean - 1 * sigma)::INT) OVER w5 AS lo5, sum((value > mean + 0 * sigma)::INT) OVER w8 AS hi8, sum((value < mean - 0 * sigma)::INT) OVER w8 AS lo8 FROM v_series v JOIN l ON v.series = l.series WHERE n >= 20 WINDOW w1 AS (PARTITION BY v.series ORDER BY ts, seq ROWS BETWEEN 0 PRECEDING AND CURRENT ROW), w3 AS (PARTITION BY v.series ORDER BY ts, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w5 AS (PARTITION BY v.series ORDER BY ts, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w8 AS (PARTITION BY v.series ORDER BY ts, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))",
     )
 )
 def w6_submission_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.trend(view(spark, sf_dir, "v_series"))
+    return S.trend(view(spark, sf_dir, "v_series").withColumn("passed", F.col("seq") % 3 > 0))
 
 
 @query(oracle("v_decisions", "SELECT finding_id, decision_id, decision_type FROM v_decisions WHERE revoked_at IS NULL QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY decided_at DESC, decision_id DESC) = 1"))

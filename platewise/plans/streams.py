@@ -61,3 +61,19 @@ STATUS = "CASE event_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'pr
 )
 def x4_u3_stuck_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, "events", lambda rows: T.stuck_events(rows.select((F.col("user_id") * 10 + F.col("event_id") % 9).alias("series"), "ts", F.col("event_id").alias("seq"), F.expr(STATUS).alias("status"))))
+
+
+@query(
+    oracle(
+        "",
+        f"""SELECT series, start + INTERVAL 7 DAY AS happened FROM (SELECT series, min(ts) FILTER (WHERE status = 'issued') AS start, min({{'t': ts, 's': seq}}) FILTER (WHERE status = 'issued') AS one, min({{'t': ts, 's': seq}}) FILTER (WHERE status = 'revoked') AS two FROM s GROUP BY series)
+  WHERE start IS NOT NULL AND (two IS NULL OR (two > one AND two.t >= start + INTERVAL 7 DAY)) AND start + INTERVAL 7 DAY <= {PASSED}""",
+        "s AS (SELECT user_id * 100 + event_id % 23 AS series, date_trunc('millisecond', ts) AS ts, event_id AS seq, CASE event_type WHEN 'error' THEN 'revoked' ELSE 'issued' END AS status FROM events WHERE event_type IN ('signup', 'error'))",
+    )
+)
+def x7_u3_token_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def plan(rows: DataFrame) -> DataFrame:
+        some = rows.where("event_type IN ('signup', 'error')")
+        return T.expired_tokens(some.select((F.col("user_id") * 100 + F.col("event_id") % 23).alias("series"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "revoked").otherwise("issued").alias("status")), 7 * 24 * 60)
+
+    return _streamed(spark, sf_dir, "events", plan)

@@ -42,10 +42,10 @@ def rulesets(spark: SparkSession, path: str) -> DataFrame:
 def imported_findings(raw: DataFrame, words: dict[str, str]) -> DataFrame:
     """Findings of third-party reports (job_id, check, severity, message): unknown severity words are warnings, blank goes.
 
-    A missing check id is made from the message's hash, so that reading again gives the same id.
+    A missing check id is made from the message's whole hash, so that reading again gives the same id and messages do not share one.
     """
     level = F.create_map(*[F.lit(x) for item in words.items() for x in item])[F.lower("severity")]
-    derived = F.concat(F.lit("EXT-CUSTOM-"), F.pmod(F.xxhash64("message"), F.lit(100000)).cast("string"))
+    derived = F.concat(F.lit("EXT-CUSTOM-"), F.lower(F.hex(F.xxhash64("message"))))
     return raw.where(F.trim("message") != "").select("job_id", F.coalesce("check", derived).alias("inspection_id"), F.coalesce(level, F.lit("warning")).alias("severity"), "message")
 
 

@@ -42,14 +42,3 @@ def newest(events: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The newest ``n`` events of each key, with their place."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("event_id").desc()))
     return events.withColumn("place", rank).where(F.col("place") <= n)
-
-
-def keep_newest(events: DataFrame, keys: list[str], n: int, path: str, checkpoint: str):
-    """Streaming twin of ``newest``: each micro-batch is merged with what its keys had, under a new version of the table."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.parquet(f"{path}/{number - 1}").select(*batch.columns) if number else batch.limit(0)
-        newest(known.unionByName(batch).distinct(), keys, n).drop("place").write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

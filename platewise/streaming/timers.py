@@ -215,3 +215,55 @@ def stuck_jobs(statuses: DataFrame, minutes: int = STUCK) -> DataFrame:
     per = statuses.groupBy("series").agg(F.min(F.when(going, ts)).alias("start"), F.min(F.when(~going, ts)).alias("ended"), first.alias("first"), F.min(F.when(~going, F.struct(ts.alias("ts"), "seq"))).alias("end"))
     at = F.col("start") + F.make_dt_interval(mins=F.lit(minutes))
     return per.where(F.col("start").isNotNull() & (F.col("end").isNull() | ((F.col("end") > F.col("first")) & (F.col("ended") >= at)))).select("series", at.alias("happened"))
+
+
+def expired_tokens(tokens: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
+    """Stream of (series, happened): tokens ``series`` (series, ts, seq, status) that are ``issued`` and expire; a revoked one does not.
+
+    It is the stuck-job timer with other words: the clock starts at the first issue, and any other status ends it.
+    """
+    return stuck_events(tokens.withColumn("status", F.when(F.col("status") == "issued", "processing").otherwise(F.col("status"))), minutes, late)
+
+
+class NewestProcessor(StatefulProcessor):
+    """The newest ``n`` rows (ts, event_id) of a key, sent anew whenever they change."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", "ns long, event_id long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        before = [tuple(r) for r in self.kept.get()]
+        known = set(before)
+        for batch in rows:
+            known.update(zip((int(x.value) for x in pd.to_datetime(batch["ts"])), (int(x) for x in batch["event_id"]), strict=True))
+            known = set(sorted(known, reverse=True)[: self.n])
+        now = sorted(known, reverse=True)
+        self.kept.put(now)
+        sent = now if now != before else []
+        frame = pd.DataFrame([(key[0], t, e, place) for place, (t, e) in enumerate(sent, 1)], columns=["series", "ts", "event_id", "place"])
+        frame["ts"] = pd.to_datetime(frame["ts"])
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def keep_newest(events: DataFrame, n: int, path: str, checkpoint: str):
+    """Keep the newest ``n`` events (series, ts, event_id) of each series: only series that change are written, a folder for each batch.
+
+    A batch that is run again writes its own folder again, so nothing is counted twice; see ``kept_newest`` for what holds now.
+    """
+    rows = events.select("series", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    changed = rows.groupBy("series").transformWithStateInPandas(NewestProcessor(n), "series long, ts timestamp, event_id long, place int", "Update", "None")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_newest(spark: SparkSession, path: str) -> DataFrame:
+    """(series, ts, event_id, place) that hold now: of each series the rows of its last batch."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("series").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["series", "batch"]).select("series", "ts", "event_id", "place")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from platewise.plans import event_log, extended, imports, packaging, registry, streams  # noqa: F401
+from platewise.plans import event_log, extended, further, imports, packaging, press, registry, streams  # noqa: F401
 
 
 #: Queries without SQL; tests/test_rules.py holds them against brute force.

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from platewise.operators import accuracy, content, families, findings, similarity, standards
 from platewise.operators.registry import Families
 from platewise.sources import readers
-from platewise.streaming import monitors
 
 
 def hits(df, *keys):
@@ -159,17 +158,6 @@ def test_packs_differ_by_level(spark):
     assert {(r.job_id, r.pack): r.conforms for r in standards.conformance(found).collect()}[2, "A-2"]
 
 
-def test_newest_events_as_a_stream(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    for i in range(3):
-        events.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = monitors.keep_newest(stream, ["user_id"], 4, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
-    query.awaitTermination()
-    got = {(r.user_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "out" / "2")).collect()}
-    assert got == {(r.user_id, r.event_id) for r in monitors.newest(events, ["user_id"], 4).collect()}
-
-
 def test_rulesets_and_thresholds_are_read(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"ruleset_id": "r", "enabled": ["*"], "max_severity": null,\n "thresholds": {"min_dpi": 150, "max_ink": 300}}')
     rulesets = readers.rulesets(spark, str(tmp_path))

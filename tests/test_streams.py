@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from platewise.streaming import timers
+from platewise.streaming import monitors, timers
 
 START = dt.datetime(2024, 1, 1)
 
@@ -74,3 +74,21 @@ def test_a_stuck_job_fails_once(stateful, tmp_path):
         stateful.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         run(stateful, timers.stuck_events, schema, tmp_path)
     assert run(stateful, timers.stuck_events, schema, tmp_path) == want
+
+
+def test_newest_events_are_kept_as_state(stateful, sf, tmp_path):
+    events = stateful.read.parquet(f"{sf}/events.parquet").selectExpr("user_id AS series", "CAST(ts AS TIMESTAMP) AS ts", "event_id")
+    for part in (events.where("event_id % 3 > 0"), events.where("event_id % 3 = 0 OR event_id % 7 = 0")):
+        part.repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = stateful.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        timers.keep_newest(stream, 4, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(240)
+    got = timers.kept_newest(stateful, f"{tmp_path}/out")
+    want = monitors.newest(events.distinct(), ["series"], 4).select("series", "ts", "event_id", "place")
+    assert rows_of(got) == rows_of(want)
+
+
+def test_tokens_expire_unless_revoked(stateful, tmp_path):
+    rows = [(1, minutes(0), 1, "issued"), (2, minutes(0), 2, "issued"), (2, minutes(5), 3, "revoked"), (3, minutes(1), 4, "issued"), (3, minutes(40), 5, "revoked"), (9, minutes(500), 6, "other")]
+    schema = "series long, ts timestamp, seq long, status string"
+    stateful.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    assert run(stateful, lambda s: timers.expired_tokens(s, 30), schema, tmp_path) == [(1, minutes(30)), (3, minutes(31))]
