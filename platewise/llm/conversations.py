@@ -276,3 +276,44 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+# The same in SQL, by dynamic programming from each conversation's end.
+
+_NEXT = ({"s": 2, "u": 3}, {"u": 3}, {"a": 4}, {"u": 3})
+_NAMED = (3, 3, 4, 3)
+
+
+def _built(state: int) -> str:
+    """The cheapest edit of a turn from a state, with what follows it; h has the best of each state after the turn."""
+    step = lambda to, letter, cost: f"{{'c': h[{to}].c + {cost}, 'a': '{letter}' || h[{to}].a}}"
+    kept = " ".join(f"WHEN initial = '{x}' THEN {step(to, 'K', 'more')}" for x, to in _NEXT[state].items())
+    return f"list_min(list_filter([{step(state + 1, 'D', '2')}, CASE WHEN fault <> 1 THEN CASE {kept} END END, CASE WHEN fault <> 1 THEN {step(_NAMED[state], 'R', '1 + more')} END], lambda x: x IS NOT NULL))"
+
+
+def _inserted(name: str) -> str:
+    """One more insertion before what a list of states has."""
+    return "[" + ", ".join(f"list_min([{name}[{s + 1}], {{'c': {name}[{n}].c + 5, 'a': 'I' || {name}[{n}].a}}])" for s, n in enumerate(_NAMED)) + "]"
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END), 4294967295::BIGINT) % 20"
+_LAST = r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*$"
+OP13_SQL = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} AS kind FROM conversations),
+e AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS k FROM c),
+o AS (SELECT *, md5(length(role) || ':' || role || text) AS h FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h, k) AS i, regexp_extract(text, '{_LAST}', 1) AS final FROM o),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again FROM n),
+d AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN final = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS name,
+  CASE WHEN final = '' OR again > 1 THEN 1 WHEN final NOT IN ('.', '!', '?') THEN 2 ELSE 0 END AS fault, CASE WHEN final <> '' AND again = 1 AND final NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS more, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM p),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE name = 'blank') AS blank, count(*) FILTER (WHERE name = 'duplicate') AS duplicate, count(*) FILTER (WHERE name = 'truncated') AS truncated,
+  count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM d GROUP BY conv_id),
+r AS (SELECT conv_id, n AS i, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 10::BIGINT, 'a': 'II'}}, {{'c': 5::BIGINT, 'a': 'I'}}, {{'c': 0::BIGINT, 'a': ''}}] AS h FROM s
+  UNION ALL SELECT conv_id, i, {_inserted('two')} AS h FROM (SELECT conv_id, i, {_inserted('one')} AS two FROM (SELECT r.conv_id, r.i - 1 AS i, [{", ".join(_built(s) for s in range(4))}] AS one FROM (SELECT conv_id, i, h FROM r WHERE i > 0) r JOIN (SELECT conv_id, i, initial, fault, more FROM d) d ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i))),
+b AS (SELECT conv_id, h[1].c AS cost, h[1].a AS audit, (length(h[1].a) - length(replace(h[1].a, 'D', ''))) AS gone FROM r WHERE i = 0),
+l AS (SELECT conv_id, p, audit[p] AS edit, (length(audit) - gone) % 2 AS odd, length(replace(audit[1:p], 'I', '')) AS used, length(replace(audit[1:p], 'D', '')) - 1 AS place FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM b)),
+t AS (SELECT l.conv_id, string_agg(CASE WHEN edit = 'K' THEN d.role ELSE CASE WHEN (place - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN edit = 'I' THEN '' ELSE d.text END, chr(10) ORDER BY p) AS repaired
+  FROM l LEFT JOIN d ON l.conv_id IS NOT DISTINCT FROM d.conv_id AND l.used = d.i AND l.edit <> 'I' WHERE edit <> 'D' GROUP BY l.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON a.conv_id IS NOT DISTINCT FROM t.conv_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from platewise.llm.conversations import op13_repair_conversations
+from platewise.llm.conversations import OP13_SQL, op13_repair_conversations
 from platewise.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from platewise.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from platewise.llm.language_id import op4_language_id
@@ -35,4 +35,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op7_top_k_search": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_document_fingerprints": OP12_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op7_top_k_search": OP7_SQL, "op9_url_filter": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_document_fingerprints": OP12_SQL, "op13_repair_conversations": OP13_SQL}
