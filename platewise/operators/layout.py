@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from platewise.operators.families import POINTS_PER_MM, first_per
+from platewise.operators.families import POINTS_PER_MM, first_per, fused
 from platewise.operators.series import carried
 from platewise.operators.spatial import box_pairs
 
@@ -153,6 +153,40 @@ def plate_rules(inks: DataFrame, most: int = 6) -> DataFrame:
     )
 
 
+# Names of process channels, of dielines and of finishing steps (fixed values).
+CHANNELS = ("cyan", "magenta", "yellow", "black", "process_cyan", "process_magenta", "process_yellow", "process_black")
+DIELINES = ("dieline", "die_line", "cutcontour", "cut_contour", "cut", "trim", "diecut", "die_cut")
+STEPS = ("cutting", "perforating", "creasing", "crease", "kiss_cut", "kisscut", "score", "scoring", "foldline", "fold_line", "perfline", "perf_line", "embossing", "deboss", "debossing", "varnish", "varnishing", "spot_varnish", "stamping", "hot_stamping", "foil", "foiling")
+
+
+def plate_findings(inks: DataFrame, used: DataFrame, most: int = 6) -> DataFrame:
+    """(job_id, ink, inspection_id, severity): the plate inventory of a job's inks (job_id, ink, cs_type); ink is null for the job.
+
+    ``used`` says of each job whether it uses CMYK and black (job_id, cmyk, black). Names count in lower case, with underscores for
+    blanks and hyphens. Inks are made distinct and each job's are counted in one aggregate.
+    """
+    name = F.translate(F.lower(F.regexp_replace("ink", r"^[\s/]+|[\s/]+$", "")), "- ", "__")
+    rows = inks.select("job_id", name.alias("ink"), (F.col("cs_type") == "DeviceN").alias("many")).where("ink <> ''").groupBy("job_id", "ink").agg(F.bool_or("many").alias("many"))
+    channel, spot = F.col("ink").isin(*CHANNELS), ~F.col("ink").isin(*CHANNELS, "all", "none")
+    die, step = F.col("ink").isin(*DIELINES), F.col("ink").isin(*STEPS)
+    rows = rows.join(used, "job_id")
+    any_black = F.col("cmyk") | F.col("black")
+    words = F.split("ink", "_")
+    each = {
+        "COLOR_DUPLICATE_K_SPOT": ("advisory", any_black & spot & F.array_contains(words, "black") & (F.size(words) > 1)),
+        "COLOR_ALL_SEPARATION": ("warning", F.col("ink") == "all"),
+        "COLOR_DEVICEN_CMYK_NAMED": ("warning", F.col("many") & channel),
+    }
+    per = rows.groupBy("job_id", "cmyk", "black").agg(F.count_if(spot & ~die & ~step).alias("spots"), F.count_if(die).alias("dies"), F.count_if(step).alias("steps"))
+    process = F.when(F.col("cmyk"), 4).when(F.col("black"), 1).otherwise(0)
+    whole = {
+        "COLOR_PLATE_COUNT_HIGH": ("advisory", process + F.col("spots") > most),
+        "COLOR_DIELINE_PRINTABLE": ("advisory", (F.col("dies") > 0) & (F.col("steps") == 0)),
+        "COLOR_MIXED_SPOT_PROCESS": ("advisory", F.col("cmyk") & F.col("spots").between(1, 2)),
+    }
+    return fused(rows, each, "job_id", "ink").unionByName(fused(per, whole, "job_id").select("job_id", F.lit(None).cast("string").alias("ink"), "inspection_id", "severity"))
+
+
 def page_size_rules(pages: DataFrame) -> DataFrame:
     """Jobs whose trim boxes differ in orientation or in size, rounded to whole points; turned pages are swapped."""
     w, h = F.col("tx1") - F.col("tx0"), F.col("ty1") - F.col("ty0")

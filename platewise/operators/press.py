@@ -42,15 +42,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _lab(c: Column, m: Column, y: Column, k: Column) -> tuple[Column, Column, Column]:
-    held = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) for x in (c, m, y, k)]
-    return C.rgb_to_lab(*C.cmyk_to_rgb(*held))
+def with_black_shift(rows: DataFrame, out: str, delta: Callable[[tuple, tuple], Column] = C.delta_e2000) -> DataFrame:
+    """``rows`` with ``out``: how far a colour (c, m, y, k) moves if its black is left out.
 
-
-def k_strip_difference(delta: Callable[[tuple, tuple], Column] = C.delta_e2000) -> Column:
-    """How far a colour (c, m, y, k) moves if its black is left out."""
-    c, m, y, k = (F.col(x) for x in INKS)
-    return delta(_lab(c, m, y, k), _lab(c, m, y, F.lit(0.0)))
+    Light and Lab are columns of their own before they are compared: written into one another, the expression would grow manifold.
+    """
+    c, m, y, k = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(x))) for x in INKS)
+    both = {"f": C.cmyk_to_rgb(c, m, y, k), "w": C.cmyk_to_rgb(c, m, y, F.lit(0.0))}
+    light = {f"_{p}{x}": v for p, rgb in both.items() for x, v in zip("rgb", rgb, strict=True)}
+    rows = rows.withColumns(light)
+    labs = {f"_{p}{x}": v for p in both for x, v in zip(("l", "a", "z"), C.rgb_to_lab(*(F.col(f"_{p}{q}") for q in "rgb")), strict=True)}
+    rows = rows.withColumns(labs)
+    one, two = (tuple(F.col(f"_{p}{x}") for x in ("l", "a", "z")) for p in both)
+    return rows.withColumn(out, delta(one, two)).drop(*light, *labs)
 
 
 def hard_rejections(
@@ -64,10 +68,10 @@ def hard_rejections(
     off = sum((F.abs(F.col(x) * 100 - v) for x, v in RICH_BLACK.items()), F.lit(0.0))
     tests = {
         "EPM_GAMUT_OUT_REJECT": (F.least(c, m, y) >= 0.95) & (k >= 0.5),
-        "EPM_K_COVERAGE_REJECT": (k * 100 >= black) & (k_strip_difference(delta) > within),
+        "EPM_K_COVERAGE_REJECT": (k * 100 >= black) & (F.col("shift") > within),
         "EPM_RICH_BLACK_REJECT": (k * 100 >= 90) & (F.greatest(c, m, y) * 100 >= 5) & (off > recipe),
     }
-    fills = paths.where("fill").select(*PAGE, *[F.round(x, 2).alias(x) for x in INKS]).distinct()
+    fills = with_black_shift(paths.where("fill").select(*PAGE, *[F.round(x, 2).alias(x) for x in INKS]).distinct(), "shift", delta)
     marked = fills.select(*PAGE, F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda n: n.isNotNull())).alias("code"))
     parts = [_found(marked.where(F.col("code") == n), n) for n in tests]
     fit = F.lit(False)

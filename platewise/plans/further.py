@@ -262,3 +262,24 @@ VIEWS["v_font_data"] = """SELECT l_orderkey AS job_id, l_linenumber AS page_num,
 )
 def r3_font_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.font_program_rules(view(spark, sf_dir, "v_font_data"))
+
+
+# --- plates
+
+VIEWS["v_plate_names"] = """SELECT l_orderkey AS job_id, CASE CAST(l_partkey % 9 AS INT) WHEN 0 THEN ' /Dieline' WHEN 1 THEN 'Cut Contour' WHEN 2 THEN 'All' WHEN 3 THEN 'Rich-Black' WHEN 4 THEN 'Process Cyan' WHEN 5 THEN 'Varnish' WHEN 6 THEN 'Black' ELSE concat('PMS ', CAST(l_suppkey % 40 AS VARCHAR(9))) END AS ink,
+      CASE WHEN l_suppkey % 2 = 0 THEN 'DeviceN' ELSE 'Separation' END AS cs_type, l_orderkey % 3 = 0 AS cmyk, l_orderkey % 5 = 0 AS black FROM {lineitem}"""
+
+
+@query(
+    oracle(
+        "v_plate_names",
+        """SELECT job_id, ink, 'COLOR_DUPLICATE_K_SPOT' AS inspection_id, 'advisory' AS severity FROM n WHERE ink = 'rich_black' AND (cmyk OR black) UNION ALL SELECT job_id, ink, 'COLOR_ALL_SEPARATION', 'warning' FROM n WHERE ink = 'all' UNION ALL SELECT job_id, ink, 'COLOR_DEVICEN_CMYK_NAMED', 'warning' FROM n WHERE many AND ink IN ('process_cyan', 'black')
+  UNION ALL SELECT job_id, NULL, 'COLOR_PLATE_COUNT_HIGH', 'advisory' FROM j WHERE CASE WHEN cmyk THEN 4 WHEN black THEN 1 ELSE 0 END + spots > 6 UNION ALL SELECT job_id, NULL, 'COLOR_DIELINE_PRINTABLE', 'advisory' FROM j WHERE dies > 0 AND steps = 0 UNION ALL SELECT job_id, NULL, 'COLOR_MIXED_SPOT_PROCESS', 'advisory' FROM j WHERE cmyk AND spots IN (1, 2)""",
+        "n AS (SELECT job_id, cmyk, black, replace(replace(lower(trim(ltrim(ink, ' /'))), ' ', '_'), '-', '_') AS ink, bool_or(cs_type = 'DeviceN') AS many FROM v_plate_names GROUP BY ALL)",
+        "j AS (SELECT job_id, cmyk, black, count(*) FILTER (WHERE ink LIKE 'pms%' OR ink = 'rich_black') AS spots, count(*) FILTER (WHERE ink IN ('dieline', 'cut_contour')) AS dies, count(*) FILTER (WHERE ink = 'varnish') AS steps FROM n GROUP BY ALL)",
+    )
+)
+def r33_plate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_plate_names")
+    used = rows.groupBy("job_id").agg(F.bool_or("cmyk").alias("cmyk"), F.bool_or("black").alias("black"))
+    return L.plate_findings(rows, used)
