@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,39 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def lean(step: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A step over Arrow batches that gives freed memory back to the system at its end: a worker outlives its tasks."""
+
+    @wraps(step)
+    def run(*args, **kwargs) -> Iterator[pa.RecordBatch]:
+        yield from step(*args, **kwargs)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """What is computed inside hands texts to Python in smaller batches than the session's."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what is made of a part stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and tables between stages, which the session names in spark.checkpoint.dir.
 
@@ -83,9 +121,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     total = groups.agg(F.sum(size)).first()[0] or 0
     is_hot = F.col(size) * HOT_SHARE > total
     hot = groups.where(is_hot)
-    mark = hot.select(F.col(key).alias("_hot"))
+    mark = hot.select(F.col(key).alias("_platewise_hot"))
     in_hot = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(mark), F.col(key) == F.col("_hot"), "left_anti").join(groups.where(~is_hot), key)
+    rest = rows.join(F.broadcast(mark), F.col(key) == F.col("_platewise_hot"), "left_anti").join(groups.where(~is_hot), key)
     return in_hot.unionByName(rest)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import cut, join_groups, keep_rows, row_key, table
+from platewise.llm.common import cut, join_groups, keep_rows, lean, row_key, table
 
 #: Bytes of distinct text that a task combines before it hands them on.
 COMBINE_BYTES = 24 << 20
@@ -123,6 +123,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["ident", "key", "digest"])
 
 
+@lean
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold the copies within blocks of a task's rows (ident, body) to one row per distinct text of a block."""
 
@@ -150,6 +151,7 @@ def _packed(nodes: list[Node], bodies: list[bytes] | None = None) -> pa.RecordBa
     return pa.RecordBatch.from_pydict(cols)
 
 
+@lean
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Owner partition: rows in order of text; one row per distinct text."""
     trie, out = PatriciaTrie(), []

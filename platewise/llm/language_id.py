@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from platewise.llm.common import cut, table
+from platewise.llm.common import cut, lean, slices, table
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -122,9 +122,10 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+@lean
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, docs = np.zeros(FEATURES, np.int64), 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             seen += counts(text) > 0
             docs += 1
@@ -132,6 +133,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], docs))], ["feature", "docs"])
 
 
+@lean
 def _train(batches: Iterator[pa.RecordBatch], idf: np.ndarray, labels: list[str]) -> Iterator[pa.RecordBatch]:
     """Fits on the whole sample, rows (text, lang) in a fixed order, in one task; the sample is bounded."""
     model, rows, number = Ftrl(len(labels)), [], {x: i for i, x in enumerate(labels)}
@@ -193,24 +195,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(labels, idf, np.frombuffer(row.weights, np.float32).reshape(FEATURES + 1, len(labels)), row.temperature)
 
 
+@lean
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Adds lang_pred and score to rows whose last columns are text and ok (it has a letter), which are left out."""
     model = shared.value
-    for batch in batches:
+    for batch in slices(batches):
         kept, text, ok = batch.columns[:-2], batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         found = [model.predict(t) if t is not None and fine else (UNKNOWN, 0.0) for t, fine in zip(text.to_pylist(), ok.to_pylist(), strict=True)]
         cols = [*kept, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "_lang_pred", "_score"])
+        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "_platewise_lang", "_platewise_score"])
 
 
 def predicted(rows: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """``rows`` with _lang_pred and _score; all are ``und`` with score 0 if there is no model."""
+    """``rows`` with _platewise_lang and _platewise_score; all are ``und`` with score 0 if there is no model."""
     if model is None:
-        return rows.withColumns({"_lang_pred": F.lit(UNKNOWN), "_score": F.lit(0.0)})
+        return rows.withColumns({"_platewise_lang": F.lit(UNKNOWN), "_platewise_score": F.lit(0.0)})
     # features times languages numbers, however large the corpus
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    given = rows.select("*", F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_ok"))
-    schema = StructType([*rows.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    given = rows.select("*", F.col(text_col).alias("_platewise_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_platewise_ok"))
+    schema = StructType([*rows.schema.fields, StructField("_platewise_lang", StringType()), StructField("_platewise_score", DoubleType())])
     return given.mapInArrow(partial(_predict, shared=shared), schema)
 
 
@@ -222,7 +225,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("ident"), held_out(id_col).alias("held_out"), F.col(text_col).alias("body"))
-    return predicted(rows, model, "body").select(F.col("ident").alias(id_col), "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return predicted(rows, model, "body").select(F.col("ident").alias(id_col), "held_out", F.col("_platewise_lang").alias("lang_pred"), F.col("_platewise_score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
@@ -237,9 +240,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if model is None:
         return docs.where(letters)
     rows = predicted(docs, model, text_col)
-    sure = (F.col("_score") >= least) | (F.col("_lang_pred") == F.coalesce(F.col(lang_col), F.lit("")))
-    kept = rows.where((F.col("_lang_pred") != UNKNOWN) & sure)
-    return kept.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("_lang_pred"))).select(*docs.columns)
+    sure = (F.col("_platewise_score") >= least) | (F.col("_platewise_lang") == F.coalesce(F.col(lang_col), F.lit("")))
+    kept = rows.where((F.col("_platewise_lang") != UNKNOWN) & sure)
+    return kept.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("_platewise_lang"))).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

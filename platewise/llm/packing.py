@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from platewise.llm.common import HOT_SHARE, cut, join_checked, table
+from platewise.llm.common import HOT_SHARE, cut, join_checked, lean, slices, table
 
 WINDOW = 4096
 END_ID = 1
@@ -53,7 +53,7 @@ class WordEncoder:
     STOP_CHAR = "￿"
     ODD_PAIRS = r"'[stvmrld]|<\|"
     #: Characters that are encoded at once, and chunks for the tokenizer whose ids are kept.
-    GROUP, CACHED = 1 << 21, 100_000
+    GROUP, CACHED = 1 << 20, 100_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -221,12 +221,13 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder, end = encoder_of(path), np.array([end_id], np.uint32)
     narrow = np.dtype("<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4")
     names = ["ident", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    for batch in batches:
+    for batch in slices(batches):
         cols: list[list] = [[] for _ in names]
         for ident, ids in zip(batch.column(0).to_pylist(), encoder.encode(t or "" for t in batch.column(1).to_pylist()), strict=True):
             ids = np.concatenate([ids, end]).astype("<u4", copy=False)
@@ -400,6 +401,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(found), np.int64).reshape(-1, 5)
 
 
+@lean
 def _placed(batches: Iterator[pa.RecordBatch], shared, id_bytes: int) -> Iterator[pa.RecordBatch]:
     """Gives each row (its last columns length and rank) its place by binary search among the runs of its length."""
     runs = shared.value
@@ -465,6 +467,7 @@ def pack(parts: DataFrame, window: int = WINDOW, id_bytes: int = 0) -> DataFrame
     return out
 
 
+@lean
 def _full(batches: Iterator[pa.RecordBatch], id_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = [_listed(c, id_bytes) if n == "ids" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
