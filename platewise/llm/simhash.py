@@ -145,36 +145,46 @@ def near_links(prints: DataFrame, most: int = 2) -> DataFrame:
     return probes.join(homes, (probes.key == homes.key) & near).select("a", "b").distinct()
 
 
+#: Most nodes of a step (24 bytes each) that are joined by a broadcast.
+FEW_NODES = 400_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b) as (node, root), root the least node of the component, for nodes with links.
 
     Large-star and small-star steps take turns until nothing changes, each step stored. A step aggregates by node
     (combined before the shuffle) and joins on node; a node that has over a HOT_SHARE-th of all links, as the root of a large
     component has, is joined by a broadcast, so that its neighbours never meet in one task. The nodes' least neighbours are
-    stored before they are joined, which keeps the plan of a step at a few operators.
+    stored before they are joined, which keeps the plan of a step at a few operators. Steps of at most FEW_NODES nodes, which
+    are counted, join them by a broadcast and write one file, so that small graphs cost no shuffles of many empty partitions.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+        """``n``: how many edges there are. A step makes at most two of each edge, and as many nodes."""
+        few = 2 * n <= FEW_NODES
+        whole = lambda df: stored(df.coalesce(1) if few else df)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-        hung = join_groups(both, stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n"))), "a", "n")
+        nodes = whole(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n")))
+        hung = both.join(F.broadcast(nodes), "a") if few else join_groups(both, nodes, "a", "n")
         if large:
             out = hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
         else:
             # the node itself hangs on its root, and so does each neighbour
             out = hung.select(F.explode(F.array("a", "b")).alias("a"), F.col("root").alias("b"))
-        return stored(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        return whole(out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def state(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def hanging(edges: DataFrame) -> bool:
+        """Every node hangs on one other, on which nothing hangs itself: nothing can change."""
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return not per.where("up > 1 OR up > 0 AND down > 0").limit(1).count()
 
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    before = state(edges)
-    while before[0]:
-        edges = star(star(edges, True), False)
-        now = state(edges)
-        if now == before:
-            break
-        before = now
+    n = edges.count()
+    while n and not hanging(edges):
+        edges = star(edges, True, n)
+        edges = star(edges, False, edges.count())
+        n = edges.count()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
