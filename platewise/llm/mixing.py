@@ -49,10 +49,10 @@ def source_key(source: Column) -> Column:
 
 def with_plan(rows: DataFrame, plan: DataFrame, source: Column, documents: str = "documents") -> DataFrame:
     """Each row with what ``plan`` has for its source; no source, however large, is gathered in a task."""
-    keyed, keys = rows.withColumn("_source_key", source_key(source)), plan.withColumn("_source_key", source_key(F.col("source"))).drop("source")
+    keyed, keys = rows.withColumn("_platewise_source_key", source_key(source)), plan.withColumn("_platewise_source_key", source_key(F.col("source"))).drop("source")
     if keys.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        return keyed.join(F.broadcast(keys), "_source_key")
-    return join_groups(keyed, keys, "_source_key", documents)
+        return keyed.join(F.broadcast(keys), "_platewise_source_key")
+    return join_groups(keyed, keys, "_platewise_source_key", documents)
 
 
 def copies_of(ident: Column, rate: Column, seed: str) -> Column:
@@ -75,9 +75,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each repeated as often as it is taken."""
-    plan = cut(targets(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))).select("source", F.col("documents").alias("_documents"), F.col("rate").alias("_rate"))
-    joined = with_plan(docs, plan, F.col(source_col), "_documents")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies_of(F.col(id_col), F.col("_rate"), seed)))).select(*docs.columns)
+    plan = cut(targets(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))).select("source", F.col("documents").alias("_platewise_documents"), F.col("rate").alias("_platewise_rate"))
+    joined = with_plan(docs, plan, F.col(source_col), "_platewise_documents")
+    return joined.withColumn("_platewise_copy", F.explode(F.array_repeat(F.lit(1), copies_of(F.col(id_col), F.col("_platewise_rate"), seed)))).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,13 +177,16 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, whole: bool) -> Iterator[
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(ident, v, most): components floor(scale * x) of the vectors whose components are all finite numbers, and the greatest size."""
+    """(ident, v, norm2): components floor(scale * x) of the vectors whose components are all finite numbers, and their squares' sum.
+
+    Vectors whose squares sum to 2^62 or more are left out: their scores may fit no long. (No score exceeds the product of the norms.)
+    """
     x = F.col(vector_col)
     fine = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0)
     fine &= F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     v = F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")).cast("double"))
-    most = F.array_max(F.transform(x, lambda e: F.abs(F.lit(float(scale)) * e.cast("double")) + 1))
-    return vectors.where(fine).select(F.col(id_col).cast("long").alias("ident"), v.alias("v"), most.alias("most"))
+    rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("ident"), v.alias("v"))
+    return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)).where(F.col("norm2") < 2.0**62)
 
 
 def _leaves(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -235,15 +238,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     ``is_query`` is a condition on the column ``ident``, the identifier. Ties go to the smaller identifier; a query with
     fewer than k other vectors gets all. Vectors that are null, empty or hold null or non-finite components take no part.
     Vectors of different length are never compared. Identifiers are taken as unique: of rows that repeat one, none is
-    another's neighbour, and k rows are given for the identifier. Scores are exact; vectors so large that a score would not
-    fit a long raise a ValueError. Other columns are not read. An empty table gives an empty result.
+    another's neighbour, and k rows are given for the identifier. Scores are exact; vectors of a norm (after scaling) of 2^31 or
+    more take no part, as their scores may fit no long. Other columns are not read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     points = cut(quantised(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")))
-    per = points.groupBy("dim").agg(F.count("*").alias("n"), F.max("most").alias("most")).collect()
-    if any(r.most * r.most * r.dim >= 2.0**62 for r in per):
-        raise ValueError("components are too large for scores to fit a long")
-    whole = any(r.most * r.most * r.dim >= 2.0**52 for r in per)
+    per = points.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("norm2")).collect()
+    whole = any(r.norm2 >= 2.0**51 for r in per)
     total = sum(r.n for r in per)
     # a bounded sample, the same on every run, for the upper levels only
     drawn = points.where(F.pmod(F.xxhash64(F.lit(7), "ident"), F.lit(1 << 20)) < math.ceil(SAMPLE / max(1, total) * 1.2 * (1 << 20))).orderBy(F.xxhash64("ident")).limit(SAMPLE)

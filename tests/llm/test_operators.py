@@ -253,8 +253,12 @@ def test_search_is_exact_for_large_components(spark):
     for q in (0, 20, 40):
         every = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
         assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k, i, -s) for k, (s, i) in enumerate(every[:3], 1)]
-    with pytest.raises(ValueError):
-        vector_search.search(spark.createDataFrame([(1, [1e17, 1.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.col("ident") % 20 == 0)
+    large = spark.createDataFrame([(1, [1e17, 1.0]), (2, [1e300, 1.0]), (3, [3.0, -1.0]), (4, [2.0**24, 2.0**24]), (20, [1.0, 2.0]), (40, [2.0**24, 1.0])], "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in vector_search.search(large, F.col("ident") % 20 == 0, k=2).orderBy("query_id", "rank").collect()]
+    ints = {3: (192, -64), 4: (1 << 30, 1 << 30), 20: (64, 128), 40: (1 << 30, 64)}
+    dot = lambda a, b: sum(x * y for x, y in zip(ints[a], ints[b], strict=True))
+    want = [(q, k, i, -s) for q in (20, 40) for k, (s, i) in enumerate(sorted((-dot(q, i), i) for i in ints if i != q)[:2], 1)]
+    assert found == want
 
 
 def test_packing_round_trip(docs):
@@ -374,3 +378,12 @@ def test_targets_fill_up_to_the_cap(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 0)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
     assert got == {"a": 20.0, "b": 200.0, "c": pytest.approx(1445.0), None: 0.0}
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = "_text _ok _lang_pred _score _rate _copy _documents _source_key key group node root".split()
+    rows = [(i, f"der hund und die katze {i}" if i % 2 else f"the dog and a cat {i}", "de" if i % 2 else "en", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (language_id.keep_identified, mixing.mix):
+        kept = stage(docs)
+        assert kept.columns == docs.columns and all(r[n] == f"{n}{r.doc_id}" for r in kept.collect() for n in names)
