@@ -71,7 +71,7 @@ def hard_rejections(
         "EPM_K_COVERAGE_REJECT": (k * 100 >= black) & (F.col("shift") > within),
         "EPM_RICH_BLACK_REJECT": (k * 100 >= 90) & (F.greatest(c, m, y) * 100 >= 5) & (off > recipe),
     }
-    fills = with_black_shift(paths.where("fill").select(*PAGE, *[F.round(x, 2).alias(x) for x in INKS]).distinct(), "shift", delta)
+    fills = with_black_shift(paths.where("fill").select(*PAGE, *[G.rounded(F.col(x), 2).alias(x) for x in INKS]).distinct(), "shift", delta)
     marked = fills.select(*PAGE, F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda n: n.isNotNull())).alias("code"))
     parts = [_found(marked.where(F.col("code") == n), n) for n in tests]
     fit = F.lit(False)
@@ -79,7 +79,7 @@ def hard_rejections(
         fit |= F.lower("substrate").contains(s)
     parts.append(_found(docs.where(fit), "EPM_SUBSTRATE_REJECT", None))
     coloured = ~((F.greatest(c, m, y) < 0.05) & (k > 0.5))
-    small = runs.where((F.col("size_pt") < points) & coloured).select(*PAGE, F.round("size_pt", 2).alias("size_pt")).distinct()
+    small = runs.where((F.col("size_pt") < points) & coloured).select(*PAGE, G.rounded(F.col("size_pt"), 2).alias("size_pt")).distinct()
     return _union([*parts, _found(small, "EPM_TEXT_SIZE_REJECT")])
 
 
@@ -114,11 +114,11 @@ def soft_rejections(spaces: DataFrame, pages: DataFrame, images: DataFrame, plat
 def advisories(spaces: DataFrame, paths: DataFrame, docs: DataFrame, pages: DataFrame, spots: int = 6, line: float = 0.35, tolerance: float = 1.0) -> DataFrame:
     """Tier C: many spots, thin strokes, mixed process spaces, no trapping, trim off centre in the bleed, page sizes that vary."""
     used, boxes = _spaces(spaces), _boxes(pages)
-    thin = paths.where(~F.col("fill") & (F.col("line_width") > 0) & (F.col("line_width") < line)).select(*PAGE, F.round("line_width", 3).alias("w")).distinct()
+    thin = paths.where(~F.col("fill") & (F.col("line_width") > 0) & (F.col("line_width") < line)).select(*PAGE, G.rounded(F.col("line_width"), 3).alias("w")).distinct()
     kinds = F.col("cmyk") + F.col("rgb") + F.col("gray") + F.col("separation") + F.col("devicen")
     across = F.abs((F.col("tx0") - F.col("bx0")) - (F.col("bx1") - F.col("tx1"))) > tolerance
     along = F.abs((F.col("ty0") - F.col("by0")) - (F.col("by1") - F.col("ty1"))) > tolerance
-    sizes = boxes.groupBy("job_id").agg(F.count_distinct(F.round(F.col("mx1") - F.col("mx0"), 1), F.round(F.col("my1") - F.col("my0"), 1)).alias("n"))
+    sizes = boxes.groupBy("job_id").agg(F.count_distinct(G.rounded(F.col("mx1") - F.col("mx0"), 1), G.rounded(F.col("my1") - F.col("my0"), 1)).alias("n"))
     trapped = F.lower(F.trim(F.coalesce("trapped", F.lit("")))).isin("true", "yes", "/true")
     return _union([
         _found(used.where(F.col("spots") > spots), "EPM_SPOT_COUNT_REJECT", None), _found(thin, "EPM_FEATURE_SIZE_REJECT"), _found(used.where(kinds > 1), "EPM_MIXED_SPACES_REJECT", None),

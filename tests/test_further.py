@@ -103,6 +103,14 @@ def codes(df):
     return sorted((r.job_id, r.page_num, r.inspection_id, r.severity) for r in df.collect())
 
 
+def test_sizes_are_rounded_as_they_are_stored(spark):
+    # 1.005 is stored a little below the tie: on a page it is the size 1.0, not 1.01
+    runs = spark.createDataFrame([(1, 1, x, 0.5, 0.0, 0.0, 0.0) for x in (1.005, 1.0)] + [(1, 2, x, 0.5, 0.0, 0.0, 0.0) for x in (1.005, 1.01)], "job_id long, page_num int, size_pt double, c double, m double, y double, k double")
+    paths = spark.createDataFrame([], "job_id long, page_num int, c double, m double, y double, k double, fill boolean")
+    docs = spark.createDataFrame([], "job_id long, substrate string")
+    assert sorted(r.page_num for r in press.hard_rejections(paths, runs, docs).collect()) == [1, 2, 2]
+
+
 def test_hard_rejections_of_the_press_without_black(spark):
     fill = [(1, 1, 0.95, 1.0, 0.96, 0.5, True), (1, 1, 0.95, 1.0, 0.96, 0.5, True), (2, 1, 0.0, 0.0, 0.0, 0.8, True), (3, 1, 1.0, 1.0, 1.0, 1.0, True), (4, 1, 0.4, 0.2, 0.2, 0.95, True), (5, 1, 0.0, 0.9, 0.0, 0.95, False), (6, 1, 0.3, 0.3, 0.3, 0.2, True)]
     text = [(7, 1, 4.0, 0.0, 0.0, 0.0, 1.0), (7, 2, 4.0, 0.5, 0.0, 0.0, 1.0), (7, 2, 4.001, 0.5, 0.0, 0.0, 1.0), (7, 3, 5.0, 0.5, 0.0, 0.0, 0.0)]
