@@ -104,11 +104,14 @@ def similarity(compared: DataFrame, *keys: str) -> DataFrame:
 
 
 def retained(deliveries: DataFrame, rules: list[tuple[str, int | None]], now) -> DataFrame:
-    """Deliveries that stay: the longest event pattern that fits sets the days; None keeps for ever; no pattern keeps."""
+    """Deliveries that stay: the longest event pattern that fits sets the days; None keeps for ever; no pattern keeps.
+
+    Ages are counted between whole seconds of the clock, so a delivery in the second before the limit is past it.
+    """
     days = F.lit(None).cast("int")
     for pattern, keep in sorted(rules, key=lambda r: len(r[0])):
         days = F.when(glob(F.col("event"), pattern), F.lit(keep).cast("int")).otherwise(days)
-    age = F.timestamp_diff("SECOND", F.col("created_at"), now)
+    age = F.timestamp_diff("SECOND", F.date_trunc("second", F.col("created_at")), F.date_trunc("second", now))
     return deliveries.where(days.isNull() | (age <= days * 86400))
 
 

@@ -24,8 +24,8 @@ def sessions(requests: DataFrame, key: str, ts: str, gap: str, late: str = "10 m
 
 
 def stuck(jobs: DataFrame, now, minutes: int = 12) -> DataFrame:
-    """Batch twin of the stuck-job timer: jobs still processing after so many minutes."""
-    return jobs.where((F.col("status") == "processing") & (F.timestamp_diff("SECOND", F.col("created_at"), now) > minutes * 60))
+    """Batch twin of the stuck-job timer: jobs still processing after so many minutes, counted between whole seconds of the clock."""
+    return jobs.where((F.col("status") == "processing") & (F.timestamp_diff("SECOND", F.date_trunc("second", F.col("created_at")), F.date_trunc("second", now)) > minutes * 60))
 
 
 def check_continuously(findings: DataFrame, summarise, path: str, checkpoint: str):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import families, findings, jobs, labels, lattice, layout, predicates, press, settings
+from platewise.streaming import monitors
 
 
 def test_lattice_finds_the_nearest_colour(spark):
@@ -163,3 +164,11 @@ def test_a_run_adopts_what_has_no_baseline(spark):
 def test_names_of_two_versions(spark):
     one, two = (spark.createDataFrame(rows, "job_id long, name string") for rows in ([(1, "a"), (1, "b"), (1, "b"), (2, "x")], [(1, "b"), (1, "c"), (1, None), (2, "x"), (3, "y")]))
     assert sorted(tuple(r) for r in jobs.compare_names(one, two, ["job_id"], "name").collect()) == [(1, "c", "a"), (3, "y", "")]
+
+
+def test_ages_are_counted_between_seconds_of_the_clock(spark):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    at = ["2024-01-21 23:59:59.5", "2024-01-22 00:00:00", "2024-01-22 00:00:00.5"]
+    rows = spark.createDataFrame(list(enumerate(at)), "delivery_id long, at string").select("delivery_id", F.lit("job.x").alias("event"), F.col("at").cast("timestamp").alias("created_at"), F.lit("processing").alias("status"))
+    assert sorted(r.delivery_id for r in jobs.retained(rows, [("job.*", 10)], now).collect()) == [1, 2]
+    assert sorted(r.delivery_id for r in monitors.stuck(rows, now, 10 * 24 * 60).collect()) == [0]
