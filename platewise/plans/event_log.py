@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platewise.operators import families as R
 from platewise.operators import layout as L
 from platewise.plans.registry import query
-from platewise.plans.views import VIEWS, oracle, view
+from platewise.plans.views import VIEWS, oracle, table
 from platewise.sources import event_log as Z
 from platewise.sources.shared import shared_path
 
@@ -27,9 +27,10 @@ _STATE = f"""s AS (SELECT job_id, page_num, op_idx, kind, fill, stroke, color_sp
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of the given events, stored as a table of its own."""
+    """The log of the given events, stored as a table of its own; events of one number stand in order of event_id, which the SQL leaves open."""
+    told = spark.sql(VIEWS["v_events"].replace(" FROM {events}", ", event_id AS seq FROM {events}"), events=table(spark, sf_dir, "events"))
     name = f"event_log_{uuid.uuid4().hex}"
-    Z.write_event_log(view(spark, sf_dir, "v_events"), name, shared_path(spark, "event-log"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    Z.write_event_log(told, name, shared_path(spark, "event-log"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     return Z.event_log(spark, name)
 
 
@@ -44,8 +45,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def s2_r48_overprint_in_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     inks = [F.element_at("color_values", i).alias(x) for i, x in enumerate("cmyk", 1)]
-    rows = _log(spark, sf_dir).select(*Z.ORDER, "kind", "color_space", F.col("overprint_fill").alias("overprint"), F.col("overprint_mode").alias("opm"), F.col("fill_alpha").alias("alpha"), *inks)
-    return R.overprint_rules(rows, ("page_num", "op_idx"))
+    rows = _log(spark, sf_dir).select(*Z.DRAWN, "kind", "color_space", F.col("overprint_fill").alias("overprint"), F.col("overprint_mode").alias("opm"), F.col("fill_alpha").alias("alpha"), *inks)
+    return R.overprint_rules(rows, tuple(Z.DRAWN[1:])).drop("seq")
 
 
 @query(

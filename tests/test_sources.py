@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import families, layout
 from platewise.sources import event_log, reports
+from platewise.sources.shared import shared_path
 
 
 def test_the_event_log_is_read_as_it_lies(spark, tmp_path):
@@ -102,3 +103,12 @@ def test_job_tickets(spark):
     assert abs(got[1].trim_width_mm - 35.2778) < 1e-9 and abs(got[1].bleed_mm - 3.175002) < 1e-9 and got[2].media_type is None and got[3].spot_colors == []
     limits = {r.job_id: set(r.overrides) for r in reports.ticket_overrides(told).collect()}
     assert limits == {1: {"min_bleed_mm", "target_output_condition"}, 2: set(), 3: set()}
+
+
+def test_events_of_one_number_stand_as_they_were_told(spark):
+    events = [(1, 1, 5, 0, "path", None, "CS4", True), (1, 1, 5, 1, "overprint", True, None, None), (1, 1, 5, 2, "path", None, "CS4", True), (1, 1, 5, 3, "overprint", False, None, None), (1, 1, 5, 4, "path", None, "CS4", True)]
+    for k, rows in enumerate((events, events[::-1])):
+        given = spark.createDataFrame(rows, "job_id long, page_num int, op_idx long, seq long, kind string, overprint_fill boolean, color_space string, fill boolean")
+        event_log.write_event_log(given, f"ties_{k}", shared_path(spark, "ties"), 1)
+        got = layout.cutting_offences(layout.cutting_paints(event_log.with_state(event_log.event_log(spark, f"ties_{k}")), {"CS4": "Cut"})).collect()
+        assert [(r.ink, r.paints, r.never) for r in got] == [("Cut", 2, False)]
