@@ -121,3 +121,13 @@ def test_similar_vectors_are_exact(spark, sf, monkeypatch):
         best = sorted(((-round(float(unit[q] @ v), 9), i) for i, v in unit.items() if i != q))[:5]
         assert [i for _, i, _ in sorted(got[q])] == [i for _, i in best]
     assert set(got) <= set(unit)
+
+
+def test_names_of_small_and_large_jobs_are_compared_alike(spark):
+    rng = random.Random(5)
+    rows = [(j, " ".join("".join(rng.choice("abc") for _ in range(rng.randint(4, 6))) for _ in range(rng.randint(1, 2)))) for j in (1, 2, 3) for _ in range(25)]
+    inks = spark.createDataFrame([*rows, (4, None), (4, "abca"), (4, "abcb")], "job_id long, colorant string")
+    few, many = ({tuple(r) for r in families.close_pairs(inks.withColumnRenamed("colorant", "name"), ["job_id"], paired=n).select("job_id", "name", "other", "distance").collect()} for n in (64, 2))
+    assert few == many and (4, "abca", "abcb", 1) in few
+    few, many = ({tuple(r) for r in families.token_typos(inks, paired=n).collect()} for n in (64, 2))
+    assert few == many and (4, "abca", "abcb", "abca", "abcb") in few
