@@ -219,3 +219,12 @@ def test_packaging_layers_by_rule(spark):
     layers = spark.createDataFrame([(1, "Dieline", True, "OFF"), (1, "Cut", True, "ON"), (2, "Die", True, "ON"), (3, "Art", False, "OFF")], "job_id long, name string, dieline boolean, print_state string")
     got = hits(standards.packaging(layers, spark.createDataFrame([(n,) for n in (1, 2, 3, 4)], "job_id long")), "job_id")
     assert got == [(1, "PKG_001", "advisory"), (1, "PKG_003", "advisory"), (2, "PKG_001", "advisory"), (3, "PKG_002", "warning"), (4, "PKG_002", "warning")]
+
+
+def test_replays_of_small_groups_cost_no_call_each(spark):
+    base = "file long, rule string, id long, x0 double, y0 double, x1 double, y1 double"
+    old = spark.createDataFrame([(1, "r", 1, 0.0, 0.0, 4.0, 4.0, "disputed"), (1, "r", 2, 0.0, 0.0, 4.0, 4.0, "confirmed"), (2, "r", 3, None, 0.0, 1.0, 1.0, "skipped")], base + ", verdict string")
+    new = spark.createDataFrame([(1, "r", 8, 0.0, 0.0, 4.0, 4.0), (1, "r", 9, 50.0, 0.0, 54.0, 4.0), (2, "r", 7, 0.0, 0.0, float("nan"), 1.0), (3, "r", 6, 0.0, 0.0, 1.0, 1.0)], base)
+    got = accuracy.replay_matches(old, new, ["file", "rule"])
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [("r", 1, 8, "disputed"), ("r", None, 9, None), ("r", 2, None, "confirmed"), ("r", 3, 7, "skipped"), ("r", None, 6, None)]))
+    assert "InPandas" not in got._jdf.queryExecution().toString()
