@@ -20,6 +20,8 @@ from pyspark.sql.window import Window as W
 LAST, FAILURES, EXPIRY = 20, 11, 300
 #: Minutes after which a job that is still processing has failed.
 STUCK = 12
+#: Shards of the jobs that are watched.
+SHARDS = 1024
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -145,37 +147,76 @@ class OutageProcessor(Ordered):
         return [(ms, "expired")]
 
 
-class StuckProcessor(Ordered):
-    """(series, happened): a job was processing for so long without an end; sent once a job."""
+class StuckProcessor(StatefulProcessor):
+    """(series, happened): a job was processing for so long without an end; sent once a job.
 
-    fields, types, out = ("status",), "status string", ("happened",)
+    A key is a shard of jobs, as a call for each job would cost more than its few rows. Rows wait as in ``Ordered``; what is known
+    of each job of a shard is a row of its list, which is loaded and saved once for all rows that are due.
+    """
 
     def __init__(self, minutes: int):
         self.wait = minutes * 60_000
 
-    def setup(self, handle: StatefulProcessorHandle) -> None:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "series long, ms long, seq long, status string")
         # settled: the job has ended, or was reported
-        self.job = handle.getValueState("job", "due long, settled boolean")
+        self.jobs = handle.getListState("jobs", "series long, due long, settled boolean")
 
-    def load(self) -> None:
-        self.at, self.settled = self.job.get() if self.job.exists() else (None, False)
+    def _timers(self) -> list[int]:
+        return [t if isinstance(t, int) else t[0] for t in self.handle.listTimers()]
 
-    def save(self) -> None:
-        self.job.update((self.at, self.settled))
+    def _frame(self, events: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(events, columns=["series", "happened"]).astype({"series": "Int64"})
+        frame["happened"] = pd.to_datetime(frame["happened"], unit="ms")
+        return frame
 
-    def step(self, ms: int, seq: int, status: str) -> list[tuple]:
-        if status != "processing":
-            self.at, self.settled = None, True
-        elif self.at is None and not self.settled:
-            self.at = ms + self.wait
-        return []
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            ms = _millis(batch["ts"])
+            if ms:
+                self.waiting.appendList(list(zip((None if pd.isna(x) else int(x) for x in batch["series"]), ms, (int(x) for x in batch["seq"]), batch["status"].tolist(), strict=True)))
+                first = min(ms) if first is None else min(first, *ms)
+        timers = self._timers()
+        if first is not None and (not timers or first < min(timers)):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        yield self._frame([])
 
-    def deadline(self) -> int | None:
-        return self.at
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now, events = timerValues.getCurrentWatermarkInMs(), []
+        ready, rest = [], []
+        for r in self.waiting.get():
+            (ready if r[1] <= now else rest).append(tuple(r))
+        known = {r[0]: (r[1], r[2]) for r in self.jobs.get()}
+        for series, ms, _, status in sorted(ready, key=lambda r: r[1:3]):
+            due, settled = known.get(series, (None, False))
+            if due is not None and due <= ms:
+                events.append((series, due))
+                due, settled = None, True
+            if status != "processing":
+                due, settled = None, True
+            elif due is None and not settled:
+                due = ms + self.wait
+            known[series] = (due, settled)
+        for series, (due, _) in known.items():
+            if due is not None and due <= now:
+                events.append((series, due))
+                known[series] = (None, True)
+        if known:
+            self.jobs.put([(s, *v) for s, v in known.items()])
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        for timer in self._timers():
+            self.handle.deleteTimer(timer)
+        times = [r[1] for r in rest] + [due for due, _ in known.values() if due is not None]
+        if times:
+            self.handle.registerTimer(min(times))
+        yield self._frame(events)
 
-    def due(self, ms: int) -> list[tuple]:
-        self.at, self.settled = None, True
-        return [(ms,)]
+    def close(self) -> None:
+        pass
 
 
 def outage_events(outcomes: DataFrame, last: int = LAST, failures: int = FAILURES, expiry: int = EXPIRY, late: str = "10 minutes") -> DataFrame:
@@ -202,9 +243,12 @@ def stuck_events(statuses: DataFrame, minutes: int = STUCK, late: str = "10 minu
     """Stream of (series, happened): jobs ``series`` whose statuses (series, ts, seq, status) leave them processing for ``minutes``.
 
     The clock starts at a job's first ``processing``; any other status ends the job for good. A redelivered status changes nothing.
+    Jobs are kept in ``SHARDS`` shards, each of which a task holds while it works on it; raise it with the number of jobs.
     """
-    rows = statuses.select("series", F.col("ts").cast("timestamp").alias("ts"), "seq", "status").withWatermark("ts", late)
-    return rows.groupBy("series").transformWithStateInPandas(StuckProcessor(minutes), "series long, happened timestamp", "Append", "EventTime")
+    # rows without a job are a shard of their own, so that no batch mixes them with numbers
+    shard = F.when(F.col("series").isNull(), -1).otherwise(F.pmod(F.xxhash64("series"), F.lit(SHARDS))).alias("shard")
+    rows = statuses.select(shard, "series", F.col("ts").cast("timestamp").alias("ts"), "seq", "status").withWatermark("ts", late)
+    return rows.groupBy("shard").transformWithStateInPandas(StuckProcessor(minutes), "series long, happened timestamp", "Append", "EventTime")
 
 
 def stuck_jobs(statuses: DataFrame, minutes: int = STUCK) -> DataFrame:

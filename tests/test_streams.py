@@ -92,3 +92,14 @@ def test_tokens_expire_unless_revoked(stateful, tmp_path):
     schema = "series long, ts timestamp, seq long, status string"
     stateful.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     assert run(stateful, lambda s: timers.expired_tokens(s, 30), schema, tmp_path) == [(1, minutes(30)), (3, minutes(31))]
+
+
+def test_many_jobs_share_a_shard(stateful, tmp_path, monkeypatch):
+    monkeypatch.setattr(timers, "SHARDS", 2)
+    schema = "series long, ts timestamp, seq long, status string"
+    rows = [(j, START + dt.timedelta(minutes=j % 7 + 6 * k), 3 * j + k, "processing" if (j + k) % 3 else "complete") for j in range(40) for k in range(2)]
+    rows += [(None, START, 900, "processing"), (1000, START + dt.timedelta(days=1), 901, "complete")]
+    stateful.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    want = rows_of(timers.stuck_jobs(stateful.createDataFrame(rows, schema)))
+    assert len(want) > 10 and run(stateful, timers.stuck_events, schema, tmp_path) == want
+    assert "shard" in timers.stuck_events(stateful.readStream.schema(schema).parquet(str(tmp_path / "in")))._jdf.queryExecution().toString()
