@@ -112,3 +112,11 @@ def test_events_of_one_number_stand_as_they_were_told(spark):
         event_log.write_event_log(given, f"ties_{k}", shared_path(spark, "ties"), 1)
         got = layout.cutting_offences(layout.cutting_paints(event_log.with_state(event_log.event_log(spark, f"ties_{k}")), {"CS4": "Cut"})).collect()
         assert [(r.ink, r.paints, r.never) for r in got] == [("Cut", 2, False)]
+
+
+def test_an_item_is_parsed_once_for_all_selectors(spark):
+    rows = spark.createDataFrame([(1, ACROBAT)], "job_id long, payload string")
+    for plan in (reports.report_findings(rows, reports.ACROBAT), reports.ticket_parameters(rows)):
+        assert "xpath" not in plan._jdf.queryExecution().toString().lower()
+    root = reports._tree('<e:a><b x:k="1">t<c>u</c></b><c k="2"/><b><b k="3">v</b></b></e:a>'.replace("e:a", "a"))
+    assert reports._values(root, "//b/@k") == ["3"] and reports._values(root, "/*/b") == ["tu", "v"] and reports._values(root, "//a//c") == ["u", ""] and reports._values(root, "/*/c/@k") == ["2"]
