@@ -3,6 +3,7 @@
 A level of the lattice has cells twice as wide as the one before. A colour is compared with the references in its own cell and
 the 26 around it; a reference elsewhere is farther away than a cell is wide, so a distance within that is the least one. Colours
 that find none so near go on to the next level, and only they: the ring grows with the distance, and no colour meets all references.
+References of one place are one, the first by name, so that a colour meets places and not names.
 """
 
 from __future__ import annotations
@@ -10,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators.dealing import dealt, tasks_for
+
 LAB = ["l", "a", "b"]
 #: Width of a cell at the first level, and levels at most: beyond them a cell is wider than any Lab space.
 CELL, LEVELS = 4.0, 40
+#: Most colours (a few hundred bytes each) that are broadcast to the inks.
+BROADCAST_COLORS = 100_000
 
 
 def _cell(width: float) -> list[Column]:
@@ -28,7 +33,7 @@ def nearest_colors(colors: DataFrame, references: DataFrame, key: str) -> DataFr
     for c in LAB:
         fine &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e9)
     left = colors.where(fine).groupBy(key).agg(*[F.first(F.col(c).cast("double")).alias(c) for c in LAB]).checkpoint()
-    known = references.where(fine).select("name", *[F.col(c).cast("double").alias(f"o{c}") for c in LAB]).distinct().checkpoint()
+    known = references.where(fine).groupBy(*[F.col(c).cast("double").alias(f"o{c}") for c in LAB]).agg(F.min("name").alias("name")).checkpoint()
     found = left.limit(0).select(key, F.lit("").alias("name"), F.lit(0.0).alias("distance"))
     if not known.limit(1).count():
         return found
@@ -52,14 +57,16 @@ def nearest_colors(colors: DataFrame, references: DataFrame, key: str) -> DataFr
 def spot_reach(inks: DataFrame, gamut: DataFrame, within: float = 3.0, marginal: float = 6.0) -> DataFrame:
     """(job_id, ink, status, severity, name, distance): ECG_002 of each spot ink (job_id, ink, l, a, b): achievable, marginal or out of reach.
 
-    Inks without a Lab colour are unmapped. Distinct colours are compared, not inks.
+    Inks without a Lab colour are unmapped. Distinct colours are compared, not inks. ``inks`` is counted and read twice.
     """
     tone = F.when(F.col("l").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull(), F.concat_ws("/", "l", "a", "b"))
-    rows = inks.select("job_id", "ink", *LAB, tone.alias("tone")).distinct()
-    near = nearest_colors(rows.where("tone IS NOT NULL"), gamut, "tone")
+    near = nearest_colors(inks.select(*LAB, tone.alias("tone")).where("tone IS NOT NULL").distinct(), gamut, "tone")
+    few = near.limit(BROADCAST_COLORS + 1).count() <= BROADCAST_COLORS
+    rows = inks.select("job_id", "ink", tone.alias("tone")).join(F.broadcast(near) if few else near, "tone", "left")
     d = F.col("distance")
     status = F.when(d.isNull(), "unmapped").when(d < within, "achievable").when(d < marginal, "marginal").otherwise("not_achievable")
-    return rows.join(near, "tone", "left").select("job_id", "ink", status.alias("status"), F.when(d >= marginal, "warning").otherwise("advisory").alias("severity"), "name", F.round("distance", 6).alias("distance")).distinct()
+    told = rows.select("job_id", "ink", status.alias("status"), F.when(d >= marginal, "warning").otherwise("advisory").alias("severity"), "name", F.round("distance", 6).alias("distance"))
+    return dealt(told, tasks_for(inks), "job_id", "ink").distinct()
 
 
 def reach_totals(reach: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from platewise.operators import families
 
 
 def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan as it is before it runs: with a run it is printed twice."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rules_are_compiled(spark):
@@ -14,3 +15,26 @@ def test_rules_are_compiled(spark):
     found = families.fused(rows, {"A#1": ("warning", F.col("v") > 1), "A#2": (F.col("s"), F.col("v") > 10), "B": ("error", F.col("v").isNull())}, "job_id")
     assert "lambda" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, "A", "warning"), (2, "B", "error"), (3, "A", "warning"), (3, "A", "z")]
+
+
+def test_rows_go_to_tasks_by_their_number(spark):
+    from platewise.operators.dealing import ROWS, dealt, tasks_for
+
+    rows = spark.range(10_000)
+    assert (tasks_for(rows), tasks_for(rows, 1000), tasks_for(spark.range(3 * ROWS))) == (3, 11, 4)
+    spread = dealt(rows.withColumn("k", F.col("id") % 100), 7, "k").groupBy("k", "id").count()
+    assert plan(spread).count("Exchange hashpartitioning") == 1 and spread.count() == 10_000
+
+
+def explicit_exchanges(df) -> int:
+    return plan(df).count("REPARTITION_BY_NUM")
+
+
+def test_references_of_one_place_are_one(spark):
+    from platewise.operators import lattice
+
+    references = spark.range(5000).select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"), *[F.lit(1.0).alias(c) for c in "lab"])
+    inks = spark.createDataFrame([(1, "x", 1.0, 1.0, 2.0), (1, "x", 1.0, 1.0, 0.0), (1, "x", 1.0, 1.0, 0.0), (2, "y", None, 1.0, 1.0)], "job_id long, ink string, l double, a double, b double")
+    reach = lattice.spot_reach(inks, references)
+    assert sorted(map(str, (tuple(r) for r in reach.collect()))) == ["(1, 'x', 'achievable', 'advisory', 'r00000', 1.0)", "(2, 'y', 'unmapped', 'advisory', None, None)"]
+    assert explicit_exchanges(reach) == 1
