@@ -38,3 +38,10 @@ def test_references_of_one_place_are_one(spark):
     reach = lattice.spot_reach(inks, references)
     assert sorted(map(str, (tuple(r) for r in reach.collect()))) == ["(1, 'x', 'achievable', 'advisory', 'r00000', 1.0)", "(2, 'y', 'unmapped', 'advisory', None, None)"]
     assert explicit_exchanges(reach) == 1
+
+
+def test_inks_are_shuffled_as_rows_once_for_all_counts(spark):
+    rows = [(1, 2, "Pantone_185  C", "a", "x"), (1, 10, "pantone 185 c", "b", "x"), (1, 2, "pantone-185 c", None, "y"), (2, 1, "Gold", None, None)]
+    found = families.ink_inventory(spark.createDataFrame(rows, "job_id long, page_num int, colorant string, alternate string, cs_type string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "pantone 185 c", "10,2", 2, 2, True), (2, "gold", "1", 0, 0, False)]
+    assert "Expand" not in plan(found) and explicit_exchanges(found) == 1
