@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from platewise.operators.dealing import dealt, tasks_for
 from platewise.operators.families import POINTS_PER_MM, first_per, fused
 from platewise.operators.series import carried
 from platewise.operators.spatial import box_pairs
@@ -28,21 +29,31 @@ def step_and_repeat(boxes: DataFrame, least: int = 3, agree: float = 0.8, whole:
 
     Boxes of one size, to ``whole`` points, vote with the vector to the next one in their row and in their column; a lattice is
     there if ``agree`` of all votes, two at least, are for one step each way. Neighbours vote, not all pairs, so votes grow with the boxes.
+    Boxes are dealt by row, then by column, and votes are combined before they meet. ``boxes`` is counted.
     """
     snap = lambda c: F.round(F.col(c) / whole) * whole
     size = ["width", "height"]
-    rows = boxes.where("x1 > x0 AND y1 > y0").select(*PAGE, snap("x0").alias("x"), snap("y0").alias("y"), (F.round((F.col("x1") - F.col("x0")) / whole) * whole).alias("width"), (F.round((F.col("y1") - F.col("y0")) / whole) * whole).alias("height")).distinct()
-    step = lambda along, across: F.col(along) - F.lag(along).over(W.partitionBy(*PAGE, *size, across).orderBy(along))
-    votes = rows.withColumns({"dx": step("x", "y"), "dy": step("y", "x")})
+    rows = boxes.where("x1 > x0 AND y1 > y0").select(*PAGE, snap("x0").alias("x"), snap("y0").alias("y"), (F.round((F.col("x1") - F.col("x0")) / whole) * whole).alias("width"), (F.round((F.col("y1") - F.col("y0")) / whole) * whole).alias("height"))
     group = [*PAGE, *size]
-    # the most frequent step each way, the least of several
-    best = lambda c: votes.where(F.col(c).isNotNull()).groupBy(*group, c).agg(F.count("*").alias("n")).groupBy(*group).agg(F.max(F.struct("n", (-F.col(c)).alias("step"))).alias("m"), F.sum("n").alias("all")).select(*group, F.col("m.n").alias(f"{c}_votes"), (-F.col("m.step")).alias(f"step_{c[1]}"), F.col("all").alias(f"{c}_all"))
-    per = rows.groupBy(*group).agg(F.count("*").alias("boxes"), F.count_distinct("x").alias("columns"), F.count_distinct("y").alias("rows")).where(F.col("boxes") >= least)
-    told = per.join(best("dx"), group, "left").join(best("dy"), group, "left").fillna(0, ["dx_votes", "dx_all", "dy_votes", "dy_all"])
-    won, every = F.col("dx_votes") + F.col("dy_votes"), F.col("dx_all") + F.col("dy_all")
+    step = lambda along, across: F.col(along) - F.lag(along).over(W.partitionBy("_at", *group, across).orderBy(along))
+    # doubles as keys of a window are normalised anew, so rows are dealt by the hash of a line of boxes
+    tasks = tasks_for(boxes)
+    at = lambda across: F.xxhash64(*group, F.col(across) + 0.0)
+    lines = dealt(rows.withColumn("_at", at("y")), tasks, "_at").distinct().withColumn("dx", step("x", "y"))
+    votes = dealt(lines.withColumn("_at", at("x")), tasks, "_at").withColumn("dy", step("y", "x"))
+    ways = votes.select(*group, F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.col(c).alias("step")) for c in ("dx", "dy")])).alias("v")).select(*group, "v.*")
+    told = ways.groupBy(*group, "way", "step").agg(F.count("*").alias("n"))
+    # in each row of boxes the first has no step along it, and so it is in each column
+    of = lambda c, test: F.coalesce(F.sum(F.when((F.col("way") == c) & test, F.col("n"))), F.lit(0))
+    stepped, first = F.col("step").isNotNull(), F.col("step").isNull()
+    # the most frequent step each way, the least of several: the greatest count, then the least step of those that have it
+    best = lambda c: F.max(F.when((F.col("way") == c) & stepped, F.struct("n", (-F.col("step")).alias("step"))))
+    per = told.groupBy(*group).agg(of("dx", F.lit(True)).alias("boxes"), of("dy", first).alias("columns"), of("dx", first).alias("rows"), of("dx", stepped).alias("dx_all"), of("dy", stepped).alias("dy_all"), best("dx").alias("dx"), best("dy").alias("dy"))
+    won, every = F.coalesce("dx.n", F.lit(0)) + F.coalesce("dy.n", F.lit(0)), F.col("dx_all") + F.col("dy_all")
     # most boxes must have a neighbour at all
-    hit = (won >= 2) & (won >= agree * every) & (every >= agree * (F.col("boxes") - F.greatest("columns", "rows")))
-    return told.where(hit & (F.col("columns") * F.col("rows") >= F.col("boxes"))).where(F.col("boxes") >= agree * F.col("columns") * F.col("rows")).select(*group, "boxes", "columns", "rows", "step_x", "step_y")
+    hit = (F.col("boxes") >= least) & (won >= 2) & (won >= agree * every) & (every >= agree * (F.col("boxes") - F.greatest("columns", "rows")))
+    found = per.where(hit & (F.col("columns") * F.col("rows") >= F.col("boxes")) & (F.col("boxes") >= agree * F.col("columns") * F.col("rows")))
+    return found.select(*group, "boxes", "columns", "rows", (-F.col("dx.step")).alias("step_x"), (-F.col("dy.step")).alias("step_y"))
 
 
 def seal_zone_hits(runs: DataFrame, labels: Column, margin_mm: float = 5.0) -> DataFrame:

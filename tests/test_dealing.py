@@ -45,3 +45,12 @@ def test_inks_are_shuffled_as_rows_once_for_all_counts(spark):
     found = families.ink_inventory(spark.createDataFrame(rows, "job_id long, page_num int, colorant string, alternate string, cs_type string"))
     assert sorted(map(tuple, found.collect())) == [(1, "pantone 185 c", "10,2", 2, 2, True), (2, "gold", "1", 0, 0, False)]
     assert "Expand" not in plan(found) and explicit_exchanges(found) == 1
+
+
+def test_a_lattice_needs_no_join(spark):
+    from platewise.operators import layout
+
+    rows = [(1, 1, 120.0 * c, 90.0 * r, 120.0 * c + 100, 90.0 * r + 80) for c in range(4) for r in range(2)] + [(2, 1, 30.0 * c, 0.0, 30.0 * c + 20, 40.0) for c in (0, 1, 2, 4, 6)] * 2
+    found = layout.step_and_repeat(spark.createDataFrame(rows, "job_id long, page_num int, x0 double, y0 double, x1 double, y1 double"), agree=0.5)
+    assert [tuple(r)[4:] for r in found.orderBy("job_id").collect()] == [(8, 4, 2, 120.0, 90.0), (5, 5, 1, 30.0, None)]
+    assert "Join" not in plan(found) and explicit_exchanges(found) == 2
