@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators.dealing import ROWS, dealt, tasks_for
+
 #: Plans from the least to the greatest.
 PLANS = ("free", "starter", "pro", "enterprise")
 
@@ -19,7 +21,8 @@ def visible_rulesets(tenants: DataFrame, rulesets: DataFrame) -> DataFrame:
     """(tenant_id, ruleset_id) by the ruleset's mode: all, plan (at least min_plan), list (allowed tenants), both.
 
     Unknown modes, plans and missing lists hide a ruleset. Each mode is a join of its own: lists by tenant, plans by rank,
-    so that the only product is the answer itself. Rulesets are few beside tenants and are not broadcast by hand.
+    so that the only product is the answer itself. Rulesets are few beside tenants and are not broadcast by hand. The answer is dealt
+    by tenant, a few thousand of them to a task. ``tenants`` is counted.
     """
     t = tenants.select("tenant_id", plan_rank(F.col("plan")).alias("rank"))
     r = rulesets.select("ruleset_id", "mode", plan_rank(F.col("min_plan")).alias("least"), "allowed")
@@ -27,7 +30,7 @@ def visible_rulesets(tenants: DataFrame, rulesets: DataFrame) -> DataFrame:
     by_list = t.join(listed, "tenant_id").where((F.col("mode") == "list") | (F.col("rank") >= F.col("least")))
     ranks = r.where(F.col("mode").isin("all", "plan")).select("ruleset_id", F.explode(F.sequence(F.when(F.col("mode") == "all", F.lit(0)).otherwise(F.col("least").cast("int")), F.lit(len(PLANS)))).alias("rank"))
     by_plan = t.withColumn("rank", F.coalesce("rank", F.lit(0)).cast("int")).join(ranks, "rank")
-    return by_list.select("tenant_id", "ruleset_id").union(by_plan.select("tenant_id", "ruleset_id")).distinct()
+    return dealt(by_list.select("tenant_id", "ruleset_id").union(by_plan.select("tenant_id", "ruleset_id")), tasks_for(tenants, ROWS // 16), "tenant_id").distinct()
 
 
 def chosen_ruleset(jobs: DataFrame, visible: DataFrame, default: str) -> DataFrame:

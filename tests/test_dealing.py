@@ -54,3 +54,13 @@ def test_a_lattice_needs_no_join(spark):
     found = layout.step_and_repeat(spark.createDataFrame(rows, "job_id long, page_num int, x0 double, y0 double, x1 double, y1 double"), agree=0.5)
     assert [tuple(r)[4:] for r in found.orderBy("job_id").collect()] == [(8, 4, 2, 120.0, 90.0), (5, 5, 1, 30.0, None)]
     assert "Join" not in plan(found) and explicit_exchanges(found) == 2
+
+
+def test_visible_rulesets_are_dealt_by_tenant(spark):
+    from platewise.operators import settings
+
+    tenants = spark.createDataFrame([(1, "free"), (1, "pro"), (2, None)], "tenant_id long, plan string")
+    rulesets = spark.createDataFrame([("a", "all", None, None), ("p", "plan", "pro", None), ("l", "list", None, [2, 2]), ("b", "both", "free", [1])], "ruleset_id string, mode string, min_plan string, allowed array<long>")
+    found = settings.visible_rulesets(tenants, rulesets)
+    assert sorted(map(tuple, found.collect())) == [(1, "a"), (1, "b"), (1, "p"), (2, "a"), (2, "l")]
+    assert explicit_exchanges(found) == 1
