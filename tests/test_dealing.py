@@ -64,3 +64,15 @@ def test_visible_rulesets_are_dealt_by_tenant(spark):
     found = settings.visible_rulesets(tenants, rulesets)
     assert sorted(map(tuple, found.collect())) == [(1, "a"), (1, "b"), (1, "p"), (2, "a"), (2, "l")]
     assert explicit_exchanges(found) == 1
+
+
+def test_font_rules_send_bits(spark):
+    from platewise.operators import typography
+
+    fields = "job_id long, page_num int, base_font string, name string, subtype string, embedded boolean, standard_14 boolean, encoding string, cid_info string, descriptor boolean, files array<string>, weight int, stem_v int, italic_angle double"
+    plainly = ("Type1", True, False, "W", "A", False, [], None, None, 0.0)
+    rows = [(1, 1, "F", "b", *plainly), (1, 1, "F", None, *plainly[:2], True, *plainly[3:]), (1, 2, None, "F", *plainly), (1, 1, None, "G", *plainly[:3], None, *plainly[4:])]
+    found = typography.font_program_rules(spark.createDataFrame(rows, fields))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "F", "FONT_003", "advisory"), (1, 1, "G", "FONT_007", "advisory")]
+    sent = next(line for line in plan(found).splitlines() if "Exchange" in line)
+    assert "WindowGroupLimit" in plan(found) and "descriptor" not in plan(found).split("Exchange")[0] and sent
