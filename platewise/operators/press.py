@@ -118,9 +118,12 @@ def advisories(spaces: DataFrame, paths: DataFrame, docs: DataFrame, pages: Data
     kinds = F.col("cmyk") + F.col("rgb") + F.col("gray") + F.col("separation") + F.col("devicen")
     across = F.abs((F.col("tx0") - F.col("bx0")) - (F.col("bx1") - F.col("tx1"))) > tolerance
     along = F.abs((F.col("ty0") - F.col("by0")) - (F.col("by1") - F.col("ty1"))) > tolerance
-    sizes = boxes.groupBy("job_id").agg(F.count_distinct(G.rounded(F.col("mx1") - F.col("mx0"), 1), G.rounded(F.col("my1") - F.col("my0"), 1)).alias("n"))
+    # sizes vary if one side does: two ends a side are combined before the shuffle, distinct sizes would be held
+    sides = {"w": G.rounded(F.col("mx1") - F.col("mx0"), 1), "h": G.rounded(F.col("my1") - F.col("my0"), 1)}
+    whole = boxes.select("job_id", *[v.alias(k) for k, v in sides.items()]).where("w IS NOT NULL AND h IS NOT NULL")
+    sizes = whole.groupBy("job_id").agg(F.greatest(*[(F.min(k) != F.max(k)).cast("int") for k in sides]).alias("vary"))
     trapped = F.lower(F.trim(F.coalesce("trapped", F.lit("")))).isin("true", "yes", "/true")
     return _union([
         _found(used.where(F.col("spots") > spots), "EPM_SPOT_COUNT_REJECT", None), _found(thin, "EPM_FEATURE_SIZE_REJECT"), _found(used.where(kinds > 1), "EPM_MIXED_SPACES_REJECT", None),
-        _found(docs.where(~trapped), "EPM_TRAPPING_REJECT", None), _found(boxes.where(across | along), "EPM_TRIM_BLEED_REJECT"), _found(sizes.where("n > 1"), "EPM_PAGE_GEOM_REJECT", None),
+        _found(docs.where(~trapped), "EPM_TRAPPING_REJECT", None), _found(boxes.where(across | along), "EPM_TRIM_BLEED_REJECT"), _found(sizes.where("vary > 0"), "EPM_PAGE_GEOM_REJECT", None),
     ])

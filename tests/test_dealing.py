@@ -76,3 +76,16 @@ def test_font_rules_send_bits(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, "F", "FONT_003", "advisory"), (1, 1, "G", "FONT_007", "advisory")]
     sent = next(line for line in plan(found).splitlines() if "Exchange" in line)
     assert "WindowGroupLimit" in plan(found) and "descriptor" not in plan(found).split("Exchange")[0] and sent
+
+
+def test_page_sizes_are_told_by_their_ends(spark):
+    from platewise.operators import press
+
+    box = ", ".join(f"{p}{s} double" for p in "mctb" for s in ("x0", "y0", "x1", "y1"))
+    page = lambda job, n, w, h: (job, n, 0.0, 0.0, w, h, *[None] * 12)
+    pages = spark.createDataFrame([page(1, 1, 9.0, 5.0), page(1, 2, 9.0, 6.0), page(2, 1, 9.0, 5.0), page(2, 2, 9.01, 5.0), page(2, 3, None, 8.0)], f"job_id long, page_num int, {box}")
+    spaces = spark.createDataFrame([], "job_id long, cs_type string, colorant string")
+    paths = spark.createDataFrame([], "job_id long, page_num int, fill boolean, line_width double")
+    found = press.advisories(spaces, paths, spark.createDataFrame([], "job_id long, trapped string"), pages).where("inspection_id = 'EPM_PAGE_GEOM_REJECT'")
+    assert [r.job_id for r in found.collect()] == [1]
+    assert "min(w" in plan(found)
