@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm.common import cut, join_groups, keep_rows, lean, row_key, table
+from platewise.llm.common import cut, join_groups, keep_rows, lean, row_key, small_batches, table
 
 #: Bytes of distinct text that a task combines before it hands them on.
 COMBINE_BYTES = 24 << 20
@@ -172,11 +172,13 @@ def marked_duplicates(docs: DataFrame, id_col: str, text_col: str, keep: str, ke
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be smallest or largest")
     ident, body = F.col(id_col).cast("long").alias("ident"), F.encode(text_col, "utf-8").alias("body")
-    marks = cut(docs.select(ident, (row_key(id_col, text_col) if key else F.lit(None).cast("binary")).alias("key"), body).mapInArrow(_digests, "ident long, key binary, digest binary"))
+    with small_batches(docs.sparkSession):
+        marks = cut(docs.select(ident, (row_key(id_col, text_col) if key else F.lit(None).cast("binary")).alias("key"), body).mapInArrow(_digests, "ident long, key binary, digest binary"))
     extreme = -(2**63) if keep == "largest" else 2**63 - 1
     combined = docs.select(F.coalesce(ident, F.lit(extreme)).alias("ident"), body).mapInArrow(_combine, COMBINED)
     dealt = combined.repartition("n", "digest").sortWithinPartitions("body")
-    owners = cut(dealt.select("digest", "body", "row_count", "least", "most").mapInArrow(_own, OWNERS))
+    with small_batches(docs.sparkSession):
+        owners = cut(dealt.select("digest", "body", "row_count", "least", "most").mapInArrow(_own, OWNERS))
     chosen = F.col("most" if keep == "largest" else "least")
     owners = owners.select("digest", F.nullif(chosen, F.lit(extreme)).alias("keep_id"), F.col("row_count").alias("group_size"))
     return join_groups(marks, owners, "digest", "group_size").withColumn("kept", F.col("ident").eqNullSafe(F.col("keep_id")))

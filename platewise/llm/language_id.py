@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from platewise.llm.common import cut, lean, slices, table
+from platewise.llm.common import lean, slices, small_batches, table
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -181,7 +180,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if len(per) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} languages to learn")
     labels, share = sorted(per), max(1, most // len(per))
-    found = rows.select("text").mapInArrow(_document_frequencies, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect()
+    with small_batches(docs.sparkSession):
+        found = rows.select("text").mapInArrow(_document_frequencies, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect()
     df = np.zeros(FEATURES)
     n = next(r.docs for r in found if r.feature < 0)
     for r in found:
@@ -191,30 +191,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     draw = F.pmod(F.xxhash64("ident"), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*[F.lit(x) for k, v in per.items() for x in (k, min(1.0, share / v))])[F.col("lang")]
     sample = rows.where(draw < rate).withColumn("draw", F.xxhash64("ident")).repartition(1).sortWithinPartitions("draw", "ident", "text")
-    row = sample.select("text", "lang").mapInArrow(partial(_train, idf=idf, labels=labels), "weights binary, temperature double").first()
+    with small_batches(docs.sparkSession):
+        row = sample.select("text", "lang").mapInArrow(partial(_train, idf=idf, labels=labels), "weights binary, temperature double").first()
     return Model(labels, idf, np.frombuffer(row.weights, np.float32).reshape(FEATURES + 1, len(labels)), row.temperature)
 
 
-@lean
-def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Adds lang_pred and score to rows whose last columns are text and ok (it has a letter), which are left out."""
-    model = shared.value
-    for batch in slices(batches):
-        kept, text, ok = batch.columns[:-2], batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-        found = [model.predict(t) if t is not None and fine else (UNKNOWN, 0.0) for t, fine in zip(text.to_pylist(), ok.to_pylist(), strict=True)]
-        cols = [*kept, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-2], "_platewise_lang", "_platewise_score"])
-
-
 def predicted(rows: DataFrame, model: Model | None, text_col: str) -> DataFrame:
     """``rows`` with _platewise_lang and _platewise_score; all are ``und`` with score 0 if there is no model."""
     if model is None:
         return rows.withColumns({"_platewise_lang": F.lit(UNKNOWN), "_platewise_score": F.lit(0.0)})
     # features times languages numbers, however large the corpus
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    given = rows.select("*", F.col(text_col).alias("_platewise_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_platewise_ok"))
-    schema = StructType([*rows.schema.fields, StructField("_platewise_lang", StringType()), StructField("_platewise_score", DoubleType())])
-    return given.mapInArrow(partial(_predict, shared=shared), schema)
+    # only texts go to Python, a hundred at a time; rows stay. Not deterministic: else a filter would ask a second time
+    told = F.udf(lambda text: (UNKNOWN, 0.0) if text is None else shared.value.predict(text), "lang string, score double", useArrow=False).asNondeterministic()
+    found = rows.withColumn("_platewise_found", told(F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))))
+    return found.withColumns({"_platewise_lang": F.col("_platewise_found.lang"), "_platewise_score": F.col("_platewise_found.score")}).drop("_platewise_found")
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from platewise.llm.common import HOT_SHARE, cut, join_checked, lean, slices, table
+from platewise.llm.common import HOT_SHARE, cut, join_checked, lean, slices, small_batches, table
 
 WINDOW = 4096
 END_ID = 1
@@ -407,7 +407,7 @@ def _placed(batches: Iterator[pa.RecordBatch], shared, id_bytes: int) -> Iterato
     runs = shared.value
     # ranks are below 2^50, lengths below 2^13
     keys = (runs[:, 0] << 50) + runs[:, 1]
-    for batch in batches:
+    for batch in slices(batches):
         length, rank = (batch.column(n).to_numpy() for n in ("length", "rank"))
         mine = runs[np.searchsorted(keys, (length << 50) + rank, side="right") - 1] if len(batch) else np.zeros((0, 5), np.int64)
         within = rank - mine[:, 1]
@@ -469,7 +469,7 @@ def pack(parts: DataFrame, window: int = WINDOW, id_bytes: int = 0) -> DataFrame
 
 @lean
 def _full(batches: Iterator[pa.RecordBatch], id_bytes: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         cols = [_listed(c, id_bytes) if n == "ids" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
         yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
@@ -486,7 +486,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    parts = cut(pieces(docs, path, id_col, text_col, window, end_id, with_ids))
+    with small_batches(docs.sparkSession):
+        parts = cut(pieces(docs, path, id_col, text_col, window, end_id, with_ids))
     id_bytes = (2 if max(encoder_of(path).size, end_id + 1) <= 1 << 16 else 4) if with_ids else 0
     return pack(parts, window, id_bytes).withColumnRenamed("ident", id_col)
 

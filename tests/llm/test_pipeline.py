@@ -4,7 +4,8 @@ import collections
 
 import __spark_entry__
 import corpus_pipeline
-from platewise.llm import language_id, mixing
+import pyarrow as pa
+from platewise.llm import language_id, mixing, packing
 from tests.llm.test_jaccard import least_of_components, slow_shingles
 
 
@@ -75,3 +76,15 @@ def test_registered_queries():
     found = __spark_entry__.queries()
     assert "pipeline" in found and all(any(n.startswith(f"op{k}_") for n in found) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+def test_language_id_hands_only_texts_to_python(spark, sf):
+    kept = language_id.keep_identified(spark.read.parquet(f"{sf}/documents.parquet"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("BatchEvalPython") == 1
+
+
+def test_packing_hands_on_ids_in_small_batches():
+    batch = pa.RecordBatch.from_pydict({"ident": pa.array(range(3000)), "ids": pa.array([bytes([i % 256, 0]) for i in range(3000)])})
+    out = list(packing._full(iter([batch]), 2))
+    assert max(map(len, out)) <= 1024 and [x for b in out for x in b.column(1).to_pylist()] == [[i % 256] for i in range(3000)]
