@@ -107,6 +107,14 @@ def test_near_hashes_compare_in_proportion(spark):
     assert many <= 80 * max(few, 30) and many < 16_000
 
 
+def test_keys_of_hashes_are_dealt_by_their_own_number(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TASK_KEYS", 1000, raising=False)
+    nodes = spark.range(2_000).select(F.col("id").alias("ident"), F.xxhash64("id").alias("phash")).coalesce(1)
+    met = similarity.hash_candidates(nodes)
+    # 15 keys of a hash
+    assert met.rdd.getNumPartitions() == 31 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_vectors_are_exact(spark, sf, monkeypatch):
     monkeypatch.setattr(similarity, "SHARD_VECTORS", 100)
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
