@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,23 @@ def test_similar_vectors_are_exact(spark, sf, monkeypatch):
     assert set(got) <= set(unit)
 
 
+def test_similar_vectors_hold_few_cosines_at_a_time():
+    n, asked, dim = 16_384, 1_000, 4
+    rng = np.random.default_rng(3)
+
+    def rows(asks, m):
+        v = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * dim), pa.array(rng.standard_normal(m * dim)))
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int64)), pa.array(np.full(m, asks)), pa.array(np.arange(m)), v], ["key", "asks", "ident", "v"])
+
+    given = [rows(False, n), rows(True, asked)]
+    tracemalloc.start()
+    try:
+        found = sum(len(b) for b in similarity._best(iter(given), 5))
+        assert found == 5 * asked and tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_names_of_small_and_large_jobs_are_compared_alike(spark):
     rng = random.Random(5)
     rows = [(j, " ".join("".join(rng.choice("abc") for _ in range(rng.randint(4, 6))) for _ in range(rng.randint(1, 2)))) for j in (1, 2, 3) for _ in range(25)]
