@@ -69,7 +69,8 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def s3_report_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "reports")
-    _payloads(spark, sf_dir).write.parquet(path)
+    # each dialect reads its own reports only
+    _payloads(spark, sf_dir).write.partitionBy("kind").parquet(path)
     payloads = spark.read.parquet(path)
     found = None
     for name, dialect in (Z.DIALECTS | {"custom": Z.mapped(MAPPING)}).items():

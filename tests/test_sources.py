@@ -120,3 +120,14 @@ def test_an_item_is_parsed_once_for_all_selectors(spark):
         assert "xpath" not in plan._jdf.queryExecution().toString().lower()
     root = reports._tree('<e:a><b x:k="1">t<c>u</c></b><c k="2"/><b><b k="3">v</b></b></e:a>'.replace("e:a", "a"))
     assert reports._values(root, "//b/@k") == ["3"] and reports._values(root, "/*/b") == ["tu", "v"] and reports._values(root, "//a//c") == ["u", ""] and reports._values(root, "/*/c/@k") == ["2"]
+
+
+def test_a_report_is_parsed_once_for_all_its_items(spark):
+    """Items are found among the elements, not in the text: one in another of its name and a sign of an end in an attribute do not break it."""
+    nested = '<Preflight><Hit severity="error"><Description>outer</Description><Hit note="a/>b"><Description>inner</Description></Hit></Hit></Preflight>'
+    assert sorted(g[1:3] for g in found(spark, nested, reports.ACROBAT)) == [("error", "outer"), ("warning", "inner")]
+    plan = reports.report_findings(spark.createDataFrame([(1, nested)], "job_id long, payload string"), reports.ACROBAT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    for text in ('<e:a><e:Hit><Message>m</Message></e:Hit></e:a>', ' <?xml version="1.0" encoding="latin-1"?><!-- <Hit/> --><a xmlns="urn:x"><Hit><Message>m</Message></Hit></a>', "<a><Hit><Message><![CDATA[m]]></Message></Hit></a>"):
+        assert [g[2] for g in found(spark, text, reports.ACROBAT)] == ["m"]
+    assert found(spark, '<!DOCTYPE a [<!ENTITY x "m">]><a><Hit><Message>&x;</Message></Hit></a>', reports.ACROBAT) == []
