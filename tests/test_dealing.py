@@ -89,3 +89,42 @@ def test_page_sizes_are_told_by_their_ends(spark):
     found = press.advisories(spaces, paths, spark.createDataFrame([], "job_id long, trapped string"), pages).where("inspection_id = 'EPM_PAGE_GEOM_REJECT'")
     assert [r.job_id for r in found.collect()] == [1]
     assert "min(w" in plan(found)
+
+
+def test_jobs_of_checks_are_counted_without_sending_each(spark):
+    from platewise.operators.registry import Families
+
+    rows = [(j, c) for j in (*range(-70, 200, 3), 1 << 40, None) for c in "AAB" if j is None or c == "A" or j % 2]
+    given = spark.createDataFrame(rows, "job_id long, inspection_id string").withColumn("severity", F.lit("error"))
+    some = Families()
+    some.register("spread", "a", "t")(lambda t: t)
+    some.register("dealt", "a", "t", by_job=True)(lambda t: t.groupBy("job_id").agg(F.max("inspection_id").alias("inspection_id")).withColumn("severity", F.lit("error")))
+    found = some.counts(lambda name: given)
+    jobs = lambda check: {j for j, c in rows if c == check and j is not None}
+    last = {j: max(c for i, c in rows if i == j) for j, _ in rows}
+    want = [("dealt", c, "error", sum(x == c for x in last.values()), sum(x == c for j, x in last.items() if j is not None)) for c in "AB"]
+    want += [("spread", c, "error", sum(x == c for _, x in rows), len(jobs(c))) for c in "AB"]
+    assert sorted(map(tuple, found.collect())) == want
+    dealt = [line for line in plan(found).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 3 and sum("job_id" in line for line in dealt) == 1
+
+
+def test_profiles_and_names_are_sent_once(spark):
+    from platewise.operators import standards
+
+    kinds = spark.createDataFrame([(1, "2.1", "P", "CMYK", True), (1, "4.3", "P", "RGB", False), (2, "2.1", "P", "RGB", True), (2, "2.4", "R", "CMYK", True), (3, None, None, None, True)], "job_id long, version string, rendering string, space string, is_intent boolean")
+    found = standards.profile_conflicts(kinds)
+    assert sorted((r.job_id, r.inspection_id) for r in found.collect()) == [(1, "ICC_002"), (2, "ICC_006"), (2, "ICC_008")]
+    assert "Expand" not in plan(found)
+    inks = spark.createDataFrame([(1, "Gold"), (1, "Gold"), (1, " gold ")], "job_id long, ink string")
+    assert "canonical" not in plan(standards.name_taxonomy(inks, {"gold": "Gold"})).split("hashpartitioning")[1].splitlines()[0]
+
+
+def test_font_rules_of_a_first_page_send_bits(spark):
+    from platewise.operators import typography
+
+    rows = [(1, 1, "F", "b", "Type0", True, True, False, 0), (1, 1, "F", "a", "TrueType", False, True, True, 0), (1, 2, None, "G", "Type0", True, True, False, None), (2, 1, None, "H", None, True, None, False, 2)]
+    found = typography.font_rules(spark.createDataFrame(rows, "job_id long, page_num int, base_font string, name string, subtype string, embedded boolean, subset boolean, has_unicode boolean, fs_type int"))
+    got = sorted((r.job_id, r.page_num, r.font, r.inspection_id, r.severity) for r in found.collect())
+    assert got == [(1, 1, "F", "FONT_001", "error"), (1, 2, "G", "FONT_005", "warning"), (2, 1, "H", "FONT_005", "advisory"), (2, 1, "H", "FONT_015", "advisory")]
+    assert "fs_type" not in plan(found).split("Exchange")[0]
